@@ -33,6 +33,10 @@ class SparkSql:
     def lines(text: str) -> str:
         return f"split({text}, '\\n')"
 
+    @staticmethod
+    def split_words(text: str) -> str:
+        return f"filter(split({text}, '[ \\n]'), x -> x <> '')"
+
     @staticmethod
     def map_lines(items: str, body: str) -> str:
         return f"transform({items}, (x, i) -> {body.format(x='x', i='i')})"
@@ -47,7 +51,7 @@ class SparkSql:
 
     @staticmethod
     def numbers(upto: str) -> str:
-        return f"explode(sequence(0, {upto}))"
+        return f"explode(sequence(cast(0 as bigint), cast({upto} as bigint)))"
 
     @staticmethod
     def agg(value: str, order: str, sep: str) -> str:
@@ -91,6 +95,10 @@ class DuckSql:
     def lines(text: str) -> str:
         return f"string_split({text}, chr(10))"
 
+    @staticmethod
+    def split_words(text: str) -> str:
+        return f"list_filter(regexp_split_to_array({text}, '[ \\n]'), lambda x: x <> '')"
+
     @staticmethod
     def map_lines(items: str, body: str) -> str:
         return f"list_transform({items}, lambda x, i: {body.format(x='x', i='(i-1)')})"
@@ -274,7 +282,7 @@ def _chapter_marks(d):
              ELSE concat('Part <', cast(mark_no as string), '>') END AS title,
            cast(CASE mark_no WHEN 0 THEN 5 WHEN 1 THEN 25 WHEN 2 THEN CASE WHEN transcript_id % 2 = 0 THEN 25 ELSE 30 END ELSE 45 END as double) AS start_s,
            cast(90 as double) AS total_s
-    FROM (SELECT transcript_id, cast({d.numbers('3')} as bigint) AS mark_no FROM (SELECT DISTINCT transcript_id FROM fx_segments) AS t WHERE transcript_id % 3 <> 0) AS m"""
+    FROM (SELECT transcript_id, {d.numbers('3')} AS mark_no FROM (SELECT DISTINCT transcript_id FROM fx_segments) AS t WHERE transcript_id % 3 <> 0) AS m"""
 
 
 @fixture("fx_docs")
@@ -418,7 +426,7 @@ def _tracks(d):
            CASE WHEN (conv_id + track_no * 3) % 4 < 2 THEN 'asr' ELSE 'manual' END AS kind,
            CASE WHEN conv_id % 7 = 0 THEN 'fr' WHEN conv_id % 7 = 1 THEN 'de-DE' ELSE NULL END AS wanted,
            CASE WHEN conv_id % 3 = 0 THEN 'fr' WHEN conv_id % 3 = 1 THEN 'de-DE' ELSE NULL END AS original
-    FROM (SELECT conv_id, cast({d.numbers('4')} as bigint) AS track_no FROM (SELECT DISTINCT conv_id FROM conversations) AS c) AS t
+    FROM (SELECT conv_id, {d.numbers('4')} AS track_no FROM (SELECT DISTINCT conv_id FROM conversations) AS c) AS t
     WHERE (conv_id * 3 + track_no) % 4 <> 1"""
 
 
@@ -429,7 +437,7 @@ def _audio_tracks(d):
            concat(CASE (conv_id + track_no) % 4 WHEN 0 THEN 'en-US' WHEN 1 THEN 'fr-FR' WHEN 2 THEN 'de' ELSE 'es' END, '.', cast(track_no as string)) AS id,
            (conv_id + track_no) % 3 = 0 AS is_dubbed, conv_id % 5 = track_no AS is_default,
            CASE WHEN (conv_id + track_no) % 5 = 2 THEN 'Voice ORIGINAL' ELSE 'Voice' END AS display_name
-    FROM (SELECT conv_id, cast({d.numbers('2')} as bigint) AS track_no FROM (SELECT DISTINCT conv_id FROM conversations) AS c) AS t WHERE conv_id % 4 <> 3"""
+    FROM (SELECT conv_id, {d.numbers('2')} AS track_no FROM (SELECT DISTINCT conv_id FROM conversations) AS c) AS t WHERE conv_id % 4 <> 3"""
 
 
 @fixture("fx_state_events")
@@ -461,6 +469,72 @@ def _durations(d):
     FROM documents"""
 
 
+@fixture("fx_payloads", "fx_segments")
+def _payloads(d):
+    lines = d.lines("text")
+    events = d.map_lines(lines, "CASE WHEN {i} % 5 = 3 THEN '{{\"tStartMs\":5}}' ELSE concat('{{\"tStartMs\":', cast({i} * 4500 as string), ',\"dDurationMs\":', cast(3000 + {i} * 250 as string), ',\"segs\":[{{\"utf8\":\" \"}},{{\"utf8\":', JS({x}), '}},{{\"acAsrConf\":1}}]}}') END")
+    rows = d.map_lines(lines, "concat('{{\"text\":', JS({x}), ',\"startMs\":', cast({i} * 4500 as string), CASE WHEN {i} % 4 = 2 THEN '' WHEN {i} % 4 = 3 THEN ',\"endMs\":\"7\"' ELSE concat(',\"endMs\":', cast({i} * 4500 + 1250 as string)) END, '}}')")
+    talk = d.map_lines(lines, "concat('{{\"body\":', JS({x}), ',\"startTime\":', cast({i} * 4 as string), '.5', CASE WHEN {i} % 3 = 1 THEN '' ELSE concat(',\"endTime\":', cast({i} * 4 + 3 as string)) END, ',\"speaker\":', CASE WHEN {i} % 2 = 0 THEN '\"\"' ELSE '\"Ann\"' END, '}}')")
+    speech = d.map_lines(lines, "concat('{{\"text\":', JS({x}), ',\"start\":', CASE WHEN {i} % 6 = 4 THEN 'null' ELSE cast({i} * 4 as string) END, ',\"end\":', cast({i} * 4 + 3 as string), ',\"speaker_id\":\"s', cast({i} % 2 as string), '\"}}')")
+    spoken = d.map_lines(d.split_words("text"), "concat(CASE WHEN {i} % 40 = 39 THEN '{{\"text\":\"(laughter)\",\"type\":\"audio_event\"}},' ELSE '' END, '{{\"text\":', JS({x}), ',\"type\":\"word\",\"start\":', cast({i} as string), ',\"end\":', cast({i} as string), '.5,\"speaker_id\":\"s', cast(cast(floor({i} / 25) as bigint) % 2 as string), '\"}},{{\"text\":\" \",\"type\":\"spacing\"}}')")
+    js = lambda text: _inline_js(d, text)
+    return f"""
+    SELECT transcript_id * 1000 + seq AS payload_id,
+           CASE WHEN seq % 5 = 4 THEN '{{broken' ELSE concat('{{"events":[', {d.join_lines(js(events), "','")}, ']}}') END AS events_json,
+           concat('{{"rows":[', {d.join_lines(js(rows), "','")}, ']}}') AS rows_json,
+           concat('{{"segments":[', {d.join_lines(js(talk), "','")}, ']}}') AS episode_json,
+           CASE WHEN seq % 2 = 0 THEN concat('{{"text":', {d.js('text')}, ',"segments":[', {d.join_lines(js(speech), "','")}, ']}}')
+                ELSE concat('{{"text":"","words":[', {d.join_lines(js(spoken), "','")}, ']}}') END AS speech_json
+    FROM fx_segments"""
+
+
+def _inline_js(d, text: str) -> str:
+    out, at = "", 0
+    while (start := text.find("JS(", at)) >= 0:
+        end = text.index(")", start)
+        out += text[at:start] + d.js(text[start + 3:end])
+        at = end + 1
+    return out + text[at:]
+
+
+@fixture("fx_cue_files", "fx_segments")
+def _cue_files(d):
+    cues = d.map_lines(d.lines("text"), "concat(cast({i} + 1 as string), NL, CASE WHEN {i} % 7 = 5 THEN 'no times here' WHEN {i} % 2 = 0 THEN concat('00:0', cast({i} % 10 as string), ':1', cast({i} % 7 as string), ',5 --> 00:0', cast({i} % 10 as string), ':2', cast({i} % 10 as string), '.250') ELSE concat('1', cast({i} % 10 as string), ':05.000 --> 1', cast({i} % 10 as string), ':09.125 align:start') END, NL, CASE WHEN {i} % 3 = 0 THEN '<v.loud Ann Lee>' ELSE '<i>' END, {x}, '</i>', NL, '  second <b>line</b> ')").replace("NL", d.nl)
+    return f"""
+    SELECT transcript_id * 1000 + seq AS file_id, concat('WEBVTT', {d.nl}, {d.nl}, {d.join_lines(cues, f'concat({d.nl}, {d.nl})')}, {d.nl}) AS body FROM fx_segments"""
+
+
+@fixture("fx_turn_pages", "fx_segments")
+def _turn_pages(d):
+    turns = d.map_lines(d.lines("text"), "concat('**', CASE WHEN {i} % 2 = 0 THEN 'Ann' ELSE 'Bo Lee' END, ' · ', CASE WHEN {i} % 5 = 2 OR {i} % 5 = 3 THEN '1.2.3' ELSE concat(cast({i} as string), ':10.5') END, '–', CASE WHEN {i} % 7 = 3 THEN ':.' ELSE concat('0:', cast({i} as string), ':40') END, '**', NL, '  ', {x}, ' ', NL, NL, CASE WHEN {i} % 4 = 1 THEN 'and more' ELSE '' END)").replace("NL", d.nl)
+    return f"""
+    SELECT transcript_id * 1000 + seq AS page_id, concat('# Show', {d.nl}, '- **Language:** en-US', {d.nl}, '- **Duration:** ', cast(seq as string), ':04:37.5', {d.nl}, {d.nl}, '## Transcript', {d.nl}, 'lead-in', {d.nl},
+           {d.join_lines(turns, d.nl)}, {d.nl}, '## Related', {d.nl}, '**Ann · 0:01–0:02**', {d.nl}, 'tail') AS text FROM fx_segments"""
+
+
+@fixture("fx_words")
+def _words(d):
+    return f"""
+    SELECT doc_id, pos, concat(word, ' ') AS text, CASE WHEN pos % 40 = 39 THEN 'audio_event' ELSE 'word' END AS kind,
+           cast(pos as double) AS start_s, cast(pos as double) + 0.5 AS end_s, concat('s', cast(cast(floor(pos / 25) as bigint) % 2 as string)) AS speaker_id
+    FROM ({d.words('documents', 'doc_id', 'text')}) AS w"""
+
+
+@fixture("fx_chunk_segments", "fx_segments")
+def _chunk_segments(d):
+    return """
+    SELECT transcript_id AS episode_id, cast(floor(seq / 3) as bigint) AS chunk_no, seq, text, start_s - 30 * cast(floor(seq / 3) as bigint) AS start_s,
+           start_s - 30 * cast(floor(seq / 3) as bigint) + duration_s AS end_s, speaker
+    FROM fx_segments WHERE NOT (transcript_id % 5 = 2 AND cast(floor(seq / 3) as bigint) = 1)"""
+
+
+@fixture("fx_chunks", "fx_segments")
+def _chunks(d):
+    return """
+    SELECT transcript_id AS episode_id, cast(floor(seq / 3) as bigint) AS chunk_no, min(substr(text, 1, 40)) AS text, cast(31 as double) AS probed_s
+    FROM fx_segments GROUP BY transcript_id, cast(floor(seq / 3) as bigint)"""
+
+
 def _needed(names: tuple[str, ...]) -> list[str]:
     seen: list[str] = []
 
