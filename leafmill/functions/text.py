@@ -69,3 +69,8 @@ def fold_title(c: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once and used several times."""
     return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def escape_tags(c: Column | str) -> Column:
+    """A literal ``<div>`` in Markdown stays text."""
+    return F.regexp_replace(col(c), "<(?=[A-Za-z/!?])", r"\\<")

@@ -9,7 +9,7 @@ from leafmill.functions import urls
 from leafmill.functions.text import NOT_WORD, collapse, null_if_empty
 from leafmill.operators import links
 from leafmill.operators.ordered import (
-    Running, block_of, first_per_key, number_rows, running, top_per_key, with_group_flag,
+    Running, block_of, first_per_key, number_rows, running, settle, top_per_key, with_group_flag,
 )
 
 MAX_PER_HOST = 3
@@ -87,7 +87,7 @@ def merge_batches(hits: DataFrame, frozen: bool = False) -> DataFrame:
         shown, ["query_id", "arrival"], [block_of("pos")], [F.col("pos")], {"_floor": Running("min", relevance)}
     )
     placed = number_rows(
-        floor, ["query_id"], [-F.col("_floor"), F.col("arrival"), block_of("pos")], [F.col("pos")], "place"
+        settle(floor), ["query_id"], [-F.col("_floor"), F.col("arrival"), block_of("pos")], [F.col("pos")], "place"
     )
     return placed.drop("_floor")
 

@@ -12,6 +12,8 @@ block table of one key.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -28,6 +30,19 @@ def block_of(position: Column | str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("bigint")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` written once to the cluster's shared folder and read back.
+
+    For the result of a shuffle that several passes read: each pass then scans only the columns it
+    needs, and a lost executor costs a re-read instead of the whole lineage.
+    """
+    spark = df.sparkSession
+    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{shared}/leafmill-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 @dataclass(frozen=True)
 class Running:
     """One running column: ``kind`` over the rows before (and, if inclusive, at) each row.
@@ -142,3 +157,34 @@ def with_group_flag(df: DataFrame, keys: Sequence[str], flag: Column, name: str)
     renamed = groups.select(*[F.col(k).alias(f"_g_{k}") for k in keys], name)
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_g_{k}")) for k in keys])
     return df.join(renamed, same, "left").drop(*[f"_g_{k}" for k in keys])
+
+
+def islands(
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
+) -> DataFrame:
+    """The number (from 0) of each row's run of equal consecutive values; null equals null.
+
+    One pass like ``running``: changes are counted inside each block, and the block table says
+    whether a block opens with another value than the last one ended on.
+    """
+    rows = df.withColumns({"_block": block, "_v": F.struct(value.alias("v"))})
+    group = [*keys, "_block"]
+    inside = Window.partitionBy(*group).orderBy(*order)
+    changed = ~F.lag("_v").over(inside).eqNullSafe(F.col("_v")) & F.lag("_v").over(inside).isNotNull()
+    flagged = rows.withColumn("_changed", changed.cast("bigint"))
+    local = flagged.withColumn("_local", F.sum("_changed").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    totals = flagged.groupBy(*group).agg(
+        F.min_by("_v", F.struct(*order)).alias("_head"), F.max_by("_v", F.struct(*order)).alias("_tail"),
+        F.sum("_changed").alias("_changes"),
+    )
+    across = Window.partitionBy(*keys).orderBy("_block")
+    opens = F.lag("_tail").over(across).isNotNull() & ~F.lag("_tail").over(across).eqNullSafe(F.col("_head"))
+    steps = totals.withColumn("_opens", opens.cast("bigint"))
+    before = F.coalesce(F.sum("_changes").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = steps.select(
+        *[F.col(g).alias(f"_c_{g}") for g in group],
+        (before + F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias("_carry"),
+    )
+    same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group])
+    joined = local.join(carry, same, "left")
+    return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))

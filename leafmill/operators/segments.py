@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, col, null_if_empty, strip, word_count
-from leafmill.operators.ordered import Running, block_of, number_rows, running, top_per_key
+from leafmill.functions.text import blank, col, escape_tags, null_if_empty, strip, word_count
+from leafmill.operators.ordered import Running, block_of, islands, number_rows, running, settle, top_per_key
 from leafmill.operators.packing import pack
 
 # When a paragraph ends.
@@ -82,22 +82,24 @@ def spoken(segments: DataFrame) -> DataFrame:
 
 def speaker_turns(segments: DataFrame, keys: Sequence[str] = ("transcript_id",), block_rows: int = 4096) -> DataFrame:
     """``turn`` of each non-blank segment: consecutive segments of one speaker (unknown equals unknown)."""
-    place = ([block_of("seq", block_rows)], [F.col("seq")])
-    before = running(spoken(segments), keys, *place, {"_prev": Running("lag", F.struct("speaker"))})
-    flag = (F.col("_prev").isNotNull() & ~F.col("_prev.speaker").eqNullSafe(F.col("speaker"))).cast("bigint")
-    return running(before, keys, *place, {"turn": Running("sum", flag)}).drop("_prev")
+    return islands(spoken(segments), keys, block_of("seq", block_rows), [F.col("seq")], F.col("speaker"), "turn")
 
 
 def pause_groups(segments: DataFrame, keys: Sequence[str] = ("transcript_id",), block_rows: int = 4096) -> DataFrame:
-    """``para_no`` of each non-blank segment: cut at a speaker change, a real pause or a length."""
+    """``para_no`` of each non-blank segment: cut at a speaker change, a real pause or a length.
+
+    ``opens`` marks the first segment of a speaker's turn.
+    """
     place = ([block_of("seq", block_rows)], [F.col("seq")])
     ends = F.struct("speaker", (F.col("start_s") + F.col("duration_s")).alias("end_s"))
-    before = running(spoken(segments), keys, *place, {"_prev": Running("lag", ends)})
+    before = running(spoken(segments), keys, *place, {"_prev": Running("lag", ends)}).withColumn(
+        "opens", F.col("_prev").isNull() | ~F.col("_prev.speaker").eqNullSafe(F.col("speaker"))
+    )
     packed = pack(
         before, keys, block_of("seq", block_rows), ["seq"],
         length=F.length("text") + 1,
         soft=F.col("start_s") - F.col("_prev.end_s") >= PAUSE_S,
-        hard=F.col("_prev").isNotNull() & ~F.col("_prev.speaker").eqNullSafe(F.col("speaker")),
+        hard=F.col("opens"),
         allowed=F.lit(True), low=MIN_CHARS, high=SOFT_MAX_CHARS, name="para_no",
     )
     return packed.drop("_prev")
@@ -111,7 +113,9 @@ def join_texts(order: Sequence[str], text: str = "text", sep: str = " ") -> Colu
 
 def pause_paragraphs(segments: DataFrame, keys: Sequence[str] = ("transcript_id",), block_rows: int = 4096) -> DataFrame:
     groups = pause_groups(segments, keys, block_rows).groupBy(*keys, "para_no")
-    return groups.agg(F.min_by("speaker", "seq").alias("speaker"), join_texts(["seq"]).alias("text"))
+    return groups.agg(
+        F.min_by("speaker", "seq").alias("speaker"), F.min_by("opens", "seq").alias("opens"), join_texts(["seq"]).alias("text")
+    )
 
 
 def sentence_paragraphs(segments: DataFrame, keys: Sequence[str] = ("transcript_id",), block_rows: int = 4096) -> DataFrame:
@@ -157,13 +161,9 @@ def with_speaker_labels(rows: DataFrame, names: DataFrame, word: Column) -> Data
 
 def dialogue(paragraphs: DataFrame, names: DataFrame, word: Column, keys: Sequence[str] = ("transcript_id",)) -> DataFrame:
     """Paragraphs with the speaker named on the first one of each turn."""
-    before = running(
-        paragraphs, keys, [block_of("para_no")], [F.col("para_no")], {"_prev": Running("lag", F.struct("speaker"))}
-    )
-    labelled = with_speaker_labels(before, names, word)
-    opens = F.col("_prev").isNull() | ~F.col("_prev.speaker").eqNullSafe(F.col("speaker"))
+    labelled = with_speaker_labels(paragraphs, names, word)
     text = F.when(
-        opens & F.col("speaker").isNotNull(), F.concat(F.lit("**"), "label", F.lit(":** "), "text")
+        F.col("opens") & F.col("speaker").isNotNull(), F.concat(F.lit("**"), "label", F.lit(":** "), "text")
     ).otherwise(F.col("text"))
     return labelled.select(*keys, "para_no", text.alias("text"))
 
@@ -184,14 +184,16 @@ def dialogue_sample(segments: DataFrame, max_chars: int = SAMPLE_CHARS) -> DataF
     Every non-blank segment has at least one character, so no more than ``max_chars`` of them can be
     needed: that exact bound is applied before anything is grouped.
     """
-    opening = top_per_key(spoken(segments), ["transcript_id"], [F.col("seq")], max_chars, "_n").drop("_n")
-    total = running(
-        opening, ["transcript_id"], [block_of("seq")], [F.col("seq")], {"_so_far": Running("sum", F.length("text"), False)}
-    )
-    kept = total.filter(F.col("_so_far") < max_chars).withColumn(
+    opening = top_per_key(spoken(segments), ["transcript_id"], [F.col("seq")], max_chars, "_n").withColumn(
         "speaker", F.coalesce(null_if_empty("speaker"), F.lit("speaker_?"))
     )
-    turns = speaker_turns(kept.drop("_so_far")).groupBy("transcript_id", "turn")
+    ahead = Window.partitionBy("transcript_id").orderBy("seq")
+    so_far = F.sum(F.length("text")).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
+    kept = opening.withColumns({
+        "_so_far": F.coalesce(so_far, F.lit(0)),
+        "_new": (F.lag("speaker").over(ahead) != F.col("speaker")).cast("int"),
+    }).filter(F.col("_so_far") < max_chars)
+    turns = kept.withColumn("turn", F.sum(F.coalesce("_new", F.lit(0))).over(ahead)).groupBy("transcript_id", "turn")
     lines = turns.agg(F.concat(F.min_by("speaker", "seq"), F.lit(": "), join_texts(["seq"])).alias("line"))
     return lines.groupBy("transcript_id").agg(join_texts(["turn"], "line", "\n").alias("sample"))
 
@@ -216,25 +218,26 @@ def transcript_paragraphs(segments: DataFrame, marks: DataFrame, names: DataFram
         .when(F.col("sentence_segmented") & F.col("timed"), "pauses")
         .when(F.col("_clean_punctuated"), "sentences").otherwise("fixed")
     )
-    routed = rows.join(flags.join(clean, keys).select(*keys, route.alias("kind")), keys)
+    # The as-of join is done once; every route reads its own rows of the settled table.
+    routed = settle(rows.join(flags.join(clean, keys).select(*keys, route.alias("kind")), keys))
 
     def of(kind: str) -> DataFrame:
         return routed.filter(F.col("kind") == kind).drop("kind")
 
     talk = dialogue(pause_paragraphs(of("dialogue"), keys), names, word, keys)
     parts = {
-        "dialogue": talk, "pauses": pause_paragraphs(of("pauses"), keys).drop("speaker"),
+        "dialogue": talk, "pauses": pause_paragraphs(of("pauses"), keys).drop("speaker", "opens"),
         "sentences": sentence_paragraphs(of("sentences"), keys), "fixed": fixed_groups(of("fixed"), keys),
     }
     body = None
     for kind, part in parts.items():
         part = part.select(*keys, "para_no", F.lit(kind).alias("kind"), "text")
         body = part if body is None else body.unionByName(part)
-    headed = spoken(chaptered).select(*keys).distinct().join(
+    headed = spoken(routed.filter("chapter_no >= 0")).select(*keys).distinct().join(
         marks.select("transcript_id", F.col("mark_no").alias("chapter_no"), "title"), keys
     )
     headings = headed.select(
         *keys, F.lit(-1).cast("bigint").alias("para_no"), F.lit("heading").alias("kind"),
-        F.concat(F.lit("## "), F.regexp_replace("title", "<(?=[A-Za-z/!?])", r"\\\\<")).alias("text"),
+        F.concat(F.lit("## "), escape_tags("title")).alias("text"),
     )
     return body.unionByName(headings)

@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from leafmill.plans import search, transcripts  # noqa: F401
+from leafmill.plans import books, search, transcripts  # noqa: F401
 from leafmill.plans.registry import ORACLES, QUERIES  # noqa: F401

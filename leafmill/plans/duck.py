@@ -76,3 +76,7 @@ def strip(t: str) -> str:
 
 def blank(t: str) -> str:
     return f"NOT regexp_matches({t}, '[^\\s\\p{{Z}}]')"
+
+
+def escape_tags(t: str) -> str:
+    return f"regexp_replace({t}, '<([A-Za-z/!?])', '\\\\<\\1', 'g')"

@@ -311,10 +311,10 @@ def _md_docs(d):
 def _md_images(d):
     p = "cast(doc_id as string)"
     return f"""
-    SELECT doc_id, concat({d.first_words('text', 12)}, ' ![a [b] c](https://img.example/', cast(doc_id % 97 as string), '.png "t") and [link](https://x.example/', {p},
-        ') ![local](media/x.png) `code` $x^2$ costs $10 and $20 [^c1fn', cast(doc_id % 3 as string), '] H<sub>2</sub>O x<sup>2</sup> ',
-        CASE WHEN doc_id % 2 = 0 THEN concat('![](http://img.example/', cast(doc_id % 89 as string), '.jpg) **bold** *it*') ELSE '$$E = mc$$' END,
-        {d.nl}, {d.first_words('text', 5)}) AS md
+    SELECT doc_id, concat(translate({d.first_words('text', 12)}, '$*#[', ''), ' ![a [b] c](https://img.example/', cast(doc_id % 97 as string), '.png "t") and [link](https://x.example/', {p},
+        ') ![local](media/x.png) ', CASE WHEN doc_id % 2 = 1 THEN '$$E = mc$$ ' ELSE '' END, '`code` $x^2$ costs $10 and $20 [^c1fn', cast(doc_id % 3 as string), '] H<sub>2</sub>O x<sup>2</sup> ',
+        CASE WHEN doc_id % 2 = 0 THEN concat('![](http://img.example/', cast(doc_id % 89 as string), '.jpg) **bold** *it*') ELSE '' END,
+        {d.nl}, translate({d.first_words('text', 5)}, '$*#[', '')) AS md
     FROM documents"""
 
 
@@ -336,7 +336,7 @@ def _chapters(d):
            CASE WHEN length(source) = 4 THEN CASE doc_id % 4 WHEN 1 THEN 'youtube' WHEN 2 THEN 'podcast' ELSE 'blog' END
                 WHEN source IN ('src10', 'src11', 'src12') THEN 'youtube' ELSE 'blog' END AS source_type,
            concat('https://', CASE WHEN source = 'src15' THEN concat('h', cast(doc_id % 3 as string)) ELSE source END, '.example/', cast(doc_id as string)) AS source_url,
-           CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN ' ' ELSE concat(' Author <', cast(floor(doc_id / 40) % 4 as string), '> ') END AS author,
+           CASE WHEN doc_id % 6 = 0 THEN NULL WHEN doc_id % 6 = 1 THEN ' ' ELSE concat(' Author <', cast(cast(floor(doc_id / 40) as bigint) % 4 as string), '> ') END AS author,
            CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('2024-01-', cast(10 + doc_id % 19 as string)) END AS published,
            CASE WHEN doc_id % 50 = 0 THEN concat(' ', {d.nl}) ELSE concat('See note[^fn1] and[^fn2].', {d.nl}, {d.nl}, text) END AS content_md,
            CASE WHEN doc_id % 9 = 0 THEN NULL ELSE lang END AS language,
@@ -361,7 +361,7 @@ def _pairs(d):
 @fixture("fx_titles")
 def _titles(d):
     wrap = """CASE {k} % 8 WHEN 0 THEN concat('#', cast({k} as string), ' - ', t) WHEN 1 THEN concat(t, ' | Some Show')
-        WHEN 2 THEN upper(t) WHEN 3 THEN concat(upper(t), ' - Motivational speech') WHEN 4 THEN concat('Episode ', cast({k} % 50 as string), ': ', t, ' - YouTube')
+        WHEN 2 THEN upper(replace(t, 'ß', 'ss')) WHEN 3 THEN concat(upper(replace(t, 'ß', 'ss')), ' - Motivational speech') WHEN 4 THEN concat('Episode ', cast({k} % 50 as string), ': ', t, ' - YouTube')
         WHEN 5 THEN concat('  ', t, '  (', cast({k} as string), ') ') WHEN 6 THEN concat('NASA ', t) ELSE t END"""
     return f"""
     SELECT doc_id AS item_id, {wrap.format(k='doc_id')} AS title, cast(600 + doc_id % 400 as bigint) AS duration_s

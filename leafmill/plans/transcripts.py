@@ -206,7 +206,7 @@ PARAS = f"{TURNS}, {_fold('ordered', 'transcript_id', 'o.transcript_id')}"
 
 @query("pause_paragraphs", "fx_lines", f"{PARAS} SELECT transcript_id, para_no, speaker, text FROM paras")
 def pause_paragraphs(t):
-    return S.pause_paragraphs(t.fx_lines)
+    return S.pause_paragraphs(t.fx_lines).drop("opens")
 
 
 @query("fixed_line_groups", "fx_lines", f"""{SPOKEN},
@@ -296,7 +296,7 @@ def routed_lines(t):
         FROM swalk w JOIN sents s ON s.transcript_id = w.transcript_id AND s.chapter_no = w.chapter_no AND s.u.i = w.i + 1)
     SELECT * FROM paused UNION ALL SELECT * FROM fixed
     UNION ALL SELECT transcript_id, chapter_no, cast(para AS bigint), 'sentences', string_agg(t, ' ' ORDER BY i) FROM swalk GROUP BY ALL
-    UNION ALL SELECT s.transcript_id, s.chapter_no, -1, 'heading', '## ' || regexp_replace(title, '<([A-Za-z/!?])', chr(92) || '<' || '\1', 'g') FROM marks m JOIN (SELECT DISTINCT transcript_id, chapter_no FROM spoken) s ON s.transcript_id = m.transcript_id AND s.chapter_no = m.mark_no""")
+    UNION ALL SELECT s.transcript_id, s.chapter_no, -1, 'heading', '## ' || {D.escape_tags('title')} FROM marks m JOIN (SELECT DISTINCT transcript_id, chapter_no FROM spoken) s ON s.transcript_id = m.transcript_id AND s.chapter_no = m.mark_no""")
 def transcript_routing(t):
     marks = C.chapter_marks_from_starts(t.fx_chapter_marks)
     return S.transcript_paragraphs(routed_lines(t), marks, speaker_names(t), F.lit("Speaker"))
