@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from leafmill.plans import books, jobs, search, transcripts  # noqa: F401
+from leafmill.plans import audit, books, jobs, search, sources, transcripts  # noqa: F401
 from leafmill.plans.registry import ORACLES, QUERIES  # noqa: F401

@@ -488,6 +488,39 @@ def _payloads(d):
     FROM fx_segments"""
 
 
+@fixture("fx_feed_lines")
+def _feed_lines(d):
+    if d.name == "spark":
+        return f"SELECT doc_id, cast(p as bigint) AS pos, w AS line FROM documents LATERAL VIEW posexplode({d.lines('text')}) AS p, w"
+    return f"SELECT doc_id, cast(s.p - 1 as bigint) AS pos, s.w AS line FROM (SELECT doc_id, unnest(list_transform({d.lines('text')}, lambda x, i: {{'w': x, 'p': i}})) AS s FROM documents)"
+
+
+@fixture("fx_feeds")
+def _feeds(d):
+    item = d.map_lines(
+        d.lines("text"),
+        "concat('<item><title>Episode ', cast({i} as string), ': part ', cast(doc_id as string), '</title><link> https://f.example/', cast(doc_id as string), '/', cast({i} as string), ' </link>', "
+        "CASE WHEN {i} % 3 = 0 THEN '' ELSE concat('<enclosure url=\"https://track.example/r/cdn.example/Ep-', cast(doc_id as string), '-', cast({i} as string), '.mp3?u=1\" length=\"1\" type=\"', CASE WHEN {i} % 3 = 1 THEN 'audio/mpeg' ELSE 'video/mp4' END, '\"/>') END, "
+        "'<pubDate>Tue, 0', cast(1 + {i} % 9 as string), ' Jan 2024 10:00:0', cast({i} % 10 as string), CASE WHEN {i} % 2 = 0 THEN ' GMT' ELSE ' +0200' END, '</pubDate><itunes:duration>', cast({i} % 50 as string), ':30</itunes:duration><description>', "
+        "XML({x}), CASE WHEN {i} % 4 = 1 THEN concat('&lt;p&gt;&lt;a href=\"https://f.example/', cast(doc_id as string), '/', cast({i} as string), '/\"&gt;Read more&lt;/a&gt;&lt;/p&gt;') ELSE '' END, '</description>', "
+        "'<podcast:transcript url=\"https://t.example/', cast({i} as string), '.srt\" type=\"application/srt\"/><podcast:transcript url=\"https://t.example/', cast({i} as string), '.json\" type=\"application/json\" language=\"fr-FR\"/><podcast:transcript url=\"https://t.example/x\" type=\"text/odd\"/></item>')",
+    )
+    item = item.replace("XML(x)", "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')")
+    return f"""
+    SELECT doc_id AS feed_id, concat('<rss xmlns:itunes="i" xmlns:podcast="p"><channel><title>Feed ', cast(doc_id as string), '</title><language>en-GB</language><generator>',
+        CASE WHEN doc_id % 2 = 0 THEN 'Substack' ELSE 'Other' END, '</generator>', {d.join_lines(item, "''")}, '</channel></rss>') AS xml
+    FROM documents"""
+
+
+@fixture("fx_wanted", "fx_feed_lines")
+def _wanted(d):
+    return """
+    SELECT doc_id AS feed_id, pos AS wanted_id, CASE WHEN pos % 3 = 0 THEN concat('https://other.example/none-', cast(pos as string), '.mp3')
+             ELSE concat('https://CDN.example/ep-', cast(doc_id as string), '-', cast(pos as string), '.mp3') END AS audio_url,
+           CASE WHEN pos % 6 = 0 THEN 'No such title' ELSE concat('episode ', cast(pos as string), ' - Part ', cast(doc_id as string), '!') END AS title
+    FROM fx_feed_lines"""
+
+
 def _inline_js(d, text: str) -> str:
     out, at = "", 0
     while (start := text.find("JS(", at)) >= 0:
