@@ -521,6 +521,33 @@ def _wanted(d):
     FROM fx_feed_lines"""
 
 
+@fixture("fx_rich_pages")
+def _rich_pages(d):
+    """Pages with everything the given ones lack: headline and prose links, tables, figures, notes, icons, feeds."""
+    p = "cast(doc_id as string)"
+    x = "replace(replace(replace(x, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    line = d.map_lines(
+        d.lines("text"),
+        "CASE {i} % 6 WHEN 0 THEN concat('<h2><a href=\"/posts/line-number-', cast({i} as string), '#top\">', " + x.replace("x,", "{x},", 1) + ", '</a></h2>') "
+        "WHEN 1 THEN concat('<p>', " + x.replace("x,", "{x},", 1) + ", ' see <a href=\"/2024/mention-', cast({i} as string), '\">mention here</a><sup><a href=\"#n', cast({i} as string), '\">', cast({i} % 1000 as string), '</a></sup></p>') "
+        "WHEN 2 THEN concat('<table><caption>T', cast({i} as string), '</caption><tr><th colspan=\"3\">Over</th></tr><tr><th>a</th><th colspan=\"2\">b</th></tr><tr><td rowspan=\"2\">', cast({i} as string), '</td><td>x|y</td><td>z<sup>[1]</sup></td></tr><tr><td>w</td></tr></table>') "
+        "WHEN 3 THEN concat('<figure><a href=\"/img/', cast({i} as string), '.png\"><img src=\"/img/', cast({i} as string), '.png\" alt=\"alt\"></a><figcaption>Caption ', cast({i} as string), '</figcaption></figure><img src=\"https://s', " + p + ", '.example/img/', cast({i} as string), '.png\"><img src=\"dot.gif\" width=\"1\">') "
+        "WHEN 4 THEN '<ul><li>one <b>bold</b></li><li>two<ul><li>nested</li></ul></li></ul>' "
+        "ELSE concat('<pre><code>code ', cast({i} as string), '</code></pre><table><tr><td>layout</td></tr></table>') END",
+    )
+    note = d.map_lines(d.lines("text"), "CASE WHEN {i} % 6 = 1 THEN concat('<li id=\"n', cast({i} as string), '\">Note ', cast({i} as string), '. <a href=\"#back\" class=\"backref\">back</a></li>') ELSE '' END")
+    return f"""
+    SELECT doc_id AS page_id, concat('https://s', {p}, '.example/', CASE WHEN doc_id % 2 = 0 THEN 'fr/read/page-' ELSE 'start' END, CASE WHEN doc_id % 2 = 0 THEN {p} ELSE '' END) AS url,
+        concat('<!DOCTYPE html><html lang="', lang, '-XX"><head><title>Story ', {p}, ' part', CASE doc_id % 3 WHEN 0 THEN ' | Site Name' WHEN 1 THEN ' (Site Name)' ELSE '' END, '</title>',
+        CASE WHEN doc_id % 4 = 1 THEN '' ELSE '<meta property="og:site_name" content=" Site Name ">' END, '<meta name="author" content="Writer ', {p}, '"><meta property="article:published_time" content="2024-02-1', cast(doc_id % 10 as string), '">',
+        '<link rel="alternate" type="application/rss+xml" href="/feed.xml"><link rel="alternate home" type="application/atom+xml" href="atom/', {p}, '.xml"><link rel="alternate" type="application/rss+xml" href="/Comments/feed"><link rel="alternate" hreflang="de" href="/de">',
+        '<link rel="icon" sizes="16x16 32x32" href="/i32.png"><link rel="apple-touch-icon" sizes="180x180" href="i180.png"><link rel="shortcut icon" href="https://c.example/plain.ico"></head>',
+        '<body><header><h1>Site Name</h1><a href="/posts/menu-entry-x">menu</a></header><nav><a href="/posts/nav-entry-y">nav</a></nav><main><section>', CASE WHEN doc_id % 5 = 0 THEN '<h1>Stay Connected</h1>' ELSE '' END, '<h2>Story ', {p}, ' part</h2>', {d.join_lines(line, "''")},
+        '</section><section><h2>Notes</h2><ol>', {d.join_lines(note, "''")}, '</ol></section><section><h2>After</h2><p>tail text</p></section></main>', CASE WHEN doc_id % 8 = 3 THEN '<div class="paywall" id="x">pay</div>' WHEN doc_id % 8 = 5 THEN '<script type="application/ld+json">{{"isAccessibleForFree": "False"}}</script>' ELSE '' END,
+        '<footer><a href="/posts/foot-entry-z">foot</a></footer></body></html>') AS html
+    FROM documents"""
+
+
 def _inline_js(d, text: str) -> str:
     out, at = "", 0
     while (start := text.find("JS(", at)) >= 0:
@@ -612,3 +639,4 @@ def oracle(fixtures: str, body: str) -> str:
     if body.upper().startswith(("SELECT", "(")):
         return (f"WITH {', '.join(ctes)} {body}" if ctes else body)
     return "WITH RECURSIVE " + ", ".join([*ctes, body])
+

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from leafmill.plans.fixtures import Inputs, oracle
+from leafmill.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +15,11 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, fixtures: str = "", sql: str | None = None):
     def register(build: Callable[[Inputs], DataFrame]):
-        QUERIES[name] = lambda spark, folder: build(Inputs(spark, folder))
+        def run(spark: SparkSession, folder: str) -> DataFrame:
+            ship(spark)
+            return build(Inputs(spark, folder))
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = oracle(fixtures, sql)
         return build

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +26,15 @@ def local_session(cpus: int | str = 8, memory: str = "4g") -> SparkSession:
     )
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application: Python steps import it there."""
+    context = spark.sparkContext
+    if getattr(context, "_leafmill_shipped", False):
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="leafmill-")
+    archive = shutil.make_archive(f"{folder}/leafmill", "zip", root_dir=package.parent, base_dir=package.name)
+    context.addPyFile(archive)
+    context._leafmill_shipped = True
