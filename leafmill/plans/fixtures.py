@@ -548,6 +548,23 @@ def _rich_pages(d):
     FROM documents"""
 
 
+@fixture("fx_provider_payloads", "fx_hits")
+def _provider_payloads(d):
+    j = d.js
+    p = "cast(pos as string)"
+    return f"""
+    SELECT query_id, pos AS payload_id, CASE pos % 6 WHEN 0 THEN 'exa' WHEN 1 THEN 'tinyfish' WHEN 2 THEN 'marginalia' WHEN 3 THEN 'podcast' WHEN 4 THEN 'youtube_flat' ELSE 'youtube_paid' END AS vendor,
+        CASE pos % 6
+        WHEN 0 THEN concat('{{"results":[{{"url":', {j('url')}, ',"title":" ","highlights":[" one ","",null,', {j('title')}, '],"publishedDate":"2024-01-02"}},{{"title":"no url"}}]}}')
+        WHEN 1 THEN concat('{{"results":[{{"title":"no url","url":""}},{{"url":', {j('url')}, ',"title":', {j('title')}, ',"snippet":" s ","date":null}}]}}')
+        WHEN 2 THEN concat('{{"results":[{{"url":', {j('url')}, ',"title":', {j('title')}, ',"description":', {j('title')}, '}}]}}')
+        WHEN 3 THEN concat('{{"results":[{{"episodeUrl":', {j('url')}, ',"trackId":', {p}, ',"trackName":', {j('title')}, ',"trackTimeMillis":61999,"artworkUrl100":"a100","artworkUrl60":"a60","collectionName":"Show","feedUrl":"f","releaseDate":"2024-05-01T00:00:00Z","description":', {j('title')}, ',"genres":[{{"name":"Arts"}}]}},{{"trackId":5}}]}}')
+        WHEN 4 THEN concat('{{"entries":[{{"id":"v', {p}, '","title":', {j('title')}, ',"duration":12.9,"uploader":"Up","thumbnails":[{{"url":"small"}},{{"url":"big"}}]}},{{"id":"w', {p}, '"}}]}}')
+        ELSE concat('{{"videos":[{{"id":"v', {p}, '","title":', {j('title')}, ',"lengthSeconds":77,"channel":{{"title":"Ch"}},"description":"","publishedTime":"2024-06-01"}},{{"title":"no id"}}]}}') END AS body,
+        title, url, CASE WHEN query_id % 3 = 2 AND pos % 6 = 3 THEN 'timed out' ELSE NULL END AS error
+    FROM fx_hits"""
+
+
 def _inline_js(d, text: str) -> str:
     out, at = "", 0
     while (start := text.find("JS(", at)) >= 0:
