@@ -18,34 +18,58 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def _step(size, length, soft, hard, allowed, low, high):
-    """One item for an array of open sizes: the new sizes and where a group was closed."""
-    closes = (size > 0) & allowed & (hard | ((size >= low) & (soft | (size >= high))))
-    return np.where(closes, 0, size) + length, closes
-
-
 def block_function(lengths, softs, hards, allowed, low: int, high: int):
-    """(first sizes of each step, size after the block, groups closed, adds the entering size)."""
-    size = np.arange(high + 1)
-    owner = np.arange(high + 1)
-    closed = np.zeros(high + 1, dtype=np.int64)
-    moved = np.zeros(high + 1, dtype=bool)
-    for length, soft, hard, may in zip(lengths, softs, hards, allowed):
-        size, closes = _step(size, length, soft, hard, may, low, high)
-        closed += closes
-        moved |= closes
-        if len(size) > 1 and closes.any():
-            # Entering sizes that closed at the same item behave alike from here on.
-            key = np.stack([np.where(moved, size, -1 - np.arange(len(size))), closed, moved])
-            _, first, back = np.unique(key, axis=1, return_index=True, return_inverse=True)
-            owner = back.reshape(-1)[owner]
-            size, closed, moved = size[first], closed[first], moved[first]
-    size, closed, moved = size[owner], closed[owner], moved[owner]
-    after = np.where(moved, size, size - np.arange(high + 1))
-    change = np.flatnonzero(
-        np.r_[True, (after[1:] != after[:-1]) | (closed[1:] != closed[:-1]) | (moved[1:] != moved[:-1])]
-    )
-    return change, after[change], closed[change], ~moved[change]
+    """A block as steps of the size that is open when it starts.
+
+    Returns (first sizes of each step, size after the block, groups closed, whether the entering size
+    is still part of the size after). Sizes over ``high`` behave like ``high``.
+    """
+    count = len(lengths)
+
+    def closes(at: int, size: int) -> bool:
+        return size > 0 and allowed[at] and (hards[at] or (size >= low and (softs[at] or size >= high)))
+
+    # From an item that opens a group: where the next one opens, or the size left at the end.
+    known: dict[int, tuple[int, int]] = {}
+
+    def following(at: int) -> tuple[int, int]:
+        size, k = 0, at
+        while k < count and not closes(k, size):
+            size += int(lengths[k])
+            k += 1
+        return k, size
+
+    def outcome(at: int) -> tuple[int, int]:
+        path, k = [], at
+        while k < count and k not in known:
+            nxt, size = following(k)
+            path.append((k, nxt, size))
+            k = nxt
+        for start, nxt, size in reversed(path):
+            known[start] = (size, 0) if nxt >= count else (known[nxt][0], known[nxt][1] + 1)
+        return known[at]
+
+    # The larger the entering size, the earlier its group closes.
+    opens: list[tuple[int, int]] = []
+    smallest, before = high + 1, 0
+    for at in range(count):
+        if allowed[at]:
+            needed = 1 if hards[at] else max(1, (low if softs[at] else max(low, high)) - before)
+            if needed < smallest:
+                opens.append((needed, at))
+                smallest = needed
+            if smallest == 1:
+                break
+        before += int(lengths[at])
+    total = int(sum(int(n) for n in lengths))
+    after, closed = outcome(0)
+    steps = [(0, after, closed, False)]
+    if smallest > 1:
+        steps.append((1, total, 0, True))
+    for size, at in reversed(opens):
+        after, closed = outcome(at)
+        steps.append((size, after, closed + 1, False))
+    return tuple(zip(*steps))
 
 
 def pack(

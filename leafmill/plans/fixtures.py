@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from leafmill.sources.tables import read_table
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -639,7 +641,7 @@ class Inputs:
             raise AttributeError(name)
         if name not in self._built:
             if name in TABLES:
-                self._built[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._built[name] = read_table(self.spark, self.folder, name)
             else:
                 needs, build = FIXTURES[name]
                 for source in (*TABLES, *needs):
