@@ -53,7 +53,7 @@ def linked_titles(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)
     known = F.col("_d1").isNotNull() & F.col("_d2").isNotNull() & (F.col("_d1") != 0) & (F.col("_d2") != 0)
     lengths = F.struct(F.length("_a").alias("a"), F.length("_b").alias("b"))
-    bound = 2 * F.least(lengths["a"], lengths["b"]) / (lengths["a"] + lengths["b"])
+    bound = F.try_divide(2 * F.least(lengths["a"], lengths["b"]), lengths["a"] + lengths["b"])
     able = pairs.filter(
         (word_count("_a") >= MIN_TITLE_WORDS) & (word_count("_b") >= MIN_TITLE_WORDS)
         & (numbers(F.col("_a")) == numbers(F.col("_b"))) & (bound >= MIN_TITLE_RATIO)

@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
@@ -160,31 +160,41 @@ def with_group_flag(df: DataFrame, keys: Sequence[str], flag: Column, name: str)
 
 
 def islands(
-    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str
+    df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[Column], value: Column, name: str,
+    cut: Callable[[Column, Column], Column] | None = None,
 ) -> DataFrame:
-    """The number (from 0) of each row's run of equal consecutive values; null equals null.
+    """The number (from 0) of each row's run of consecutive rows.
 
-    One pass like ``running``: changes are counted inside each block, and the block table says
-    whether a block opens with another value than the last one ended on.
+    A run ends where ``cut(previous value, value)`` holds; by default where the values differ, null
+    being a value like any other. With a ``cut`` of its own, rows with a null value belong to the run
+    before them. One pass like ``running``: cuts are counted inside each block, and the block table
+    says whether a block opens with one.
     """
-    rows = df.withColumns({"_block": block, "_v": F.struct(value.alias("v"))})
+    if cut is None:
+        value, cut = F.struct(value.alias("v")), lambda before, now: ~before["v"].eqNullSafe(now["v"])
+    rows = df.withColumns({"_block": block, "_v": value})
     group = [*keys, "_block"]
+    now = F.col("_v")
     inside = Window.partitionBy(*group).orderBy(*order)
-    changed = ~F.lag("_v").over(inside).eqNullSafe(F.col("_v")) & F.lag("_v").over(inside).isNotNull()
-    flagged = rows.withColumn("_changed", changed.cast("bigint"))
-    local = flagged.withColumn("_local", F.sum("_changed").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    marked = rows.withColumn("_before", F.last("_v", ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, -1)))
+    flag = now.isNotNull() & F.col("_before").isNotNull() & F.coalesce(cut(F.col("_before"), now), F.lit(False))
+    flagged = marked.withColumn("_cut", flag.cast("bigint"))
+    local = flagged.withColumn("_local", F.sum("_cut").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    # A block opens with its first valued row: rows before that one stay in the run that came in.
+    seen = F.count("_v").over(inside.rowsBetween(Window.unboundedPreceding, 0)) > 0
+    local = local.withColumn("_seen", seen)
+    spot = F.when(now.isNotNull(), F.struct(*order))
     totals = flagged.groupBy(*group).agg(
-        F.min_by("_v", F.struct(*order)).alias("_head"), F.max_by("_v", F.struct(*order)).alias("_tail"),
-        F.sum("_changed").alias("_changes"),
+        F.min_by("_v", spot).alias("_head"), F.max_by("_v", spot).alias("_tail"), F.sum("_cut").alias("_cuts")
     )
     across = Window.partitionBy(*keys).orderBy("_block")
-    opens = F.lag("_tail").over(across).isNotNull() & ~F.lag("_tail").over(across).eqNullSafe(F.col("_head"))
-    steps = totals.withColumn("_opens", opens.cast("bigint"))
-    before = F.coalesce(F.sum("_changes").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    carry = steps.select(
-        *[F.col(g).alias(f"_c_{g}") for g in group],
-        (before + F.sum("_opens").over(across.rowsBetween(Window.unboundedPreceding, 0))).alias("_carry"),
-    )
+    tail = F.last("_tail", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1))
+    steps = totals.withColumn("_came", tail)
+    opens = F.col("_came").isNotNull() & F.col("_head").isNotNull() & F.coalesce(cut(F.col("_came"), F.col("_head")), F.lit(False))
+    counted = steps.withColumn("_opens", opens.cast("bigint"))
+    before = F.coalesce(F.sum(F.col("_cuts") + F.col("_opens")).over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carry = counted.select(*[F.col(g).alias(f"_c_{g}") for g in group], before.alias("_carry"), "_opens")
     same = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"_c_{g}")) for g in group])
     joined = local.join(carry, same, "left")
-    return joined.select(*df.columns, (F.col("_local") + F.col("_carry")).alias(name))
+    number = F.col("_local") + F.col("_carry") + F.when(F.col("_seen"), F.col("_opens")).otherwise(0)
+    return joined.select(*df.columns, number.alias(name))

@@ -9,10 +9,10 @@ order; then every block is packed knowing its true start.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -72,65 +72,104 @@ def block_function(lengths, softs, hards, allowed, low: int, high: int):
     return tuple(zip(*steps))
 
 
+def _table(columns: list[tuple[str, pa.DataType, list]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v, t) for _, t, v in columns], [n for n, _, _ in columns])
+
+
 def pack(
     df: DataFrame, keys: Sequence[str], block: Column, order: Sequence[str], *,
     length: Column, soft: Column, hard: Column, allowed: Column, low: int, high: int, name: str = "group_no",
 ) -> DataFrame:
-    """``df`` with the number (from 0) of each row's group within its key."""
+    """``df`` with the number (from 0) of each row's group within its key.
+
+    Each step reads its rows in order as they come, sorted by Spark: one block, or nothing but a size
+    and a number, is held at a time.
+    """
     items = df.withColumns({
         "_block": block, "_length": length.cast("bigint"), "_soft": F.coalesce(soft, F.lit(False)),
         "_hard": F.coalesce(hard, F.lit(False)), "_allowed": F.coalesce(allowed, F.lit(False)),
     })
     group = [*keys, "_block"]
     fields = {f.name: f for f in items.schema.fields}
-    function_schema = T.StructType(
-        [fields[c] for c in group]
-        + [T.StructField(c, T.ArrayType(T.LongType())) for c in ("_from", "_after", "_closed", "_adds")]
-    )
-
+    steps = T.ArrayType(T.LongType())
+    function_schema = T.StructType([fields[c] for c in group] + [
+        T.StructField("_from", steps), T.StructField("_after", steps), T.StructField("_closed", steps),
+        T.StructField("_adds", T.ArrayType(T.BooleanType())),
+    ])
     measures = ["_length", "_soft", "_hard", "_allowed"]
-
-    def summarise(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order))
-        steps = block_function(*[rows[c].to_numpy() for c in measures], low, high)
-        return pd.DataFrame([[*key, *[[int(x) for x in s] for s in steps]]], columns=function_schema.names)
-
-    slim = items.select(*group, *order, *measures)
-    functions = slim.groupBy(*group).applyInPandas(summarise, function_schema)
+    width = len(group)
+
+    def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types, current, held = None, None, [[], [], [], []]
+
+        def summed() -> pa.RecordBatch:
+            values = [*current, *[list(x) for x in block_function(*held, low, high)]]
+            kinds = [*types, pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_())]
+            return _table([(n, t, [v]) for n, t, v in zip(function_schema.names, kinds, values)])
+
+        out = []
+        for batch in batches:
+            types = batch.schema.types[:width]
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:width] != current:
+                    if current is not None:
+                        out.append(summed())
+                    current, held = row[:width], [[], [], [], []]
+                for values, value in zip(held, row[width:]):
+                    values.append(value)
+            if out:
+                yield pa.Table.from_batches(out).combine_chunks().to_batches()[0]
+                out = []
+        if current is not None:
+            yield summed()
+
+    slim = items.repartition(*group).sortWithinPartitions(*group, *order).select(*group, *measures)
+    functions = slim.mapInArrow(summarise, function_schema)
 
     start_schema = T.StructType(
         [fields[c] for c in group] + [T.StructField("_size", T.LongType()), T.StructField("_number", T.LongType())]
     )
 
-    def chain(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("_block")
-        size, number, starts = 0, 0, []
-        for step in rows.itertuples(index=False):
-            where = dict(zip(function_schema.names, step))
-            starts.append([*key, where["_block"], size, number])
-            at = int(np.searchsorted(np.asarray(where["_from"]), min(size, high), side="right")) - 1
-            after = int(where["_after"][at])
-            size, number = (after + size if where["_adds"][at] else after), number + int(where["_closed"][at])
-        return pd.DataFrame(starts, columns=start_schema.names)
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, size, number = None, 0, 0
+        for batch in batches:
+            sizes, numbers = [], []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[: width - 1] != current:
+                    current, size, number = row[: width - 1], 0, 0
+                sizes.append(size)
+                numbers.append(number)
+                first, after, closed, adds = row[width:]
+                at = bisect_right(first, min(size, high)) - 1
+                size, number = (after[at] + size if adds[at] else after[at]), number + closed[at]
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:width], pa.array(sizes, pa.int64()), pa.array(numbers, pa.int64())], start_schema.names
+            )
 
     # One small row per block: the chain of a key stays far smaller than the key.
-    starts = functions.groupBy(*keys).applyInPandas(chain, start_schema)
+    starts = functions.repartition(*keys).sortWithinPartitions(*group).mapInArrow(chain, start_schema)
     located = items.join(
         starts.select(*[F.col(c).alias(f"_s_{c}") for c in group], "_size", "_number"),
         [F.col(c).eqNullSafe(F.col(f"_s_{c}")) for c in group],
     ).select(*items.columns, "_size", "_number")
 
-    columns = df.columns
+    kept = len(df.columns)
     out_schema = T.StructType([*df.schema.fields, T.StructField(name, T.LongType())])
-
-    def assign(key, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(list(order))
-        size, number, numbers = int(rows["_size"].iloc[0]), int(rows["_number"].iloc[0]), []
-        for item, is_soft, is_hard, may in zip(*[rows[c] for c in measures]):
-            if size > 0 and may and (is_hard or (size >= low and (is_soft or size >= high))):
-                size, number = 0, number + 1
-            size += int(item)
-            numbers.append(number)
-        return rows[columns].assign(**{name: numbers})
-
-    return located.groupBy(*group).applyInPandas(assign, out_schema)
+    needed = [*group, *measures, "_size", "_number"]
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, size, number = None, 0, 0
+        for batch in batches:
+            groups = []
+            for row in zip(*[batch.column(c).to_pylist() for c in needed]):
+                if row[:width] != current:
+                    current, size, number = row[:width], row[-2], row[-1]
+                item, is_soft, is_hard, may = row[width : width + 4]
+                if size > 0 and may and (is_hard or (size >= low and (is_soft or size >= high))):
+                    size, number = 0, number + 1
+                size += item
+                groups.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:kept], pa.array(groups, pa.int64())], out_schema.names)
+
+    ordered = located.repartition(*group).sortWithinPartitions(*group, *order)
+    return ordered.mapInArrow(assign, out_schema)

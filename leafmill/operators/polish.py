@@ -77,11 +77,11 @@ def guard_columns(src: Column, out: Column, role: Column) -> dict[str, Column]:
 def with_verdicts(chunks: DataFrame) -> DataFrame:
     """``accepted`` for rows of (role, src, out): whether the rewrite keeps the words its role must keep."""
     measured = chunks.withColumns(guard_columns(F.col("src"), F.col("out"), F.col("role")))
-    ratio = F.size("_o") / F.size("_s")
+    ratio = F.try_divide(F.size("_o"), F.size("_s"))
     keeps = F.col("role").isin(*[r for r, g in GUARDS.items() if g in ("preserve", "sections")])
     near = ratio.between(0.95, 1.05)
     # Twice the shorter length over the sum is an upper bound of the ratio.
-    bound = 2 * F.least(F.size("_s"), F.size("_o")) / (F.size("_s") + F.size("_o"))
+    bound = F.try_divide(2 * F.least(F.size("_s"), F.size("_o")), F.size("_s") + F.size("_o"))
     undecided = keeps & (F.size("_s") > 0) & near & (bound >= 0.92)
     exact = similarity(F.when(undecided, F.col("_s")), F.when(undecided, F.col("_o")))
     kept = F.when(undecided, exact >= 0.92).otherwise(False)

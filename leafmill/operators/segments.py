@@ -29,7 +29,7 @@ def marks_of(text: Column | str) -> Column:
 
 
 def punctuated(words: Column, marks: Column) -> Column:
-    return (words >= 20) & (marks / words >= 0.02)
+    return (words >= 20) & (F.try_divide(marks, words) >= 0.02)
 
 
 def shape_flags(segments: DataFrame, keys: Sequence[str] = ("transcript_id",)) -> DataFrame:

@@ -163,18 +163,18 @@ def encyclopedia_back_matter_cut(t):
 
 @query("page_to_markdown")
 def page_to_markdown(t):
-    return M.to_markdown(given(t))
+    return M.to_markdown(t.pages)
 
 
 @query("rich_page_to_markdown")
 def rich_page_to_markdown(t):
-    return M.to_markdown(rich(t))
+    return M.to_markdown(t.fx_rich_pages)
 
 
 def records(t):
     nodes = rich(t)
     pages = t.fx_rich_pages.select("page_id", "html").join(nodes, "page_id")
-    return P.article_records(pages, M.to_markdown(nodes))
+    return P.article_records(pages, M.to_markdown(t.fx_rich_pages))
 
 
 @query("article_record", "fx_docs", """

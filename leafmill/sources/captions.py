@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, collapse, null_if_empty, rstrip, strip
-from leafmill.operators.ordered import Running, block_of, running
+from leafmill.operators.ordered import Running, block_of, islands, running
 
 EVENTS = "events ARRAY<STRUCT<tStartMs: DOUBLE, dDurationMs: DOUBLE, segs: ARRAY<STRUCT<utf8: STRING>>>>"
 ROWS = "rows ARRAY<STRUCT<text: STRING, startMs: BIGINT, endMs: BIGINT>>"
@@ -69,9 +69,9 @@ def episode_segments(payloads: DataFrame, keep=("payload_id",)) -> DataFrame:
 def stamp_seconds(stamp: Column) -> Column:
     """``[H:]MM:SS,mmm`` in seconds; short milliseconds are padded on the right."""
     part = [F.regexp_extract(stamp, STAMP, i) for i in (1, 2, 3, 4)]
-    hours = F.coalesce(null_if_empty(part[0]).cast("bigint"), F.lit(0))
-    whole = hours * 3600 + part[1].cast("bigint") * 60 + part[2].cast("bigint")
-    return F.when(stamp.rlike(STAMP), whole + F.rpad(part[3], 3, "0").cast("bigint") / 1000)
+    hours = F.coalesce(part[0].try_cast("bigint"), F.lit(0))
+    whole = hours * 3600 + part[1].try_cast("bigint") * 60 + part[2].try_cast("bigint")
+    return F.when(stamp.rlike(STAMP), whole + F.rpad(part[3], 3, "0").try_cast("bigint") / 1000)
 
 
 def cue_segments(files: DataFrame, keep=("file_id",)) -> DataFrame:
@@ -166,15 +166,9 @@ def word_segments(words: DataFrame, key: str, block_rows: int = 4096) -> DataFra
     spoken = words.filter("kind <> 'audio_event'").withColumn("_word", F.col("kind") == "word")
     is_word = F.col("_word")
     mark = F.struct(F.col("speaker_id").alias("speaker"), F.col("text").rlike(SENTENCE_END).alias("ended"))
-    before = running(
-        spoken, [key], [block_of("pos", block_rows)], [F.col("pos")],
-        {"_prev": Running("last", F.when(is_word, mark), False)},
-    )
-    cut = is_word & F.col("_prev").isNotNull() & (
-        F.col("_prev.ended") | ~F.col("_prev.speaker").eqNullSafe(F.col("speaker_id"))
-    )
-    numbered = running(
-        before, [key], [block_of("pos", block_rows)], [F.col("pos")], {"seg_no": Running("sum", cut.cast("bigint"))}
+    numbered = islands(
+        spoken, [key], block_of("pos", block_rows), [F.col("pos")], F.when(is_word, mark), "seg_no",
+        cut=lambda before, now: before["ended"] | ~before["speaker"].eqNullSafe(now["speaker"]),
     )
     ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t"))))
     out = numbered.groupBy(key, "seg_no").agg(

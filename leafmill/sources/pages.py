@@ -30,64 +30,86 @@ _NODE = pa.struct([
 
 
 class _Nodes(HTMLParser):
-    """Pre-order rows. An open element ends with its parent; an end tag nobody opened is ignored."""
+    """Pre-order node columns of one batch of pages.
+
+    An open element ends with its parent; an end tag nobody opened is ignored.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.rows: list[dict] = []
-        self.open: list[dict] = []
-        self.items: list[int] = []
-        self.path = "/"
+        self.no: list[int] = []
+        self.last: list[int] = []
+        self.parent: list[int] = []
+        self.item: list[int] = []
+        self.tag: list[str] = []
+        self.path: list[str] = []
+        self.text: list[str | None] = []
+        self.names: list[str] = []
+        self.values: list[str] = []
+        self.attr_ends = [0]
+        self.page_ends = [0]
+
+    def add_page(self, html: str) -> None:
+        self.reset()
+        self.base = len(self.no)
+        self.open: list[tuple[str, int, str]] = []
+        self.counters: list[int] = []
+        self.here = "/"
+        self.feed(html)
+        self.close()
+        while self.open:
+            self._close()
+        self.page_ends.append(len(self.no))
 
-    def _add(self, tag: str, attrs: dict, text: str | None) -> dict:
-        number = len(self.rows)
+    def _add(self, tag: str, attrs: dict, text: str | None) -> int:
+        at = len(self.no)
         item = 0
-        if tag == "li" and self.items:
-            self.items[-1] += 1
-            item = self.items[-1]
-        row = {
-            "no": number, "last": number, "parent": self.open[-1]["no"] if self.open else -1, "item": item, "tag": tag,
-            "path": self.path, "attrs": attrs, "text": text,
-        }
-        self.rows.append(row)
-        return row
+        if tag == "li" and self.counters:
+            self.counters[-1] += 1
+            item = self.counters[-1]
+        self.no.append(at - self.base)
+        self.last.append(at - self.base)
+        self.parent.append(self.open[-1][1] - self.base if self.open else -1)
+        self.item.append(item)
+        self.tag.append(tag)
+        self.path.append(self.here)
+        self.text.append(text)
+        self.names += attrs.keys()
+        self.values += attrs.values()
+        self.attr_ends.append(len(self.names))
+        return at
 
     def _close(self) -> None:
-        row = self.open.pop()
-        row["last"] = len(self.rows) - 1
-        self.path = row["path"]
-        if row["tag"] in ("ol", "ul"):
-            self.items.pop()
+        tag, at, outside = self.open.pop()
+        self.last[at] = len(self.no) - 1 - self.base
+        self.here = outside
+        if tag in ("ol", "ul"):
+            self.counters.pop()
 
     def handle_starttag(self, tag, attrs):
-        row = self._add(tag, {k: v or "" for k, v in attrs}, None)
+        # As in a parsed tree, the last of equal attributes counts.
+        at = self._add(tag, {k: v or "" for k, v in attrs}, None)
         if tag not in VOID:
-            self.open.append(row)
-            self.path += tag + "/"
+            self.open.append((tag, at, self.here))
+            self.here += tag + "/"
             if tag in ("ol", "ul"):
-                self.items.append(0)
+                self.counters.append(0)
 
     def handle_endtag(self, tag):
-        if any(row["tag"] == tag for row in self.open):
-            while self.open[-1]["tag"] != tag:
+        if any(opened == tag for opened, _, _ in self.open):
+            while self.open[-1][0] != tag:
                 self._close()
             self._close()
 
     def handle_data(self, data):
-        inside = self.open[-1]["tag"] if self.open else ""
-        self._add("#raw" if inside in RAW else "#text", {}, data)
-
-    def finish(self) -> list[dict]:
-        self.close()
-        while self.open:
-            self._close()
-        return self.rows
-
+        self._add("#raw" if self.open and self.open[-1][0] in RAW else "#text", {}, data)
 
-def _parse(html: str) -> list[dict]:
-    parser = _Nodes()
-    parser.feed(html)
-    return parser.finish()
+    def array(self) -> pa.ListArray:
+        attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
+        small = [pa.array(v, pa.int32()) for v in (self.no, self.last, self.parent, self.item)]
+        words = [pa.array(v, pa.string()) for v in (self.tag, self.path)]
+        nodes = pa.StructArray.from_arrays([*small, *words, attrs, pa.array(self.text, pa.string())], fields=list(_NODE))
+        return pa.ListArray.from_arrays(pa.array(self.page_ends, pa.int32()), nodes)
 
 
 def with_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
@@ -100,13 +122,10 @@ def with_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
             # A few pages at a time: their nodes are several times the size of their text.
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                parsed = [_parse(html.as_py() or "") for html in part.column(2)]
-                rows = [{**r, "attrs": list(r["attrs"].items())} for page in parsed for r in page]
-                offsets = [0]
-                for page in parsed:
-                    offsets.append(offsets[-1] + len(page))
-                nodes = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(rows, _NODE))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes], [key, "url", "nodes"])
+                parser = _Nodes()
+                for html in part.column(2):
+                    parser.add_page(html.as_py() or "")
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), parser.array()], [key, "url", "nodes"])
 
     return slim.mapInArrow(run, f"{key} {kind}, url STRING, nodes ARRAY<{NODE}>")
 
