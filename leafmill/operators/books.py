@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafmill.functions import urls
 from leafmill.functions.text import blank, col, collapse, escape_tags, null_if_empty, strip
 from leafmill.operators.language import chrome, dominant_language
-from leafmill.operators.ordered import block_of, number_rows
+from leafmill.operators.ordered import block_of, number_rows, settle
 
 BOOK_LABEL = r"\[\^fn(\d+)\]"
 NOTE_TOKEN = r"⟦fn(\d+)⟧"
@@ -73,16 +73,19 @@ def book_parts(chapters: DataFrame, prefaces: DataFrame) -> DataFrame:
     Sections: 0 the index heading, 1 one index line per chapter, 2 the blank after it, 3 the preface,
     4 the chapters.
     """
-    usable = usable_chapters(chapters)
-    books = dominant_language(usable).withColumnRenamed("language", "book_language")
-    rows = usable.join(books, "book_id")
+    kept = chapters.filter(F.col("content_md").isNotNull() & ~blank("content_md"))
+    # Texts are read twice: once to measure them here, once to write them below.
+    slim = settle(kept.select("book_id", "chapter_no", "title", "source_url", "language", F.length("content_md").alias("_size")))
+    books = settle(dominant_language(slim, F.col("_size")).withColumnRenamed("language", "book_language"))
+    numbers = number_rows(slim, ["book_id"], [block_of("chapter_no")], [F.col("chapter_no")], "number")
+    rows = kept.join(numbers.select("book_id", "chapter_no", "number"), ["book_id", "chapter_no"]).join(books, "book_id")
     zero = F.lit(0).cast("bigint")
 
     def front(label: str) -> Column:
         return F.concat(F.lit("# "), chrome("book_language", label), F.lit(" {.front-matter}\n"))
 
     head = books.select("book_id", F.lit(0).alias("section"), zero.alias("number"), front("sources").alias("text"))
-    index = rows.select(
+    index = numbers.select(
         "book_id", F.lit(1).alias("section"), "number",
         F.concat(F.lit("- ["), escape_tags("title"), F.lit("]("), "source_url", F.lit(")")).alias("text"),
     )

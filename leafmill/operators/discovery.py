@@ -11,6 +11,7 @@ from leafmill.operators import jobs as J
 from leafmill.operators.language import detect_language, normalize_language
 from leafmill.operators.links import looks_like_article, url_kind, wiki_title
 from leafmill.operators.markdown import demote_headings, strip_leading_title
+from leafmill.operators.ordered import settle
 from leafmill.operators.titles import chapter_title
 
 MAX_ITEMS = 250
@@ -63,6 +64,7 @@ def expand_sources(
     candidates = itself.withColumn("strategy", F.col("strategy").cast("double"))
     for part in (from_feeds(as_feed, 1), article, from_feeds(named, 3), from_feeds(guessed, 4), linked):
         candidates = candidates.unionByName(part.withColumn("strategy", F.col("strategy").cast("double")))
+    candidates = settle(candidates)
     best = candidates.groupBy(*keys).agg(F.min("strategy").alias("strategy"))
     chosen = candidates.join(best, [*keys, "strategy"])
     # A source lists at most 250 items, so this window is bounded.

@@ -77,18 +77,15 @@ def detect_language(text: Column | str) -> Column:
     return let(let(found, vote), lambda best: F.when(best["hits"] >= MIN_HITS, best["language"]))
 
 
-def dominant_language(chapters: DataFrame) -> DataFrame:
+def dominant_language(chapters: DataFrame, size: Column | None = None) -> DataFrame:
     """Per book the language that carries the most text; the first seen wins a tie, English if none is known."""
-    weights = chapters.filter("language IS NOT NULL AND language <> ''").groupBy("book_id", "language").agg(
-        F.sum(F.length("content_md")).alias("_size"), F.min("chapter_no").alias("_first")
-    )
-    best = weights.groupBy("book_id").agg(
-        F.max_by("language", F.struct("_size", (-F.col("_first")).alias("first"))).alias("language")
-    )
-    books = chapters.select("book_id").distinct()
-    return books.join(best, "book_id", "left").select(
-        "book_id", F.coalesce("language", F.lit(FALLBACK)).alias("language")
+    size = F.length("content_md") if size is None else size
+    weights = chapters.groupBy("book_id", null_if_empty("language").alias("language")).agg(
+        F.sum(size).alias("_size"), F.min("chapter_no").alias("_first")
     )
+    known = F.when(F.col("language").isNotNull(), F.struct("_size", (-F.col("_first")).alias("first")))
+    best = weights.groupBy("book_id").agg(F.max_by("language", known).alias("language"))
+    return best.select("book_id", F.coalesce("language", F.lit(FALLBACK)).alias("language"))
 
 
 def chrome(language: Column | str, label: str) -> Column:

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, col, let, rstrip, strip
-from leafmill.operators.ordered import Running, block_of, running
 
 FENCE_LINE = r"(?m)^[^\S\n]*```[^\n]*$"
 HEADING_LEVEL = r"(?m)^(#{1,6})[^\S\n]"
@@ -107,20 +106,26 @@ def split_chapters(books: DataFrame, key: str = "book_id") -> DataFrame:
 
 def split_reader_chapters(books: DataFrame, key: str = "book_id") -> DataFrame:
     """Chapters as a reader shows them: attribution blocks dropped, the source link read from them."""
-    unix = books.withColumn("md", F.regexp_replace("md", r"\r\n?", "\n"))
-    sections = _h1_sections(unix, r"\n#[^\S\n]+", key)
     fence = r"(?m)^[^\S\n]*:::[^\n]*$"
-    pieces = F.split("_rest", fence, -1)
-    counted = sections.withColumns({"_pieces": pieces, "_fences": F.size(pieces) - 1})
-    # A block left open reaches into the next chapter.
-    opened = running(counted, [key], [block_of("section")], [F.col("section")], {"_open": Running("sum", F.col("_fences"), False)})
+    unix = F.regexp_replace(F.concat(F.lit("\n"), "md"), r"\r\n?", "\n")
+    parts = books.select(key, F.split(unix, r"\n#[^\S\n]+").alias("_parts"))
+    # A block left open reaches into the next chapter: fences are counted over the whole book.
+    fences = F.transform("_parts", lambda p: F.size(F.split(F.regexp_replace(p, r"^[^\n]*\n?", ""), fence, -1)) - 1)
+    before = F.aggregate(fences, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+    rows = parts.select(key, F.posexplode(F.arrays_zip(F.col("_parts").alias("part"), before.alias("open"))).alias("section", "_s")).filter(
+        (F.col("section") > 0) & F.col("_s.part").isNotNull()
+    )
+    sections = rows.withColumns({
+        "_head": F.regexp_extract("_s.part", r"^([^\n]*)", 1),
+        "_pieces": F.split(F.regexp_replace("_s.part", r"^[^\n]*\n?", ""), fence, -1), "_open": F.col("_s.open"),
+    })
     lines = lambda want: F.filter("_pieces", lambda p, i: (i + F.col("_open")) % 2 == want)
     text = F.array_join(F.transform(lines(0), lambda p, i: F.when(i > 0, F.regexp_replace(p, r"^\n", "")).otherwise(p)), "")
     source = F.regexp_extract(F.array_join(lines(1), "\n"), r"\]\((https?://[^)\s]+)\)", 1)
     attributed = F.col("_head").rlike(r"\{[^{}]*\}\s*$")
     title = heading_title(F.col("_head"))
     front = heading_attributes(F.col("_head")).contains(".front-matter") | (~attributed & title.isin("Sources", "Preface"))
-    return opened.filter(~front).select(
+    return sections.filter(~front).select(
         key, "section", title.alias("title"), strip(text).alias("body"), F.nullif(source, F.lit("")).alias("source")
     )
 

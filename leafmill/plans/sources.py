@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import linkage as L
 from leafmill.operators import tracks as T
+from leafmill.operators.ordered import settle
 from leafmill.plans import duck as D
 from leafmill.plans.registry import query
 from leafmill.sources import feeds as S
@@ -92,5 +93,5 @@ def track_pick(t):
     SELECT u.video_id, u.language, CASE WHEN o.original <> '' AND u.language = o.original THEN 'original' WHEN d.language IS NOT NULL THEN 'dubbed' WHEN o.original <> '' THEN 'translation' END AS relation, g = 0 AS is_default
     FROM u LEFT JOIN o USING (video_id) LEFT JOIN dubs d ON d.video_id = u.video_id AND d.language = u.language QUALIFY count(*) OVER (PARTITION BY u.video_id) > 1""")
 def track_options(t):
-    rows = T.with_original(t.fx_tracks, t.fx_audio_tracks)
+    rows = settle(T.with_original(t.fx_tracks, t.fx_audio_tracks))
     return T.track_options(rows, T.pick_track(rows, PREFERRED), T.dubbed_languages(t.fx_audio_tracks))

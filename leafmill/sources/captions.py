@@ -6,7 +6,7 @@ A payload is one row, so everything inside it is parsed with ``from_json``, ``sp
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, collapse, null_if_empty, rstrip, strip
@@ -123,34 +123,32 @@ def page_fields(pages: DataFrame) -> DataFrame:
     )
 
 
-def speaker_turns(pages: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """The turns of a page's transcript section. A turn with an unreadable stamp starts where the last ended."""
+def speaker_turns(pages: DataFrame) -> DataFrame:
+    """The turns of a page's transcript section. A turn with an unreadable stamp starts where the last ended.
+
+    A page is one row, so its turns are cut inside the row and the windows over one page stay small.
+    """
     body = F.regexp_extract("text", r"(?s)\n## Transcript(.*?)(?:\n## .*)?$", 1)
-    lines = F.transform(F.split(body, "\n"), lambda x: strip(x))
-    rows = pages.filter(F.col("text").contains("\n## Transcript")).select(
-        "page_id", F.posexplode(lines).alias("line", "_line")
-    )
-    rows = rows.filter("_line <> ''").withColumn("_opens", F.col("_line").rlike(TURN))
-    turns = running(
-        rows, ["page_id"], [block_of("line", block_rows)], [F.col("line")],
-        {"turn": Running("sum", F.col("_opens").cast("bigint"))},
-    ).filter("turn > 0")
-    head = F.max(F.when(F.col("_opens"), F.col("_line")))
-    words = F.array_join(F.transform(
-        F.array_sort(F.collect_list(F.when(~F.col("_opens"), F.struct("line", "_line")))), lambda x: x["_line"]
-    ), " ")
-    spoken = turns.groupBy("page_id", "turn").agg(head.alias("_head"), words.alias("text")).filter("text <> ''")
-    timed = spoken.withColumns({
-        "speaker": F.trim(F.regexp_extract("_head", TURN, 1)),
-        "_start": clock_seconds(F.regexp_extract("_head", TURN, 2)),
-        "_end": clock_seconds(F.regexp_extract("_head", TURN, 3)),
-    })
-    block = [block_of("turn", block_rows)]
+    line = r"(?m)^\s*?(\*\*[^*\n]+? · [\d:.]+–[\d:.]+\*\*)[^\S\n]*$"
+    cut = pages.filter(F.col("text").contains("\n## Transcript")).select(
+        "page_id", F.regexp_extract_all(body, F.lit(line), 1).alias("_heads"), F.split(body, line, -1).alias("_bodies")
+    )
+
+    def said(text: Column) -> Column:
+        lines = F.filter(F.transform(F.split(text, "\n"), lambda x: strip(x)), lambda x: x != "")
+        return F.array_join(lines, " ")
+
+    turns = F.zip_with("_heads", F.slice("_bodies", F.lit(2), F.size("_heads")), lambda h, t: F.struct(h.alias("head"), said(t).alias("text")))
+    rows = cut.select("page_id", F.posexplode(turns).alias("turn", "t")).filter("t.text <> ''")
+    timed = rows.select(
+        "page_id", (F.col("turn") + 1).cast("bigint").alias("turn"), "t.text", F.trim(F.regexp_extract("t.head", TURN, 1)).alias("speaker"),
+        clock_seconds(F.regexp_extract("t.head", TURN, 2)).alias("_start"), clock_seconds(F.regexp_extract("t.head", TURN, 3)).alias("_end"),
+    )
     # Runs of turns with unreadable starts hang on the last readable one and end at the latest end seen.
-    hung = running(timed, ["page_id"], block, [F.col("turn")],
-                   {"_run": Running("sum", F.col("_start").isNotNull().cast("bigint"))})
-    reach = F.greatest("_start", "_end")
-    ends = running(hung, ["page_id", "_run"], block, [F.col("turn")], {"_reach": Running("max", reach, False)})
+    page = Window.partitionBy("page_id").orderBy("turn")
+    hung = timed.withColumn("_run", F.count("_start").over(page))
+    run = Window.partitionBy("page_id", "_run").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    ends = hung.withColumn("_reach", F.max(F.greatest("_start", "_end")).over(run))
     start = F.coalesce("_start", "_reach", F.lit(0.0))
     return ends.select(
         "page_id", "turn", "speaker", "text", start.alias("start_s"),
