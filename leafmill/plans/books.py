@@ -11,6 +11,8 @@ from leafmill.operators import markdown as M
 from leafmill.operators import titles as T
 from leafmill.plans import duck as D
 from leafmill.plans.registry import query
+from leafmill.sources.books import scan_book_lines
+from leafmill.streaming.tables import shared_folder
 
 
 def _votes(text: str) -> str:
@@ -315,3 +317,14 @@ def inline_reference_inventory(t):
     SELECT doc_id, CASE WHEN u2 IS NULL THEN md WHEN m2.path IS NULL THEN replace(md, '![](' || u2 || ')', '') ELSE replace(md, '![](' || u2 || ')', '![](' || m2.path || ')') END AS md FROM b LEFT JOIN fx_manifest m2 ON m2.url = u2""")
 def image_manifest_rewrite(t):
     return M.localize_images(t.fx_md_images, t.fx_manifest, "doc_id")
+
+
+@query("book_corpus_scan", "fx_chapters", f"""{PARTS},
+    l AS (SELECT book_id, unnest(string_split(text, chr(10))) AS line FROM parts)
+    SELECT book_id, count(*) AS lines, count_if(starts_with(line, '# ')) AS headings FROM l GROUP BY 1""")
+def book_corpus_scan(t):
+    """Books written by the Markdown sink and read back line by line."""
+    path = shared_folder(t.spark, "books")
+    B.write_books(B.book_parts(t.fx_chapters, prefaces(t)), path)
+    lines = scan_book_lines(t.spark, path)
+    return lines.groupBy("book_id").agg(F.count("*").alias("lines"), F.count_if(F.col("line").startswith("# ")).alias("headings"))

@@ -300,3 +300,19 @@ def routed_lines(t):
 def transcript_routing(t):
     marks = C.chapter_marks_from_starts(t.fx_chapter_marks)
     return S.transcript_paragraphs(routed_lines(t), marks, speaker_names(t), F.lit("Speaker"))
+
+
+@query("chapter_marks_with_times", "fx_chapter_marks", "SELECT transcript_id, mark_no, trim(title) AS title, start_s, total_s AS end_s FROM fx_chapter_marks WHERE title IS NOT NULL")
+def chapter_marks_with_times(t):
+    return C.chapter_marks_with_ends(t.fx_chapter_marks.withColumnRenamed("total_s", "end_s"))
+
+
+@query("sentence_paragraphs", "fx_lines", rf"""{SPOKEN},
+    whole AS (SELECT transcript_id, string_agg(text, ' ' ORDER BY seq) AS text FROM spoken GROUP BY ALL),
+    sents AS (SELECT transcript_id, unnest(list_transform(list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[\s]+', '\1' || chr(1), 'g'), chr(1)), lambda x: {D.strip('x')}), lambda x: x <> ''), lambda x, i: {{'t': x, 'i': i}})) AS u FROM whole),
+    swalk AS (SELECT transcript_id, u.i AS i, u.t AS t, len(u.t) AS size, 0 AS para FROM sents WHERE u.i = 1
+        UNION ALL SELECT s.transcript_id, s.u.i, s.u.t, CASE WHEN w.size >= 800 THEN 0 ELSE w.size END + len(s.u.t), w.para + (w.size >= 800)::int
+        FROM swalk w JOIN sents s ON s.transcript_id = w.transcript_id AND s.u.i = w.i + 1)
+    SELECT transcript_id, cast(para AS bigint) AS para_no, string_agg(t, ' ' ORDER BY i) AS text FROM swalk GROUP BY ALL""")
+def sentence_paragraphs(t):
+    return S.sentence_paragraphs(t.fx_lines)

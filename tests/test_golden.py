@@ -239,3 +239,22 @@ def test_layout_tables_and_title_rows(table):
     html = "<table><tr><td><table><tr><td colspan=2>Title</td></tr><tr><td>a</td><td>b</td></tr><tr><td>c</td></tr></table></td></tr></table><table><tr><td>only</td></tr></table>"
     cells = page_markdown.table_cells(nodes.with_nodes(table("page_id long, url string, html string", (1, "https://s.example/", html)))).collect()
     assert [(c.row_no, c.col_no, c.text) for c in cells] == [(0, 0, "a"), (0, 1, "b"), (1, 0, "c"), (1, 1, "")]
+
+
+def test_code_tables_and_formulas(table):
+    html = ('<body><article><p>E is <span><math alttext="E=mc^2" display="inline"><annotation encoding="application/x-tex">E=mc^2</annotation></math></span> here.</p>'
+            "<table><tr><td><pre>1\n2</pre></td><td><pre>x = 1\ny = 2\n</pre></td></tr></table><pre> </pre></article></body>")
+    md = page_markdown.to_markdown(table("page_id long, url string, html string", (1, "https://s.example/", html))).collect()[0].md
+    assert md == "E is $E=mc^2$ here.\n\n```\nx = 1\ny = 2\n```"
+
+
+def test_book_files(table, tmp_path, spark):
+    from leafmill.operators.jobs import write_item_list
+    from leafmill.sources.books import scan_books
+
+    (tmp_path / "a.md").write_text("# One\n\ntext\n\n# Sources {.front-matter}\nx\n# One\nlater")
+    books_read = scan_books(spark, str(tmp_path))
+    rows = markdown.split_chapters(books_read.withColumnRenamed("file_name", "book_id")).collect()
+    assert [(r.book_id, r.title, r.body) for r in rows] == [("a.md", "One", "later")]
+    write_item_list(table("job_id long, number long, title string", (1, 2, "b"), (1, 1, "a")), str(tmp_path / "items"))
+    assert [r.title for r in spark.read.json(str(tmp_path / "items")).orderBy("number").collect()] == ["a", "b"]
