@@ -147,7 +147,8 @@ def describe(kind: Column, title: Column, author: Column, duration_s: Column, ge
     if genre is not None:
         fields.append(null_if_empty(genre).alias("genre"))
     if published is not None:
-        fields.append(F.date_format(F.to_date(published_at(published)), "yyyy-MM-dd").alias("date"))
+        # The date as it was written, in its own zone.
+        fields.append(F.when(published_at(published).isNotNull(), F.left(published, F.lit(10))).alias("date"))
     if snippet is not None:
         text = F.trim(F.replace(F.coalesce(snippet, F.lit("")), F.lit("\n"), F.lit(" ")))
         fields.append(null_if_empty(F.left(text, F.lit(240))).alias("description"))

@@ -75,14 +75,17 @@ def main_span() -> Column:
 
 def main_content(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """The main content's text and words, and how many of its words are link text."""
-    marked = pages.withColumns({"_main": main_span(), "_chrome": chrome_spans()})
-    inside = F.filter(below(F.col("_main")), lambda n: ~within(n, F.col("_chrome")))
-    runs = marked.select(key, "url", inside.alias("_in"))
-    linked = F.filter("_in", lambda n: n["path"].contains("/a/"))
-    return runs.select(
-        key, "url", F.array_join(texts(F.col("_in")), " ").alias("text"),
-        F.size(words(F.array_join(texts(F.col("_in")), " "))).alias("words"),
-        F.size(words(F.array_join(texts(linked), " "))).alias("link_words"),
+    def measured(x: Column) -> Column:
+        def read(inside: Column) -> Column:
+            linked = F.filter(inside, lambda n: n["path"].contains("/a/"))
+            return F.struct(F.array_join(texts(inside), " ").alias("text"), F.array_join(texts(linked), " ").alias("linked"))
+
+        return let(F.filter(below(x["main"]), lambda n: ~within(n, x["chrome"])), read)
+
+    bound = F.struct(main_span().alias("main"), chrome_spans().alias("chrome"))
+    rows = pages.select(key, "url", let(bound, measured).alias("_m"))
+    return rows.select(
+        key, "url", F.col("_m.text").alias("text"), F.size(words("_m.text")).alias("words"), F.size(words("_m.linked")).alias("link_words")
     )
 
 
@@ -136,7 +139,8 @@ def article_links(pages: DataFrame, key: str = "page_id", limit: int = MAX_LINKS
             n["no"].alias("no"), n["attrs"]["href"].alias("href"), text_of(n).alias("text"), n["path"].rlike(IN_PROSE).alias("in_prose")
         ))
 
-    found = pages.select(key, "url", F.explode(let(furniture, links)).alias("l")).select(
+    rows = pages.select(key, "url", F.explode_outer(let(furniture, links)).alias("l")).filter("l IS NOT NULL")
+    found = rows.select(
         key, F.col("url").alias("base_url"), "l.no", urls.without_fragment(urls.absolute("url", F.col("l.href"))).alias("href"),
         collapse_repeats(collapse("l.text")).alias("text"), F.col("l.in_prose").alias("uncertain"),
     )

@@ -17,9 +17,12 @@ OFF_TOPIC = "Likely off-topic"
 
 def published_at(raw: Column) -> Column:
     """An ISO date or time; without an offset it is UTC. Null when unreadable."""
-    text = F.regexp_replace(raw, "Z", "+00:00")
+    text = F.regexp_replace(raw, "Z$", "+00:00")
+    zoned = F.when(text.rlike(r"T?\d{2}:\d{2}.*[+-]\d{2}(:?\d{2})?$"), text).when(
+        text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00+00:00"))
+    ).otherwise(F.concat(text, F.lit("+00:00")))
     iso = text.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}(:\d{2}(:\d{2}([.,]\d+)?)?)?([+-]\d{2}(:?\d{2})?)?)?$")
-    return F.when(iso, F.try_to_timestamp(text))
+    return F.when(iso, F.try_to_timestamp(zoned))
 
 
 def _level(name: Column) -> Column:

@@ -17,6 +17,8 @@ def query(name: str, fixtures: str = "", sql: str | None = None):
     def register(build: Callable[[Inputs], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
             ship(spark)
+            # Stored times are UTC; days and offsets are read in that zone.
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return build(Inputs(spark, folder))
 
         QUERIES[name] = run
