@@ -15,7 +15,7 @@ PREFERRED = ["en", "fr"]
 
 
 @query("feed_flatten", "fx_feed_lines", """
-    SELECT doc_id AS feed_id, pos, 'Feed ' || doc_id AS feed_title, 'Episode ' || pos || ': part ' || doc_id AS title, 'https://f.example/' || doc_id || '/' || pos AS url, NULL AS author,
+    SELECT doc_id AS feed_id, pos, 'Feed ' || doc_id AS feed_title, 'Episode ' || pos || ': part ' || doc_id AS title, 'https://f.example/' || doc_id || '/' || pos AS url, NULL::VARCHAR AS author,
            strftime(make_timestamp(2024, 1, 1 + pos % 9, 10, 0, (pos % 10)::double) - CASE WHEN pos % 2 = 0 THEN INTERVAL 0 HOUR ELSE INTERVAL 2 HOUR END, '%Y-%m-%d %H:%M:%S') AS published,
            CASE WHEN pos % 3 = 1 THEN 'https://track.example/r/cdn.example/Ep-' || doc_id || '-' || pos || '.mp3?u=1' END AS audio_url, (pos % 50) * 60 + 30 AS duration_s, doc_id % 2 = 0 AND pos % 4 = 1 AS paywalled
     FROM fx_feed_lines WHERE pos < 250""")
