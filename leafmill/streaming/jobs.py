@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,9 @@ from leafmill.operators.stores import CACHEABLE
 from leafmill.sources.payloads import normalise
 from leafmill.streaming.tables import append_table, batch_tables, shared_folder, upsert_stream
 
+# The stateful processor also starts in a Python process that shipped files do not reach: send it whole.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def search_batches(payloads: DataFrame, queries: DataFrame, providers: dict[str, str]) -> DataFrame:
     """Each provider batch ranked alone and written as JSON lines as soon as it lands.
