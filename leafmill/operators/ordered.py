@@ -12,8 +12,6 @@ block table of one key.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -21,6 +19,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from leafmill.shared import settle  # noqa: F401 - part of this module's interface
+
 BLOCK_ROWS = 4096
 
 
@@ -30,19 +30,6 @@ def block_of(position: Column | str, rows: int = BLOCK_ROWS) -> Column:
     return F.floor(position / F.lit(rows)).cast("bigint")
 
 
-def settle(df: DataFrame) -> DataFrame:
-    """``df`` written once to the cluster's shared folder and read back.
-
-    For the result of a shuffle that several passes read: each pass then scans only the columns it
-    needs, and a lost executor costs a re-read instead of the whole lineage.
-    """
-    spark = df.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{shared}/leafmill-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 @dataclass(frozen=True)
 class Running:
     """One running column: ``kind`` over the rows before (and, if inclusive, at) each row.

@@ -6,17 +6,12 @@ executor or a restarted query neither loses nor doubles rows.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base}/leafmill-{name}-{uuid.uuid4().hex}"
+from leafmill.shared import shared_folder  # noqa: F401 - part of this module's interface
 
 
 def batch_tables(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], *, format: str = "parquet"):
