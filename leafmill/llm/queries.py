@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import substrings
+from leafmill.llm import minhash, substrings
 from leafmill.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,3 +45,8 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removals(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
+
+
+@query("op5_minhash_near_dedup")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.groups(read(spark, folder, "documents"), size=3, share=(85, 100))
