@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import minhash, substrings
+from leafmill.llm import minhash, substrings, toxicity
 from leafmill.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -50,3 +50,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op5_minhash_near_dedup")
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(read(spark, folder, "documents"), size=3, share=(85, 100))
+
+
+@query("op8_toxicity")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.scores(read(spark, folder, "documents"), read(spark, folder, "labels"))

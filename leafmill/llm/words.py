@@ -76,10 +76,13 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def words(column: pa.Array, lower: bool = False) -> Words:
+def words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE) -> Words:
+    """``separators``: which bytes stand between words; white space must be among them."""
     data, offsets = text_bytes(column)
     if lower:
         data = LOWER[data]
+    if separators is not SPACE:
+        data = np.where(separators[data], np.uint8(0x20), data)
     inside = ~SPACE[data]
     opens, closes = inside.copy(), inside.copy()
     cut = np.zeros(len(data) + 1, bool)
