@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import minhash, substrings, toxicity
+from leafmill.llm import decontaminate, minhash, substrings, toxicity
 from leafmill.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,8 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 @query("op8_toxicity")
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.scores(read(spark, folder, "documents"), read(spark, folder, "labels"))
+
+
+@query("op9_benchmark_decontamination")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
