@@ -7,23 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafmill.llm import decontaminate, minhash, substrings, toxicity
-from leafmill.session import ship
+import corpus_pipeline
+from leafmill.llm import decontaminate, html_text, minhash, mixing, packing, substrings, token_counts, topk, toxicity, warc
+from leafmill.llm.prepare import prepared
+from leafmill.shared import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
-#: Rows in one Arrow batch: documents and pages are some kilobytes each.
-BATCH_ROWS = "1000"
-
-
-def prepared(spark: SparkSession) -> None:
-    """What every query here needs of a session."""
-    ship(spark)
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
-
-
 def query(name: str, sql: str | None = None):
     def register(build: Callable[[SparkSession, str], DataFrame]):
         def run(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,7 +35,7 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 @query("op6_substring_dedup")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    return substrings.removals(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256", "factors")
+    return substrings.removals(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 @query("op5_minhash_near_dedup")
@@ -60,3 +51,41 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_benchmark_decontamination")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
+
+
+@query("op1_source_mixing")
+def op1(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed(read(spark, folder, "documents"))
+
+
+@query("op2_token_counts")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(read(spark, folder, "documents"), shared_folder(spark, "token-cache"))
+
+
+@query("op3_warc")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    path = shared_folder(spark, "warc")
+    warc.write(read(spark, folder, "pages"), path)
+    records = warc.read(spark, path)
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
+
+
+@query("op4_token_packing")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.packed(read(spark, folder, "documents"))
+
+
+@query("op7_exact_top_k")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return topk.top_k(read(spark, folder, "embeddings"), 5, F.col("vec_id") % 50 == 0)
+
+
+@query("op10_html_extraction")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.main_texts(read(spark, folder, "pages"))
+
+
+@query("pipeline")
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    return corpus_pipeline.run(spark, folder)
