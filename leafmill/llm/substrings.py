@@ -27,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -60,7 +61,7 @@ def _block_anchors(hashes: np.ndarray, first: np.ndarray, window: int) -> tuple[
 
 
 def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``_id, _copy, anchor``: the anchors of each document, once per place. ``_copy`` tells texts apart."""
+    """``_id, anchor``: the anchors of each document, once per place."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -70,16 +71,17 @@ def anchors(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 _, place, values = _block_anchors(found.hash, found.first, window)
                 place = np.unique(place)
                 owner = pa.array(np.searchsorted(found.first, place, "right") - 1)
-                yield pa.record_batch([part["_id"].take(owner), part["_copy"].take(owner), _signed(values[place])], ["_id", "_copy", "anchor"])
+                yield pa.record_batch([part["_id"].take(owner), _signed(values[place])], ["_id", "anchor"])
 
-    return docs.mapInArrow(scan, "_id bigint, _copy bigint, anchor bigint")
+    return docs.select("_id", "_text").mapInArrow(scan, "_id bigint, anchor bigint")
 
 
-def blocks(docs: DataFrame, repeated: DataFrame, window: int = WINDOW) -> DataFrame:
+def blocks(docs: DataFrame, marks: DataFrame, window: int = WINDOW) -> DataFrame:
     """Documents and the blocks around their repeated anchors, in one table of two kinds of rows.
 
     A row with ``pos`` is a block. A row without is a document: its text where it has such blocks, else
-    its finished result.
+    its finished result. ``_copy`` tells texts of one id apart, and is 0 where the id has one text.
+    ``marks``: per id, its repeated anchors, the texts that are later copies, and whether it has several texts.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,8 +123,12 @@ def blocks(docs: DataFrame, repeated: DataFrame, window: int = WINDOW) -> DataFr
         text = pa.array([t if o else None for t, o in zip(part["_text"].to_pylist(), open_)], pa.string())
         yield pa.record_batch([part["_id"], part["_copy"], pa.nulls(m, pa.int32()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), text, pa.array(count, pa.int64()), pa.array(removed), pa.array(digests, pa.string())], schema=schema)
 
-    rows = docs.join(repeated, ["_id", "_copy"], "left")
-    rows = rows.select("_id", "_copy", "_text", F.coalesce("repeated", F.array().cast("array<bigint>")).alias("repeated"), F.coalesce("later_copy", F.lit(False)).alias("later_copy"))
+    none = F.array().cast("array<bigint>")
+    later = F.coalesce(F.array_contains("later", F.col("_copy")), F.lit(False))
+    rows = docs.join(marks, "_id", "left").select(
+        "_id", F.when(F.col("apart"), F.col("_copy")).otherwise(0).alias("_copy"), "_text",
+        F.when(later, none).otherwise(F.coalesce("repeated", none)).alias("repeated"), later.alias("later_copy"),
+    )
     schema = "_id bigint, _copy bigint, pos int, b1 bigint, b2 bigint, _text string, n_words bigint, n_removed bigint, kept_sha256 string"
     return rows.mapInArrow(scan, schema)
 
@@ -150,14 +156,19 @@ def removals(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", t
     rows = texts(docs, id_column, text_column).withColumn("_copy", F.xxhash64("_text"))
     digest = rows.select("_id", "_copy", F.sha2("_text", 256).alias("_digest"))
     firsts = digest.groupBy("_digest").agg(F.min("_id").alias("_least"), F.max("_id").alias("_most")).filter("_least < _most")
-    copies = digest.join(firsts, "_digest").filter("_id > _least").select("_id", "_copy").distinct().withColumn("later_copy", F.lit(True))
+    copies = digest.join(firsts, "_digest").filter("_id > _least").select("_id", "_copy")
+    several = digest.groupBy("_id").agg((F.min("_copy") < F.max("_copy")).alias("apart")).filter("apart")
     places = anchors(rows, window)
     repeats = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
-    lists = places.join(repeats, "anchor").groupBy("_id", "_copy").agg(F.collect_set("anchor").alias("repeated"))
-    # A later copy is one factor: it brings no blocks of its own.
-    known = lists.join(copies, ["_id", "_copy"], "full")
-    known = known.withColumn("repeated", F.when(F.col("later_copy").isNull(), F.col("repeated")))
-    both = settle(blocks(rows, known, window), "blocks")
+    marked = [
+        places.join(repeats, "anchor").select("_id", "anchor"),
+        # A later copy is one factor: it brings no blocks of its own.
+        copies.select("_id", F.col("_copy").alias("later")),
+        several.select("_id", "apart"),
+    ]
+    one = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), marked)
+    marks = one.groupBy("_id").agg(F.collect_set("anchor").alias("repeated"), F.collect_set("later").alias("later"), F.coalesce(F.max("apart"), F.lit(False)).alias("apart"))
+    both = settle(blocks(rows, marks, window), "blocks")
     found = both.filter("pos is not null").select("_id", "_copy", "pos", "b1", "b2")
     whole = both.filter("pos is null").select("_id", "_copy", "_text", "n_words", "n_removed", "kept_sha256")
     done = whole.filter("_text is null").select(real_id("_id").alias(id_column), "n_words", "n_removed", "kept_sha256", F.array().cast(f"array<{FACTOR}>").alias("factors"))

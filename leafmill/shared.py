@@ -7,6 +7,7 @@ driver and executors are one process, may go without: its tables then lie in a f
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -54,5 +55,17 @@ def settle(df: DataFrame, name: str = "table") -> DataFrame:
     executor costs a re-read instead of the whole lineage.
     """
     path = shared_folder(df.sparkSession, name)
+    schema = df.schema
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    release(df.sparkSession)
+    return df.sparkSession.read.schema(schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of finished work now.
+
+    Once a table is written, the shuffles behind it are of no more use; without this they stay until the
+    driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
