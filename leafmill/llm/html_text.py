@@ -7,8 +7,9 @@
 3. For each path, text length and punctuation marks are summed up and divided by the number of its blocks.
    Both ratios are smoothed over neighbouring blocks in page order, fused by their product, and blocks from a
    threshold (a share of the deviation, at most half the peak) up are content.
-4. The smallest element that holds ``HOLDS`` of the content's text is the article; its blocks are the result, so
-   that headings and short paragraphs stay with the paths that were found.
+4. The smallest element that holds ``HOLDS`` of the content's text, widened to the article or container it lies
+   in, is the article; its blocks are the result, so that headings and short paragraphs stay with the paths that
+   were found.
 
 A page is one row: nothing is shuffled, and a task holds a few pages at a time.
 
@@ -73,6 +74,10 @@ LOOSE_WORDS = {"has", "with", "no", "without", "is", "page", "layout"}
 KEPT_TAGS = {"html", "body", "article", "main"}
 
 
+#: Elements that can be an article.
+HOLDERS = {"", "html", "body", "div", "section", "td", "center", "article", "main", "span"}
+
+
 @dataclass
 class Element:
     tag: str
@@ -227,6 +232,15 @@ def content(blocks: list[tuple[int, str]], page: Page) -> list[bool]:
     return [f >= threshold for f in fused]
 
 
+def _whole(page: Page, root: int) -> int:
+    """The article around an element, or the nearest element around it that can hold headings and paragraphs."""
+    chain = [root]
+    while chain[-1] > 0:
+        chain.append(page.elements[chain[-1]].parent)
+    articles = [i for i in chain if page.elements[i].article]
+    return articles[0] if articles else next(i for i in chain if page.elements[i].tag in HOLDERS)
+
+
 def main_text(text: str) -> str:
     page = page_of(text)
     blocks = _kept_blocks(page)
@@ -239,7 +253,7 @@ def main_text(text: str) -> str:
     for i in range(len(held) - 1, 0, -1):
         held[page.elements[i].parent] += held[i]
     # The last element in page order that holds enough lies in all others that do.
-    root = max(i for i in range(len(held)) if held[i] >= HOLDS * held[0])
+    root = _whole(page, max(i for i in range(len(held)) if held[i] >= HOLDS * held[0]))
     within = [False] * len(held)
     for i in range(len(held)):
         within[i] = i == root or i > 0 and within[page.elements[i].parent]
