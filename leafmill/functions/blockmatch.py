@@ -2,8 +2,9 @@
 
 The result is that of the standard library's ``SequenceMatcher`` without its junk rule. That walks
 every pair of equal words again for each block it finds, which takes minutes on a chapter-length
-pair; here runs of two or more equal words are found once and clipped as the search narrows. Only
-the remains without such a run are given to the standard library.
+pair; here runs of two or more equal words are found once and clipped as the search narrows. Texts with too
+many runs to hold are first split at their longest one, which gives the same blocks. Only the remains without
+a run of two are given to the standard library.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_RUN_PAIRS = 30_000_000
+#: Bigram pairs held at once, 8 bytes each in half a dozen arrays.
+MAX_RUN_PAIRS = 2_000_000
 
 
 def _codes(a: Sequence[str], b: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -47,18 +49,38 @@ def _runs(a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
     return np.stack([i[starts], j[starts], lengths], axis=1)
 
 
+def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
+    """The longest equal run, first in ``a``, then in ``b``: row by row, in memory for one row."""
+    best = (0, 0, 0)
+    row = np.zeros(len(b) + 1, np.int64)
+    for i, code in enumerate(a):
+        row[1:] = np.where(b == code, row[:-1] + 1, 0)
+        size = int(row.max())
+        if size > best[2]:
+            best = (i + 1 - size, int(row.argmax()) - size, size)
+    return best
+
+
 def matching_blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int, int]]:
     """(start in a, start in b, length) of each block, in order."""
     a, b = list(a), list(b)
+    codes_a, codes_b = _codes(a, b)
     blocks: list[tuple[int, int, int]] = []
-    runs = _runs(*_codes(a, b)) if len(a) > 1 and len(b) > 1 else np.zeros((0, 3), np.int64)
-    if runs is None:
-        return [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
-    todo = [(0, len(a), 0, len(b), runs)]
+    todo: list[tuple[int, int, int, int, np.ndarray | None]] = [(0, len(a), 0, len(b), None)]
     while todo:
         a0, a1, b0, b1, runs = todo.pop()
         if a0 >= a1 or b0 >= b1:
             continue
+        if runs is None:
+            runs = _runs(codes_a[a0:a1], codes_b[b0:b1]) if a1 - a0 > 1 and b1 - b0 > 1 else np.zeros((0, 3), np.int64)
+            if runs is None:
+                # Too repetitive to list all its runs: split at the longest, until the parts are not.
+                x, y, n = _longest(codes_a[a0:a1], codes_b[b0:b1])
+                x, y = a0 + x, b0 + y
+                blocks.append((x, y, n))
+                todo += [(a0, x, b0, y, None), (x + n, a1, y + n, b1, None)]
+                continue
+            runs = runs + np.array([a0, b0, 0])
         cut = np.maximum(np.maximum(a0 - runs[:, 0], b0 - runs[:, 1]), 0)
         i, j = runs[:, 0] + cut, runs[:, 1] + cut
         size = np.minimum(np.minimum(runs[:, 2] - cut, a1 - i), b1 - j)
@@ -76,7 +98,7 @@ def matching_blocks(a: Sequence[str], b: Sequence[str]) -> list[tuple[int, int,
         right = (i + size > x + n) & (j + size > y + n)
         todo.append((a0, x, b0, y, runs[left]))
         todo.append((x + n, a1, y + n, b1, runs[right]))
-    return sorted(blocks)
+    return sorted(b for b in blocks if b[2])
 
 
 def ratio(a: Sequence[str], b: Sequence[str]) -> float:

@@ -80,22 +80,31 @@ def absolute(base: Column | str, href: Column | str) -> Column:
     root = F.concat(scheme, F.lit("//"), netloc(base))
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    joined = F.concat(folder, href)
-    # "a/./b" and "a/c/../b" both read "a/b".
-    dotted = F.regexp_replace(joined, r"/(\./)+", "/")
-    for _ in range(4):
-        dotted = F.regexp_replace(dotted, r"/(?!\.\./)[^/?#]+/\.\./", "/")
+    way, rest = F.regexp_extract(href, r"^([^?#]*)", 1), F.regexp_extract(href, r"^[^?#]*(.*)$", 1)
+    resolved = F.concat(root, without_dots(F.when(href.startswith("/"), way).otherwise(F.concat(folder, way))), rest)
     return (
         F.when(href == "", base)
         .when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), href)
         .when(href.startswith("//"), F.concat(scheme, href))
-        .when(href.startswith("/"), F.concat(root, href))
         .when(href.startswith("#"), F.concat(without_fragment(base), href))
         .when(href.startswith("?"), F.concat(F.regexp_extract(base, r"^([^?#]*)", 1), href))
-        .otherwise(F.concat(root, dotted))
+        .otherwise(resolved)
     )
 
 
+def without_dots(way: Column) -> Column:
+    """A path from the root with its ``.`` and ``..`` segments resolved and empty ones dropped; none climbs above the root."""
+    segments = F.split(way, "/")
+    last = F.element_at(segments, -1)
+    inner = F.filter(F.slice(segments, F.lit(2), F.greatest(F.size(segments) - 2, F.lit(0))), lambda s: s != "")
+    kept = F.aggregate(
+        F.concat(inner, F.array(last)), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, F.lit(1), F.greatest(F.size(done) - 1, F.lit(0))))
+        .when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    return F.concat(F.lit("/"), F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/"))
+
+
 def slug_title(url: Column | str) -> Column:
     """A readable title from the last path segment."""
     url = col(url)

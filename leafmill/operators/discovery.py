@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions import urls
@@ -19,6 +19,12 @@ FEED_PATHS = ("/feed", "/rss", "/feed.xml", "/index.xml", "/rss.xml")
 SUMMARY_ONLY = "The full article didn't load, so this is the RSS summary only."
 
 
+def _choice(strategy: int, rank: Column | None = None) -> Column:
+    """The strategy, and within it the rank of the feed."""
+    rank = F.lit(0) if rank is None else rank
+    return F.struct(F.lit(strategy).alias("strategy"), rank.cast("bigint").alias("rank")).alias("choice")
+
+
 def expand_sources(
     sources: DataFrame, pages: DataFrame, declared: DataFrame, entries: DataFrame, links: DataFrame
 ) -> DataFrame:
@@ -35,7 +41,7 @@ def expand_sources(
     itself = base.filter(
         wiki_title("url").isNotNull() | looks_like_article("url", "url") | (F.col("_asked") & urls.is_deep("url"))
     ).join(pages.select("url", F.col("title").alias("_page")), "url", "left").select(
-        *keys, F.lit(0).alias("strategy"), F.lit(0).cast("bigint").alias("at"),
+        *keys, _choice(0), F.lit(0).cast("bigint").alias("at"),
         F.coalesce(wiki_title("url"), null_if_empty("_page"), urls.slug_title("url")).alias("title"), F.col("url").alias("item_url"),
         F.lit(False).alias("uncertain"),
     )
@@ -44,14 +50,14 @@ def expand_sources(
         # ``found(keys, rank, feed_url)``: within a strategy the first feed with entries wins.
         rows = found.join(entries, "feed_url").filter(F.col("pos") < MAX_ITEMS)
         return rows.select(
-            *keys, (F.lit(strategy) + F.col("rank") / 100.0).alias("strategy"), F.col("pos").cast("bigint").alias("at"),
+            *keys, _choice(strategy, F.col("rank")), F.col("pos").cast("bigint").alias("at"),
             F.coalesce(null_if_empty("title"), F.when(F.col("audio_url").isNotNull(), urls.stem_title("audio_url")), F.lit("Untitled")).alias("title"),
             F.coalesce("audio_url", "item_url").alias("item_url"), F.lit(False).alias("uncertain"),
         )
 
     as_feed = base.select(*keys, F.lit(0).alias("rank"), F.col("url").alias("feed_url"))
     article = base.filter(~urls.is_home("url")).join(pages.filter("reads_as_article"), "url").select(
-        *keys, F.lit(2).alias("strategy"), F.lit(0).cast("bigint").alias("at"), "title", F.col("url").alias("item_url"), F.lit(False).alias("uncertain")
+        *keys, _choice(2), F.lit(0).cast("bigint").alias("at"), "title", F.col("url").alias("item_url"), F.lit(False).alias("uncertain")
     )
     named = base.join(declared, "url").select(*keys, "rank", "feed_url")
     root = F.concat(F.regexp_extract("url", "^([A-Za-z][A-Za-z0-9+.-]*:)", 1), F.lit("//"), urls.netloc("url"))
@@ -59,18 +65,18 @@ def expand_sources(
         *keys, "rank", F.concat("_root", "_path").alias("feed_url")
     )
     linked = base.join(links, "url").select(
-        *keys, F.lit(5).alias("strategy"), F.col("place").cast("bigint").alias("at"), "title", F.col("href").alias("item_url"), "uncertain"
+        *keys, _choice(5), F.col("place").cast("bigint").alias("at"), "title", F.col("href").alias("item_url"), "uncertain"
     )
-    candidates = itself.withColumn("strategy", F.col("strategy").cast("double"))
+    candidates = itself
     for part in (from_feeds(as_feed, 1), article, from_feeds(named, 3), from_feeds(guessed, 4), linked):
-        candidates = candidates.unionByName(part.withColumn("strategy", F.col("strategy").cast("double")))
+        candidates = candidates.unionByName(part)
     candidates = settle(candidates)
-    best = candidates.groupBy(*keys).agg(F.min("strategy").alias("strategy"))
-    chosen = candidates.join(best, [*keys, "strategy"])
+    best = candidates.groupBy(*keys).agg(F.min("choice").alias("choice"))
+    chosen = candidates.join(best, [*keys, "choice"])
     # A source lists at most 250 items, so this window is bounded.
     order = Window.partitionBy(*keys).orderBy("at")
     return chosen.select(
-        *keys, F.floor("strategy").cast("int").alias("strategy"), (F.row_number().over(order) - 1).alias("item_index"), "title",
+        *keys, F.col("choice.strategy").alias("strategy"), (F.row_number().over(order) - 1).alias("item_index"), "title",
         F.col("item_url").alias("url"), "uncertain", url_kind("item_url").alias("kind"),
     )
 

@@ -88,11 +88,13 @@ def match_entries(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     Same file when one key ends with the other: an equi-join on slash tails instead of a suffix
     comparison of all pairs. The first entry wins; otherwise the first with the same folded title.
     """
+    # Of entries with one key only the first can win: a key shared by many of them joins once.
     w = wanted.select("feed_id", "wanted_id", file_key("audio_url").alias("key"), folded(F.col("title")).alias("fold"))
     e = entries.select("feed_id", "pos", file_key("enclosure_url").alias("key"), folded(F.col("title")).alias("fold"))
-    whole_w, whole_e = w.select("feed_id", "wanted_id", "key"), e.select("feed_id", "pos", "key")
+    whole_w = w.select("feed_id", "wanted_id", "key")
+    whole_e = e.groupBy("feed_id", "key").agg(F.min("pos").alias("pos"))
     tails_w = w.select("feed_id", "wanted_id", F.explode(_suffixes(F.col("key"))).alias("key"))
-    tails_e = e.select("feed_id", "pos", F.explode(_suffixes(F.col("key"))).alias("key"))
+    tails_e = e.select("feed_id", "pos", F.explode(_suffixes(F.col("key"))).alias("key")).groupBy("feed_id", "key").agg(F.min("pos").alias("pos"))
     by_file = whole_w.join(tails_e, ["feed_id", "key"]).unionByName(tails_w.join(whole_e, ["feed_id", "key"]))
     first_file = by_file.groupBy("feed_id", "wanted_id").agg(F.min("pos").alias("_file"))
     titles = e.groupBy("feed_id", "fold").agg(F.min("pos").alias("_title"))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, col, escape_tags, null_if_empty, strip, word_count
-from leafmill.operators.ordered import Running, block_of, islands, number_rows, running, settle, top_per_key
+from leafmill.operators.ordered import Running, block_of, islands, number_rows, running, settle
 from leafmill.operators.packing import pack
 
 # When a paragraph ends.
@@ -181,18 +181,16 @@ def distinct_speakers(segments: DataFrame) -> DataFrame:
 def dialogue_sample(segments: DataFrame, max_chars: int = SAMPLE_CHARS) -> DataFrame:
     """The opening of each transcript, speaker-labelled lines, up to the segment that reaches the limit.
 
-    Every non-blank segment has at least one character, so no more than ``max_chars`` of them can be
-    needed: that exact bound is applied before anything is grouped.
+    Characters are summed in blocks of positions, so a long transcript is not one task. What stays under the
+    limit is grouped after that: every non-blank segment has a character, so it is at most ``max_chars`` rows.
     """
-    opening = top_per_key(spoken(segments), ["transcript_id"], [F.col("seq")], max_chars, "_n").withColumn(
-        "speaker", F.coalesce(null_if_empty("speaker"), F.lit("speaker_?"))
-    )
+    named = spoken(segments).withColumn("speaker", F.coalesce(null_if_empty("speaker"), F.lit("speaker_?")))
+    summed = running(
+        named, ["transcript_id"], [block_of("seq")], [F.col("seq")],
+        {"_so_far": Running("sum", F.length("text").cast("bigint"), inclusive=False)},
+    ).filter(F.col("_so_far") < max_chars)
     ahead = Window.partitionBy("transcript_id").orderBy("seq")
-    so_far = F.sum(F.length("text")).over(ahead.rowsBetween(Window.unboundedPreceding, -1))
-    kept = opening.withColumns({
-        "_so_far": F.coalesce(so_far, F.lit(0)),
-        "_new": (F.lag("speaker").over(ahead) != F.col("speaker")).cast("int"),
-    }).filter(F.col("_so_far") < max_chars)
+    kept = summed.withColumn("_new", (F.lag("speaker").over(ahead) != F.col("speaker")).cast("int"))
     turns = kept.withColumn("turn", F.sum(F.coalesce("_new", F.lit(0))).over(ahead)).groupBy("transcript_id", "turn")
     lines = turns.agg(F.concat(F.min_by("speaker", "seq"), F.lit(": "), join_texts(["seq"])).alias("line"))
     return lines.groupBy("transcript_id").agg(join_texts(["turn"], "line", "\n").alias("sample"))

@@ -85,7 +85,7 @@ def ttl_cache_stream(t):
 
 @query("spend_per_day_stream", "", """
     d AS (SELECT date_trunc('day', ts) AS day, event_type AS provider, sum(cast(round(value * 100) AS bigint)) AS cost, count(*) AS calls FROM events GROUP BY ALL)
-    SELECT strftime(day, '%Y-%m-%d') AS day, provider, cost, calls FROM d WHERE day + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY""")
+    SELECT strftime(day, '%Y-%m-%d') AS day, provider, cost, calls FROM d""")
 def spend_per_day_stream(t):
     calls = S.stream_of(t.spark, t.folder, "events").select(
         F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("provider"), F.round(F.col("value") * 100).cast("bigint").alias("cost"))

@@ -24,6 +24,8 @@ def local_session(cpus: int | str = 8, memory: str = "4g") -> SparkSession:
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "32k")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.sql.codegen.cache.maxEntries", "1000")
+        # One small file would leave all cores but one idle.
+        .config("spark.leafmill.spread", str(cpus))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

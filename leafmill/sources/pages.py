@@ -15,7 +15,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_PAGE_CHARS = 20 * 1024 * 1024
 # Elements without an end tag.
 VOID = frozenset("area base br col embed hr img input keygen link menuitem meta param source track wbr basefont bgsound command frame spacer".split())
 RAW = frozenset(("script", "style"))
@@ -113,9 +112,9 @@ class _Nodes(HTMLParser):
 
 
 def with_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """``pages(key, url, html)`` to (key, url, nodes). Pages over 20 MiB are no articles and give none."""
+    """``pages(key, url, html)`` to (key, url, nodes), pages of any size."""
     kind = dict(pages.dtypes)[key]
-    slim = pages.filter(F.length("html") <= MAX_PAGE_CHARS).select(key, "url", "html")
+    slim = pages.select(key, "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

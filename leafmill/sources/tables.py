@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Set by a local session: deal the rows of a table out over so many partitions.
+SPREAD = "spark.leafmill.spread"
 
-def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A table, dealt out over the cores when its files would leave most of them idle.
 
-    A large table has far more splits than cores and is read as it is; only one that comes in fewer
-    splits than the session has cores (one small file with one row group) is spread.
-    """
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A table as its files give it. Only where a local session asks for it, small files are dealt out over its cores."""
     table = spark.read.parquet(f"{folder}/{name}.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+    spread = spark.conf.get(SPREAD, None)
+    return table.repartition(int(spread)) if spread else table

@@ -62,14 +62,20 @@ def transcript_arrivals(arrivals: DataFrame) -> DataFrame:
     return upsert_stream(found, shared_folder(arrivals.sparkSession, "transcripts"), ["key"], ["stored_at"])
 
 
-def daily_spend(calls: DataFrame, late: str = "1 day") -> DataFrame:
-    """Paid calls summed per provider and day; a day is final once ``late`` has passed, later calls are dropped."""
+def daily_spend(calls: DataFrame) -> DataFrame:
+    """Paid calls summed per provider and day.
+
+    Each micro-batch leaves its partial sums, which are added up on reading: open days are there, and a call
+    that comes late counts in its day.
+    """
     path = shared_folder(calls.sparkSession, "spend")
-    days = calls.withWatermark("ts", late).groupBy(F.window("ts", "1 day"), "provider").agg(
-        F.sum("cost").alias("cost"), F.count("*").alias("calls")
-    )
-    append_table(days.select(F.col("window.start").alias("day"), "provider", "cost", "calls"), path)
-    return calls.sparkSession.read.schema("day TIMESTAMP, provider STRING, cost BIGINT, calls BIGINT").parquet(f"{path}/rows")
+
+    def sums(batch: DataFrame) -> DataFrame:
+        return batch.groupBy(F.date_trunc("day", "ts").alias("day"), "provider").agg(F.sum("cost").alias("cost"), F.count("*").alias("calls"))
+
+    batch_tables(calls, path, sums)
+    parts = calls.sparkSession.read.schema("day TIMESTAMP, provider STRING, cost BIGINT, calls BIGINT").parquet(f"{path}/rows")
+    return parts.groupBy("day", "provider").agg(F.sum("cost").alias("cost"), F.sum("calls").alias("calls"))
 
 
 class TimedAnswers(StatefulProcessor):

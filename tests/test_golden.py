@@ -51,6 +51,15 @@ def test_absolute_urls(table):
         "https://s.example/a/c", "https://s.example/d/e", "https://s.example/x", "https://c.example/y", "https://s.example/z", "https://s.example/a/b?r=1", "mailto:x@y"]
 
 
+def test_absolute_urls_climb_any_number_of_folders(table):
+    from urllib.parse import urljoin
+
+    base = "https://a.example/p/q/r/s/t/u/v/page"
+    hrefs = ["../../../../../../x", "../" * 12 + "x", "/z/../w", "/../w", "a//b/./c/..", "..", ".", "/a/b/../", "x/../../y?q=../z#../f"]
+    df = table("base string, href string", *[(base, h) for h in hrefs])
+    assert values(df, urls.absolute("base", "href")) == [urljoin(base, h) for h in hrefs]
+
+
 def test_merge_equals_head_to_head(spark):
     chance = random.Random(2)
     rows, expected = [], {}
@@ -166,6 +175,46 @@ def test_passages(table):
     assert rows[0].original == " ".join(f"w{i}" for i in range(8, 35)) and rows[1].original is None
 
 
+def test_passages_skip_what_is_not_prose(table):
+    src = "one two three four five six seven\n\neight nine ten eleven twelve"
+    out = "::: {.source}\n*Source: x*\n:::\n\n## A heading\n\nOne, two, three, four.\n\nEleven twelve.\n\nEntirely new words here."
+    rows = audit.passages(table("pair_id int, src_md string, out_md string", (1, src, out), (2, "", "Some text."), (3, None, "## only"))).orderBy("pair_id", "passage_no").collect()
+    assert [r.edited for r in rows] == ["One, two, three, four.", "Eleven twelve.", "Entirely new words here.", "Some text."]
+    assert "one two three four" in rows[0].original and "seven\n\neight" in rows[0].original and "eleven twelve" in rows[1].original
+    assert rows[2].original is None and rows[3].original is None
+
+
+def test_matching_blocks_of_repetitive_texts(monkeypatch):
+    from difflib import SequenceMatcher
+
+    from leafmill.functions import blockmatch
+
+    chance = random.Random(4)
+    monkeypatch.setattr(blockmatch, "MAX_RUN_PAIRS", 40)
+    for _ in range(150):
+        a, b = ([chance.choice("abc") for _ in range(chance.randint(0, 40))] for _ in range(2))
+        assert blockmatch.matching_blocks(a, b) == [tuple(m) for m in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() if m.size]
+
+
+def test_table_grid_of_spans():
+    from leafmill.operators.page_markdown import table_grid
+
+    def cell(text, rows=1, cols=1, head=False):
+        return {"text": text, "rows": rows, "cols": cols, "head": head}
+
+    titles, grid = table_grid([[cell("T")], [cell("a", rows=2), cell("b", cols=2)], [cell("c"), cell("d"), cell("e")], [cell("f", rows=9)]], "cap")
+    assert titles == ["cap", "T"]
+    assert [[t for t, _ in row] for row in grid] == [["a", "b", "", ""], ["", "c", "d", "e"], ["f", "", "", ""]]
+
+
+def test_spans_of_many_digits(table):
+    from leafmill.operators.page_markdown import MAX_SPAN, _span
+
+    cases = {"123456789012": MAX_SPAN, "0002": 2, "0": 1, "x": 1, None: 1, "60": MAX_SPAN}
+    df = table("span string", *[(c,) for c in cases]).withColumn("n", F.struct(F.create_map(F.lit("rowspan"), F.col("span")).alias("attrs")))
+    assert values(df, _span(F.col("n"), "rowspan")) == list(cases.values())
+
+
 def test_guards(table):
     words = " ".join(f"w{i}" for i in range(100))
     df = table("id int, role string, src string, out string", (1, "punctuate", words, words.upper() + "."), (2, "punctuate", words, words[:300]), (3, "copyedit", words, words[:300]),
