@@ -9,6 +9,7 @@ from __future__ import annotations
 import atexit
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +66,9 @@ def release(spark: SparkSession) -> None:
     """Let Spark's cleaner remove the shuffle files of finished work now.
 
     Once a table is written, the shuffles behind it are of no more use; without this they stay until the
-    driver happens to collect its garbage.
+    driver happens to collect its garbage. The first collection frees the plans, the second their shuffles.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
