@@ -111,16 +111,16 @@ def index_of(ids: list[int | None], texts: list[str | None]) -> Index:
     return Index(ids, passages, edits, size - Q + 1 - edits * Q, known, np.append(first, len(flat)), item[order], place[order], seen)
 
 
-def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, most: int) -> tuple[int, int] | None:
+def aligned(passage: np.ndarray, text: np.ndarray, low: int, high: int, most: int, fixed: bool = False) -> tuple[int, int] | None:
     """The fewest edits from ``passage`` to a stretch of ``text`` that keeps to diagonals low..high, and its end.
 
-    None where that takes more than ``most``. Ties go to the first end.
+    None where that takes more than ``most``. Ties go to the first end. ``fixed``: the stretch starts where the text does.
     """
     width = high - low + 1
     far = most + 1
     slope = np.arange(width)
     columns = np.arange(low, high + 1)
-    row = np.where((columns >= 0) & (columns <= len(text)), 0, far)
+    row = np.where((columns >= 0) & (columns <= len(text)), np.minimum(columns, far) if fixed else 0, far)
     padded = np.concatenate((text, np.zeros(1, text.dtype)))
     for i, byte in enumerate(passage):
         columns = columns + 1
@@ -179,9 +179,8 @@ def found_in(data: np.ndarray, bounds: np.ndarray, index: Index) -> list[tuple[i
             continue
         edits, stop = best
         # The same from behind, fixed at the end found, gives the beginning.
-        back = aligned(passage[::-1], own[max(0, stop - len(passage) - most) : stop][::-1], 0, most, edits) if edits else (0, len(passage))
-        begin = stop - (back[1] if back else len(passage))
-        out.append((i, p, max(0, begin), stop, edits))
+        back = aligned(passage[::-1], own[max(0, stop - len(passage) - most) : stop][::-1], -most, most, edits, fixed=True) if edits else (0, len(passage))
+        out.append((i, p, stop - back[1], stop, edits))
     return merged(out)
 
 

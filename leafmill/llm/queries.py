@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import decontaminate, html_text, minhash, mixing, packing, substrings, token_counts, topk, toxicity, warc
+from leafmill.llm import decontaminate, html_text, minhash, mixing, oracles, packing, substrings, token_counts, topk, toxicity, warc
 from leafmill.llm.prepare import prepared
 from leafmill.shared import shared_folder
 
@@ -33,12 +33,12 @@ def read(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{table}.parquet")
 
 
-@query("op6_substring_dedup")
+@query("op6_substring_dedup", oracles.REMOVALS_SQL)
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.removals(read(spark, folder, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
-@query("op5_minhash_near_dedup")
+@query("op5_minhash_near_dedup", oracles.GROUPS_SQL)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.groups(read(spark, folder, "documents"), size=3, share=(85, 100))
 
@@ -53,7 +53,7 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.passages(read(spark, folder, "documents"), read(spark, folder, "benchmark"))
 
 
-@query("op1_source_mixing")
+@query("op1_source_mixing", oracles.MIXING_SQL)
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(read(spark, folder, "documents"))
 
@@ -63,7 +63,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(read(spark, folder, "documents"), shared_folder(spark, "token-cache"))
 
 
-@query("op3_warc")
+@query("op3_warc", oracles.WARC_SQL)
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write(read(spark, folder, "pages"), path)
@@ -76,12 +76,12 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(read(spark, folder, "documents"))
 
 
-@query("op7_exact_top_k")
+@query("op7_exact_top_k", oracles.TOP_SQL)
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     return topk.top_k(read(spark, folder, "embeddings"), 5, F.col("vec_id") % 50 == 0)
 
 
-@query("op10_html_extraction")
+@query("op10_html_extraction", oracles.MAIN_TEXT_SQL)
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(read(spark, folder, "pages"))
 

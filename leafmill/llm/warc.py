@@ -135,9 +135,12 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
         "page", "url", "size", "sha1", "refers", F.when(F.col("refers").isNull(), F.col("html")).alias("html")
     )
 
+    context = pages.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(target)
+
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, folder = pyarrow.fs.FileSystem.from_uri(path)
-        store.create_dir(folder)
         task = TaskContext.get().partitionId()
 
         def records() -> Iterator[bytes]:
