@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,10 +64,10 @@ def with_keyword_relevance(hits: DataFrame, queries: DataFrame) -> DataFrame:
     return scored.withColumn("relevance", F.bround(relevance, 2)).drop("_tokens", "_compact")
 
 
-def keyword_rank(hits: DataFrame, queries: DataFrame) -> DataFrame:
-    """Each provider's hits by score, the provider's own order between equals."""
+def keyword_rank(hits: DataFrame, queries: DataFrame, batch: Sequence[str] = ("query_id", "provider")) -> DataFrame:
+    """The hits of each batch by score, the provider's own order between equals."""
     scored = with_keyword_relevance(hits, queries)
-    return number_rows(scored, ["query_id", "provider"], [-F.col("score"), block_of("pos")], [F.col("pos")], "rank")
+    return number_rows(scored, list(batch), [-F.col("score"), block_of("pos")], [F.col("pos")], "rank")
 
 
 def first_of_each_url(hits: DataFrame) -> DataFrame:

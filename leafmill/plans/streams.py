@@ -39,10 +39,10 @@ PROVIDERS = {"exa": "web", "tinyfish": "web", "marginalia": "web", "podcast": "p
 
 
 @query("search_batch_stream", "fx_provider_payloads fx_queries", f"""{NORMAL},
-    fxh AS (SELECT * EXCLUDE (pos), CASE type WHEN 'web' THEN 'web' WHEN 'episode' THEN 'podcast' ELSE 'youtube' END AS provider, payload_id * 1000 + pos AS pos FROM hits WHERE error IS NULL),
+    fxh AS (SELECT * EXCLUDE (pos), CASE type WHEN 'web' THEN 'web' WHEN 'episode' THEN 'podcast' ELSE 'youtube' END AS provider, pos FROM hits WHERE error IS NULL),
     {SCORED.replace('fx_hits', 'fxh').strip()}
-    SELECT query_id, provider, row_number() OVER (PARTITION BY query_id, provider ORDER BY score DESC, pos) AS rank, id, url, score, NULL AS error FROM scored
-    UNION ALL SELECT DISTINCT query_id, 'podcast', 0, NULL, NULL, NULL, error FROM fx_provider_payloads WHERE error IS NOT NULL""")
+    SELECT query_id, payload_id, provider, row_number() OVER (PARTITION BY query_id, payload_id ORDER BY score DESC, pos) AS rank, id, url, score, NULL AS error FROM scored
+    UNION ALL SELECT query_id, payload_id, 'podcast', 0, NULL, NULL, NULL, error FROM fx_provider_payloads WHERE error IS NOT NULL""")
 def search_batch_stream(t):
     """The pages table streamed as files; each micro-batch is turned into payloads, ranked and written."""
     payloads = streamed(t, "pages", "fx_page_titles", "fx_hits", "fx_provider_payloads")

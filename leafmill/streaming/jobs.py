@@ -21,10 +21,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def search_batches(payloads: DataFrame, queries: DataFrame, providers: dict[str, str]) -> DataFrame:
-    """Each provider batch ranked alone and written as JSON lines as soon as it lands.
+    """Each answer of a provider ranked alone and written as JSON lines as soon as it lands.
 
     ``payloads`` streams (query_id, payload_id, vendor, body, error); a failed provider gives one
-    error line and leaves the others alone.
+    error line and leaves the others alone. Ranks are those of the answer, however the stream is cut.
     """
     spark = payloads.sparkSession
     path = shared_folder(spark, "batches")
@@ -32,17 +32,17 @@ def search_batches(payloads: DataFrame, queries: DataFrame, providers: dict[str,
 
     def build(batch: DataFrame) -> DataFrame:
         hits = normalise(batch.filter("error IS NULL")).withColumns({
-            "provider": name[F.col("vendor")], "pos": F.col("payload_id") * 1000 + F.col("pos"), "relevance": F.lit(None).cast("double"),
+            "provider": name[F.col("vendor")], "relevance": F.lit(None).cast("double"),
         })
-        ranked = H.keyword_rank(hits, queries).select("query_id", "provider", "rank", "id", "url", "score")
+        ranked = H.keyword_rank(hits, queries, ["query_id", "payload_id"]).select("query_id", "payload_id", "provider", "rank", "id", "url", "score")
         failed = batch.filter("error IS NOT NULL").select(
-            "query_id", name[F.col("vendor")].alias("provider"), F.lit(0).cast("bigint").alias("rank"), "error"
-        ).distinct()
+            "query_id", "payload_id", name[F.col("vendor")].alias("provider"), F.lit(0).cast("bigint").alias("rank"), "error"
+        )
         rows = ranked.unionByName(failed, allowMissingColumns=True)
         return rows.select(F.to_json(F.struct(*rows.columns)).alias("value"))
 
     batch_tables(payloads, path, build, format="text")
-    line = "query_id BIGINT, provider STRING, rank BIGINT, id STRING, url STRING, score BIGINT, error STRING"
+    line = "query_id BIGINT, payload_id BIGINT, provider STRING, rank BIGINT, id STRING, url STRING, score BIGINT, error STRING"
     return spark.read.schema("value STRING").text(f"{path}/rows").select(F.from_json("value", line).alias("j")).select("j.*")
 
 
