@@ -130,10 +130,10 @@ def credited_authors(t):
 
 
 @query("typed_authors", "fx_docs", f"""
-    l AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' , ' ELSE replace(left(text, 60), ' ', ' , ') END AS line FROM fx_docs)
+    l AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN ' , ' ELSE replace(text, ' ', ' , ') END AS line FROM fx_docs)
     SELECT doc_id, nullif(array_to_string(list_filter(list_transform(string_split(line, ','), lambda x: {D.strip('x')}), lambda x: x <> ''), ';'), '') AS names FROM l""")
 def typed_authors(t):
-    line = F.when(F.col("doc_id") % 5 == 0, " , ").otherwise(F.replace(F.left("text", F.lit(60)), F.lit(" "), F.lit(" , ")))
+    line = F.when(F.col("doc_id") % 5 == 0, " , ").otherwise(F.replace("text", F.lit(" "), F.lit(" , ")))
     return t.fx_docs.select("doc_id", F.array_join(B.typed_authors(line), ";").alias("names"))
 
 
@@ -206,7 +206,7 @@ NOTES = {1: "First <note>\nsecond line\n\nthird", 3: " plain "}
 
 
 @query("footnote_writing", "fx_docs", rf"""
-    tok AS (SELECT doc_id, replace(replace(replace(replace(left(text, 400), 'the', '⟦fn3⟧'), 'an', '⟦fn2⟧'), 'de', '⟦fn1⟧'), 'xx', '') || '  ' AS md FROM fx_docs),
+    tok AS (SELECT doc_id, replace(replace(replace(replace(text, 'the', '⟦fn3⟧'), 'an', '⟦fn2⟧'), 'de', '⟦fn1⟧'), 'xx', '') || '  ' AS md FROM fx_docs),
     c AS (SELECT doc_id, md, list_filter(regexp_extract_all(md, '⟦fn([0-9]+)⟧', 1), lambda n: n <> '2') AS calls FROM tok),
     b AS (SELECT doc_id, calls, regexp_replace(regexp_replace(regexp_replace(md, '⟦fn2⟧', '', 'g'), '⟦fn([0-9]+)⟧', '[^fn\1]', 'g'), '[\s\p{{Z}}]+$', '') AS body FROM c)
     SELECT doc_id, CASE WHEN len(calls) = 0 THEN body ELSE body || chr(10) || chr(10) || CASE
@@ -215,7 +215,7 @@ NOTES = {1: "First <note>\nsecond line\n\nthird", 3: " plain "}
         WHEN list_position(calls, '1') < list_position(calls, '3') THEN '[^fn1]: First <note>' || chr(10) || '    second line' || chr(10) || chr(10) || '    third' || chr(10) || chr(10) || '[^fn3]: plain'
         ELSE '[^fn3]: plain' || chr(10) || chr(10) || '[^fn1]: First <note>' || chr(10) || '    second line' || chr(10) || chr(10) || '    third' END END AS md FROM b""")
 def footnote_writing(t):
-    md = F.left("text", F.lit(400))
+    md = F.col("text")
     for old, new in (("the", "⟦fn3⟧"), ("an", "⟦fn2⟧"), ("de", "⟦fn1⟧"), ("xx", "")):
         md = F.replace(md, F.lit(old), F.lit(new))
     notes = F.create_map(*[F.lit(x) for pair in NOTES.items() for x in pair])

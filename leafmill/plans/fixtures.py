@@ -313,10 +313,10 @@ def _md_docs(d):
 def _md_images(d):
     p = "cast(doc_id as string)"
     return f"""
-    SELECT doc_id, concat(translate({d.first_words('text', 12)}, '$*#[', ''), ' ![a [b] c](https://img.example/', cast(doc_id % 97 as string), '.png "t") and [link](https://x.example/', {p},
+    SELECT doc_id, concat(translate(text, '$*#[', ''), ' ![a [b] c](https://img.example/', cast(doc_id % 97 as string), '.png "t") and [link](https://x.example/', {p},
         ') ![local](media/x.png) ', CASE WHEN doc_id % 2 = 1 THEN '$$E = mc$$ ' ELSE '' END, '`code` $x^2$ costs $10 and $20 [^c1fn', cast(doc_id % 3 as string), '] H<sub>2</sub>O x<sup>2</sup> ',
         CASE WHEN doc_id % 2 = 0 THEN concat('![](http://img.example/', cast(doc_id % 89 as string), '.jpg) **bold** *it*') ELSE '' END,
-        {d.nl}, translate({d.first_words('text', 5)}, '$*#[', '')) AS md
+        {d.nl}, translate(text, '$*#[', '')) AS md
     FROM documents"""
 
 
@@ -610,7 +610,7 @@ def _chunk_segments(d):
 @fixture("fx_chunks", "fx_segments")
 def _chunks(d):
     return """
-    SELECT transcript_id AS episode_id, cast(floor(seq / 3) as bigint) AS chunk_no, min(substr(text, 1, 40)) AS text, cast(31 as double) AS probed_s
+    SELECT transcript_id AS episode_id, cast(floor(seq / 3) as bigint) AS chunk_no, min(text) AS text, cast(31 as double) AS probed_s
     FROM fx_segments GROUP BY transcript_id, cast(floor(seq / 3) as bigint)"""
 
 

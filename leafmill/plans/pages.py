@@ -21,15 +21,11 @@ def rich(t):
     return S.with_nodes(t.fx_rich_pages)
 
 
-TAGS = ["p", "a", "li", "ul", "h1", "article", "nav", "div", "footer", "b", "br", "title"]
-COUNTS = " UNION ALL ".join(
-    f"SELECT page_id, '{g}' AS tag, len(regexp_extract_all(regexp_replace(html, '(?s)<script>.*?</script>', '', 'g'), '<{g}[ >]')) AS n FROM pages" for g in TAGS
-)
-
-
-@query("page_node_counts", "", f"SELECT * FROM ({COUNTS}) AS c WHERE n > 0")
+@query("page_node_counts", "", """
+    t AS (SELECT page_id, unnest(regexp_extract_all(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '<([a-zA-Z][a-zA-Z0-9]*)[\\s/>]', 1)) AS tag FROM pages)
+    SELECT page_id, lower(tag) AS tag, count(*) AS n FROM t GROUP BY ALL""")
 def page_node_counts(t):
-    nodes = S.node_table(t.pages).filter(F.col("tag").isin(*TAGS))
+    nodes = S.node_table(t.pages).filter(~F.col("tag").startswith("#"))
     return nodes.groupBy("page_id", "tag").agg(F.count("*").alias("n"))
 
 
