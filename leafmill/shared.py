@@ -15,6 +15,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[tuple[SparkSession, str]] = []
+#: The folder of a local application for which none is set.
+_own: dict[str, str] = {}
 
 
 def shared_base(spark: SparkSession) -> str:
@@ -23,9 +25,10 @@ def shared_base(spark: SparkSession) -> str:
         return base.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise ValueError("spark.checkpoint.dir is not set: name a folder that driver and executors share")
-    own = tempfile.mkdtemp(prefix="leafmill-shared-")
-    spark.conf.set("spark.checkpoint.dir", f"file://{own}")
-    return f"file://{own}"
+    application = spark.sparkContext.applicationId
+    if application not in _own:
+        _own[application] = f"file://{tempfile.mkdtemp(prefix='leafmill-shared-')}"
+    return _own[application]
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
