@@ -11,7 +11,7 @@ from leafmill.functions import urls
 from leafmill.functions.text import NOT_WORD, collapse, null_if_empty
 from leafmill.operators import links
 from leafmill.operators.ordered import (
-    Running, block_of, first_per_key, number_rows, running, settle, top_per_key, with_group_flag,
+    Running, block_of, first_per_key, number_ranged, number_rows, running, settle, top_per_key, with_group_flag,
 )
 
 MAX_PER_HOST = 3
@@ -119,10 +119,7 @@ def search_summary(found: DataFrame, shown: DataFrame, batches: DataFrame, provi
 def sort_order(hits: DataFrame, by: str) -> DataFrame:
     """``place`` of each hit per query when sorted by title or duration (unknown lengths last)."""
     if by == "title":
-        # One block per first letter of the title keeps the ranking parallel.
-        return number_rows(
-            hits, ["query_id"], [F.left("title", F.lit(2))], [F.col("title"), F.col("pos")], "place"
-        )
+        return number_ranged(hits, ["query_id"], [F.col("title"), F.col("pos")], "place")
     sign = -1 if by == "duration-desc" else 1
     unknown = F.col("duration_s").isNull().cast("int")
     key = F.coalesce(F.col("duration_s") * sign, F.lit(0))

@@ -125,6 +125,16 @@ def number_rows(
     return running(df, keys, block, order, {name: Running("count")})
 
 
+def number_ranged(df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str) -> DataFrame:
+    """Row numbers from 1 per key in an order that has no natural blocks, such as that of titles.
+
+    Rows are dealt out by ranges of key and order, so a hot key covers many ranges of about equal size; a range
+    is a block. The table is settled: a range must not move between two reads.
+    """
+    ranged = df.repartitionByRange(*[F.col(k) for k in keys], *order).withColumn("_range", F.spark_partition_id())
+    return number_rows(settle(ranged, "ranges"), keys, [F.col("_range")], order, name).select(*df.columns, name)
+
+
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of each key. A map-side combined aggregate, so a hot key costs one row per task."""
     rest = [c for c in df.columns if c not in keys]

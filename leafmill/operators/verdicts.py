@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.operators.ordered import block_of, first_per_key, number_rows, settle
+from leafmill.operators.ordered import first_per_key, number_ranged
 
 MIN_RELEVANCE = 1.0
 # Reading levels from easy to hard.
@@ -47,12 +47,7 @@ def rank_by_verdict(hits: DataFrame, verdicts: DataFrame, wishes: DataFrame) ->
         "_newest": F.when(unjudged, 0).otherwise(F.coalesce(newest, F.lit(0))),
         "relevance": F.coalesce("_relevance", "relevance"),
     })
-    # Dated rows come in blocks of a day, undated ones in blocks of positions after them.
-    block = F.when(F.col("_newest") < 0, F.floor(F.col("_newest") / 86400)).otherwise(block_of("pos"))
-    placed = number_rows(
-        settle(dated), ["query_id"], [F.col("_late"), F.col("_minus"), F.col("_gap"), block],
-        [F.col("_newest"), F.col("pos")], "place",
-    )
+    placed = number_ranged(dated, ["query_id"], [F.col(c) for c in ("_late", "_minus", "_gap", "_newest", "pos")], "place")
     return placed.select(*hits.columns, "place")
 
 

@@ -307,3 +307,22 @@ def test_book_files(table, tmp_path, spark):
     assert [(r.book_id, r.title, r.body) for r in rows] == [("a.md", "One", "later")]
     write_item_list(table("job_id long, number long, title string", (1, 2, "b"), (1, 1, "a")), str(tmp_path / "items"))
     assert [r.title for r in spark.read.json(str(tmp_path / "items")).orderBy("number").collect()] == ["a", "b"]
+
+
+def test_a_page_of_any_size_has_nodes(table):
+    big = "<p>" + "x" * (21 * 1024 * 1024) + "</p>"
+    row = nodes.with_nodes(table("page_id int, url string, html string", (1, "u", big))).select(F.size("nodes").alias("n"), F.length(F.element_at("nodes", -1)["text"]).alias("size")).first()
+    assert (row.n, row.size) == (2, 21 * 1024 * 1024)
+
+
+def test_the_hundredth_feed_stays_in_its_strategy(table):
+    from leafmill.operators import discovery
+
+    sources = table("job_id int, source_index int, url string, query string", (1, 0, "https://a.example/", None))
+    declared = table("url string, rank int, feed_url string", *[("https://a.example/", k, f"https://a.example/f{k}") for k in range(130)])
+    entries = table("feed_url string, pos int, title string, item_url string, audio_url string", ("https://a.example/f120", 0, "declared", "https://a.example/x", None),
+                    ("https://a.example/feed", 0, "guessed", "https://a.example/y", None))
+    pages = table("url string, title string, reads_as_article boolean", ("https://a.example/", "t", False))
+    links = table("url string, place int, href string, title string, uncertain boolean", ("https://a.example/", 0, "https://a.example/z", "link", False))
+    rows = discovery.expand_sources(sources, pages, declared, entries, links).collect()
+    assert [(r.strategy, r.title) for r in rows] == [(3, "declared")]

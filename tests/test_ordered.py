@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from leafmill.functions.blockmatch import matching_blocks, ratio
-from leafmill.operators.ordered import Running, block_of, first_per_key, islands, number_rows, running, top_per_key
+from leafmill.operators.ordered import Running, block_of, first_per_key, islands, number_ranged, number_rows, running, top_per_key
 from leafmill.operators.packing import block_function, pack
 
 
@@ -127,3 +127,13 @@ def test_matching_blocks_equal_the_standard_library():
         assert ratio(a, b) == matcher.ratio()
         mine = {(i + k, j + k) for i, j, n in matching_blocks(a, b) for k in range(n)}
         assert mine == {(m.a + k, m.b + k) for m in matcher.get_matching_blocks() for k in range(m.size)}
+
+
+def test_number_ranged_equals_window(spark, hot):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        mine = number_ranged(hot, ["key"], [F.col("value"), F.col("pos")], "n").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    window = Window.partitionBy("key").orderBy("value", "pos")
+    assert sorted(map(str, mine)) == sorted(map(str, hot.withColumn("n", F.row_number().over(window).cast("bigint")).collect()))
