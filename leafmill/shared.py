@@ -52,16 +52,17 @@ def remove_folders() -> None:
             continue
 
 
-def settle(df: DataFrame, name: str = "table") -> DataFrame:
+def settle(df: DataFrame, name: str = "table", free: bool = False) -> DataFrame:
     """``df`` written once to the shared folder and read back.
 
     For a result that several passes read: each pass then scans only the columns it needs, and a lost
-    executor costs a re-read instead of the whole lineage.
+    executor costs a re-read instead of the whole lineage. ``free``: the shuffles behind it are large, release them.
     """
     path = shared_folder(df.sparkSession, name)
     schema = df.schema
     df.write.parquet(path)
-    release(df.sparkSession)
+    if free:
+        release(df.sparkSession)
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
