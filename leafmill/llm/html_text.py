@@ -128,7 +128,7 @@ def page_of(text: str) -> Page:
 
     at = 0
     lowered = ""
-    for _ in iter(int, 1):
+    while True:
         token = _TOKEN.search(text, at)
         if token is None:
             words.append(text[at:])
@@ -166,7 +166,8 @@ def page_of(text: str) -> Page:
         if tag in VOID:
             if tag == "hr":
                 close_block()
-            words.append(" " if tag in ("br", "wbr") and tag == "br" else "")
+            elif tag == "br":
+                words.append(" ")
             continue
         if tag in BLOCK:
             close_block()

@@ -79,9 +79,10 @@ def exponent(sources: DataFrame, entropy_share: float, repeats: float, budget: i
 
 
 def weights(sources: DataFrame, power: float) -> DataFrame:
-    """``sources`` with their normalised weight."""
+    """``sources`` with their normalised weight, rounded, and never rounded down to nothing."""
     scale = sources.agg(F.sum(F.exp(F.ln("share") * power))).first()[0]
-    return sources.withColumn("weight", F.round(F.exp(F.ln("share") * power) / (scale or 1.0), WEIGHT_DIGITS))
+    weight = F.round(F.exp(F.ln("share") * power) / (scale or 1.0), WEIGHT_DIGITS)
+    return sources.withColumn("weight", F.greatest(weight, F.lit(10.0**-WEIGHT_DIGITS)))
 
 
 def mixed(

@@ -16,7 +16,7 @@ steps AS (SELECT 0 AS i, 0.0::DOUBLE AS low, 1.0::DOUBLE AS high UNION ALL SELEC
         SELECT i, low, high, mid, k, least, most, list_sum(list_transform(l, lambda x: pow(x, mid))) AS z, list_sum(list_transform(l, lambda x: pow(x, mid) * ln(x))) AS e
         FROM (SELECT steps.*, one.*, (low + high) / 2 AS mid FROM steps, one WHERE i < 32) AS a) AS b) AS c),
 power AS (SELECT CASE WHEN k < 2 THEN 1.0 ELSE high END AS a FROM steps, one WHERE i = 32),
-w AS (SELECT *, round(pow(share, a) / (SELECT sum(pow(share, a)) FROM shares, power), 6) AS weight FROM shares, power),
+w AS (SELECT *, greatest(round(pow(share, a) / (SELECT sum(pow(share, a)) FROM shares, power), 6), 1e-6) AS weight FROM shares, power),
 budgets AS (SELECT *, floor((SELECT max(tokens / weight) FROM w) * weight + 1e-6)::BIGINT AS budget FROM w),
 plan AS (SELECT s, weight, budget // tokens AS passes, budget % tokens AS rest, ceil(rows_ / 4096.0)::BIGINT AS blocks FROM budgets),
 dealt AS (SELECT d.*, weight, passes, rest, ('0x' || substr(md5('mix-1|block|' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT % blocks AS block FROM d JOIN plan USING (s)),

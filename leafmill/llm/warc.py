@@ -154,7 +154,13 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
             part = f"{folder}/_{uuid.uuid4().hex}"
             with store.open_output_stream(part) as stream:
                 stream.write(archive)
-            store.move(part, name)
+            try:
+                store.move(part, name)
+            except OSError:
+                # Stores that do not overwrite: another run of this task has written the same archive.
+                if store.get_file_info(name).type != pyarrow.fs.FileType.File:
+                    raise
+                store.delete_file(part)
             yield pa.record_batch([pa.array([name]), pa.array([len(archive)], pa.int64())], ["archive", "bytes"])
 
     planned.mapInArrow(save, "archive string, bytes bigint").write.format("noop").mode("overwrite").save()
