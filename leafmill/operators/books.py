@@ -109,10 +109,17 @@ def book_parts(chapters: DataFrame, prefaces: DataFrame) -> DataFrame:
     return head.unionByName(index).unionByName(gap).unionByName(opened).unionByName(body)
 
 
+BUCKETS = 256
+
+
 def write_books(parts: DataFrame, path: str) -> None:
-    """One folder per book, its text files in reading order. A long book spreads over several files."""
-    ordered = parts.repartitionByRange("book_id", "section", "number").sortWithinPartitions("book_id", "section", "number")
-    ordered.select("book_id", "text").write.mode("overwrite").partitionBy("book_id").text(path)
+    """Books as JSON lines (book_id, section, number, text) in reading order, in ``BUCKETS`` folders by a hash of the book.
+
+    A long book spreads over several files; its order is in the rows.
+    """
+    order = ["bucket", "book_id", "section", "number"]
+    bucketed = parts.withColumn("bucket", F.pmod(F.xxhash64("book_id"), F.lit(BUCKETS)))
+    bucketed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def single_origin_books(chapters: DataFrame) -> DataFrame:

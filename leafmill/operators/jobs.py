@@ -118,8 +118,10 @@ def item_list(items: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def write_item_list(rows: DataFrame, path: str) -> None:
-    ordered = rows.repartitionByRange("job_id", "number").sortWithinPartitions("job_id", "number")
-    ordered.write.mode("overwrite").partitionBy("job_id").json(path)
+    """Item lists as JSON lines in order, in a bounded number of folders by a hash of the job."""
+    order = ["bucket", "job_id", "number"]
+    bucketed = rows.withColumn("bucket", F.pmod(F.xxhash64("job_id"), F.lit(256)))
+    bucketed.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("bucket").json(path)
 
 
 def reap_orphans(states: DataFrame, jobs: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,6 @@ def scan_books(spark: SparkSession, path: str) -> DataFrame:
 
 
 def scan_book_lines(spark: SparkSession, path: str) -> DataFrame:
-    """The lines of books written one folder per book; a book of any size is read line by line."""
-    lines = spark.read.schema("value STRING, book_id STRING").option("basePath", path).text(path)
-    return lines.select("book_id", F.col("value").alias("line"))
+    """The lines of written books with their place (book_id, section, number, line_no, line); a book is never one value."""
+    parts = spark.read.schema("book_id STRING, section INT, number BIGINT, text STRING").json(path)
+    return parts.select("book_id", "section", "number", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))

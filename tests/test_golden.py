@@ -257,8 +257,12 @@ def test_book_text(table, tmp_path, spark):
         "# One \\<x> {lang=fr}\n::: {.source-attribution lang=en}\n*Source: [https://a.example/1](https://a.example/1)* | *Author: Ann* | *Date: 2024-01-02*\n:::\n\nText[^c1fn1].\n\n"
         "# Deux {lang=en}\n::: {.source-attribution}\n*Source: [https://a.example/3](https://a.example/3)*\n:::\n\nPlus long texte.\n")
     books.write_books(parts, str(tmp_path / "books"))
-    read = spark.read.text(str(tmp_path / "books"), wholetext=False)
-    assert read.filter("book_id = 'b' AND value LIKE '# %'").count() == 4
+    from leafmill.sources.books import scan_book_lines
+
+    read = scan_book_lines(spark, str(tmp_path / "books"))
+    assert read.filter("book_id = 'b' AND line LIKE '# %'").count() == 4
+    lines = sorted(read.collect(), key=lambda r: (r.section, r.number, r.line_no))
+    assert "\n".join(r.line for r in lines) == "\n".join(r.text for r in rows)
 
 
 PAGE = """<html lang="en"><head><title>My Post | Site</title><script>var x="</p>";</script></head><body><header><h1>Site</h1></header><nav><a href="/x">x</a></nav>
