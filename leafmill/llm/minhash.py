@@ -4,13 +4,14 @@
    (``node``) and a signature of ``coordinates`` minima. Documents with equal sets are one node from here on.
 2. Postings: every node is posted under each (coordinate, value). Values seen once cannot collide and are
    dropped, and with them the nodes that have fewer than ``matches`` colliding coordinates.
-3. Prefix: two nodes that agree on ``matches`` coordinates share one of the first ``s - matches + 1`` of their
-   ``s`` colliding coordinates in one global order, rarest first; only those are merged.
-4. Skip merging: a posting list is not paired out. Its most central member (largest posting frequencies) meets
-   the others; collisions of a pair are counted over the two signatures, pairs from ``matches`` up are
-   confirmed on their sets, and links join components. A member that has met its whole list retires, a list
-   whose remaining members are one component is skipped. Rounds take 1, 4, 16, ... members of each list that
-   is left, so every pair of a list that is not yet connected is met: components are the same as from all pairs.
+3. Prefix: of the nodes that are left, each is posted under its rarest shingles, as many as two similar sets cannot
+   both miss. With a shingle stands how many the set has from there on: if it is the first that two sets share,
+   they share no more than that, which rules most pairs out before they are made.
+4. Skip merging: a posting list is not paired out. Its most central member (largest posting frequencies) meets the
+   others; collisions of a pair are counted over the two signatures, pairs from ``matches`` up are confirmed on
+   their sets, and links join components. A member that has met its list retires, a list whose remaining members
+   are one component is skipped. Rounds take 1, 8, 64, ... members of each list that is left, so every pair that can
+   be similar and is not yet connected is met: components are the same as from all pairs.
 
 ``matches`` is the largest number for which a pair at the threshold is missed with probability below 1e-8.
 
@@ -97,28 +98,29 @@ def sketches(docs: DataFrame, size: int, coordinates: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, size: int) -> DataFrame:
-    """``node, shingles`` of each row of ``node, _text``."""
+    """``num, shingles`` of each row of ``num, _text``."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to in slices(batch["_text"]):
                 part = batch.slice(at, to - at)
                 sets = [s.view(np.int64) for s in _shingles(words(part["_text"], lower=True), size)]
-                yield pa.record_batch([part["node"], pa.array(sets, pa.list_(pa.int64()))], ["node", "shingles"])
+                yield pa.record_batch([part["num"], pa.array(sets, pa.list_(pa.int64()))], ["num", "shingles"])
 
-    return docs.mapInArrow(scan, "node binary, shingles array<bigint>")
+    return docs.mapInArrow(scan, "num bigint, shingles array<bigint>")
 
 
-def _least_share(n: Column, m: Column, share: tuple[int, int]) -> Column:
-    return F.least(n, m) * share[1] >= F.greatest(n, m) * share[0]
+def _possible(left: Column, n: Column, other: Column, m: Column, share: tuple[int, int]) -> Column:
+    """Whether sets of n and m can be similar enough that share none but the last ``left`` and ``other`` of their shingles."""
+    return F.least(left, other) * (share[0] + share[1]) >= (n + m) * share[0]
 
 
-def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, share: tuple[int, int]) -> DataFrame:
+def _links(pairs: DataFrame, members: DataFrame, sets: DataFrame, matches: int, share: tuple[int, int]) -> DataFrame:
     """Those pairs ``a, b`` whose signatures agree often enough and whose sets confirm it."""
-    def sided(table: DataFrame, side: str, *columns: str) -> DataFrame:
-        return table.select(F.col("node").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in columns])
+    def sided(table: DataFrame, side: str, column: str) -> DataFrame:
+        return table.select(F.col("num").alias(side), F.col(column).alias(f"{side}_{column}"))
 
-    signed = pairs.join(sided(nodes, "a", "signature"), "a").join(sided(nodes, "b", "signature"), "b")
+    signed = pairs.join(sided(members, "a", "signature"), "a").join(sided(members, "b", "signature"), "b")
     agree = F.size(F.filter(F.zip_with("a_signature", "b_signature", lambda x, y: x == y), lambda same: same))
     close = signed.filter(agree >= matches).select("a", "b")
     whole = close.join(sided(sets, "a", "shingles"), "a").join(sided(sets, "b", "shingles"), "b")
@@ -127,46 +129,76 @@ def _links(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, matches: int, sh
     return whole.filter(common * share[1] >= union * share[0]).select("a", "b")
 
 
+def _colliding(nodes: DataFrame, matches: int, share: tuple[int, int]) -> DataFrame:
+    """Nodes with at least ``matches`` colliding coordinates, numbered."""
+    pack = F.shiftleft(F.col("_at").cast("bigint"), 32).bitwiseOR(F.col("_value").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
+    # A smaller set is similar enough to no other than itself: one shingle more is too much.
+    able = nodes.filter(F.col("n") * share[1] >= (F.col("n") + 1) * share[0])
+    posted = able.select("node", F.posexplode("signature").alias("_at", "_value")).select("node", pack.alias("post"))
+    # Settled, so that both sides of the join are plain shuffles and a value of very many nodes can be split.
+    common = settle(posted.groupBy("post").agg(F.count(F.lit(1)).alias("often")).filter("often > 1").select("post"), "posts")
+    hits = posted.join(common, "post").groupBy("node").agg(F.count(F.lit(1)).alias("_hits")).filter(F.col("_hits") >= matches)
+    return settle(hits.select("node").join(nodes, "node").withColumn("num", F.monotonically_increasing_id()), "colliding", free=True)
+
+
+def _prefixes(sets: DataFrame, share: tuple[int, int]) -> DataFrame:
+    """``num, n, weight, post, left``: the rarest shingles of each set, with how many it has from there on.
+
+    Two similar sets share one of their first ``n - least common + 1`` shingles in one global order. Their first
+    common one leaves both with ``left`` shingles to share.
+    """
+    flat = sets.select("num", F.explode("shingles").alias("post"))
+    often = settle(flat.groupBy("post").agg(F.count(F.lit(1)).alias("often")).filter("often > 1"), "often")
+    counted = flat.join(often, "post", "left").withColumn("often", F.coalesce("often", F.lit(1)))
+    ranked = counted.groupBy("num").agg(F.sort_array(F.collect_list(F.struct("often", "post"))).alias("_r"))
+    n = F.size("_r").cast("bigint")
+    length = n - F.ceil(n * share[0] / share[1]) + 1
+    weight = F.aggregate("_r", F.lit(0).cast("bigint"), lambda sum_, hit: sum_ + hit["often"])
+    cut = ranked.select("num", n.alias("n"), weight.alias("weight"), F.posexplode(F.slice("_r", F.lit(1), length.cast("int"))).alias("_at", "_hit"))
+    return cut.filter("_hit.often > 1").select("num", "n", "weight", F.col("_hit.post").alias("post"), (F.col("n") - F.col("_at")).alias("left"))
+
+
 def link_nodes(nodes: DataFrame, docs: DataFrame, size: int, matches: int, share: tuple[int, int]) -> DataFrame | None:
-    """``node, root`` of the nodes that are linked with another; None where no two collide.
+    """``node, root``: a number for each group of linked nodes; None where no two can be linked.
 
     ``nodes``: node, n, signature and the key of one row with that text in ``docs``.
     """
-    pack = F.shiftleft(F.col("_at").cast("bigint"), 32).bitwiseOR(F.col("_value").cast("bigint").bitwiseAND(F.lit(0xFFFFFFFF)))
-    posted = nodes.select("node", F.posexplode("signature").alias("_at", "_value")).select("node", pack.alias("post"))
-    common = posted.groupBy("post").agg(F.count(F.lit(1)).alias("often")).filter("often > 1")
-    hits = posted.join(common, "post").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("often", "post"))).alias("hits"))
-    hits = hits.filter(F.size("hits") >= matches)
-    weight = F.aggregate("hits", F.lit(0).cast("bigint"), lambda sum_, hit: sum_ + hit["often"])
-    prefix = F.slice("hits", F.lit(1), F.size("hits") - (matches - 1))
-    kept = settle(hits.select("node", weight.alias("weight"), prefix.alias("prefix")), "prefixes")
-    wanted = kept.select("node").join(nodes.select("node", "_id", "_copy"), "node")
-    sets = settle(shingle_sets(docs.join(wanted, ["_id", "_copy"]).select("node", "_text"), size).dropDuplicates(["node"]), "sets")
-    flat = kept.join(nodes.select("node", "n"), "node").select("node", "n", "weight", F.explode("prefix.post").alias("post"))
-    lists = settle(flat.withColumn("root", F.col("node")), "lists")
+    members = _colliding(nodes, matches, share)
+    found = docs.join(members.select("_id", "_copy", "num"), ["_id", "_copy"]).select("num", "_text")
+    sets = settle(shingle_sets(found, size).dropDuplicates(["num"]), "sets", free=True)
+    lists = settle(_prefixes(sets, share).withColumn("root", F.col("num")), "lists", free=True)
     links: DataFrame | None = None
-    take = 1
     labels: DataFrame | None = None
+    take = 1
     while True:
-        open_ = lists.groupBy("post").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).filter("_low != _high").select("post")
-        # Lists in which all are one component are done; nothing in them needs a look.
-        lists = settle(lists.join(open_, "post"), "lists")
+        about = lists.groupBy("post").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.min("n").alias("_least")).filter("_low != _high")
+        # Lists in which all are one component are done; so are members that no size in their list can match.
+        partner = F.greatest("_least", "left")
+        rest = lists.join(about, "post").filter(_possible(F.col("left"), F.col("n"), partner, partner, share))
+        lists = settle(rest.select("num", "n", "left", "weight", "root", "post"), "lists")
         if lists.limit(1).count() == 0:
-            return labels
-        central = Window.partitionBy("post").orderBy(F.desc("weight"), "node")
-        heads = lists.withColumn("_rank", F.row_number().over(central)).filter(F.col("_rank") <= take)
-        heads = settle(heads.select("post", F.col("node").alias("head"), F.col("n").alias("head_n"), F.col("root").alias("head_root"), "_rank"), "heads")
-        met = lists.join(heads.drop("_rank"), "post").filter(
-            (F.col("root") != F.col("head_root")) & _least_share(F.col("n"), F.col("head_n"), share)
+            break
+        if take == 1:
+            first = lists.groupBy("post").agg(F.max(F.struct("weight", "num", "n", "left", "root")).alias("_h"))
+            heads = first.select("post", "_h.*")
+        else:
+            central = Window.partitionBy("post").orderBy(F.desc("weight"), F.desc("num"))
+            heads = lists.withColumn("_rank", F.row_number().over(central)).filter(F.col("_rank") <= take).drop("_rank")
+        heads = settle(heads.select("post", *[F.col(c).alias(f"head_{c}") for c in ("num", "n", "left", "root")]), "heads")
+        met = lists.join(heads, "post").filter(
+            (F.col("root") != F.col("head_root")) & _possible(F.col("left"), F.col("n"), F.col("head_left"), F.col("head_n"), share)
         )
-        pairs = met.select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-        found = settle(_links(pairs, nodes, sets, matches, share), "links")
-        links = found if links is None else settle(links.unionByName(found), "links")
+        pairs = met.select(F.least("num", "head_num").alias("a"), F.greatest("num", "head_num").alias("b")).distinct()
+        fresh = settle(_links(pairs, members, sets, matches, share), "links")
+        links = fresh if links is None else settle(links.unionByName(fresh), "links")
         labels = roots(links)
-        rest = lists.join(heads.select("post", F.col("head").alias("node")), ["post", "node"], "left_anti")
-        relabelled = rest.drop("root").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        lists = settle(relabelled.select("node", "n", "weight", "post", "root"), "lists")
-        take *= 4
+        waiting = lists.join(heads.select("post", F.col("head_num").alias("num")), ["post", "num"], "left_anti")
+        relabelled = waiting.drop("root").join(labels.withColumnRenamed("node", "num"), "num", "left").withColumn("root", F.coalesce("root", "num"))
+        lists = settle(relabelled.select("num", "n", "left", "weight", "root", "post"), "lists")
+        take *= 8
+    if labels is None:
+        return None
+    return members.select("num", "node").join(labels.withColumnRenamed("node", "num"), "num").select("node", "root")
 
 
 def groups(
@@ -189,9 +221,10 @@ def groups(
     if labels is None:
         least = least.withColumnRenamed("_id", "_least")
     else:
-        rooted = least.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        smallest = rooted.groupBy("root").agg(F.min("_id").alias("_least"))
-        least = rooted.select("node", "root").join(smallest, "root").select("node", "_least")
+        linked = least.join(labels, "node")
+        smallest = linked.groupBy("root").agg(F.min("_id").alias("_smallest"))
+        linked = linked.join(smallest, "root").select("node", "_smallest")
+        least = least.join(linked, "node", "left").select("node", F.coalesce("_smallest", "_id").alias("_least"))
     full = sketch.select("_id", "_copy", "n", "node").join(least, "node", "left")
     component = F.coalesce("_least", "_id")
     return full.select(
