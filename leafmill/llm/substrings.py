@@ -177,10 +177,15 @@ def blocks(docs: DataFrame, places: DataFrame, window: int = WINDOW) -> DataFram
 
 
 def _earliest(table: DataFrame, *content: str) -> DataFrame:
-    """``table`` with the earliest place of each row's content, and whether the row comes later."""
-    first = table.groupBy(*content).agg(F.min(F.struct("_id", "pos")).alias("_first"))
+    """``table`` with the earliest place of each row's content that occurs again, and whether the row comes later.
+
+    The earliest places are settled, so that both sides of the join are plain shuffles and content that a third of
+    all documents hold can be split.
+    """
+    first = table.groupBy(*content).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("_id", "pos")).alias("_first")).filter("_n > 1")
     later = (F.col("_id") > F.col("_first._id")) | ((F.col("_id") == F.col("_first._id")) & (F.col("pos") > F.col("_first.pos")))
-    return table.join(first, list(content)).withColumn("later", later)
+    joined = table.join(settle(first.drop("_n"), "earliest"), list(content), "left")
+    return joined.withColumn("later", F.coalesce(later, F.lit(False)))
 
 
 def pointers(found: DataFrame, docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -216,7 +221,7 @@ def removals(docs: DataFrame, window: int = WINDOW, id_column: str = "doc_id", t
     copies = digest.join(firsts, "_digest").filter("_id > _least").select("_id", "_copy")
     several = digest.groupBy("_id").agg((F.min("_copy") < F.max("_copy")).alias("apart")).filter("apart")
     places = anchors(rows, window)
-    repeats = places.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").drop("_n")
+    repeats = settle(places.groupBy("anchor").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("anchor"), "repeats")
     marked = [
         places.join(repeats, "anchor").select("_id", "anchor"),
         # A later copy is one factor: it brings no blocks of its own.

@@ -57,7 +57,7 @@ def encoded(missing: DataFrame, path: str) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = piece_counter(path)
         for batch in batches:
-            for at, to in slices(batch["text"], 1 << 20):
+            for at, to in slices(batch["text"], 1 << 18):
                 part = batch.slice(at, to - at)
                 yield pa.record_batch([part["content"], pa.array(count(part["text"].to_pylist()), pa.int64())], ["content", "n_tokens"])
 
