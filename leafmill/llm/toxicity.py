@@ -2,21 +2,24 @@
 
 Expressions are lower-cased words. A word's lower order is its stem (first ``STEM`` bytes): as in
 Kneser-Ney smoothing, stems are counted by the number of different words they continue to, not by
-occurrences. For class c, with word counts n, word kinds per stem m, and a discount for each order,
+occurrences. For class c, with word counts n, word kinds per stem m, kinds per stem in either class k, and
+the discounts D and E of each order (Kneser-Ney's n1 / (n1 + 2 n2), of the words or stems counted once and twice),
 
-    P_c(w) = (n_c(w) - D_c)+ / N_c + left * (m_c(stem) - E_c)+ / M_c / FORMS + left' * shared(stem)
+    P_c(w) = (n_c(w) - D_c) / N_c + left * ((m_c(stem) - E_c)+ / M_c + left' * shared(stem)) / k(stem)
 
 where ``shared`` counts both classes' kinds together and the masses left over by the discounts are the
-same for both classes. So an expression that is rare in one class falls back to its stem, one that neither
-class knows falls back to the shared counts, and there the two models agree: it says nothing.
+same for both classes (the larger of the two). So an expression that is rare in one class falls back to its
+stem, one that neither class knows falls back to the shared counts, and there the two models agree: it says nothing.
 
 A text's evidence is its length-normalised log-likelihood ratio, over the whole text and over its
 strongest 1, 3 and 10 expressions (an insult is as bad in a long text). A logistic calibration weighs them.
 
-Counts cover every word of every labelled row outside the held-out fold. They live in a table of a fixed
-``1 << BUCKET_BITS`` buckets (the stem's hash, then the word's), so the model that each task loads is at most
-8 MB however large the corpus is, and no expression is dropped. Fold 4 of 5 sets the calibration: it is scored
-by the counts of folds 1 to 3, at most ``CALIBRATION_ROWS`` rows of it; final scores use the counts of 1 to 4.
+Counts cover every word of every labelled row outside the held-out fold, one row per word (by a 64-bit hash) in
+a table that grows with the corpus, and one per stem in another. The commonest ``HEAD`` words and stems at most
+are broadcast with their ratios; all other words of a text are joined to the tables by shuffle, so nothing is
+dropped or shared between words. Ratios are whole numbers of 1 / ``UNIT``, so sums do not depend on their order.
+Fold 4 of 5 sets the calibration: it is scored by the counts of folds 1 to 3, at most ``CALIBRATION_ROWS`` rows of
+it; final scores use the counts of 1 to 4.
 
 Labels are broadcast up to ``BROADCAST_LABELS`` rows (16 bytes each), else joined by shuffle.
 
@@ -37,72 +40,201 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafmill.llm.words import SPACE, mixed, slices, words
+from leafmill.llm.words import SPACE, slices, words
+from leafmill.shared import settle
 
 STEM = 5
-FORM_BITS = 3
-BUCKET_BITS = 21
-FORMS = 1 << FORM_BITS
-DISCOUNT = 0.4
+HEAD = 1 << 20
+UNIT = 1 << 20
 PEAKS = (1, 3, 10)
 FOLDS = 5
 CALIBRATION_ROWS = 20_000
 BROADCAST_LABELS = 2_000_000
+#: Word counts of each model, ordinary and toxic: of folds 1 to 3, and of all four.
+MODELS = {"early": ("k0", "k1"), "full": ("k0 + k2", "k1 + k3")}
 
 #: Every ASCII byte that is no letter or digit stands between words.
 BREAKS = SPACE.copy()
 BREAKS[[b for b in range(128) if not chr(b).isalnum()]] = True
 
 
-def buckets(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The bucket of each word of a text column, and the first word of each text."""
+def expressions(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and stem of each word of a text column, and the first word of each text."""
     found = words(pc.utf8_lower(column), separators=BREAKS)
-    stem = np.zeros(len(found.start), np.uint64)
+    stem = np.zeros(len(found.start), np.int64)
     size = len(found.data)
     for j in range(STEM):
         at = found.start + j
         byte = found.data[np.minimum(at, size - 1)] if size else found.data
-        stem |= np.where(at < found.end, byte.astype(np.uint64), np.uint64(0)) << np.uint64(8 * j)
-    top = mixed(stem + np.uint64(1)) >> np.uint64(64 - (BUCKET_BITS - FORM_BITS))
-    return ((top << np.uint64(FORM_BITS)) | (found.hash & np.uint64(FORMS - 1))).astype(np.int64), found.first
+        stem |= np.where(at < found.end, byte.astype(np.int64), 0) << (8 * j)
+    return found.hash.view(np.int64), stem, found.first
 
 
-def log_ratios(ordinary: np.ndarray, toxic: np.ndarray) -> np.ndarray:
-    """log P_toxic - log P_ordinary of every bucket, from word counts per bucket."""
-    counts = np.stack([ordinary, toxic]).astype(np.float64)
-    kinds = (counts > 0).reshape(2, -1, FORMS).sum(2).astype(np.float64)
+@dataclass
+class Order:
+    """What one order of one class comes to: the sum of its counts, how many there are, and how many are 1 and 2."""
+
+    total: int
+    kinds: int
+    once: int
+    twice: int
+
+    @property
+    def discount(self) -> float:
+        return (self.once + 0.5) / (self.once + 2 * self.twice + 1)
+
+    @property
+    def left(self) -> float:
+        return self.discount * self.kinds / self.total if self.total else 1.0
+
+    def kept(self, count: str) -> Column:
+        return F.greatest(F.col(count) - F.lit(self.discount), F.lit(0.0)) / F.lit(float(max(self.total, 1)))
+
+
+def orders(table: DataFrame, columns: list[str]) -> dict[str, Order]:
+    sums = [[F.sum(c), F.count_if(F.col(c) > 0), F.count_if(F.col(c) == 1), F.count_if(F.col(c) == 2)] for c in columns]
+    row = table.agg(*[x for own in sums for x in own]).first()
+    return {c: Order(*[row[4 * i + j] or 0 for j in range(4)]) for i, c in enumerate(columns)}
+
+
+def word_counts(rows: DataFrame) -> DataFrame:
+    """One row per word: hash ``h``, stem ``s``, and its counts in four kinds of rows: ordinary and toxic of folds 1 to 3, then of fold 4."""
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kinds = (batch["_toxic"].to_numpy() + 2 * (batch["_fold"].to_numpy() == FOLDS - 1)).astype(np.int64)
+            for at, to in slices(batch["_text"]):
+                h, s, first = expressions(batch["_text"].slice(at, to - at))
+                own, place, inverse = np.unique(h, return_index=True, return_inverse=True)
+                counts = np.bincount(4 * inverse + np.repeat(kinds[at:to], np.diff(first)), minlength=4 * len(own)).reshape(-1, 4)
+                yield pa.record_batch([pa.array(own), pa.array(s[place]), *[pa.array(counts[:, k].astype(np.int64)) for k in range(4)]], ["h", "s", "k0", "k1", "k2", "k3"])
+
+    found = rows.mapInArrow(scan, "h bigint, s bigint, k0 bigint, k1 bigint, k2 bigint, k3 bigint")
+    return found.groupBy("h", "s").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(4)])
+
+
+def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """log P_toxic - log P_ordinary by each model, of every word (``h, s, early, full, n``) and of unknown words of every stem (``s, early, full, n``)."""
+    sides = [f"{model}{c}" for model in MODELS for c in range(2)]
+    counts = counts.select("h", "s", *[F.expr(x).alias(f"{model}{c}") for model, pair in MODELS.items() for c, x in enumerate(pair)])
+    stems = counts.groupBy("s").agg(
+        *[F.count_if(F.col(x) > 0).alias(f"m_{x}") for x in sides],
+        *[F.count_if(F.expr(f"{model}0 + {model}1 > 0")).alias(f"k_{model}") for model in MODELS],
+    )
+    stems = settle(stems, "stems")
+    high, low = orders(counts, sides), orders(stems, [f"m_{x}" for x in sides] + [f"k_{model}" for model in MODELS])
+    for model in MODELS:
+        kinds = low[f"k_{model}"]
+        left = max(low[f"m_{model}{c}"].left for c in range(2))
+        shared = (F.col(f"k_{model}") + 0.5) / F.lit(kinds.total + 0.5 * (kinds.kinds + 1))
+        for c in range(2):
+            stems = stems.withColumn(f"low_{model}{c}", low[f"m_{model}{c}"].kept(f"m_{model}{c}") + F.lit(left) * shared)
+    known = counts.join(stems, "s")
+    for model in MODELS:
+        left = max(high[f"{model}{c}"].left for c in range(2))
+        ordinary, toxic = [high[f"{model}{c}"].kept(f"{model}{c}") + F.lit(left) * F.col(f"low_{model}{c}") / F.greatest(F.col(f"k_{model}"), F.lit(1)) for c in range(2)]
+        known = known.withColumn(model, F.round(F.ln(toxic / ordinary) * UNIT).cast("bigint"))
+        stems = stems.withColumn(model, F.round(F.ln(F.col(f"low_{model}1") / F.col(f"low_{model}0")) * UNIT).cast("bigint"))
+    return known.select("h", "s", *MODELS, F.expr("full0 + full1").alias("n")), stems.select("s", *MODELS, F.col("k_full").alias("n"))
+
+
+def head(table: DataFrame, key: str) -> tuple[dict[str, np.ndarray], bool]:
+    """The commonest rows of a table by ``n``, ``HEAD`` at most and sorted by ``key``, and whether these are all."""
+    sizes = sorted(table.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("power")).count().collect(), reverse=True)
+    power, taken = None, 0
+    for size in sizes:
+        if taken + size["count"] > HEAD:
+            break
+        power, taken = size["power"], taken + size["count"]
+    common = table.limit(0) if power is None else table.filter(F.floor(F.log2(F.col("n") + 0.5)) >= power)
+    rows = common.select(key, *MODELS).toArrow()
+    place = np.argsort(rows[key].to_numpy())
+    return {c: rows[c].to_numpy()[place] for c in rows.column_names}, taken == sum(s["count"] for s in sizes)
+
 
-    def discounted(table: np.ndarray) -> tuple[np.ndarray, float]:
-        """Class probabilities after the discount, and the larger of the two masses left."""
-        total, present = table.sum(1), (table > 0).sum(1)
-        discount = DISCOUNT * total / np.maximum(present, 1)
-        kept = np.maximum(table - discount[:, None], 0) / np.maximum(total, 1)[:, None]
-        return kept, float((1 - kept.sum(1)).max())
+def _looked_up(rows: dict[str, np.ndarray], key: str, model: str, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ratio of each wanted key, or 0, and whether it is there."""
+    keys = rows[key]
+    if not len(keys):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    there = keys[at] == wanted
+    return np.where(there, rows[model][at], 0), there
 
-    high, left = discounted(counts)
-    low, lower_left = discounted(kinds)
-    shared = (kinds.sum(0) + 0.5) / (kinds.sum() + 0.5 * kinds.shape[1])
-    stems = (low + lower_left * shared) / FORMS
-    return np.diff(np.log(high + left * np.repeat(stems, FORMS, axis=1)), axis=0)[0].astype(np.float32)
 
+@dataclass
+class Lexicon:
+    words: DataFrame
+    stems: DataFrame
+    #: Broadcast rows of each, and whether they are all of its rows.
+    common: object
+    whole: tuple[bool, bool]
+
+
+def lexicon_of(counts: DataFrame) -> Lexicon:
+    known, stems = (settle(x, "ratios") for x in log_ratios(counts))
+    (common, all_words), (common_stems, all_stems) = head(known, "h"), head(stems, "s")
+    return Lexicon(known, stems, counts.sparkSession.sparkContext.broadcast((common, common_stems)), (all_words, all_stems))
+
+
+def _strongest(values: np.ndarray) -> list[int]:
+    most = max(PEAKS)
+    return np.sort(np.partition(values, len(values) - most)[-most:] if len(values) > most else values)[::-1].tolist()
 
-def evidence(column: pa.Array, ratios: np.ndarray) -> np.ndarray:
+
+def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
+    """``rows`` with three columns for ``_text``: its number of words ``n``, the ``total`` of their ratios, and the strongest (``top``)."""
+    carried = [f for f in rows.schema.fields if f.name != "_text"]
+    common, (all_words, all_stems) = lexicon.common, lexicon.whole
+    names = [*[f.name for f in carried], "n", "total", "top", "h", "s", "times"]
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, stems = common.value
+        for batch in batches:
+            for at, to in slices(batch["_text"]):
+                part = batch.slice(at, to - at)
+                h, s, first = expressions(part["_text"])
+                own, place, inverse = np.unique(h, return_index=True, return_inverse=True)
+                value, sure = _looked_up(known, "h", model, own)
+                if all_words:
+                    lower, there = _looked_up(stems, "s", model, s[place])
+                    value, sure = np.where(sure, value, lower), sure | there | all_stems
+                total, top, rest = [], [], ([], [], [])
+                for low, high in zip(first[:-1], first[1:]):
+                    kind = inverse[low:high]
+                    given = sure[kind]
+                    values = value[kind[given]]
+                    total.append(int(values.sum()))
+                    top.append(_strongest(values))
+                    others, times = np.unique(kind[~given], return_counts=True)
+                    for column, x in zip(rest, (own[others], s[place[others]], times)):
+                        column.append(x.tolist())
+                lists = [pa.array(x, pa.list_(pa.int64())) for x in (top, *rest)]
+                yield pa.record_batch([*[part[f.name] for f in carried], pa.array(np.diff(first)), pa.array(total, pa.int64()), *lists], names)
+
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n bigint, total bigint, top array<bigint>, h array<bigint>, s array<bigint>, times array<bigint>"])
+    found = rows.mapInArrow(scan, schema)
+    if all_words and all_stems:
+        return found.drop("h", "s", "times")
+    found = settle(found.withColumn("_row", F.monotonically_increasing_id()), "described")
+    rest = found.select("_row", F.explode(F.arrays_zip("h", "s", "times")).alias("_x")).select("_row", "_x.*")
+    rest = rest.join(lexicon.words.select("h", "s", F.col(model).alias("_word")), ["h", "s"], "left").join(lexicon.stems.select("s", F.col(model).alias("_stem")), "s", "left")
+    rest = rest.select("_row", F.coalesce("_word", "_stem", F.lit(0)).alias("value"), "times")
+    repeated = F.flatten(F.collect_list(F.array_repeat("value", F.least("times", F.lit(max(PEAKS))).cast("int"))))
+    rest = rest.groupBy("_row").agg(F.sum(F.col("value") * F.col("times")).alias("_total"), repeated.alias("_top"))
+    joined = found.drop("h", "s", "times").join(rest, "_row", "left")
+    top = F.slice(F.sort_array(F.concat("top", F.coalesce("_top", F.array().cast("array<bigint>"))), False), 1, max(PEAKS))
+    return joined.withColumn("total", F.col("total") + F.coalesce("_total", F.lit(0))).withColumn("top", top).drop("_row", "_total", "_top")
+
+
+def evidence(batch: pa.RecordBatch) -> np.ndarray:
     """Per text: the mean ratio, the mean of its strongest expressions, and its log length."""
-    bucket, first = buckets(column)
-    value = ratios[bucket].astype(np.float64)
-    n = np.diff(first)
+    n = batch["n"].to_numpy()
     out = np.zeros((len(n), len(PEAKS) + 2))
-    most = max(PEAKS)
-    for i, (low, high) in enumerate(zip(first[:-1], first[1:])):
-        if low == high:
-            continue
-        own = value[low:high]
-        top = np.zeros(most)
-        best = np.sort(np.partition(own, len(own) - most)[-most:] if len(own) > most else own)[::-1]
-        top[: len(best)] = best
-        out[i, 0] = own.mean()
-        out[i, 1:-1] = [top[:k].mean() for k in PEAKS]
-        out[i, -1] = np.log1p(high - low)
+    out[:, 0] = batch["total"].to_numpy() / UNIT / np.maximum(n, 1)
+    for i, top in enumerate(batch["top"].to_pylist()):
+        out[i, 1:-1] = [sum(top[:k]) / UNIT / k for k in PEAKS]
+    out[:, -1] = np.log1p(n)
     return out
 
 
@@ -148,67 +280,34 @@ def labelled(docs: DataFrame, labels: DataFrame, id_column: str, text_column: st
     return rows.join(known, F.col("_id") == F.col("_lid")).select("_id", "_text", "_toxic", fold("_id").cast("int").alias("_fold"))
 
 
-def word_counts(rows: DataFrame) -> np.ndarray:
-    """Counts per bucket of four kinds of rows: ordinary and toxic of folds 1 to 3, then of fold 4."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((4, 1 << BUCKET_BITS), np.int32)
-        for batch in batches:
-            kinds = (batch["_toxic"].to_numpy() + 2 * (batch["_fold"].to_numpy() == FOLDS - 1)).astype(np.int64)
-            for at, to in slices(batch["_text"]):
-                bucket, first = buckets(batch["_text"].slice(at, to - at))
-                kind = np.repeat(kinds[at:to], np.diff(first))
-                for k in range(4):
-                    np.add.at(counts[k], bucket[kind == k], 1)
-        used = np.flatnonzero(counts.any(0))
-        for part in np.array_split(used, max(1, len(used) // 50_000)):
-            yield pa.record_batch([pa.array(part.astype(np.int32)), *[pa.array(counts[k, part]) for k in range(4)]], ["bucket", "k0", "k1", "k2", "k3"])
-
-    found = rows.mapInArrow(scan, "bucket int, k0 int, k1 int, k2 int, k3 int")
-    summed = found.groupBy("bucket").agg(*[F.sum(f"k{k}").alias(f"k{k}") for k in range(4)]).toArrow()
-    out = np.zeros((4, 1 << BUCKET_BITS), np.int64)
-    for k in range(4):
-        out[k, summed["bucket"].to_numpy()] = summed[f"k{k}"].to_numpy()
-    return out
-
-
 def scores(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"
 ) -> DataFrame:
     """Per row of ``docs``: ``held_out`` (fold 0), ``score`` and ``predicted``."""
-    spark = docs.sparkSession
     rows = labelled(docs, labels, id_column, text_column, label_column)
-    counts = word_counts(rows)
+    counts = settle(word_counts(rows), "words")
     held_out = F.coalesce(fold(id_column) == 0, F.lit(False)).alias("held_out")
-    totals = counts.sum(1)
+    totals = [x or 0 for x in counts.agg(*[F.sum(f"k{k}") for k in range(4)]).first()]
+    share = (totals[1] + totals[3] + 1) / (sum(totals) + 2)
+    texts_ = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), held_out)
     model: Calibration | None = None
     if min(totals[0], totals[1], totals[2] + totals[3]) > 0:
-        early = spark.sparkContext.broadcast(log_ratios(counts[0], counts[1]))
-
-        def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at, to in slices(batch["_text"]):
-                    part = batch.slice(at, to - at)
-                    features = evidence(part["_text"], early.value)
-                    yield pa.record_batch([part["_id"], part["_toxic"], pa.array(list(features))], ["_id", "_toxic", "features"])
-
-        late = rows.filter(F.col("_fold") == FOLDS - 1).mapInArrow(weigh, "_id bigint, _toxic int, features array<double>")
+        lexicon = lexicon_of(counts)
+        late = described(rows.filter(F.col("_fold") == FOLDS - 1).select("_id", "_toxic", "_text"), "early", lexicon)
         sample = late.orderBy(F.xxhash64("_id"), "_id").limit(CALIBRATION_ROWS).toArrow()
         truth = sample["_toxic"].to_numpy()
         if len(truth):
-            model = calibrated(np.stack(sample["features"].to_pylist()), truth)
-    ratios = spark.sparkContext.broadcast(log_ratios(counts[0] + counts[2], counts[1] + counts[3]))
-    share = (totals[1] + totals[3] + 1) / (totals.sum() + 2)
+            model = calibrated(evidence(sample), truth)
+    if model is None:
+        scored = texts_.select("_id", "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
+        return scored.withColumnRenamed("_id", id_column)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to in slices(batch["_text"]):
-                part = batch.slice(at, to - at)
-                value = np.full(len(part), float(share)) if model is None else model(evidence(part["_text"], ratios.value))
-                yield pa.record_batch([part["_id"], part["held_out"], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
+            value = model(evidence(batch))
+            yield pa.record_batch([batch["_id"], batch["held_out"], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
 
-    texts_ = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), held_out)
-    scored = texts_.mapInArrow(score, "_id bigint, held_out boolean, score double, predicted int")
+    scored = described(texts_, "full", lexicon).mapInArrow(score, "_id bigint, held_out boolean, score double, predicted int")
     return scored.withColumnRenamed("_id", id_column)
 
 

@@ -306,6 +306,48 @@ def test_toxicity_without_labels(spark):
     assert toxicity.scores(edge_documents(spark), one).count() == len(edge_texts())
 
 
+def test_toxicity_counts_every_word_of_a_stem(spark):
+    from math import log
+
+    texts = [(i, " ".join(f"Stems{j}" for j in range(40 * (i % 2) + 3)) + " other" * i) for i in range(1, 9)]
+    rows = spark.createDataFrame([(i, t, i % 2, 4 if i > 6 else 1) for i, t in texts], "_id bigint, _text string, _toxic int, _fold int")
+    counts = toxicity.word_counts(rows)
+    n = [Counter(w for i, t in texts if i % 2 == c for w in t.lower().split()) for c in range(2)]
+    assert counts.count() == len(n[0] | n[1])
+    known, stems = toxicity.log_ratios(counts)
+    kinds = [Counter(w[:5] for w in own) for own in n]
+    either = Counter(w[:5] for w in n[0] | n[1])
+
+    def order(count):
+        once, twice = (sum(x == k for x in count.values()) for k in (1, 2))
+        d = (once + 0.5) / (once + 2 * twice + 1)
+        return d, d * len(count) / sum(count.values()), sum(count.values())
+
+    high, low = [order(x) for x in n], [order(x) for x in kinds]
+    left, lower_left = max(x[1] for x in high), max(x[1] for x in low)
+
+    def stem_p(s, c):
+        return max(kinds[c][s] - low[c][0], 0) / low[c][2] + lower_left * (either[s] + 0.5) / (either.total() + 0.5 * (len(either) + 1))
+
+    def p(w, c):
+        return max(n[c][w] - high[c][0], 0) / high[c][2] + left * stem_p(w[:5], c) / either[w[:5]]
+
+    wanted = sorted(round(log(p(w, 1) / p(w, 0)) * toxicity.UNIT) for w in n[0] | n[1])
+    assert np.allclose(sorted(r.full for r in known.collect()), wanted, atol=1)
+    assert sorted(r.n for r in stems.collect()) == [1, 43]
+    assert np.allclose(sorted(r.full for r in stems.collect()), sorted(round(log(stem_p(s, 1) / stem_p(s, 0)) * toxicity.UNIT) for s in either), atol=1)
+
+
+def test_toxicity_joins_what_is_not_broadcast(spark, monkeypatch):
+    chance = random.Random(4)
+    docs = edge_documents(spark, [(i, sentence(chance, 20) + (f" foul{i % 7}" if i % 3 == 0 else "") + f" rare{i}") for i in range(200)] + [(None, "unseen"), (500, None)])
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(150)], LABEL)
+    whole = sorted(toxicity.scores(docs, labels).collect(), key=str)
+    for most in (0, 3, 40):
+        monkeypatch.setattr(toxicity, "HEAD", most)
+        assert sorted(toxicity.scores(docs, labels).collect(), key=str) == whole
+
+
 # --- 9: benchmark passages
 
 ITEM = "item_id bigint, text string, start int, edits int"
