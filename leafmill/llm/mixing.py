@@ -79,10 +79,14 @@ def exponent(sources: DataFrame, entropy_share: float, repeats: float, budget: i
 
 
 def weights(sources: DataFrame, power: float) -> DataFrame:
-    """``sources`` with their normalised weight, rounded, and never rounded down to nothing."""
+    """``sources`` with their normalised weight."""
     scale = sources.agg(F.sum(F.exp(F.ln("share") * power))).first()[0]
-    weight = F.round(F.exp(F.ln("share") * power) / (scale or 1.0), WEIGHT_DIGITS)
-    return sources.withColumn("weight", F.greatest(weight, F.lit(10.0**-WEIGHT_DIGITS)))
+    return sources.withColumn("weight", F.exp(F.ln("share") * power) / (scale or 1.0))
+
+
+def shown(weight: Column) -> Column:
+    """A weight rounded for reading; one too small for that stays as it is. Budgets are never taken from it."""
+    return F.when(weight < 10.0**-WEIGHT_DIGITS, weight).otherwise(F.round(weight, WEIGHT_DIGITS))
 
 
 def mixed(
@@ -103,10 +107,15 @@ def mixed(
     if budget is None:
         # Tokens per unit of weight at which the scarcest weight still covers its source.
         whole = weighted.agg(F.max(F.col("tokens") / F.col("weight"))).first()[0] or 0
-    plan = weighted.withColumn("_budget", (F.lit(whole) * F.col("weight") + F.lit(1e-6) if budget is None else F.lit(budget) * F.col("weight")).cast("bigint"))
+        # A source that comes to its own size but for the error of a float is whole.
+        tokens_ = F.lit(float(whole)) * F.col("weight")
+        own = tokens_ + F.greatest(F.lit(1e-6), tokens_ * 1e-12)
+    else:
+        own = F.lit(budget) * F.col("weight")
+    plan = weighted.withColumn("_budget", own.cast("bigint"))
     plan = plan.withColumn("_passes", F.floor(F.col("_budget") / F.col("tokens")))
     plan = plan.select(
-        "_source", "weight", "_passes", (F.col("_budget") - F.col("_passes") * F.col("tokens")).alias("_rest"),
+        "_source", shown(F.col("weight")).alias("weight"), "_passes", (F.col("_budget") - F.col("_passes") * F.col("tokens")).alias("_rest"),
         F.ceil(F.col("rows") / BLOCK_ROWS).alias("_blocks"),
     )
     number = F.conv(F.substring(_hash("block", F.coalesce(F.col("_id").cast("string"), F.lit(""))), 1, 8), 16, 10).cast("bigint")

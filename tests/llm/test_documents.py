@@ -10,6 +10,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
@@ -72,6 +73,18 @@ def test_mixing_bisects_the_entropy(spark):
     assert abs(-(p * np.log(p)).sum() - 0.9 * math.log(3)) < 1e-6
 
 
+@pytest.mark.parametrize("repeats", [1.5, 2.0])
+def test_mixing_keeps_the_limit_for_a_tiny_source(spark, repeats):
+    rows = [(100 * s + i, f"big{s}", (1 + s % 3) * 10**8) for s in range(22) for i in range(2)] + [(10**6 + i, "tiny", 40) for i in range(11)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, n bigint").withColumn("text", F.lit(""))
+    found = mixing.mixed(docs, repeats=repeats, tokens=F.col("n")).collect()
+    assert {r.doc_id for r in found} == {r[0] for r in rows}
+    used = sum(r.n_tokens for r in found if r.source == "tiny")
+    assert 440 <= used <= repeats * 440
+    weight = {r.source: r.weight for r in found}
+    assert 0 < weight["tiny"] < 1e-6 and abs(sum(weight.values()) - 1) < 2e-5
+
+
 def test_mixing_of_nothing(spark):
     assert mixing.mixed(no_documents(spark)).count() == 0
     assert mixing.mixed(edge_documents(spark, [(1, None), (2, "")])).count() == 0
