@@ -32,6 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.keys import text_key, with_keys
 from leafmill.llm.words import mixed, slices, text_bytes
 
 Q = 10
@@ -204,16 +205,21 @@ def passages(
     item_text: str = "text",
 ) -> DataFrame:
     """One row per benchmark passage found: the document, the item, its characters in the lower-cased text, the edits."""
+    return keyed_passages(docs, benchmark, id_column, text_column, item_column, item_text).drop("_copy").withColumnRenamed("_id", id_column)
+
+
+def keyed_passages(docs: DataFrame, benchmark: DataFrame, id_column: str, text_column: str, item_column: str, item_text: str) -> DataFrame:
+    """``passages`` with the key of the document's row, ``_id`` and ``_copy``."""
     spark = docs.sparkSession
     items = benchmark.filter(F.col(item_text).isNotNull()).select(F.col(item_column).cast("bigint").alias("id"), F.col(item_text).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = -(-total // BLOCK_BYTES) or 1
-    rows = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"))
+    rows = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), text_key(text_column).alias("_copy"))
 
     def scanned(index) -> DataFrame:
         def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             known = index.value
-            schema = pa.schema([("_id", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("edits", pa.int32())])
+            schema = pa.schema([("_id", pa.int64()), ("_copy", pa.int64()), ("item_id", pa.int64()), ("start", pa.int32()), ("length", pa.int32()), ("edits", pa.int32())])
             for batch in batches:
                 for at, to in slices(batch["_text"]):
                     part = batch.slice(at, to - at)
@@ -224,20 +230,20 @@ def passages(
                         low, high = int(place[bounds[i] + begin]), int(place[bounds[i] + end - 1]) + 1
                         raw = lowered.setdefault(i, part["_text"][i].as_py().lower().encode())
                         skipped, inside = (sum((b & 0xC0) != 0x80 for b in x) for x in (raw[:low], raw[low:high]))
-                        out.append({"_id": part["_id"][i].as_py(), "item_id": known.ids[p], "start": skipped, "length": inside, "edits": edits})
+                        out.append({"_id": part["_id"][i].as_py(), "_copy": part["_copy"][i].as_py(), "item_id": known.ids[p], "start": skipped, "length": inside, "edits": edits})
                     if out:
                         yield pa.RecordBatch.from_pylist(out, schema)
 
-        return rows.mapInArrow(scan, f"_id bigint, {HIT}")
+        return rows.mapInArrow(scan, f"_id bigint, _copy bigint, {HIT}")
 
     parts = []
     for block in range(n_blocks):
         own = items.filter(F.pmod(F.xxhash64("id", "text"), F.lit(n_blocks)) == block).toArrow()
         parts.append(scanned(spark.sparkContext.broadcast(index_of(own["id"].to_pylist(), own["text"].to_pylist()))))
-    return reduce(DataFrame.unionAll, parts).withColumnRenamed("_id", id_column)
+    return reduce(DataFrame.unionAll, parts)
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the documents that hold a benchmark passage."""
-    held = passages(docs, benchmark).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(held, docs["doc_id"] == F.col("_gone"), "left_anti")
+    held = keyed_passages(docs, benchmark, "doc_id", "text", "item_id", "text").select("_id", "_copy").distinct()
+    return with_keys(docs, held, "left_anti")

@@ -24,3 +24,14 @@ def texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
         id_or_none(F.col(id_column).cast("bigint")).alias("_id"),
         F.coalesce(F.col(text_column), F.lit("")).alias("_text"), *more,
     )
+
+
+def text_key(text_column: str = "text") -> Column:
+    """With the id the key of a row: rows that share both are the same document."""
+    return F.xxhash64(F.coalesce(F.col(text_column), F.lit("")))
+
+
+def with_keys(docs: DataFrame, keys: DataFrame, how: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id (null is an id like any other) and text are in (``left_semi``) or not in (``left_anti``) the ``_id, _copy`` of ``keys``."""
+    keys = keys.select(F.col("_id").alias("_gone"), F.col("_copy").alias("_gone_copy"))
+    return docs.join(keys, id_or_none(F.col(id_column).cast("bigint")).eqNullSafe(id_or_none("_gone")) & (text_key(text_column) == F.col("_gone_copy")), how)

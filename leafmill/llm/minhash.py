@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafmill.llm.components import roots
-from leafmill.llm.keys import NO_ID, real_id, texts
+from leafmill.llm.keys import NO_ID, real_id, text_key, texts, with_keys
 from leafmill.llm.words import Words, grams, inner, mixed, slices, words
 from leafmill.shared import settle
 
@@ -209,6 +209,16 @@ def groups(
 
     ``share``: two documents are linked if their common shingles are at least this part of all theirs.
     """
+    full = members(docs, size, share, coordinates, id_column, text_column)
+    component = F.coalesce("_least._id", "_id")
+    return full.select(
+        real_id("_id").alias(id_column), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"),
+        ((F.col("_id") == component) | (F.col("_id") == NO_ID)).alias("kept"),
+    )
+
+
+def members(docs: DataFrame, size: int, share: tuple[int, int], coordinates: int, id_column: str, text_column: str) -> DataFrame:
+    """Per row of ``docs``: its key ``_id, _copy``, its shingle count ``n``, and the least key of its group, or null for a text without shingles."""
     rows = texts(docs, id_column, text_column).withColumn("_copy", F.xxhash64("_text"))
     matches = match_threshold(coordinates, share[0] / share[1])
     sketch = settle(sketches(rows, size, coordinates), "sketches")
@@ -217,23 +227,25 @@ def groups(
     )
     nodes = settle(same.select("node", "_one._id", "_one._copy", "n", "signature"), "nodes")
     labels = link_nodes(nodes, rows, size, matches, share)
-    least = nodes.select("node", "_id")
+    least = nodes.select("node", F.struct("_id", "_copy").alias("_own"))
     if labels is None:
-        least = least.withColumnRenamed("_id", "_least")
+        least = least.withColumnRenamed("_own", "_least")
     else:
         linked = least.join(labels, "node")
-        smallest = linked.groupBy("root").agg(F.min("_id").alias("_smallest"))
+        smallest = linked.groupBy("root").agg(F.min("_own").alias("_smallest"))
         linked = linked.join(smallest, "root").select("node", "_smallest")
-        least = least.join(linked, "node", "left").select("node", F.coalesce("_smallest", "_id").alias("_least"))
-    full = sketch.select("_id", "_copy", "n", "node").join(least, "node", "left")
-    component = F.coalesce("_least", "_id")
-    return full.select(
-        real_id("_id").alias(id_column), F.col("n").alias("n_shingles"), real_id(component).alias("component_id"),
-        ((F.col("_id") == component) | (F.col("_id") == NO_ID)).alias("kept"),
-    )
+        least = least.join(linked, "node", "left").select("node", F.coalesce("_smallest", "_own").alias("_least"))
+    return sketch.select("_id", "_copy", "n", "node").join(least, "node", "left").select("_id", "_copy", "n", "_least")
 
 
 def first_of_each_group(docs: DataFrame, size: int = 5, share: tuple[int, int] = (80, 100)) -> DataFrame:
-    """``docs`` without the documents that have a smaller id in their group."""
-    dropped = groups(docs, size, share).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(dropped, docs["doc_id"] == F.col("_gone"), "left_anti")
+    """One row of ``docs`` for each group, that of the smallest id; texts without shingles stay, and rows that repeat id and text are one."""
+    rows = members(docs, size, share, COORDINATES, "doc_id", "text").groupBy("_id", "_copy").agg(
+        F.any_value("_least").alias("_least"), F.count(F.lit(1)).alias("_rows")
+    )
+    first = F.coalesce((F.col("_least._id") == F.col("_id")) & (F.col("_least._copy") == F.col("_copy")), F.lit(True))
+    marked = settle(rows.select("_id", "_copy", first.alias("_first"), "_rows").filter("not _first or _rows > 1"), "marked")
+    single = with_keys(docs, marked, "left_anti")
+    repeated = with_keys(docs, marked.filter("_first"), "left_semi")
+    repeated = repeated.withColumn("_key", text_key()).dropDuplicates(["doc_id", "_key"]).drop("_key")
+    return single.unionAll(repeated)

@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.keys import text_key, with_keys
 from leafmill.llm.words import SPACE, slices, words
 from leafmill.shared import settle
 
@@ -284,12 +285,17 @@ def scores(
     docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic"
 ) -> DataFrame:
     """Per row of ``docs``: ``held_out`` (fold 0), ``score`` and ``predicted``."""
+    return keyed_scores(docs, labels, id_column, text_column, label_column).drop("_copy").withColumnRenamed("_id", id_column)
+
+
+def keyed_scores(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> DataFrame:
+    """``scores`` with the key of each row, ``_id`` and ``_copy``."""
     rows = labelled(docs, labels, id_column, text_column, label_column)
     counts = settle(word_counts(rows), "words")
     held_out = F.coalesce(fold(id_column) == 0, F.lit(False)).alias("held_out")
     totals = [x or 0 for x in counts.agg(*[F.sum(f"k{k}") for k in range(4)]).first()]
     share = (totals[1] + totals[3] + 1) / (sum(totals) + 2)
-    texts_ = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), held_out)
+    texts_ = docs.select(F.col(id_column).cast("bigint").alias("_id"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), text_key(text_column).alias("_copy"), held_out)
     model: Calibration | None = None
     if min(totals[0], totals[1], totals[2] + totals[3]) > 0:
         lexicon = lexicon_of(counts)
@@ -299,19 +305,17 @@ def scores(
         if len(truth):
             model = calibrated(evidence(sample), truth)
     if model is None:
-        scored = texts_.select("_id", "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
-        return scored.withColumnRenamed("_id", id_column)
+        return texts_.select("_id", "_copy", "held_out", F.lit(float(share)).alias("score"), F.lit(int(share >= 0.5)).alias("predicted"))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value = model(evidence(batch))
-            yield pa.record_batch([batch["_id"], batch["held_out"], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["_id", "held_out", "score", "predicted"])
+            yield pa.record_batch([batch["_id"], batch["_copy"], batch["held_out"], pa.array(value), pa.array((value >= 0.5).astype(np.int32))], ["_id", "_copy", "held_out", "score", "predicted"])
 
-    scored = described(texts_, "full", lexicon).mapInArrow(score, "_id bigint, held_out boolean, score double, predicted int")
-    return scored.withColumnRenamed("_id", id_column)
+    return described(texts_, "full", lexicon).mapInArrow(score, "_id bigint, _copy bigint, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the documents that the models call toxic. A document is judged by its text alone."""
-    rejected = scores(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(rejected, docs["doc_id"] == F.col("_gone"), "left_anti")
+    rejected = keyed_scores(docs, labels, "doc_id", "text", "toxic").filter("predicted = 1").select("_id", "_copy").distinct()
+    return with_keys(docs, rejected, "left_anti")
