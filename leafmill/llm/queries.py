@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import decontaminate, html_text, minhash, mixing, oracles, packing, substrings, token_counts, topk, toxicity, warc
+from leafmill.llm import bloom_lm, decontaminate, html_text, minhash, mixing, oracles, packing, substrings, token_counts, topk, toxicity, warc
 from leafmill.llm.prepare import prepared
 from leafmill.shared import shared_folder
 
@@ -86,6 +86,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     return html_text.main_texts(read(spark, folder, "pages"))
 
 
+@query("op11_lm_scoring")
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
+    found = bloom_lm.scores(read(spark, folder, "documents"), ~held_out)
+    return found.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
