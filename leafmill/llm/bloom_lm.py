@@ -4,7 +4,8 @@ Tokens are lower-cased words and an end mark; each text has a begin mark before
 n-grams up to ``ORDER`` of the training texts are quantised to the steps 1, 2, 3, 5, 8, 12 ... (the next at least
 ``STEP`` times as large): an n-gram of level j, at or over the j-th step, is put into the filter as the items (n-gram, 1) to
 (n-gram, j). Its count is read back by asking for level 1, 2, ... until one is missing, so a filter may
-overstate a count (an item's chance is about 2 in 100 at ``BITS`` = 8 and ``PROBES`` = 5), never understate it.
+overstate a count (an item's chance is about 3 in 100 at ``BITS`` = 8 and ``PROBES`` = 5), never understate it. The bits of an item
+lie in one 64-bit word, so that a membership probe is one look-up.
 
 A word's probability interpolates from the lowest order upward:
 
@@ -28,7 +29,7 @@ counted each; without training texts every token has probability 1; an empty tab
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -51,7 +52,6 @@ ROUND_BYTES = 256 << 20
 HEAD = 1 << 20
 
 _U = np.uint64
-_LOW = _U(0xFFFFFFFF)
 BEGIN, END = _U(0x5851F42D4C957F2D), _U(0x14057B7EF767814F)
 
 
@@ -85,11 +85,24 @@ def ngrams(sequence: np.ndarray, first: np.ndarray, order: int, bits: int) -> tu
     offset = np.arange(len(sequence)) - np.repeat(first[:-1], np.diff(first))
     at = np.flatnonzero(offset >= max(1, order - 1))
     h = mixed(grams(sequence, order)[at - order + 1] + tag(order))
-    return (h if order == 1 else h & ~_U((1 << (24 - bits)) - 1)), at
+    return (h if order == 1 else h & ~_U((1 << cut_bits(bits)) - 1)), at
 
 
-def places(items: np.ndarray, size: np.ndarray, probe: int) -> np.ndarray:
-    return (((items >> _U(32)) + _U(probe) * (items | _U(1)) & _LOW) * size) >> _U(32)
+def cut_bits(bits: int) -> int:
+    """The last bits that hashes go without, so that their differences in a slice of text fit 32 bits."""
+    return 64 - max(46, bits + 36)
+
+
+@cache
+def masks() -> tuple[np.ndarray, np.ndarray]:
+    """2^16 choices of ``PROBES`` bits of a word, and each as a mask."""
+    bits = np.random.Generator(np.random.PCG64(11)).random((1 << 16, 64)).argsort(axis=1)[:, :PROBES].astype(np.uint64)
+    return bits, np.bitwise_or.reduce(_U(1) << bits, axis=1)
+
+
+def places(items: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The word of an item among ``size`` words."""
+    return ((items >> _U(32)) * size) >> _U(32)
 
 
 def counted(texts: DataFrame, bits: int, order: int) -> DataFrame:
@@ -103,7 +116,7 @@ def counted(texts: DataFrame, bits: int, order: int) -> DataFrame:
                 for k in range(1, order + 1):
                     own, times = np.unique(ngrams(sequence, first, k, bits)[0], return_counts=True)
                     for s, low, high in sliced(own, bits):
-                        row = (s, k, high - low, packed(steps(own[low:high], s << (64 - bits)) >> _U(0 if k == 1 else 24 - bits)), packed(times[low:high]))
+                        row = (s, k, high - low, packed(steps(own[low:high], s << (64 - bits)) >> _U(0 if k == 1 else cut_bits(bits))), packed(times[low:high]))
                         for column, x in zip(out, row):
                             column.append(x)
                 yield pa.record_batch([pa.array(x, t) for x, t in zip(out, (pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], ["slice", "k", "size", "hashes", "times"])
@@ -119,7 +132,7 @@ def counted(texts: DataFrame, bits: int, order: int) -> DataFrame:
             if not len(rows):
                 kinds.append([0] * len(steps_))
                 continue
-            shift = _U(0 if k == 1 else 24 - bits)
+            shift = _U(0 if k == 1 else cut_bits(bits))
             n = rows["size"].to_pylist()
             hashes = np.concatenate([summed(unpacked(v, i) << shift, s << (64 - bits)) for v, i in zip(rows["hashes"].to_pylist(), n)])
             times = np.concatenate([unpacked(v, i) for v, i in zip(rows["times"].to_pylist(), n)])
@@ -132,10 +145,10 @@ def counted(texts: DataFrame, bits: int, order: int) -> DataFrame:
             if k == 1:
                 own = (hashes, times)
         all_items = np.concatenate(items)
-        size = -(-max(64, BITS * len(all_items)) // 8) * 8
-        filled = np.zeros(size, bool)
+        size = -(-max(64, BITS * len(all_items)) // 64)
+        filled, at = np.zeros(64 * size, bool), places(all_items, _U(size)) << _U(6)
         for probe in range(PROBES):
-            filled[places(all_items, _U(size), probe)] = True
+            filled[at + masks()[0][all_items & _U(0xFFFF), probe]] = True
         row = [[s], [size], [np.packbits(filled, bitorder="little").tobytes()], [kinds], [own[0].view(np.int64).tolist()], [own[1].astype(np.int64).tolist()]]
         return pa.table([pa.array(x, f.type) for x, f in zip(row, schema)], schema=schema)
 
@@ -147,7 +160,7 @@ def counted(texts: DataFrame, bits: int, order: int) -> DataFrame:
 
 @dataclass
 class Piece:
-    """Consecutive slices of the filter: the first, where each one's bits start, how many it has, and the bits."""
+    """Consecutive slices of the filter: the first, where each one's words start, how many it has, and the words."""
 
     low: int
     start: np.ndarray
@@ -159,14 +172,15 @@ class Piece:
         steps_, _ = levels()
         own = (hashes >> _U(64 - slice_bits_)).astype(np.int64) - self.low
         out, alive = np.zeros(len(hashes), np.uint8), np.flatnonzero(self.size[own])
+        hashes, start, size = hashes[alive], self.start[own[alive]], self.size[own[alive]]
+        _, chosen = masks()
         for j in range(1, len(steps_) + 1):
             if not len(alive):
                 break
-            items = mixed(hashes[alive] + tag(j))
-            for probe in range(PROBES):
-                at = self.start[own[alive]] + places(items, self.size[own[alive]], probe)
-                hit = (self.bits[at >> _U(3)] >> (at & _U(7)).astype(np.uint8)) & 1 > 0
-                alive, items = alive[hit], items[hit]
+            items = mixed(hashes + tag(j))
+            mask = chosen[items & _U(0xFFFF)]
+            hit = np.flatnonzero(self.bits[start + places(items, size)] & mask == mask)
+            alive, hashes, start, size = alive[hit], hashes[hit], start[hit], size[hit]
             out[alive] = j
         return out
 
@@ -175,7 +189,7 @@ def rounds(table: DataFrame) -> list[list[tuple[int, int]]]:
     """Ranges of slices, each a piece of at most ``PIECE_BYTES`` (or one slice), in rounds of at most ``ROUND_BYTES``."""
     out: list[list[tuple[int, int]]] = [[]]
     in_piece = in_round = 0
-    for s, size in sorted((r["slice"], r["size"] // 8) for r in table.select("slice", "size").collect()):
+    for s, size in sorted((r["slice"], r["size"] * 8) for r in table.select("slice", "size").collect()):
         if out[-1] and in_round + size > ROUND_BYTES:
             out.append([])
             in_round = 0
@@ -191,19 +205,23 @@ def piece(table: DataFrame, low: int, high: int) -> Piece:
     rows = table.filter(F.col("slice").between(low, high)).select("slice", "size", "bits").toArrow().sort_by("slice")
     size = np.zeros(high - low + 1, np.uint64)
     size[rows["slice"].to_numpy() - low] = rows["size"].to_numpy()
-    return Piece(low, np.cumsum(size) - size, size, np.frombuffer(b"".join(x.as_buffer() for x in rows["bits"]), np.uint8))
+    return Piece(low, np.cumsum(size) - size, size, np.frombuffer(b"".join(x.as_buffer() for x in rows["bits"]), "<u8"))
+
 
+def probed(texts: DataFrame, table: DataFrame, bits: int, order: int, finish: Callable, schema: str) -> DataFrame:
+    """``finish(rows, sequence, first, found)`` of slices of ``texts``, with ``found`` for each token the level of the n-gram of each order that ends there.
 
-def probed(texts: DataFrame, table: DataFrame, bits: int, order: int) -> DataFrame:
-    """``texts`` with ``_found``: for each token a byte per order, the level of the n-gram that ends there. Several rounds write a table between them."""
+    A round looks into a part of the filter; several rounds write a table with the levels found so far between them.
+    """
     context = texts.sparkSession.sparkContext
     frame = texts.withColumn("_found", F.lit(None).cast("binary"))
-    names, schema = frame.columns, frame.schema
+    names, between = frame.columns, frame.schema
     all_rounds = rounds(table) or [[]]
     for number, ranges in enumerate(all_rounds):
         pieces = [(low, high, context.broadcast(piece(table, low, high))) for low, high in ranges]
+        last = number + 1 == len(all_rounds)
 
-        def scan(batches: Iterator[pa.RecordBatch], pieces=pieces) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], pieces=pieces, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for at, to in slices(batch["_text"]):
                     part = batch.slice(at, to - at)
@@ -223,15 +241,18 @@ def probed(texts: DataFrame, table: DataFrame, bits: int, order: int) -> DataFra
                     before = part["_found"]
                     if before.null_count < len(before):
                         flat = np.maximum(flat, np.frombuffer(b"".join(x.as_buffer() for x in before), np.uint8))
+                    if last:
+                        yield finish(part, sequence, first, flat.reshape(-1, order))
+                        continue
                     ends = (first[1:] - np.arange(1, len(first))) * order
                     yield pa.record_batch([part[c] if c != "_found" else binaries(flat, ends) for c in names], names)
 
-        frame = frame.mapInArrow(scan, schema)
-        if number + 1 < len(all_rounds):
-            frame = settle(frame, "levels")
-            for _, _, held in pieces:
-                held.unpersist()
-    return frame
+        if last:
+            return frame.mapInArrow(scan, schema)
+        frame = settle(frame.mapInArrow(scan, between), "levels")
+        for _, _, held in pieces:
+            held.unpersist()
+    raise AssertionError("there is always a last round")
 
 
 @dataclass
@@ -305,28 +326,24 @@ def scores(docs: DataFrame, train: Column, id_column: str = "doc_id", text_colum
     common, times, whole = head(counts)
     held = docs.sparkSession.sparkContext.broadcast((common, np.log10(times + 1.0)))
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(part: pa.RecordBatch, sequence: np.ndarray, first: np.ndarray, found: np.ndarray) -> pa.RecordBatch:
         known, logs = held.value
-        for batch in batches:
-            for at, to in slices(batch["_text"]):
-                part = batch.slice(at, to - at)
-                sequence, first = sequences(part["_text"])
-                own = ngrams(sequence, first, 1, bits)[0].view(np.int64)
-                first = first - np.arange(len(first))
-                place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
-                there = known[place] == own if len(known) else np.zeros(len(own), bool)
-                base = np.add.reduceat(np.where(there, logs[place] if len(known) else 0.0, 0.0), first[:-1])
-                found = np.frombuffer(b"".join(x.as_buffer() for x in part["_found"]), np.uint8).reshape(-1, order)
-                value = np.add.reduceat(model.log10(found, first[:-1]), first[:-1])
-                rest, ends = own[~there], np.searchsorted(np.flatnonzero(~there), first)
-                if whole:
-                    rest, ends = rest[:0], np.zeros_like(ends)
-                others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest))
-                n_known = np.add.reduceat(there.astype(np.int64), first[:-1])
-                yield pa.record_batch([part["_id"], part["_train"], pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(value), others], ["_id", "_train", "n_tokens", "n_known", "_base", "score", "_rest"])
+        own = ngrams(sequence, first, 1, bits)[0].view(np.int64)
+        first = first - np.arange(len(first))
+        place = np.minimum(np.searchsorted(known, own), max(len(known) - 1, 0))
+        there = known[place] == own if len(known) else np.zeros(len(own), bool)
+        base = np.add.reduceat(np.where(there, logs[place] if len(known) else 0.0, 0.0), first[:-1])
+        value = np.add.reduceat(model.log10(found, first[:-1]), first[:-1])
+        rest, ends = own[~there], np.searchsorted(np.flatnonzero(~there), first)
+        if whole:
+            rest, ends = rest[:0], np.zeros_like(ends)
+        others = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(rest))
+        n_known = np.add.reduceat(there.astype(np.int64), first[:-1])
+        columns = [part["_id"], part["_train"], pa.array(np.diff(first)), pa.array(n_known), pa.array(base), pa.array(value), others]
+        return pa.record_batch(columns, ["_id", "_train", "n_tokens", "n_known", "_base", "score", "_rest"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    found = probed(texts, table, bits, order).mapInArrow(score, f"_id {kind}, _train boolean, n_tokens bigint, n_known bigint, _base double, score double, _rest array<bigint>")
+    found = probed(texts, table, bits, order, score, f"_id {kind}, _train boolean, n_tokens bigint, n_known bigint, _base double, score double, _rest array<bigint>")
     if not whole:
         found = settle(found.withColumn("_row", F.monotonically_increasing_id()), "described")
         rest = found.select("_row", F.explode("_rest").alias("h")).join(settle(counts, "words"), "h")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from leafmill.llm import bloom_lm, decontaminate, html_text, minhash, mixing, oracles, packing, substrings, token_counts, topk, toxicity, warc
+from leafmill.llm import bloom_lm, collocations, decontaminate, html_text, minhash, mixing, oracles, packing, spelling, substrings, token_counts, topk, toxicity, warc
 from leafmill.llm.prepare import prepared
 from leafmill.shared import shared_folder
 
@@ -93,6 +93,16 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+@query("op12_phrase_collocations", oracles.COLLOCATIONS_SQL)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(read(spark, folder, "documents"))
+
+
+@query("op13_spelling_variants")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(read(spark, folder, "documents"))
+
+
 @query("pipeline")
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)

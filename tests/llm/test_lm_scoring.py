@@ -86,7 +86,6 @@ def check(found, wanted):
 def test_matches_dictionaries(spark, monkeypatch, settings):
     # So many bits that no false membership is left; small rounds, and words that are not broadcast.
     monkeypatch.setattr(bloom_lm, "BITS", 200)
-    monkeypatch.setattr(bloom_lm, "PROBES", 8)
     for name, value in settings.items():
         monkeypatch.setattr(bloom_lm, name, value)
     texts = edge_texts()
@@ -133,6 +132,6 @@ def test_query(spark):
     for r in rows:
         learn, (n_tokens, n_known, n, base, score) = wanted[r.doc_id]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (not learn, n_tokens, n_known, n)
-        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=0.04)
+        assert r.base_score == pytest.approx(base, rel=1e-9) and r.score == pytest.approx(score, rel=0.1)
         better[r.held_out].append(r.score > r.base_score)
     assert sum(better[True]) > 0.9 * len(better[True]) and all(better[False])

@@ -21,7 +21,7 @@ def test_matches_sql(spark, name, monkeypatch):
 
 
 def test_every_operator_is_registered():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")} >= set(range(1, 12)) and "pipeline" in QUERIES
+    assert {int(q[2:].split("_")[0]) for q in QUERIES if q.startswith("op")} >= set(range(1, 14)) and "pipeline" in QUERIES
 
 
 def test_pipeline_stages(spark):
