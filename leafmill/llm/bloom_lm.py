@@ -4,17 +4,17 @@ Tokens are lower-cased words and an end mark; each text has a begin mark before
 n-grams up to ``ORDER`` of the training texts are quantised to the steps 1, 2, 3, 5, 8, 12 ... (the next at least
 ``STEP`` times as large): an n-gram of level j, at or over the j-th step, is put into the filter as the items (n-gram, 1) to
 (n-gram, j). Its count is read back by asking for level 1, 2, ... until one is missing, so a filter may
-overstate a count (an item's chance is about 3 in 100 at ``BITS`` = 8 and ``PROBES`` = 5), never understate it. The bits of an item
+overstate a count (an item's chance is about 2 in 100 at ``BITS`` = 10 and ``PROBES`` = 6), never understate it. The bits of an item
 lie in one 64-bit word, so that a membership probe is one look-up.
 
 A word's probability interpolates from the lowest order upward:
 
     P_1(w)   = (q(w) + 1) / (N + V + 1)
-    P_k(w|h) = (q(hw) + C(h)^b_k P_{k-1}(w)) / (C(h) + C(h)^b_k)
+    P_k(w|h) = (q(hw) + W C(h)^b_k P_{k-1}(w)) / (C(h) + W C(h)^b_k)
 
 with q the quantised counts and C(h) that of the history (the number of texts for the begin mark). As in Witten-Bell smoothing the
-weight of the lower order is the number of kinds that follow a history; that number is taken as C^b (Heaps' law)
-with the b_k that makes the numbers of all histories add up to the k-grams there are, so only counts need be stored.
+weight of the lower order goes with the number of kinds that follow a history; that number is taken as C^b (Heaps' law)
+with the b_k that makes the numbers of all histories add up to the k-grams there are, so only counts need be stored. W = ``LOWER_WEIGHT``.
 A longer n-gram never counts more than its own parts, which takes back most overstatements.
 
 Work: one pass turns slices of text into sorted n-gram hashes, sent by their leading bits as byte strings; each slice of hashes
@@ -44,8 +44,9 @@ from leafmill.shared import settle
 
 ORDER = 3
 STEP = 1.5
-BITS = 8
-PROBES = 5
+BITS = 10
+PROBES = 6
+LOWER_WEIGHT = 4.0
 SLICE_TEXT = 4 << 20
 PIECE_BYTES = 16 << 20
 ROUND_BYTES = 256 << 20
@@ -223,7 +224,7 @@ def probed(texts: DataFrame, table: DataFrame, bits: int, order: int, finish: Ca
 
         def scan(batches: Iterator[pa.RecordBatch], pieces=pieces, last=last) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for at, to in slices(batch["_text"]):
+                for at, to in slices(batch["_text"], 1 << 20):
                     part = batch.slice(at, to - at)
                     sequence, first = sequences(part["_text"])
                     level = np.zeros((len(sequence), order), np.uint8)
@@ -273,7 +274,7 @@ class Model:
             history[1:] = q[:-1, k - 1]
             history[first] = self.texts if k == 1 else 0
             own = np.minimum(np.minimum(q[:, k], history), q[:, k - 1])
-            lower = np.power(history, growth, where=history > 0, out=np.zeros(len(q)))
+            lower = LOWER_WEIGHT * np.power(history, growth, where=history > 0, out=np.zeros(len(q)))
             p = np.where(history > 0, (own + lower * p) / np.where(history > 0, history + lower, 1), p)
         return np.log10(p)
 
