@@ -46,6 +46,8 @@ SAMPLE = 1 << 17
 BOXES = 1 << 14
 DIMENSIONS = 32
 BOTTOM = 24
+#: Words that a task sends to their boxes.
+ROUTED = 20_000
 #: Longer runs get their crc one by one.
 _LONG = 64
 
@@ -289,7 +291,7 @@ def near_pairs(known: DataFrame) -> DataFrame:
         a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out[:2])
         return pa.table({"word": table["word"].take(pa.array(a)), "near": table["word"].take(pa.array(b)), "near_n": numbers[b]})
 
-    routed = known.select("word", "n").mapInArrow(route, "size int, task int, kind int, word string, n bigint")
+    routed = known.select("word", "n").repartition(total // ROUTED + 1).mapInArrow(route, "size int, task int, kind int, word string, n bigint")
     return routed.groupBy("size", "task").applyInArrow(search, "word string, near string, near_n bigint")
 
 
