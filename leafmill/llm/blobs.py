@@ -4,6 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: A bitmap of hashes has 2^BITMAP bits whatever the number of hashes: 16 MB.
+BITMAP = 27
 
 
 def packed(numbers: np.ndarray) -> bytes:
@@ -48,3 +53,19 @@ def binaries(data: np.ndarray, ends: np.ndarray) -> pa.Array:
     """A binary column of the consecutive pieces of ``data`` that end at ``ends``."""
     offsets = np.concatenate(([0], ends)).astype(np.int64)
     return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+
+
+def bitmap(rows: DataFrame, column: str) -> np.ndarray:
+    """Which leading ``BITMAP`` bits the hashes of a column have: at most 2^(BITMAP - 6) words come to the driver."""
+    place = F.shiftrightunsigned(column, 64 - BITMAP)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - BITMAP}) & 63 as int))")
+    found = rows.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITMAP - 6), np.int64)
+    out[found["at"].to_numpy()] = found["bits"].to_numpy()
+    return out.view(np.uint64)
+
+
+def has(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether a hash may be in a bitmap: never no for one that is."""
+    place = hashes >> np.uint64(64 - BITMAP)
+    return (bits[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1) > 0

@@ -7,7 +7,7 @@ of a second polynomial with another base and other word hashes, the number of oc
 
 A slice of fingerprints is then counted by itself: equal fingerprints whose second values differ are different phrases. Only
 those with ``least`` occurrences go on. Words and pairs are counted in one pass; longer phrases in a second, where every pair of
-words inside must be frequent. That is asked of a bitmap of fixed size (2^``BITMAP`` bits), which says yes too often at worst.
+words inside must be frequent. That is asked of a bitmap of fixed size (2^27 bits), which says yes too often at worst.
 The frequent phrases' texts are read at their pointers and their fingerprints computed again from the text found there: a
 phrase is materialised only with both values equal, and two texts of one fingerprint would show as two phrases.
 
@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.llm.blobs import packed, slice_bits, sliced, steps, summed, unpacked
+from leafmill.llm.blobs import bitmap, has, packed, slice_bits, sliced, steps, summed, unpacked
 from leafmill.llm.words import SPACE, Words, mixed, powers, slices, text_bytes, words
 from leafmill.shared import settle
 
@@ -40,7 +40,6 @@ SCALE = 2_000_000
 INSIDE = 80
 TOP = 2000
 SLICE_TEXT = 16 << 20
-BITMAP = 27
 
 _U = np.uint64
 _SLAB = 1 << 20
@@ -184,20 +183,6 @@ def frequent(texts: DataFrame, lengths: tuple[int, ...], bits: int, least: int,
     return found.groupBy("slice").applyInArrow(count, "n int, lang string, f bigint, print bigint, second bigint, row bigint, word bigint")
 
 
-def bitmap(pairs: DataFrame) -> np.ndarray:
-    """The bits of the ``print`` values: 2^``BITMAP`` at most of them, whatever the number of rows."""
-    place = F.shiftrightunsigned("print", 64 - BITMAP)
-    rows = pairs.groupBy(F.shiftright(place, 6).alias("at")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {64 - BITMAP}) & 63 as int))")).alias("bits")).toArrow()
-    out = np.zeros(1 << (BITMAP - 6), np.int64)
-    out[rows["at"].to_numpy()] = rows["bits"].to_numpy()
-    return out.view(np.uint64)
-
-
-def has(bits: np.ndarray, prints: np.ndarray) -> np.ndarray:
-    place = prints >> _U(64 - BITMAP)
-    return (bits[place >> _U(6)] >> (place & _U(63))) & _U(1) > 0
-
-
 def materialised(texts: DataFrame, found: DataFrame, bits: int) -> DataFrame:
     """``lang, n, phrase, f`` of the frequent n-grams, read at their pointers."""
     wanted = found.groupBy("row").agg(F.collect_list(F.struct("n", "word", "f", "print", "second")).alias("_wanted"))
@@ -234,7 +219,7 @@ def phrases(docs: DataFrame, text_column: str = "text", lang_column: str = "lang
     short = settle(frequent(texts, tuple(range(1, min(longest, 2) + 1)), bits, least), "frequent", free=True)
     found = short.filter("n > 0")
     if longest > 2:
-        pairs = bitmap(short.filter("n = 2"))
+        pairs = bitmap(short.filter("n = 2"), "print")
         longer = settle(frequent(texts, tuple(range(3, longest + 1)), bits, least, pairs), "frequent", free=True)
         found = found.unionByName(longer)
     totals = short.filter("n = 0").groupBy("lang").agg(F.sum("f").alias("n"))

@@ -16,8 +16,8 @@ strongest 1, 3 and 10 expressions (an insult is as bad in a long text). A logist
 
 Counts cover every word of every labelled row outside the held-out fold, one row per word (by a 64-bit hash) in
 a table that grows with the corpus, and one per stem in another. The commonest ``HEAD`` words and stems at most
-are broadcast with their ratios; all other words of a text are joined to the tables by shuffle, so nothing is
-dropped or shared between words. Ratios are whole numbers of 1 / ``UNIT``, so sums do not depend on their order.
+are broadcast with their ratios, and a bitmap of fixed size that says of any other word whether it may be in the table; the
+words that may be are joined to the tables by shuffle, so nothing is dropped or shared between words. Ratios are whole numbers of 1 / ``UNIT``, so sums do not depend on their order.
 Fold 4 of 5 sets the calibration: it is scored by the counts of folds 1 to 3, at most ``CALIBRATION_ROWS`` rows of
 it; final scores use the counts of 1 to 4.
 
@@ -40,6 +40,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafmill.llm.blobs import bitmap, has
 from leafmill.llm.keys import text_key, with_keys
 from leafmill.llm.words import SPACE, slices, words
 from leafmill.shared import settle
@@ -122,7 +123,7 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
         *[F.count_if(F.col(x) > 0).alias(f"m_{x}") for x in sides],
         *[F.count_if(F.expr(f"{model}0 + {model}1 > 0")).alias(f"k_{model}") for model in MODELS],
     )
-    stems = settle(stems, "stems")
+    stems = settle(stems, "stems", free=True)
     high, low = orders(counts, sides), orders(stems, [f"m_{x}" for x in sides] + [f"k_{model}" for model in MODELS])
     for model in MODELS:
         kinds = low[f"k_{model}"]
@@ -167,15 +168,16 @@ def _looked_up(rows: dict[str, np.ndarray], key: str, model: str, wanted: np.nda
 class Lexicon:
     words: DataFrame
     stems: DataFrame
-    #: Broadcast rows of each, and whether they are all of its rows.
+    #: Broadcast rows of each and the bitmap of all words, and whether the rows are all of the table.
     common: object
     whole: tuple[bool, bool]
 
 
 def lexicon_of(counts: DataFrame) -> Lexicon:
-    known, stems = (settle(x, "ratios") for x in log_ratios(counts))
+    known, stems = (settle(x, "ratios", free=True) for x in log_ratios(counts))
     (common, all_words), (common_stems, all_stems) = head(known, "h"), head(stems, "s")
-    return Lexicon(known, stems, counts.sparkSession.sparkContext.broadcast((common, common_stems)), (all_words, all_stems))
+    there = None if all_words else bitmap(known, "h")
+    return Lexicon(known, stems, counts.sparkSession.sparkContext.broadcast((common, common_stems, there)), (all_words, all_stems))
 
 
 def _strongest(values: np.ndarray) -> list[int]:
@@ -190,16 +192,16 @@ def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
     names = [*[f.name for f in carried], "n", "total", "top", "h", "s", "times"]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, stems = common.value
+        known, stems, all_known = common.value
         for batch in batches:
             for at, to in slices(batch["_text"]):
                 part = batch.slice(at, to - at)
                 h, s, first = expressions(part["_text"])
                 own, place, inverse = np.unique(h, return_index=True, return_inverse=True)
                 value, sure = _looked_up(known, "h", model, own)
-                if all_words:
-                    lower, there = _looked_up(stems, "s", model, s[place])
-                    value, sure = np.where(sure, value, lower), sure | there | all_stems
+                unknown = ~sure if all_words else ~sure & ~has(all_known, own.view(np.uint64))
+                lower, there = _looked_up(stems, "s", model, s[place])
+                value, sure = np.where(unknown, lower, value), sure | (unknown & (there | all_stems))
                 total, top, rest = [], [], ([], [], [])
                 for low, high in zip(first[:-1], first[1:]):
                     kind = inverse[low:high]
@@ -217,7 +219,7 @@ def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
     found = rows.mapInArrow(scan, schema)
     if all_words and all_stems:
         return found.drop("h", "s", "times")
-    found = settle(found.withColumn("_row", F.monotonically_increasing_id()), "described")
+    found = settle(found.withColumn("_row", F.monotonically_increasing_id()), "described", free=True)
     rest = found.select("_row", F.explode(F.arrays_zip("h", "s", "times")).alias("_x")).select("_row", "_x.*")
     rest = rest.join(lexicon.words.select("h", "s", F.col(model).alias("_word")), ["h", "s"], "left").join(lexicon.stems.select("s", F.col(model).alias("_stem")), "s", "left")
     rest = rest.select("_row", F.coalesce("_word", "_stem", F.lit(0)).alias("value"), "times")
@@ -291,7 +293,7 @@ def scores(
 def keyed_scores(docs: DataFrame, labels: DataFrame, id_column: str, text_column: str, label_column: str) -> DataFrame:
     """``scores`` with the key of each row, ``_id`` and ``_copy``."""
     rows = labelled(docs, labels, id_column, text_column, label_column)
-    counts = settle(word_counts(rows), "words")
+    counts = settle(word_counts(rows), "words", free=True)
     held_out = F.coalesce(fold(id_column) == 0, F.lit(False)).alias("held_out")
     totals = [x or 0 for x in counts.agg(*[F.sum(f"k{k}") for k in range(4)]).first()]
     share = (totals[1] + totals[3] + 1) / (sum(totals) + 2)
