@@ -2,14 +2,16 @@
 
 1. A page is read into elements and blocks. A block is the text between two block-level tags; its path is the chain
    of tags (with their classes) from the root to it.
-2. Elements that are never article text are set aside: menus, forms, page headers and footers, sidebars, and
-   whatever names itself an advert, a notice or a comment. An element that holds an article is not.
-3. For each path, text length and punctuation marks are summed up and divided by the number of its blocks.
+2. For each path, text length and punctuation marks are summed up and divided by the number of its blocks.
    Both ratios are smoothed over neighbouring blocks in page order, fused by their product, and blocks from a
    threshold (a share of the deviation, at most half the peak) up are content.
-4. The smallest element that holds ``HOLDS`` of the content's text, widened to the article or container it lies
-   in, is the article; its blocks are the result, so that headings and short paragraphs stay with the paths that
-   were found.
+3. Elements that are not article text by tag, role or name (menus, forms, page headers and footers, sidebars, adverts, notices,
+   comments) are set aside with what the ratios found in them, but not one around an article or, on a page without article
+   elements, around half of all content: that is the page's frame, whatever its name. A name that also has an innocent meaning (``LOOSE_ASIDE``)
+   sets aside only what the ratios did not select.
+4. Of the rest, the article is the innermost article element that holds half of the content; without one, the smallest container
+   that holds all of the content, and its own container while that adds a little more (``WIDEN`` of its text at most), such as a
+   heading and a lead. Its blocks are the result, so that headings and short paragraphs stay with the paths that were found.
 
 A page is one row: nothing is shuffled, and a task holds a few pages at a time.
 
@@ -32,7 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOLDS = 0.8
+HALF = 0.5
+WIDEN = 0.25
 DEVIATIONS = 0.8
 SMOOTH = (0.25, 0.5, 0.25)
 
@@ -67,6 +70,8 @@ ASIDE_WORDS = set(
     "related recommended recommendations breadcrumb breadcrumbs pagination pager comment comments respond replies disqus widget widgets toolbar "
     "copyright disclaimer outbrain taboola searchbox skip".split()
 )
+#: Those of them that also name parts of articles.
+LOOSE_ASIDE = set("promo promotion menu menus alert notice notices share sharing social related widget widgets skip overlay signup login subscribe subscription copyright respond".split())
 #: Aside only outside an article, where they belong to the page.
 PAGE_WORDS = set("header masthead banner topbar".split())
 #: A class with one of these tells of something else on the page.
@@ -86,11 +91,13 @@ class Element:
     aside: bool
     page_head: bool
     article: bool
+    #: Aside by a name that also has an innocent meaning.
+    loose: bool
 
 
 @dataclass
 class Page:
-    elements: list[Element] = field(default_factory=lambda: [Element("", -1, "", False, False, False)])
+    elements: list[Element] = field(default_factory=lambda: [Element("", -1, "", False, False, False, False)])
     #: Element and text of each block, in page order.
     blocks: list[tuple[int, str]] = field(default_factory=list)
 
@@ -98,16 +105,17 @@ class Page:
 def _element(tag: str, attributes: str, parent: int, path: str) -> Element:
     found = {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in _NAMED.finditer(attributes)} if attributes else {}
     role = found.get("role", "").strip().lower()
-    aside, head = tag in ASIDE_TAGS or role in ASIDE_ROLES, tag == "header" or role == "banner"
+    aside, head, loose = tag in ASIDE_TAGS or role in ASIDE_ROLES, tag == "header" or role == "banner", False
     for name in f"{found.get('class', '')} {found.get('id', '')}".split():
         words = {w.lower() for w in _PARTS.findall(name)}
         if not words & LOOSE_WORDS:
-            aside |= bool(words & ASIDE_WORDS)
+            aside |= bool(words & (ASIDE_WORDS - LOOSE_ASIDE))
+            loose |= bool(words & LOOSE_ASIDE)
             head |= bool(words & PAGE_WORDS)
     if tag in KEPT_TAGS:
-        aside = head = False
+        aside = head = loose = False
     label = ".".join([tag, *found.get("class", "").split()])
-    return Element(tag, parent, f"{path}/{label}", aside, head, tag in ("article", "main") or role in ("main", "article"))
+    return Element(tag, parent, f"{path}/{label}", aside, head, tag in ("article", "main") or role in ("main", "article"), loose)
 
 
 def page_of(text: str) -> Page:
@@ -194,19 +202,31 @@ def page_of(text: str) -> Page:
     return page
 
 
-def _kept_blocks(page: Page) -> list[tuple[int, str]]:
-    """Blocks outside the elements that are set aside."""
+def _sums(page: Page, values: list[tuple[int, int]]) -> list[int]:
+    """For each element the sum of the values of the blocks in it."""
+    out = [0] * len(page.elements)
+    for e, value in values:
+        out[e] += value
+    for i in range(len(out) - 1, 0, -1):
+        out[page.elements[i].parent] += out[i]
+    return out
+
+
+def _kept(page: Page, chosen: list[bool]) -> list[bool]:
+    """Which blocks are outside the elements that are set aside."""
     elements = page.elements
+    found = _sums(page, [(e, len(text) * good) for (e, text), good in zip(page.blocks, chosen)])
     holds = [False] * len(elements)
     for i in range(len(elements) - 1, 0, -1):
         holds[elements[i].parent] |= holds[i] or elements[i].article
-    inside, out = [False] * len(elements), [False] * len(elements)
+    inside, out, loose = ([False] * len(elements) for _ in range(3))
     for i in range(1, len(elements)):
         e = elements[i]
         inside[i] = inside[e.parent] or e.article
-        away = not holds[i] and (e.aside or e.page_head and not inside[e.parent])
-        out[i] = out[e.parent] or away
-    return [(e, text) for e, text in page.blocks if not out[e]]
+        frame = holds[i] or not holds[0] and found[0] and found[i] >= HALF * found[0]
+        out[i] = out[e.parent] or not frame and (e.aside or e.page_head and not inside[e.parent])
+        loose[i] = loose[e.parent] or not frame and e.loose
+    return [not out[e] and (good or not loose[e]) for (e, _), good in zip(page.blocks, chosen)]
 
 
 def _smoothed(values: list[float]) -> list[float]:
@@ -233,30 +253,41 @@ def content(blocks: list[tuple[int, str]], page: Page) -> list[bool]:
     return [f >= threshold for f in fused]
 
 
-def _whole(page: Page, root: int) -> int:
-    """The article around an element, or the nearest element around it that can hold headings and paragraphs."""
-    chain = [root]
-    while chain[-1] > 0:
-        chain.append(page.elements[chain[-1]].parent)
-    articles = [i for i in chain if page.elements[i].article]
-    return articles[0] if articles else next(i for i in chain if page.elements[i].tag in HOLDERS)
+def _root(page: Page, kept: list[tuple[int, str]], chosen: list[bool]) -> int:
+    """The element whose kept blocks are the article."""
+    elements = page.elements
+    held = _sums(page, [(e, len(text) * good) for (e, text), good in zip(kept, chosen)])
+    articles = [i for i, e in enumerate(elements) if e.article and held[i] >= HALF * held[0]]
+    if articles and held[0]:
+        return articles[-1]
+    # The last element in page order that holds all lies in all others that do.
+    root = max(i for i in range(len(held)) if held[i] == held[0])
+    while elements[root].tag not in HOLDERS:
+        root = elements[root].parent
+    size = _sums(page, [(e, len(text)) for e, text in kept])
+    while root > 0:
+        outer = elements[root].parent
+        while outer > 0 and elements[outer].tag not in HOLDERS:
+            outer = elements[outer].parent
+        if outer <= 0 or elements[outer].tag in ("html", "body") or size[outer] > (1 + WIDEN) * size[root]:
+            break
+        root = outer
+    return root
 
 
 def main_text(text: str) -> str:
     page = page_of(text)
-    blocks = _kept_blocks(page)
+    if not page.blocks:
+        return ""
+    chosen = content(page.blocks, page)
+    kept = _kept(page, chosen)
+    chosen = [good for good, own in zip(chosen, kept) if own]
+    blocks = [block for block, own in zip(page.blocks, kept) if own]
     if not blocks:
         return ""
-    chosen = content(blocks, page)
-    held = [0] * len(page.elements)
-    for (e, block), good in zip(blocks, chosen):
-        held[e] += len(block) if good else 0
-    for i in range(len(held) - 1, 0, -1):
-        held[page.elements[i].parent] += held[i]
-    # The last element in page order that holds enough lies in all others that do.
-    root = _whole(page, max(i for i in range(len(held)) if held[i] >= HOLDS * held[0]))
-    within = [False] * len(held)
-    for i in range(len(held)):
+    root = _root(page, blocks, chosen)
+    within = [False] * len(page.elements)
+    for i in range(len(within)):
         within[i] = i == root or i > 0 and within[page.elements[i].parent]
     return "\n".join(block for e, block in blocks if within[e])
 

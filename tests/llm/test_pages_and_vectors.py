@@ -136,6 +136,33 @@ def test_main_texts(spark):
     assert html_text.main_texts(pages(spark, [])).count() == 0
 
 
+LONG = "This is a long paragraph, with marks; and many words in it. "
+P = f"<p>{LONG * 4}</p>"
+SHAPES = {
+    f"<body><form id=aspnetForm><div class=top-nav><a href=x>Menu</a></div><div class=text><h1>Head</h1>{P}{P}</div></form></body>": ("Head", 2),
+    f"<body><nav><a>menu</a></nav><div class='elementor-widget-container'><h1>Head</h1>{P}{P}</div><footer>f</footer></body>": ("Head", 2),
+    f"<body><div class='widget Blog'><div class=post><h3>Head</h3>{P}</div><div class=comments><p>{LONG}</p></div></div></body>": ("Head", 1),
+    f"<article><h1>Head</h1>{P}<div class='share-of-market'>{P}</div><div class='share-buttons'><a>Tweet</a></div></article>": ("Head", 2),
+    f"<body><div class=menu><a>m</a></div><div class=post><h1>Head</h1><p>Lead</p><div class=entry>{P}{P}</div></div></body>": ("Head\nLead", 2),
+    f"<body><div class=wrap><div class=one>{P}</div><div class=ad>Buy</div><div class=two>{P}</div></div><footer>f</footer></body>": ("", 2),
+    f"<body><div class=post><h1>Head</h1>{P}{P}</div><div id=comments><p>{LONG * 2}</p></div></body>": ("Head", 2),
+    f"<body><div class=links><ul><li><a>one</a></li><li><a>two</a></li></ul></div><div class=c>{P}{P}</div></body>": ("", 2),
+}
+
+
+@pytest.mark.parametrize("page", list(SHAPES))
+def test_pages_without_a_plain_article(page):
+    head, paragraphs = SHAPES[page]
+    assert html_text.main_text(page) == "\n".join([head] * bool(head) + [(LONG * 4).strip()] * paragraphs)
+
+
+def test_the_ratios_select(monkeypatch):
+    page = list(SHAPES)[-1]
+    with_ratios = html_text.main_text(page)
+    monkeypatch.setattr(html_text, "content", lambda blocks, page: [True] * len(blocks))
+    assert html_text.main_text(page) != with_ratios
+
+
 def test_odd_markup_ends_soon():
     chance = random.Random(3)
     marks = ["<", ">", "</", "<p>", "<b", "\"", "'", "<!--", "-->", "&", ";", "<script>", "</script", "<li>", "</ul>", "<td>", "x", " ", "<![CDATA[", "]]>", "=", "<article>"]
