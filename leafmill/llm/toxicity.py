@@ -189,7 +189,8 @@ def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
     """``rows`` with three columns for ``_text``: its number of words ``n``, the ``total`` of their ratios, and the strongest (``top``)."""
     carried = [f for f in rows.schema.fields if f.name != "_text"]
     common, (all_words, all_stems) = lexicon.common, lexicon.whole
-    names = [*[f.name for f in carried], "n", "total", "top", "h", "s", "times"]
+    # What an unknown word is worth is known here if all stems are: then the words left over need not meet the table of stems.
+    names = [*[f.name for f in carried], "n", "total", "top", "h", "s", "times", *["low"] * all_stems]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, stems, all_known = common.value
@@ -202,7 +203,7 @@ def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
                 unknown = ~sure if all_words else ~sure & ~has(all_known, own.view(np.uint64))
                 lower, there = _looked_up(stems, "s", model, s[place])
                 value, sure = np.where(unknown, lower, value), sure | (unknown & (there | all_stems))
-                total, top, rest = [], [], ([], [], [])
+                total, top, rest = [], [], [[] for _ in range(3 + all_stems)]
                 for low, high in zip(first[:-1], first[1:]):
                     kind = inverse[low:high]
                     given = sure[kind]
@@ -210,22 +211,24 @@ def described(rows: DataFrame, model: str, lexicon: Lexicon) -> DataFrame:
                     total.append(int(values.sum()))
                     top.append(_strongest(values))
                     others, times = np.unique(kind[~given], return_counts=True)
-                    for column, x in zip(rest, (own[others], s[place[others]], times)):
+                    for column, x in zip(rest, (own[others], s[place[others]], times, lower[others])):
                         column.append(x.tolist())
                 lists = [pa.array(x, pa.list_(pa.int64())) for x in (top, *rest)]
                 yield pa.record_batch([*[part[f.name] for f in carried], pa.array(np.diff(first)), pa.array(total, pa.int64()), *lists], names)
 
-    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n bigint, total bigint, top array<bigint>, h array<bigint>, s array<bigint>, times array<bigint>"])
+    schema = ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in carried], "n bigint, total bigint, top array<bigint>, h array<bigint>, s array<bigint>, times array<bigint>", *["low array<bigint>"] * all_stems])
     found = rows.mapInArrow(scan, schema)
     if all_words and all_stems:
-        return found.drop("h", "s", "times")
+        return found.drop("h", "s", "times", "low")
     found = settle(found.withColumn("_row", F.monotonically_increasing_id()), "described", free=True)
-    rest = found.select("_row", F.explode(F.arrays_zip("h", "s", "times")).alias("_x")).select("_row", "_x.*")
-    rest = rest.join(lexicon.words.select("h", "s", F.col(model).alias("_word")), ["h", "s"], "left").join(lexicon.stems.select("s", F.col(model).alias("_stem")), "s", "left")
-    rest = rest.select("_row", F.coalesce("_word", "_stem", F.lit(0)).alias("value"), "times")
+    rest = found.select("_row", F.explode(F.arrays_zip(*names[len(carried) + 3 :])).alias("_x")).select("_row", "_x.*")
+    rest = rest.join(lexicon.words.select("h", "s", F.col(model).alias("_word")), ["h", "s"], "left")
+    if not all_stems:
+        rest = rest.join(lexicon.stems.select("s", F.col(model).alias("low")), "s", "left")
+    rest = rest.select("_row", F.coalesce("_word", "low", F.lit(0)).alias("value"), "times")
     repeated = F.flatten(F.collect_list(F.array_repeat("value", F.least("times", F.lit(max(PEAKS))).cast("int"))))
     rest = rest.groupBy("_row").agg(F.sum(F.col("value") * F.col("times")).alias("_total"), repeated.alias("_top"))
-    joined = found.drop("h", "s", "times").join(rest, "_row", "left")
+    joined = found.drop("h", "s", "times", "low").join(rest, "_row", "left")
     top = F.slice(F.sort_array(F.concat("top", F.coalesce("_top", F.array().cast("array<bigint>"))), False), 1, max(PEAKS))
     return joined.withColumn("total", F.col("total") + F.coalesce("_total", F.lit(0))).withColumn("top", top).drop("_row", "_total", "_top")
 
