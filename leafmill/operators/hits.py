@@ -117,9 +117,9 @@ def search_summary(found: DataFrame, shown: DataFrame, batches: DataFrame, provi
 
 
 def sort_order(hits: DataFrame, by: str) -> DataFrame:
-    """``place`` of each hit per query when sorted by title or duration (unknown lengths last)."""
+    """``place`` of each hit per query when sorted by title or duration (unknown lengths last). Titles sort as people read them: letters before their accents and case."""
     if by == "title":
-        return number_ranged(hits, ["query_id"], [F.col("title"), F.col("pos")], "place")
+        return number_ranged(hits, ["query_id"], [F.collate("title", "UNICODE"), F.col("pos")], "place")
     sign = -1 if by == "duration-desc" else 1
     unknown = F.col("duration_s").isNull().cast("int")
     key = F.coalesce(F.col("duration_s") * sign, F.lit(0))

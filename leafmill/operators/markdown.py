@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, col, let, rstrip, strip
+from leafmill.operators.ordered import salted_left_join
+from leafmill.shared import settle
 
 FENCE_LINE = r"(?m)^[^\S\n]*```[^\n]*$"
 HEADING_LEVEL = r"(?m)^(#{1,6})[^\S\n]"
@@ -272,15 +274,12 @@ def localize_images(docs: DataFrame, manifest: DataFrame, key: str) -> DataFrame
     """Remote image references rewritten to stored files; references without one are removed.
 
     Documents without a remote image never reach the join. A picture used everywhere is one hot join
-    key: the references are salted and the manifest rows of the hot keys follow.
+    key: references to such pictures alone are salted, and their manifest rows follow.
     """
     refs = docs.select(
         key, F.posexplode(F.regexp_extract_all("md", F.lit(f"({IMAGE})"), 1)).alias("_pos", "_ref")
     ).withColumn("url", F.regexp_extract("_ref", IMAGE, 2)).filter(F.col("url").rlike("(?i)^https?://"))
-    salts = 16
-    salted = refs.withColumn("_salt", F.pmod(F.xxhash64(key, "_pos"), F.lit(salts)).cast("int"))
-    spread = manifest.select("url", "path", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    found = salted.join(spread, ["url", "_salt"], "left")
+    found = salted_left_join(settle(refs, "image-refs"), manifest.select("url", "path"), "url")
     text = F.when(F.col("path").isNull(), "").otherwise(
         F.concat(F.lit("!["), F.regexp_extract("_ref", IMAGE, 1), F.lit("]("), "path", F.regexp_extract("_ref", IMAGE, 3), F.lit(")"))
     )

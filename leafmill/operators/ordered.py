@@ -148,6 +148,27 @@ def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k:
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 
 
+def heavy_keys(df: DataFrame, key: str, share: float) -> list:
+    """The values of a key that more than ``share`` of the rows have: fewer than ``1 / share`` of them, whatever the size."""
+    total = df.count()
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > total * share)
+    return [r[key] for r in counts.collect() if r[key] is not None]
+
+
+def salted_left_join(left: DataFrame, right: DataFrame, key: str, share: float = 1 / 256, salts: int = 64) -> DataFrame:
+    """``left`` joined to the rows of ``right`` with its key, the work on heavy keys dealt out by a hash of the left row.
+
+    Only the right rows of heavy keys are repeated; without a heavy key this is a plain join. ``left`` is best a written table: it is read three times.
+    """
+    heavy = heavy_keys(left, key, share)
+    if not heavy:
+        return left.join(right, key, "left")
+    hot = F.coalesce(F.col(key).isin(heavy), F.lit(False))
+    dealt = left.withColumn("_salt", F.when(hot, F.pmod(F.xxhash64(*left.columns), F.lit(salts)).cast("int")).otherwise(0))
+    spread = right.withColumn("_salt", F.explode(F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.join(spread, [key, "_salt"], "left").drop("_salt")
+
+
 def with_group_flag(df: DataFrame, keys: Sequence[str], flag: Column, name: str) -> DataFrame:
     """Whether ``flag`` holds for any row of the key, as a combined aggregate joined back."""
     groups = df.groupBy(*keys).agg(F.bool_or(flag).alias(name))

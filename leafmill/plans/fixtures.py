@@ -24,6 +24,16 @@ class SparkSql:
     def micros(c: str) -> str:
         return f"unix_micros(cast({c} as timestamp))"
 
+    @staticmethod
+    def moment(seconds: str) -> str:
+        """A timestamp so many seconds after 1970."""
+        return f"timestamp_seconds({seconds})"
+
+    @staticmethod
+    def repeated(condition: str) -> str:
+        """A join that gives rows with ``condition`` twice."""
+        return f"LATERAL VIEW explode(sequence(1, CASE WHEN {condition} THEN 2 ELSE 1 END)) AS again"
+
     @staticmethod
     def words(table: str, key: str, text: str) -> str:
         return (
@@ -85,6 +95,14 @@ class DuckSql:
     def micros(c: str) -> str:
         return f"epoch_us({c})"
 
+    @staticmethod
+    def moment(seconds: str) -> str:
+        return f"make_timestamp(cast(({seconds}) * 1000000 as bigint))"
+
+    @staticmethod
+    def repeated(condition: str) -> str:
+        return f", unnest(generate_series(1, CASE WHEN {condition} THEN 2 ELSE 1 END)) AS r(again)"
+
     @staticmethod
     def words(table: str, key: str, text: str) -> str:
         return (

@@ -10,6 +10,8 @@ from leafmill.operators import review as R
 from leafmill.operators import stores as K
 from leafmill.plans import duck as D
 from leafmill.plans.registry import query
+from leafmill.shared import shared_folder
+from leafmill.sources.buckets import BucketTable
 
 FLAGS = """flagged AS (SELECT *, item_type = 'youtube' AND coalesce(has_transcript, false) AND is_punctuated IS NOT DISTINCT FROM false AS raw_captions,
     item_type = 'podcast' AND has_transcript IS DISTINCT FROM true AS needs_transcription, item_type IN ('youtube', 'blog') AS polishable,
@@ -217,6 +219,18 @@ def store_upsert(t):
     return K.upsert(rows.filter(F.col("ts_us") < CUT), rows.filter(F.col("ts_us") >= CUT), ["key"], ["ts_us", "event_id"])
 
 
+@query("store_upsert_buckets", "fx_calls", """
+    SELECT key, status, cost, provider, ts_us, event_id FROM fx_calls QUALIFY row_number() OVER (PARTITION BY key ORDER BY ts_us DESC, event_id DESC) = 1""")
+def store_upsert_buckets(t):
+    """The same store kept in buckets: the calls before the cut, then those after it as two changes."""
+    rows = t.fx_calls.select("key", "status", "cost", "provider", "ts_us", "event_id")
+    store = BucketTable(t.spark, shared_folder(t.spark, "store"), rows.schema, ["key"], ["ts_us", "event_id"], 16)
+    store.upsert(rows.filter(F.col("ts_us") < CUT))
+    for part in range(2):
+        store.upsert(rows.filter((F.col("ts_us") >= CUT) & (F.col("event_id") % 2 == part)))
+    return store.read()
+
+
 @query("guarded_item_update", "fx_items", """
     SELECT job_id, id, CASE WHEN item_index % 3 = 0 AND job_id % 2 = 1 THEN 'Renamed ' || id ELSE title END AS title FROM fx_items""")
 def guarded_item_update(t):

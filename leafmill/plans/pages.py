@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import discovery as E
+from leafmill.operators import page_facts as A
 from leafmill.operators import page_markdown as M
 from leafmill.operators import pages as P
 from leafmill.plans import duck as D
@@ -34,33 +35,35 @@ def page_node_table(t):
     return S.node_table(t.pages).select("page_id", "no", "last", "parent", "tag", "path", "text")
 
 
-PLAIN = r"""regexp_replace(replace(regexp_replace(regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '&nbsp;', ' '), '&(amp|lt|gt|quot|#x27|copy|middot);', '~', 'g')"""
+def decoded(html: str) -> str:
+    """The words of markup whose tags are gone, for DuckDB."""
+    text = f"regexp_replace({html}, '<[^>]*>', ' ', 'g')"
+    for name, char in (("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#x27", "''"), ("copy", "©"), ("middot", "·"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return f"array_to_string({D.words(text)}, ' ')"
 
 
-@query("site_chrome_removal", "", f"SELECT page_id, len({D.words(PLAIN)}) AS words FROM pages")
+PLAIN = r"""regexp_replace(html, '(?s)<script>.*?</script>|<style>.*?</style>|<!--.*?-->|<nav>.*?</nav>|<footer>.*?</footer>', ' ', 'g')"""
+
+
+@query("site_chrome_removal", "", f"SELECT page_id, {decoded(PLAIN)} AS text FROM pages")
 def site_chrome_removal(t):
-    kept = given(t).select("page_id", P.kept_text(P.chrome_spans()).alias("text"))
-    return kept.select("page_id", F.size(P.words("text")).alias("words"))
+    return A.page_facts(t.pages).select("page_id", P.collapse(F.col("text")).alias("text"))
 
 
 ARTICLE = r"""regexp_extract(regexp_replace(html, '(?s)<script>.*?</script>|<!--.*?-->', ' ', 'g'), '(?s)<article>(.*)</article>', 1)"""
 
 
-@query("main_content_pick", "", f"SELECT page_id, len({D.words(f'''regexp_replace(replace({ARTICLE}, '&nbsp;', ' '), '<[^>]*>', ' ', 'g')''')}) AS words, 0 AS link_words FROM pages")
+@query("main_content_pick", "", f"SELECT page_id, {decoded(ARTICLE)} AS text, len({D.words(decoded(ARTICLE))}) AS words, 0 AS link_words FROM pages")
 def main_content_pick(t):
-    return P.main_content(given(t)).select("page_id", "words", "link_words")
+    return A.content_measures(A.page_facts(t.pages)).select("page_id", P.collapse(F.col("text")).alias("text"), "words", "link_words")
 
 
 @query("reads_as_article", "", f"""
-    w AS (SELECT page_id, len({D.words(f"""regexp_replace(replace({ARTICLE}, '&nbsp;', ' '), '<[^>]*>', ' ', 'g')""")}) AS words FROM pages)
+    w AS (SELECT page_id, len({D.words(decoded(ARTICLE))}) AS words FROM pages)
     SELECT page_id, words, 0 AS link_words, 0 AS headlines, 0 AS sure_links, words >= 300 AS reads_as_article FROM w""")
 def reads_as_article(t):
-    return P.reads_as_article(given(t))
-
-
-@query("reads_as_article_rich")
-def reads_as_article_rich(t):
-    return P.reads_as_article(rich(t))
+    return A.reads_as_article(A.page_facts(t.pages))
 
 
 def rich_lines() -> str:
@@ -68,10 +71,21 @@ def rich_lines() -> str:
     return f"""rl AS (SELECT doc_id, cast(s.p - 1 as bigint) AS i, s.w AS line FROM (SELECT doc_id, unnest(list_transform({d.lines('text')}, lambda x, i: {{'w': x, 'p': i}})) AS s FROM documents))"""
 
 
+@query("reads_as_article_rich", "fx_docs", f"""{rich_lines()},
+    x AS (SELECT doc_id, i, line, {D.collapse('line')} AS c, len({D.words('line')}) AS n FROM rl),
+    m AS (SELECT doc_id, sum(CASE i % 6 WHEN 0 THEN n WHEN 1 THEN n + 4 WHEN 2 THEN 9 WHEN 3 THEN 2 WHEN 4 THEN 4 ELSE 3 END)::BIGINT AS lines_words,
+        sum(CASE i % 6 WHEN 0 THEN n WHEN 1 THEN 3 ELSE 0 END)::BIGINT + sum(CASE WHEN i % 6 = 1 THEN 1 ELSE 0 END)::BIGINT AS linked,
+        sum(CASE WHEN i % 6 = 1 THEN 3 ELSE 0 END)::BIGINT AS notes, count_if(i % 6 = 0) AS headlines, count_if(i % 6 = 0 AND (c = '' OR regexp_matches(c, '\\p{{L}}'))) AS sure FROM x GROUP BY 1),
+    r AS (SELECT doc_id AS page_id, lines_words + notes + 3 + 1 + 3 + CASE WHEN doc_id % 5 = 0 THEN 2 ELSE 0 END AS words, linked AS link_words, headlines, sure AS sure_links FROM m)
+    SELECT page_id, words, link_words, headlines, sure_links, greatest(sure_links, headlines) <= 3 AND words >= 300 AND link_words <= 0.25 * words AS reads_as_article FROM r""")
+def reads_as_article_rich(t):
+    return A.reads_as_article(A.page_facts(t.fx_rich_pages))
+
+
 @query("headline_link_count", "fx_docs", f"""{rich_lines()}
     SELECT doc_id AS page_id, count_if(i % 6 = 0) AS headlines FROM rl GROUP BY 1""")
 def headline_link_count(t):
-    return rich(t).select("page_id", P.headline_links().alias("headlines"))
+    return A.page_facts(t.fx_rich_pages).select("page_id", A.headline_links().alias("headlines"))
 
 
 @query("article_link_table", "fx_docs", f"""{rich_lines()},
@@ -80,7 +94,7 @@ def headline_link_count(t):
     f AS (SELECT * FROM l WHERE text = '' OR regexp_matches(text, '\\p{{L}}'))
     SELECT doc_id AS page_id, href, uncertain, row_number() OVER (PARTITION BY doc_id ORDER BY uncertain, i) AS place FROM f QUALIFY place <= 250""")
 def article_link_table(t):
-    return P.article_links(rich(t)).drop("title")
+    return A.article_links(A.page_facts(t.fx_rich_pages)).drop("title")
 
 
 @query("same_site_article_filter", "fx_page_titles", r"""
@@ -153,7 +167,7 @@ def page_images(t):
 @query("footnote_call_join", "fx_docs", f"""{rich_lines()}
     SELECT doc_id AS page_id, (i % 1000)::varchar AS mark, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS note_no, 'Note ' || i || '.' AS note_text FROM rl WHERE i % 6 = 1""")
 def footnote_call_join(t):
-    return M.footnotes(rich(t)).select("page_id", "mark", "note_no", "note_text")
+    return M.footnotes(t.fx_rich_pages).select("page_id", "mark", "note_no", "note_text")
 
 
 @query("encyclopedia_back_matter_cut", "fx_docs", """
@@ -169,7 +183,20 @@ def page_to_markdown(t):
     return M.to_markdown(t.pages)
 
 
-@query("rich_page_to_markdown")
+RICH_MD = """CASE i % 6 WHEN 0 THEN '## [' || e || '](/posts/line-number-' || i || '#top)'
+    WHEN 1 THEN ltrim(e || ' see [mention here](/2024/mention-' || i || ')[^fn' || (i // 6 + 1) || ']')
+    WHEN 2 THEN '**T' || i || '**' || chr(10) || chr(10) || '**Over**' || chr(10) || chr(10) || '| a | b |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || i || ' | x\\|y | z |' || chr(10) || '|  | w |  |'
+    WHEN 3 THEN '![Caption ' || i || '](https://s' || doc_id || '.example/img/' || i || '.png)'
+    WHEN 4 THEN '- one **bold**' || chr(10) || '- two' || chr(10) || '  - nested'
+    ELSE '```' || chr(10) || 'code ' || i || chr(10) || '```' || chr(10) || chr(10) || 'layout' END"""
+
+
+@query("rich_page_to_markdown", "fx_docs", f"""{rich_lines()},
+    l AS (SELECT *, {D.escape_tags("regexp_replace(line, '([*_])', '\\\\\\1', 'g')")} AS e FROM rl),
+    b AS (SELECT doc_id, i, {RICH_MD} AS md, CASE WHEN i % 6 = 1 THEN '[^fn' || (i // 6 + 1) || ']: Note ' || i || '.' END AS note FROM l)
+    SELECT doc_id AS page_id, CASE WHEN doc_id % 5 = 0 THEN '# Stay Connected' || chr(10) || chr(10) ELSE '' END || '## Story ' || doc_id || ' part' || chr(10) || chr(10)
+        || string_agg(md, chr(10) || chr(10) ORDER BY i) || chr(10) || chr(10) || CASE WHEN count(note) = 0 THEN '## Notes' || chr(10) || chr(10) ELSE '' END || '## After' || chr(10) || chr(10) || 'tail text'
+        || coalesce(chr(10) || chr(10) || string_agg(note, chr(10) || chr(10) ORDER BY i) FILTER (note IS NOT NULL), '') AS md FROM b GROUP BY doc_id""")
 def rich_page_to_markdown(t):
     return M.to_markdown(t.fx_rich_pages)
 
@@ -189,12 +216,23 @@ def article_record(t):
 
 @query("html_paragraph_parse")
 def html_paragraph_parse(t):
+    return paragraphs(given(t))
+
+
+def paragraphs(pages):
     """Paragraph elements of a transcript page, without timing."""
-    paragraphs = F.transform(S.tagged("p"), lambda n: P.collapse(S.text_of(n)))
-    rows = given(t).select("page_id", F.posexplode(paragraphs).alias("seq", "text"))
+    texts = F.transform(S.tagged("p"), lambda n: P.collapse(S.text_of(n)))
+    rows = pages.select("page_id", F.posexplode(texts).alias("seq", "text"))
     return rows.filter("text <> ''").withColumns({"start_s": F.lit(0.0), "duration_s": F.lit(0.0)})
 
 
+@query("html_paragraph_parse_rich", "fx_docs", f"""{rich_lines()},
+    p AS (SELECT doc_id, i, {D.collapse("line || ' see mention here ' || (i % 1000)")} AS text FROM rl WHERE i % 6 = 1 UNION ALL SELECT doc_id, 1000000, 'tail text' FROM fx_docs)
+    SELECT doc_id AS page_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS seq, text, 0.0::DOUBLE AS start_s, 0.0::DOUBLE AS duration_s FROM p""")
+def html_paragraph_parse_rich(t):
+    return paragraphs(rich(t))
+
+
 @query("discovery_expansion", "fx_docs", f"""{rich_lines()},
     s AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 0 WHEN doc_id % 9 < 3 THEN 3 WHEN doc_id % 9 < 6 THEN 4 ELSE 5 END AS strategy FROM fx_docs),
     links AS (SELECT doc_id, href, row_number() OVER (PARTITION BY doc_id ORDER BY uncertain, i) AS place, uncertain FROM (
@@ -209,7 +247,7 @@ def discovery_expansion(t):
     keyed = t.fx_rich_pages.select("page_id", "url")
     pages = keyed.select("url", F.concat(F.lit("Story "), "page_id").alias("title"), F.lit(False).alias("reads_as_article"))
     declared = P.declared_feeds(nodes).join(keyed, "page_id").select("url", "rank", "feed_url")
-    links = P.article_links(nodes).join(keyed, "page_id").select("url", "place", "href", "title", "uncertain")
+    links = A.article_links(A.page_facts(t.fx_rich_pages)).join(keyed, "page_id").select("url", "place", "href", "title", "uncertain")
     k = F.col("page_id") % 9
     feed = F.when(k < 3, F.concat(F.lit("https://s"), "page_id", F.lit(".example/feed.xml"))).when(k < 6, F.concat(F.lit("https://s"), "page_id", F.lit(".example/rss")))
     entries = t.fx_rich_pages.select(feed.alias("feed_url"), "page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("pos")).filter("feed_url IS NOT NULL").select(

@@ -223,7 +223,7 @@ def search_summary(t):
 
 
 @query("result_sort_by_title", "fx_hits",
-       "SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY title, pos) AS place FROM fx_hits")
+       "SELECT id, row_number() OVER (PARTITION BY query_id ORDER BY title COLLATE en, pos) AS place FROM fx_hits")
 def result_sort_by_title(t):
     return H.sort_order(t.fx_hits, "title").select("id", "place")
 

@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from leafmill.operators.jobs import progress
+from leafmill.operators.jobs import ORPHAN_NOTE, progress
+from leafmill.operators.stores import CACHEABLE
 from leafmill.plans import duck as D
-from leafmill.plans.fixtures import FIXTURES, SparkSql
+from leafmill.plans.fixtures import FIXTURES, SparkSql, fixture
 from leafmill.plans.jobs import STATES
 from leafmill.plans.registry import query
 from leafmill.plans.search import SCORED
 from leafmill.sources import payloads as P
 from leafmill.streaming import jobs as S
+from leafmill.streaming import timed as T
 
 NORMAL = f"""
     hits AS (SELECT query_id, payload_id, vendor, CASE WHEN vendor = 'tinyfish' THEN 1 ELSE 0 END AS pos,
@@ -80,7 +82,71 @@ TTL_S = 6 * 3600
         FROM walk w JOIN o ON o.key = w.key AND o.n = w.n + 1)
     SELECT key, event_id, hit FROM walk""")
 def ttl_cache_stream(t):
-    return S.cached_calls(streamed(t, "events", "fx_calls"), TTL_S)
+    calls = streamed(t, "events", "fx_calls")
+    kept = F.col("status").isin(*CACHEABLE)
+    return T.ordered_calls(calls.select("key", "ts_us", "event_id", kept.alias("keeps"), F.lit(1).alias("answers")), TTL_S).drop("answers")
+
+
+@fixture("fx_searches")
+def _searches(d):
+    return f"""
+    SELECT event_id, cast(floor({d.micros('ts')} / 100) as bigint) AS ts_us, CASE event_id % 4 WHEN 0 THEN concat('  ', substr(event_type, 1, 2), ' ') WHEN 1 THEN concat(' ', upper(event_type)) ELSE event_type END AS query,
+           10 + event_id % 2 AS "limit", CASE WHEN event_id % 5 = 0 THEN 0 ELSE user_id END AS answers
+    FROM events""".replace('"limit"', "`limit`" if d.name == "spark" else '"limit"')
+
+
+@query("search_cache_stream", "fx_searches", """
+    o AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts_us, event_id) AS n FROM (SELECT *, lower(trim(query)) || '::' || "limit" AS key FROM fx_searches WHERE len(trim(query)) >= 3)),
+    walk AS (SELECT key, event_id, n, false AS hit, answers AS served, CASE WHEN answers > 0 THEN ts_us END AS stored, answers AS kept FROM o WHERE n = 1
+        UNION ALL SELECT key, event_id, n, hit, CASE WHEN hit THEN kept ELSE answers END, CASE WHEN NOT hit AND answers > 0 THEN ts_us ELSE stored END, CASE WHEN NOT hit AND answers > 0 THEN answers ELSE kept END
+        FROM (SELECT o.key, o.event_id, o.n, o.ts_us, o.answers, w.stored, w.kept, coalesce(o.ts_us - w.stored < 300 * 1000000::bigint, false) AS hit FROM walk w JOIN o ON o.key = w.key AND o.n = w.n + 1) AS x)
+    SELECT event_id, CASE WHEN hit THEN 'hit' ELSE 'miss' END AS outcome, served AS answers FROM walk
+    UNION ALL SELECT event_id, 'short', 0 FROM fx_searches WHERE len(trim(query)) < 3""")
+def search_cache_stream(t):
+    return T.cached_searches(streamed(t, "events", "fx_searches"))
+
+
+RESTARTS = (1704844800000000, 1705708800000000)  # 10 and 20 January 2024
+
+
+@query("orphan_reaper_stream", "fx_state_events", f"""
+    e AS (SELECT *, CASE WHEN ts_us < {RESTARTS[0]} THEN {RESTARTS[0]} ELSE {RESTARTS[1]} END AS restart_us FROM fx_state_events WHERE ts_us < {RESTARTS[1]} AND job_id % 3 <> 0),
+    i AS (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY restart_us, job_id, item_id ORDER BY ts_us DESC, event_id DESC) = 1)
+    SELECT job_id, item_id, 'failed' AS state, '{ORPHAN_NOTE}' AS note, restart_us FROM i WHERE state IN ('pending', 'compiling')
+    UNION ALL SELECT DISTINCT job_id, NULL::bigint, 'failed', '{T.JOB_NOTE}', restart_us FROM e""")
+def orphan_reaper_stream(t):
+    """Item states and job statuses as one stream; what two restarts leave unfinished."""
+    events = streamed(t, "events", "fx_state_events")
+    k = F.col("job_id") % 3
+    status = F.when(k == 1, "processing").when(k == 2, "discovering").otherwise("completed")
+    none = F.lit(None)
+    both = F.array(F.struct("item_id", "state", "note"), F.struct(none.cast("bigint").alias("item_id"), status.alias("state"), none.cast("string").alias("note")))
+    return T.reaped(events.select("job_id", "ts_us", "event_id", F.explode(both).alias("x")).select("job_id", "x.*", "ts_us", "event_id"), list(RESTARTS))
+
+
+@fixture("fx_fetches")
+def _fetches(d):
+    """Each turn of a conversation as a fetched transcript of a video, every third one reported twice."""
+    return f"""
+    SELECT conv_id * 1000 + turn AS fetch_id, concat('vid', cast(conv_id as string)) AS video_id, CASE turn % 3 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE NULL END AS choice,
+           CASE turn % 3 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END AS language, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text, {d.moment('turn * 60')} AS at
+    FROM conversations {d.repeated('turn % 3 = 0')}"""
+
+
+@query("transcript_choice_stream", "fx_fetches", f"""
+    k AS (SELECT video_id || CASE WHEN choice IS NULL THEN '' ELSE '#' || choice END AS key, * FROM fx_fetches WHERE text <> ''),
+    t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY at DESC, fetch_id DESC) = 1),
+    i AS (SELECT DISTINCT video_id, CASE cast(substr(video_id, 4) AS bigint) % 5 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' WHEN 3 THEN 'de' WHEN 4 THEN 'xx' END AS choice FROM fx_fetches),
+    j AS (SELECT i.video_id, i.choice, t.key, t.language, {D.words('t.text')} AS w, len(regexp_extract_all(t.text, '[.!?]')) AS marks FROM i LEFT JOIN t ON i.choice IS DISTINCT FROM 'xx' AND t.key = i.video_id || CASE WHEN i.choice IN ('fr', 'de') THEN '#' || i.choice ELSE '' END)
+    SELECT video_id, choice, key, language, CASE WHEN key IS NOT NULL THEN len(w) END AS words, CASE WHEN key IS NOT NULL THEN len(w) >= 20 AND marks / len(w) >= 0.02 END AS punctuated, CASE WHEN choice = 'xx' THEN 'language not offered' WHEN key IS NULL THEN 'no transcript' END AS problem FROM j""")
+def transcript_choice_stream(t):
+    found = S.fetched_transcripts(streamed(t, "conversations", "fx_fetches"))
+    number = F.substr("video_id", F.lit(4)).cast("bigint") % 5
+    choice = F.when(number == 1, "en").when(number == 2, "fr").when(number == 3, "de").when(number == 4, "xx")
+    t.spark.read.parquet(f"{t.folder}/conversations.parquet").createOrReplaceTempView("conversations")
+    items = t.spark.sql(FIXTURES["fx_fetches"][1](SparkSql)).select("video_id").distinct().select(
+        "video_id", F.array(F.lit("en"), F.lit("fr"), F.lit("de")).alias("tracks"), choice.alias("choice"))
+    return S.with_chosen_language(items, found).drop("tracks")
 
 
 @query("spend_per_day_stream", "", """

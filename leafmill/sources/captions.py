@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafmill.functions.text import blank, collapse, null_if_empty, rstrip, strip
-from leafmill.operators.ordered import Running, block_of, islands, running
+from leafmill.functions.text import blank, collapse, let, null_if_empty, strip
+from leafmill.operators.ordered import Running, block_of, running
 
 EVENTS = "events ARRAY<STRUCT<tStartMs: DOUBLE, dDurationMs: DOUBLE, segs: ARRAY<STRUCT<utf8: STRING>>>>"
 ROWS = "rows ARRAY<STRUCT<text: STRING, startMs: BIGINT, endMs: BIGINT>>"
@@ -156,42 +156,122 @@ def speaker_turns(pages: DataFrame) -> DataFrame:
     )
 
 
+def _word(pos: Column, text: Column, kind: Column, start_s: Column, end_s: Column, speaker: Column) -> Column:
+    parts = (pos.cast("bigint"), F.coalesce(text, F.lit("")), kind == "word", start_s.cast("double"), end_s.cast("double"), speaker)
+    names = ("pos", "t", "is_word", "start_s", "end_s", "speaker")
+    return F.struct(*[part.alias(name) for part, name in zip(parts, names)])
+
+
+def _pieces(words: Column) -> Column:
+    """Words and spacings in order, cut before each word that follows a sentence's end or another speaker; what comes before the first word is a piece of its own.
+
+    A slice for each piece, so linear in the words. ``reach`` is the last end known at the piece.
+    """
+    def cut(x: Column) -> Column:
+        own = F.filter(F.transform(x, lambda w, i: F.struct(i.alias("i"), w.alias("w"))), lambda e: e["w"]["is_word"])
+
+        def starts(ws: Column) -> Column:
+            def opens(e: Column, j: Column) -> Column:
+                before = F.get(ws, j - 1)["w"]
+                return (j == 0) | before["t"].rlike(SENTENCE_END) | ~before["speaker"].eqNullSafe(e["w"]["speaker"])
+
+            return F.transform(F.filter(ws, opens), lambda e: e["i"])
+
+        def sliced(at: Column) -> Column:
+            whole = F.when((F.size(at) == 0) | (F.get(at, F.lit(0)) > 0), F.concat(F.array(F.lit(0)), at)).otherwise(at)
+            return let(whole, lambda s: F.transform(s, lambda low, k: F.slice(x, low + 1, F.coalesce(F.get(s, k + 1), F.size(x)) - low)))
+
+        return let(let(own, starts), sliced)
+
+    def piece(p: Column) -> Column:
+        def described(ws: Column) -> Column:
+            ends = F.filter(F.transform(ws, lambda w: w["end_s"]), lambda e: e.isNotNull())
+            first = F.get(ws, F.lit(0))
+            return F.struct(
+                F.array_join(F.transform(p, lambda w: w["t"]), "").alias("t"), (F.size(ws) > 0).alias("spoken"), first["start_s"].alias("start_s"),
+                F.element_at(ends, F.when(F.size(ends) > 0, -1)).alias("end_s"), first["speaker"].alias("speaker"),
+                F.coalesce(F.element_at(ws, F.when(F.size(ws) > 0, -1))["t"].rlike(SENTENCE_END), F.lit(False)).alias("ended"),
+            )
+
+        return let(F.filter(p, lambda w: w["is_word"]), described)
+
+    def reached(ps: Column) -> Column:
+        def last_end(p: Column, k: Column) -> Column:
+            # Only a piece without an end of its own looks back.
+            known = F.filter(F.slice(ps, F.lit(1), k), lambda q: q["end_s"].isNotNull())
+            return p.withField("reach", F.coalesce(p["end_s"], F.element_at(known, F.when(F.size(known) > 0, -1))["end_s"]))
+
+        return F.transform(ps, last_end)
+
+    return let(F.transform(cut(words), piece), reached)
+
+
 def word_segments(words: DataFrame, key: str, block_rows: int = 4096) -> DataFrame:
     """A word stream (pos, text, kind, start_s, end_s, speaker_id) cut at sentence ends and speaker changes.
 
-    Sound events are dropped. Spacings belong to the word before them.
+    Sound events are dropped. Spacings belong to the word before them. A segment whose words have no end ends where the one before did.
+    Words are shuffled once, by blocks of their positions, and cut in a block's row; a table with one row per block says how a block's
+    first piece hangs on what came before.
     """
-    spoken = words.filter("kind <> 'audio_event'").withColumn("_word", F.col("kind") == "word")
-    is_word = F.col("_word")
-    mark = F.struct(F.col("speaker_id").alias("speaker"), F.col("text").rlike(SENTENCE_END).alias("ended"))
-    numbered = islands(
-        spoken, [key], block_of("pos", block_rows), [F.col("pos")], F.when(is_word, mark), "seg_no",
-        cut=lambda before, now: before["ended"] | ~before["speaker"].eqNullSafe(now["speaker"]),
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("pos", F.coalesce("text", F.lit("")).alias("t"))))
+    spoken = words.filter("kind <> 'audio_event'")
+    word = _word(F.col("pos"), F.col("text"), F.col("kind"), F.col("start_s"), F.col("end_s"), F.col("speaker_id"))
+    blocks = spoken.groupBy(key, block_of("pos", block_rows).alias("_block")).agg(F.array_sort(F.collect_list(word)).alias("_w"))
+    cut = blocks.select(key, "_block", _pieces(F.col("_w")).alias("_p"))
+    said = F.filter("_p", lambda p: p["spoken"])
+    ends = F.filter(F.transform("_p", lambda p: p["end_s"]), lambda e: e.isNotNull())
+    count = lambda x: F.when(F.size(x) > 0, -1)
+    steps = cut.withColumn("_said", said).select(
+        key, "_block", F.size("_said").cast("bigint").alias("_n"), F.when(F.size("_said") > 0, F.struct(F.get("_said", F.lit(0))["speaker"].alias("s"))).alias("_head"),
+        F.when(F.size("_said") > 0, F.element_at("_said", -1)).alias("_tail"), F.element_at(ends, count(ends)).alias("_end"),
+    )
+    across = Window.partitionBy(key).orderBy("_block")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    came = steps.withColumns({"_came": F.last("_tail", ignorenulls=True).over(before), "_reach": F.last("_end", ignorenulls=True).over(before)})
+    opens = F.col("_came").isNotNull() & F.col("_head").isNotNull() & (F.col("_came.ended") | ~F.col("_came.speaker").eqNullSafe(F.col("_head.s")))
+    counted = came.withColumn("_opens", F.coalesce(opens, F.lit(False)).cast("bigint"))
+    carry = counted.select(
+        F.col(key).alias("_key"), F.col("_block").alias("_at"), "_opens", "_reach",
+        F.coalesce(F.sum(F.greatest(F.col("_n") - 1, F.lit(0)) + F.col("_opens")).over(before), F.lit(0)).alias("_carry"),
+    )
+    placed = cut.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
+    rows = placed.select(key, "_block", "_opens", "_carry", "_reach", (~F.get("_p", F.lit(0))["spoken"]).cast("int").alias("_lead"), F.posexplode("_p").alias("_i", "p"))
+    number = F.col("_carry") + F.when(F.col("p.spoken"), F.col("_opens") + F.col("_i") - F.col("_lead")).otherwise(F.lit(0))
+    numbered = rows.select(key, number.cast("bigint").alias("seg_no"), F.struct("_block", "_i").alias("_spot"), "p", F.coalesce("p.reach", "_reach", F.lit(0.0)).alias("_until"))
+    spot = F.when(F.col("p.spoken"), F.col("_spot"))
+    ordered = F.array_sort(F.collect_list(F.struct("_spot", F.col("p.t").alias("t"))))
     out = numbered.groupBy(key, "seg_no").agg(
         strip(F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("text"),
-        F.coalesce(F.min_by("start_s", F.when(is_word, F.col("pos"))), F.lit(0.0)).alias("start_s"),
-        F.max_by("end_s", F.when(is_word & F.col("end_s").isNotNull(), F.col("pos"))).alias("end_s"),
-        F.min_by("speaker_id", F.when(is_word, F.col("pos"))).alias("speaker"),
+        F.coalesce(F.min_by("p.start_s", spot), F.lit(0.0)).alias("start_s"), F.max_by("_until", "_spot").alias("end_s"), F.min_by("p.speaker", spot).alias("speaker"),
     )
     return out.filter("text <> ''")
 
 
-def speech_segments(payloads: DataFrame, block_rows: int = 4096) -> DataFrame:
-    """Speech-to-text answers: word streams are cut into sentences, segment lists taken as they are."""
+def words_in_row(words: Column) -> Column:
+    """The segments (seq, text, start_s, end_s, speaker) of a word stream that is one array: the same cuts, without a shuffle."""
+    def glued(ps: Column) -> Column:
+        # Spacings before the first word belong to its segment.
+        lead = F.when(~F.get(ps, F.lit(0))["spoken"] & (F.size(ps) > 1), F.get(ps, F.lit(0))["t"]).otherwise("")
+        rest = F.when(lead != "", F.slice(ps, F.lit(2), F.size(ps))).otherwise(ps)
+        return F.transform(rest, lambda p, i: F.struct(
+            i.cast("bigint").alias("seq"), strip(F.concat(F.when(i == 0, lead).otherwise(""), p["t"])).alias("text"), F.coalesce(p["start_s"], F.lit(0.0)).alias("start_s"),
+            F.coalesce(p["reach"], F.lit(0.0)).alias("end_s"), p["speaker"].alias("speaker"),
+        ))
+
+    return F.filter(let(_pieces(words), glued), lambda s: s["text"] != "")
+
+
+def speech_segments(payloads: DataFrame) -> DataFrame:
+    """Speech-to-text answers: word streams are cut into sentences, segment lists taken as they are. All of it in the answer's row."""
     parsed = payloads.select("payload_id", F.from_json("body", SPEECH).alias("p"))
-    by_word = parsed.filter("p.words IS NOT NULL").select("payload_id", F.posexplode("p.words").alias("pos", "w")).select(
-        "payload_id", "pos", "w.text", F.coalesce("w.type", F.lit("word")).alias("kind"),
-        F.col("w.start").alias("start_s"), F.col("w.end").alias("end_s"), "w.speaker_id",
-    )
-    worded = word_segments(by_word, "payload_id", block_rows).withColumnRenamed("seg_no", "seq")
-    listed = parsed.filter("p.words IS NULL").select("payload_id", F.posexplode("p.segments").alias("seq", "s")).select(
-        "payload_id", F.col("seq").cast("bigint").alias("seq"), strip("s.text").alias("text"),
-        F.col("s.start").alias("start_s"), F.col("s.end").alias("end_s"), F.col("s.speaker_id").alias("speaker"),
+    spoken = F.filter(F.transform("p.words", lambda w, i: _word(
+        i, w["text"], F.coalesce(w["type"], F.lit("word")), w["start"], w["end"], w["speaker_id"]).withField("event", F.coalesce(w["type"] == "audio_event", F.lit(False)))), lambda w: ~w["event"])
+    listed = F.filter(
+        F.transform("p.segments", lambda s, i: F.struct(
+            i.cast("bigint").alias("seq"), strip(s["text"]).alias("text"), s["start"].cast("double").alias("start_s"), s["end"].cast("double").alias("end_s"), s["speaker_id"].alias("speaker"))),
+        lambda s: s["start_s"].isNotNull() & s["end_s"].isNotNull() & (s["text"] != ""),
     )
-    usable = listed.filter("start_s IS NOT NULL AND end_s IS NOT NULL AND text <> ''")
-    return worded.unionByName(usable)
+    rows = parsed.select("payload_id", F.explode(F.when(F.col("p.words").isNotNull(), words_in_row(spoken)).otherwise(listed)).alias("s"))
+    return rows.select("payload_id", "s.*")
 
 
 def speech_text(payloads: DataFrame) -> DataFrame:

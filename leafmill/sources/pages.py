@@ -22,7 +22,7 @@ NODE = (
     "STRUCT<no: INT, last: INT, parent: INT, item: INT, tag: STRING, path: STRING, attrs: MAP<STRING, STRING>, text: STRING>"
 )
 _ATTRS = pa.map_(pa.string(), pa.string())
-_NODE = pa.struct([
+NODE_TYPE = pa.struct([
     ("no", pa.int32()), ("last", pa.int32()), ("parent", pa.int32()), ("item", pa.int32()), ("tag", pa.string()),
     ("path", pa.string()), ("attrs", _ATTRS), ("text", pa.string()),
 ])
@@ -107,24 +107,29 @@ class _Nodes(HTMLParser):
         attrs = pa.MapArray.from_arrays(pa.array(self.attr_ends, pa.int32()), pa.array(self.names, pa.string()), pa.array(self.values, pa.string()))
         small = [pa.array(v, pa.int32()) for v in (self.no, self.last, self.parent, self.item)]
         words = [pa.array(v, pa.string()) for v in (self.tag, self.path)]
-        nodes = pa.StructArray.from_arrays([*small, *words, attrs, pa.array(self.text, pa.string())], fields=list(_NODE))
+        nodes = pa.StructArray.from_arrays([*small, *words, attrs, pa.array(self.text, pa.string())], fields=list(NODE_TYPE))
         return pa.ListArray.from_arrays(pa.array(self.page_ends, pa.int32()), nodes)
 
 
+def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.ListArray]]:
+    """Rows (key, url, html) with the nodes of their pages, a few pages at a time: nodes are several times the size of the text."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, 64):
+            part = batch.slice(at, 64)
+            parser = _Nodes()
+            for html in part.column(2):
+                parser.add_page(html.as_py() or "")
+            yield part, parser.array()
+
+
 def with_nodes(pages: DataFrame, key: str = "page_id") -> DataFrame:
     """``pages(key, url, html)`` to (key, url, nodes), pages of any size."""
     kind = dict(pages.dtypes)[key]
     slim = pages.select(key, "url", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            # A few pages at a time: their nodes are several times the size of their text.
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
-                parser = _Nodes()
-                for html in part.column(2):
-                    parser.add_page(html.as_py() or "")
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), parser.array()], [key, "url", "nodes"])
+        for part, nodes in parsed(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), nodes], [key, "url", "nodes"])
 
     return slim.mapInArrow(run, f"{key} {kind}, url STRING, nodes ARRAY<{NODE}>")
 

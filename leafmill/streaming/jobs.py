@@ -2,22 +2,14 @@
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from leafmill.functions.text import word_count
 from leafmill.operators import hits as H
-from leafmill.operators.stores import CACHEABLE
+from leafmill.operators.segments import marks_of, punctuated
 from leafmill.sources.payloads import normalise
-from leafmill.streaming.tables import append_table, batch_tables, shared_folder, upsert_stream
-
-# The stateful processor also starts in a Python process that shipped files do not reach: send it whole.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+from leafmill.streaming.tables import batch_tables, shared_folder, upsert_stream
 
 
 def search_batches(payloads: DataFrame, queries: DataFrame, providers: dict[str, str]) -> DataFrame:
@@ -56,12 +48,47 @@ def source_progress(events: DataFrame) -> DataFrame:
     return upsert_stream(events, shared_folder(events.sparkSession, "sources"), ["job_id", "source_index"], ["at"])
 
 
+def transcript_key(video: Column | str, choice: Column | str) -> Column:
+    """A video's default transcript has its id as key, one in a chosen language ``id#language``."""
+    video, choice = (F.col(c) if isinstance(c, str) else c for c in (video, choice))
+    return F.concat(video, F.when(F.coalesce(choice, F.lit("")) != "", F.concat(F.lit("#"), choice)).otherwise(""))
+
+
 def transcript_arrivals(arrivals: DataFrame) -> DataFrame:
     """Found transcripts by key, the latest arrival of each."""
     found = arrivals.filter("text IS NOT NULL AND text <> ''")
     return upsert_stream(found, shared_folder(arrivals.sparkSession, "transcripts"), ["key"], ["stored_at"])
 
 
+def fetched_transcripts(fetches: DataFrame, late_s: int = 3600) -> DataFrame:
+    """Transcripts by key from a stream of fetches (fetch_id, video_id, choice, language, text, at).
+
+    A fetch that is reported again within ``late_s`` counts once; a fetch that found nothing is not stored, so the next one asks again.
+    """
+    found = fetches.filter("text IS NOT NULL AND text <> ''").withColumn("key", transcript_key("video_id", "choice"))
+    once = found.withWatermark("at", f"{late_s} seconds").dropDuplicatesWithinWatermark(["key", "fetch_id"])
+    return upsert_stream(once, shared_folder(fetches.sparkSession, "fetched"), ["key"], ["at", "fetch_id"])
+
+
+def with_chosen_language(items: DataFrame, transcripts: DataFrame) -> DataFrame:
+    """``items(video_id, tracks, choice)`` with the transcript of the chosen language and its statistics read again.
+
+    The first track is the default: choosing it, or nothing, goes back to the plain key. ``problem`` says why a choice
+    cannot be read: the language is not offered, or there is no transcript in it; such an item keeps no statistics.
+    """
+    chosen = F.when(F.col("choice") == F.get("tracks", F.lit(0)), F.lit(None).cast("string")).otherwise(F.col("choice"))
+    keyed = items.withColumn("_offered", F.col("choice").isNull() | F.array_contains("tracks", F.col("choice"))).withColumn("key", transcript_key("video_id", chosen))
+    known = transcripts.select("key", "language", "text")
+    joined = keyed.join(known, "key", "left")
+    read = F.col("_offered") & F.col("text").isNotNull()
+    words = word_count("text")
+    return joined.select(
+        *items.columns, F.when(read, F.col("key")).alias("key"), F.when(read, F.col("language")).alias("language"),
+        F.when(read, words.cast("bigint")).alias("words"), F.when(read, punctuated(words, marks_of("text"))).alias("punctuated"),
+        F.when(~F.col("_offered"), "language not offered").when(F.col("text").isNull(), "no transcript").alias("problem"),
+    )
+
+
 def daily_spend(calls: DataFrame) -> DataFrame:
     """Paid calls summed per provider and day.
 
@@ -78,51 +105,6 @@ def daily_spend(calls: DataFrame) -> DataFrame:
     return parts.groupBy("day", "provider").agg(F.sum("cost").alias("cost"), F.sum("calls").alias("calls"))
 
 
-class TimedAnswers(StatefulProcessor):
-    """One stored time per key: a call within the time to live is a hit, else it is billed and may refresh it."""
-
-    def __init__(self, ttl_us: int):
-        self.ttl_us = ttl_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.stored = handle.getValueState("stored", "stored_us BIGINT")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.stored.get()
-        stored = held[0] if held is not None else None
-        calls = pd.concat(list(rows)).sort_values(["ts_us", "event_id"])
-        hits = []
-        for at, status in zip(calls["ts_us"], calls["status"]):
-            hit = stored is not None and at - stored < self.ttl_us
-            if not hit and status in CACHEABLE:
-                stored = int(at)
-            hits.append(hit)
-        if stored is not None:
-            self.stored.update((stored,))
-        yield calls[["key", "event_id"]].assign(hit=hits)
-
-    def close(self) -> None:
-        pass
-
-
-def cached_calls(calls: DataFrame, ttl_s: int) -> DataFrame:
-    """Which calls of a stream are answered from the cache. State is one number per key; the trigger bounds a micro-batch."""
-    spark = calls.sparkSession
-    path = shared_folder(spark, "cache")
-    flagged = calls.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=TimedAnswers(ttl_s * 1_000_000), outputStructType="key STRING, event_id BIGINT, hit BOOLEAN",
-        outputMode="Append", timeMode="None",
-    )
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        append_table(flagged, path)
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.schema("key STRING, event_id BIGINT, hit BOOLEAN").parquet(f"{path}/rows")
-
-
 def stream_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
     """One of the given tables as a file stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema

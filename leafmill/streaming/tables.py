@@ -8,10 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from leafmill.shared import shared_folder  # noqa: F401 - part of this module's interface
+from leafmill.sources.buckets import BucketTable
+
+#: So many micro-batches of changes are put into the table at once.
+COMPACT_EVERY = 20
 
 
 def batch_tables(stream: DataFrame, path: str, build: Callable[[DataFrame], DataFrame], *, format: str = "parquet"):
@@ -43,8 +48,54 @@ def latest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> Data
     return best.select(*keys, "_row.*")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
-    """Changes folded per micro-batch before they are written; the table is the latest of what was written."""
-    batch_tables(stream, path, lambda batch: latest(batch, keys, version))
-    written = stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
-    return latest(written.select(*stream.columns), keys, version)
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], every: int = COMPACT_EVERY, buckets: int = 64) -> DataFrame:
+    """The current row of each key of a stream of changes.
+
+    A micro-batch writes its changes, folded, to a folder of its own. After every ``every`` of them they are put into a table in buckets
+    (``sources.buckets``) in one change and their folders go, so a read meets that table and fewer than ``every`` folders however long
+    the stream has run. The table's manifest names the last batch in it: a batch that runs again, before or after, counts once.
+    """
+    spark = stream.sparkSession
+    table = BucketTable(spark, f"{path}/table", stream.schema, keys, version, buckets)
+
+    def fold(batch: DataFrame, number: int) -> None:
+        _, done, _ = table.manifest()
+        if number <= done:
+            return
+        latest(batch, keys, version).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        if number - done >= every:
+            table.upsert(changes_after(spark, path, stream.schema, done), number)
+            for old in folders(spark, path):
+                if old <= number:
+                    _delete(spark, f"{path}/rows/batch={old}")
+
+    query = (
+        stream.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    )
+    query.awaitTermination()
+    _, done, _ = table.manifest()
+    return latest(table.read().select(*stream.columns).unionByName(changes_after(spark, path, stream.schema, done)), keys, version)
+
+
+def _files(spark: SparkSession, path: str):
+    context = spark.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(context._jsc.hadoopConfiguration()), target
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    files, target = _files(spark, path)
+    files.delete(target, True)
+
+
+def folders(spark: SparkSession, path: str) -> list[int]:
+    """The numbers of the batches whose changes lie in folders of their own."""
+    files, target = _files(spark, f"{path}/rows")
+    if not files.exists(target):
+        return []
+    return sorted(int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(target) if s.getPath().getName().startswith("batch="))
+
+
+def changes_after(spark: SparkSession, path: str, schema: StructType, batch: int) -> DataFrame:
+    paths = [f"{path}/rows/batch={n}" for n in folders(spark, path) if n > batch]
+    return spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)

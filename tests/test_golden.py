@@ -277,7 +277,7 @@ def test_page(table):
     md = page_markdown.to_markdown(raw).collect()[0].md
     assert md == (
         "# My Post\n\nHello **bold** and [link](/a_%28b%29) & H<sub>2</sub>O.[^fn1]\n\n- one\n- two\n  - deep\n\n```\nx = 1\n  y\n```\n\n**Cap**\n\n"
-        "| a | b |\n| --- | --- |\n| 1 | x\\|y |\n|  | z |\n\n![The cap](/i.png)\n\na  \n5 \\* 3\n\nopen **tags**\n\n[^fn1]: Note one")
+        "| a | b |\n| --- | --- |\n| 1 | x\\|y |\n|  | z |\n\n![The cap](https://s.example/i.png)\n\na  \n5 \\* 3\n\nopen **tags**\n\n[^fn1]: Note one")
     parsed = nodes.with_nodes(raw)
     assert values(parsed, pages.checked_title(F.lit("Site"))) == ["My Post"]
     assert values(parsed, pages.kept_text(pages.chrome_spans()))[0].startswith("My Post | Site My Post Hello bold")
@@ -330,3 +330,51 @@ def test_the_hundredth_feed_stays_in_its_strategy(table):
     links = table("url string, place int, href string, title string, uncertain boolean", ("https://a.example/", 0, "https://a.example/z", "link", False))
     rows = discovery.expand_sources(sources, pages, declared, entries, links).collect()
     assert [(r.strategy, r.title) for r in rows] == [(3, "declared")]
+
+
+def test_words_are_cut_alike_in_a_row_and_in_blocks(spark):
+    import random
+
+    from leafmill.sources import captions
+
+    def cut_words(words):
+        """One word after the other: a new segment before a word that follows a sentence's end or another speaker's word."""
+        out, before, end = [], None, 0.0
+        for text, kind, a, b, who in words:
+            if kind == "audio_event":
+                continue
+            if kind == "word" and before is not None and (before[0].rstrip().endswith((".", "?", "!")) or before[1] != who):
+                out.append(["", None, end, None])
+            if not out:
+                out.append(["", None, end, None])
+            out[-1][0] += text
+            if kind == "word":
+                if out[-1][1] is None:
+                    out[-1][1], out[-1][3] = a, who
+                before, end = (text, who), end if b is None else b
+                out[-1][2] = end
+        return [(t.strip(), a or 0.0, e, w) for t, a, e, w in out if t.strip()]
+
+    chance = random.Random(8)
+    schema = "id int, pos bigint, text string, kind string, start_s double, end_s double, speaker_id string"
+    rows, wanted = [], {}
+    for i in range(12):
+        words = []
+        for j in range(chance.randint(1, 60)):
+            kind = chance.choice(["word"] * 6 + ["spacing", "audio_event"])
+            text = {"word": chance.choice(["a", "b.", "c?", "d "]), "spacing": " ", "audio_event": "(x)"}[kind]
+            words.append((text, kind, float(j), chance.choice([j + 0.5, None]), chance.choice("SST")))
+        wanted[i] = cut_words(words)
+        rows += [(i, j, *w) for j, w in enumerate(words)]
+    df = spark.createDataFrame(rows, schema)
+    for block in (1, 3, 7, 4096):
+        found = {}
+        for r in captions.word_segments(df, "id", block).orderBy("id", "seg_no").collect():
+            found.setdefault(r.id, []).append((r.text, r.start_s, r.end_s, r.speaker))
+        assert found == {i: w for i, w in wanted.items() if w}, block
+    payloads = spark.createDataFrame(
+        [(i, __import__("json").dumps({"words": [dict(zip(("text", "type", "start", "end", "speaker_id"), r[2:])) for r in rows if r[0] == i]})) for i in wanted], "payload_id int, body string")
+    found = {}
+    for r in captions.speech_segments(payloads).orderBy("payload_id", "seq").collect():
+        found.setdefault(r.payload_id, []).append((r.text, r.start_s, r.end_s, r.speaker))
+    assert found == {i: w for i, w in wanted.items() if w}

@@ -137,3 +137,25 @@ def test_number_ranged_equals_window(spark, hot):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     window = Window.partitionBy("key").orderBy("value", "pos")
     assert sorted(map(str, mine)) == sorted(map(str, hot.withColumn("n", F.row_number().over(window).cast("bigint")).collect()))
+
+
+def test_only_heavy_keys_are_salted(spark):
+    from leafmill.operators import ordered
+
+    left = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 31 == 0 else f"k{i % 50}") for i in range(600)], "i int, k string")
+    right = spark.createDataFrame([(k, f"v-{k}") for k in ["hot", *[f"k{j}" for j in range(0, 50, 2)], "unused"]], "k string, v string")
+    assert ordered.heavy_keys(left, "k", 1 / 10) == ["hot"]
+    found = ordered.salted_left_join(left, right, "k", share=1 / 10, salts=8)
+    assert sorted(map(tuple, found.select("i", "k", "v").collect()), key=str) == sorted(map(tuple, left.join(right, "k", "left").select("i", "k", "v").collect()), key=str)
+    # The right side grows by the heavy key's rows alone.
+    dealt = spark.createDataFrame([("hot",), ("k2",)], "k string")
+    assert ordered.salted_left_join(left, dealt.withColumn("v", ordered.F.lit(1)), "k", share=1 / 10, salts=8).filter("v = 1").count() == left.filter("k IN ('hot', 'k2')").count()
+    assert ordered.heavy_keys(left.limit(0), "k", 1 / 10) == []
+
+
+def test_titles_sort_by_letters_before_accents(table):
+    from leafmill.operators.hits import sort_order
+
+    titles = ["zoo", "Éclair", "eagle", "fig", "Zebra", "apple", "ecole", "école", "Apple"]
+    rows = sort_order(table("query_id int, title string, pos int", *[(1, t, i) for i, t in enumerate(titles)]), "title").orderBy("place").collect()
+    assert [r.title for r in rows] == ["apple", "Apple", "eagle", "Éclair", "ecole", "école", "fig", "Zebra", "zoo"]
