@@ -197,9 +197,11 @@ def write_formulas(work: Rewrite) -> None:
 def drop_encyclopedia_furniture(work: Rewrite) -> None:
     """Marks, boxes and navigation of an encyclopedia page, and its appendix: the first top-level section with such a title and all beside it from there."""
     flat = work.flat
-    work.gone |= flat.with_class(*WIKI_FURNITURE) | flat.tags("style", "link", "script", "head")
-    work.gone |= flat.tags("sup") & flat.with_class("mw-ref", "citation") & ~work.whole
-    work.gone |= flat.tags("table") & flat.with_class("collapsed", "mw-collapsed")
+    work.gone |= flat.tags("style", "link", "script", "head")
+    # Notes that were lifted out of a box of references stay.
+    work.out |= flat.with_class(*WIKI_FURNITURE)
+    work.out |= flat.tags("sup") & flat.with_class("mw-ref", "citation") & ~work.whole
+    work.out |= flat.tags("table") & flat.with_class("collapsed", "mw-collapsed")
     section, heading = flat.tags("section"), flat.tags("div") & flat.with_class("mw-heading")
     left, ended = work.left(), set()
     for h in np.flatnonzero(flat.tags("h2") & left).tolist():

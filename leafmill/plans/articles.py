@@ -20,7 +20,7 @@ def _kinds(*bodies: str, of: str = "{i}") -> str:
     def text(body: str) -> str:
         parts = [p for p in body.replace("@i", "\0i\0").replace("@x", "\0x\0").replace("\n", "\0n\0").split("\0") if p]
         quoted = {"i": I, "x": X, "n": NL}
-        return "concat(" + ", ".join(quoted.get(p) or "'" + p.replace("{", "{{").replace("}", "}}").replace("'", "''") + "'" for p in parts) + ", '')"
+        return "concat('', " + ", ".join(quoted.get(p) or "'" + p.replace("{", "{{").replace("}", "}}").replace("'", "''") + "'" for p in parts or [""]) + ")"
 
     cases = " ".join(f"WHEN {k} THEN {text(b)}" for k, b in enumerate(bodies))
     return f"CASE {of} % {len(bodies)} {cases} END"
@@ -54,7 +54,7 @@ def _cluttered(d):
 
 WIKI = _kinds(
     '<section><h2>Part @i</h2><p>@x<sup class="mw-ref reference" id="cite_ref-@i"><a href="./T#cite_note-@i"><span>[</span>@i<span>]</span></a></sup><sup class="reference">,</sup><sup class="mw-ref reference"><a href="./T#cite_note-@i">[@i]</a></sup></p></section>',
-    """<section><div class="mw-heading"><h2>Part @i</h2></div><p>Formula <math display="block" data-mw='{"body":{"extsrc":"x_{@i}^2"}}'><mi>x</mi></math> here, <math alttext="z_@i"><mi>z</mi></math> and <span><math alttext="y"><mi>y</mi></math><img src="//m.example/@i.svg"></span></p></section>""",
+    """<section><div class="mw-heading"><h2>Part @i</h2></div><p>Formula <math display="block" data-mw='{"body":{"extsrc":"x_{@i}^2"}}'><mi>x</mi></math> here, <math alttext="z_@i"><mi>z</mi></math></p><p>and <span><math alttext="y"><mi>y</mi></math><img src="//m.example/@i.svg"></span></p></section>""",
     '<section><h2>Part @i</h2><figure><a href="./File:@i.jpg"><img src="//u.example/@i.jpg"></a><figcaption>Fig @i</figcaption></figure><p>On <a href="./Other_@i">other</a> things</p><section><h3>Notes</h3><p>kept @i</p></section></section>',
     '<section><h2>Part @i</h2><div class="navbox">box</div><ul><li>one @i<span class="noprint">!</span></li><li>two</li></ul><table class="collapsed"><tr><td>tree</td><td>t</td></tr></table></section>',
 )
@@ -70,7 +70,7 @@ def _encyclopedia(d):
     return f"""
     SELECT doc_id AS page_id, concat('https://en.wikipedia.org/wiki/Topic_', {p}) AS url,
         concat('<html><head><title>T</title></head><body><section><div class="hatnote">For other uses</div><table class="infobox"><tr><td>a</td><td>b</td></tr></table><p><b>Topic ', {p}, '</b> opens.</p></section>', {join(WIKI)},
-        '<section><h2>', CASE doc_id % 3 WHEN 0 THEN 'References' WHEN 1 THEN 'See also' ELSE 'Einzelnachweise' END, '</h2><div class="mw-references-wrap"><ol>', {join(WIKI_NOTE)},
+        '<section><h2>', CASE doc_id % 3 WHEN 0 THEN 'References' WHEN 1 THEN 'See also' ELSE 'Einzelnachweise' END, '</h2><p>list</p><div class="mw-references-wrap"><ol>', {join(WIKI_NOTE)},
         '</ol></div></section><section><h2>Last</h2><p>tail</p></section><div class="navbox">nav</div></body></html>') AS html
     FROM documents"""
 
@@ -106,7 +106,7 @@ def cleaned_page_markdown(t):
 
 WIKI_NOTE_MD = "CASE WHEN i % 4 = 0 THEN '[^fn' || (i // 4 + 1) || ']: Work *' || i || '*, [book](https://en.wikipedia.org/wiki/Book_' || i || ').' END"
 WIKI_MD = """'## Part ' || i || chr(10) || chr(10) || CASE i % 4 WHEN 0 THEN e || '[^fn' || (i // 4 + 1) || '][^fn' || (i // 4 + 1) || ']'
-    WHEN 1 THEN 'Formula $$x_{' || i || '}^2$$ here, $z_' || i || '$ and ![](https://m.example/' || i || '.svg)'
+    WHEN 1 THEN 'Formula $$x_{' || i || '}^2$$ here, $z_' || i || '$' || chr(10) || chr(10) || 'and ![](https://m.example/' || i || '.svg)'
     WHEN 2 THEN '![Fig ' || i || '](https://u.example/' || i || '.jpg)' || chr(10) || chr(10) || 'On [other](https://en.wikipedia.org/wiki/Other_' || i || ') things' || chr(10) || chr(10) || '### Notes' || chr(10) || chr(10) || 'kept ' || i
     ELSE '- one ' || i || chr(10) || '- two' END"""
 

@@ -186,7 +186,7 @@ def page_to_markdown(t):
 RICH_MD = """CASE i % 6 WHEN 0 THEN '## [' || e || '](/posts/line-number-' || i || '#top)'
     WHEN 1 THEN ltrim(e || ' see [mention here](/2024/mention-' || i || ')[^fn' || (i // 6 + 1) || ']')
     WHEN 2 THEN '**T' || i || '**' || chr(10) || chr(10) || '**Over**' || chr(10) || chr(10) || '| a | b |  |' || chr(10) || '| --- | --- | --- |' || chr(10) || '| ' || i || ' | x\\|y | z |' || chr(10) || '|  | w |  |'
-    WHEN 3 THEN '![Caption ' || i || '](https://s' || doc_id || '.example/img/' || i || '.png)'
+    WHEN 3 THEN '![Caption ' || i || '](https://s' || doc_id || '.example/img/' || i || '.png)' || chr(10) || chr(10) || '![](https://s' || doc_id || '.example/img/' || i || '.png)'
     WHEN 4 THEN '- one **bold**' || chr(10) || '- two' || chr(10) || '  - nested'
     ELSE '```' || chr(10) || 'code ' || i || chr(10) || '```' || chr(10) || chr(10) || 'layout' END"""
 

@@ -129,13 +129,13 @@ def _fetches(d):
     """Each turn of a conversation as a fetched transcript of a video, every third one reported twice."""
     return f"""
     SELECT conv_id * 1000 + turn AS fetch_id, concat('vid', cast(conv_id as string)) AS video_id, CASE turn % 3 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE NULL END AS choice,
-           CASE turn % 3 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END AS language, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text, {d.moment('turn * 60')} AS at
+           CASE turn % 3 WHEN 1 THEN 'fr' WHEN 2 THEN 'de' ELSE 'en' END AS language, CASE WHEN turn % 5 = 4 THEN '' ELSE text END AS text, {d.moment('86400 + turn * 60')} AS fetched_at
     FROM conversations {d.repeated('turn % 3 = 0')}"""
 
 
 @query("transcript_choice_stream", "fx_fetches", f"""
     k AS (SELECT video_id || CASE WHEN choice IS NULL THEN '' ELSE '#' || choice END AS key, * FROM fx_fetches WHERE text <> ''),
-    t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY at DESC, fetch_id DESC) = 1),
+    t AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY key ORDER BY fetched_at DESC, fetch_id DESC) = 1),
     i AS (SELECT DISTINCT video_id, CASE cast(substr(video_id, 4) AS bigint) % 5 WHEN 1 THEN 'en' WHEN 2 THEN 'fr' WHEN 3 THEN 'de' WHEN 4 THEN 'xx' END AS choice FROM fx_fetches),
     j AS (SELECT i.video_id, i.choice, t.key, t.language, {D.words('t.text')} AS w, len(regexp_extract_all(t.text, '[.!?]')) AS marks FROM i LEFT JOIN t ON i.choice IS DISTINCT FROM 'xx' AND t.key = i.video_id || CASE WHEN i.choice IN ('fr', 'de') THEN '#' || i.choice ELSE '' END)
     SELECT video_id, choice, key, language, CASE WHEN key IS NOT NULL THEN len(w) END AS words, CASE WHEN key IS NOT NULL THEN len(w) >= 20 AND marks / len(w) >= 0.02 END AS punctuated, CASE WHEN choice = 'xx' THEN 'language not offered' WHEN key IS NULL THEN 'no transcript' END AS problem FROM j""")

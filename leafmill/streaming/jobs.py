@@ -61,13 +61,13 @@ def transcript_arrivals(arrivals: DataFrame) -> DataFrame:
 
 
 def fetched_transcripts(fetches: DataFrame, late_s: int = 3600) -> DataFrame:
-    """Transcripts by key from a stream of fetches (fetch_id, video_id, choice, language, text, at).
+    """Transcripts by key from a stream of fetches (fetch_id, video_id, choice, language, text, fetched_at).
 
     A fetch that is reported again within ``late_s`` counts once; a fetch that found nothing is not stored, so the next one asks again.
     """
     found = fetches.filter("text IS NOT NULL AND text <> ''").withColumn("key", transcript_key("video_id", "choice"))
-    once = found.withWatermark("at", f"{late_s} seconds").dropDuplicatesWithinWatermark(["key", "fetch_id"])
-    return upsert_stream(once, shared_folder(fetches.sparkSession, "fetched"), ["key"], ["at", "fetch_id"])
+    once = found.withWatermark("fetched_at", f"{late_s} seconds").dropDuplicatesWithinWatermark(["key", "fetch_id"])
+    return upsert_stream(once, shared_folder(fetches.sparkSession, "fetched"), ["key"], ["fetched_at", "fetch_id"])
 
 
 def with_chosen_language(items: DataFrame, transcripts: DataFrame) -> DataFrame:

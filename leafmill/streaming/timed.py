@@ -29,8 +29,8 @@ JOB_NOTE = "The server restarted while this compilation was still running, so it
 # The search cache's time to live and its shortest query.
 SEARCH_TTL_S = 300
 SHORTEST_QUERY = 3
-#: Event time of the row that closes a finished stream: later than all others.
-END = "9000-01-01 00:00:00"
+#: Event time of the row that closes a finished stream: later than all others, and the last year that pandas can hold.
+END = "2262-01-01 00:00:00"
 
 
 class OrderedAnswers(StatefulProcessor):
@@ -74,11 +74,14 @@ class OrderedAnswers(StatefulProcessor):
                     stored, answers = at, own
                 ids.append(event_id), hits.append(hit), served.append(answers if hit else own)
             yield pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "hit": hits, "answers": served})
-        if stored is not None and stored + self.ttl_us <= now_us:
-            self.stored.clear()
-        elif stored is not None:
-            self.stored.update((stored, answers))
-            self.handle.registerTimer(-(-(stored + self.ttl_us) // 1000))
+        if stored is not None:
+            # The slice in which the answer gets too old may still hold hits.
+            over_us = ((stored + self.ttl_us) // self.slice_us + 1) * self.slice_us
+            if over_us <= now_us:
+                self.stored.clear()
+            else:
+                self.stored.update((stored, answers))
+                self.handle.registerTimer(over_us // 1000)
 
     def close(self) -> None:
         pass

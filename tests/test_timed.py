@@ -37,16 +37,16 @@ def walked(calls, ttl_s):
 @pytest.mark.parametrize("files", [1, 4])
 def test_answers_do_not_depend_on_files(spark, files):
     chance = random.Random(9)
-    calls = [(chance.choice("abc"), chance.randrange(0, 40_000) * SECOND // 10, i, chance.random() < 0.7, chance.randrange(5)) for i in range(400)]
+    calls = [(chance.choice("abc"), (6000 + chance.randrange(0, 4_000)) * SECOND + i, i, chance.random() < 0.7, chance.randrange(5)) for i in range(400)]
     found = timed.ordered_calls(stream(spark, list(calls), CALLS, files), 300, late_s=8000).collect()
     assert sorted(tuple(r) for r in found) == walked(calls, 300)
 
 
 def test_an_open_stream_keeps_back_what_may_still_change(spark):
-    calls = [("a", i * 600 * SECOND, i, True, 1) for i in range(10)]
+    calls = [("a", (6000 + i * 600) * SECOND, i, True, 1) for i in range(10)]
     found = timed.ordered_calls(stream(spark, list(calls), CALLS, 1), 300, late_s=1200, closes=False).collect()
     ids = {r.event_id for r in found}
-    assert ids == set(range(7))  # newest 5,400 s, so slices up to 4,200 s are due
+    assert ids == set(range(7))  # the newest comes at 11,400 s, so slices up to 10,200 s are due
 
 
 def test_searches(spark):
@@ -82,14 +82,14 @@ def test_reaper(spark, files):
 
 
 def test_fetched_languages(spark):
-    schema = "fetch_id bigint, video_id string, choice string, language string, text string, at timestamp"
+    schema = "fetch_id bigint, video_id string, choice string, language string, text string, fetched_at timestamp"
     moment = lambda n: f"2024-01-01 00:{n:02d}:00"
     rows = [
         (1, "v", None, "en", "one two.", 1), (1, "v", None, "en", "one two.", 2), (2, "v", "fr", "fr", "un deux trois", 3), (3, "v", "de", "de", "", 4),
         (4, "w", None, "en", None, 5), (5, "v", None, "en", "one two three.", 6),
     ]
     path = shared_folder(spark, "test-fetches")
-    spark.createDataFrame([(*r[:5], moment(r[5])) for r in rows], schema.replace("timestamp", "string")).withColumn("at", F.col("at").cast("timestamp")).write.parquet(path)
+    spark.createDataFrame([(*r[:5], moment(r[5])) for r in rows], schema.replace("timestamp", "string")).withColumn("fetched_at", F.col("fetched_at").cast("timestamp")).write.parquet(path)
     fetches = spark.readStream.schema(schema).parquet(path)
     known = jobs.fetched_transcripts(fetches)
     assert {r.key: r.text for r in known.collect()} == {"v": "one two three.", "v#fr": "un deux trois"}
