@@ -141,14 +141,21 @@ def log_ratios(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def head(table: DataFrame, key: str) -> tuple[dict[str, np.ndarray], bool]:
-    """The commonest rows of a table by ``n``, ``HEAD`` at most and sorted by ``key``, and whether these are all."""
-    sizes = sorted(table.groupBy(F.floor(F.log2(F.col("n") + 0.5)).alias("power")).count().collect(), reverse=True)
-    power, taken = None, 0
+    """The commonest rows of a table by ``n``, about ``HEAD`` at most and sorted by ``key``, and whether these are all.
+
+    Of the rows just too rare, those that come first by a hash fill it up: half of all words may occur once.
+    """
+    power = F.floor(F.log2(F.col("n") + 0.5))
+    sizes = sorted(table.groupBy(power.alias("power")).count().collect(), reverse=True)
+    least, taken, rare = None, 0, None
     for size in sizes:
         if taken + size["count"] > HEAD:
+            part = int(0.99 * (HEAD - taken) / size["count"] * (1 << 20))
+            rare = (power == size["power"]) & (F.pmod(F.xxhash64(key), F.lit(1 << 20)) < part)
             break
-        power, taken = size["power"], taken + size["count"]
-    common = table.limit(0) if power is None else table.filter(F.floor(F.log2(F.col("n") + 0.5)) >= power)
+        least, taken = size["power"], taken + size["count"]
+    wanted = F.lit(False) if least is None else power >= least
+    common = table.filter(wanted if rare is None else wanted | rare)
     rows = common.select(key, *MODELS).toArrow()
     place = np.argsort(rows[key].to_numpy())
     return {c: rows[c].to_numpy()[place] for c in rows.column_names}, taken == sum(s["count"] for s in sizes)
