@@ -72,5 +72,5 @@ def let(value: Column, body) -> Column:
 
 
 def escape_tags(c: Column | str) -> Column:
-    """A literal ``<div>`` in Markdown stays text."""
+    """What looks like a tag in a text is shown, not read as one."""
     return F.regexp_replace(col(c), "<(?=[A-Za-z/!?])", r"\\<")

@@ -10,7 +10,7 @@ from leafmill.functions.text import col, let, null_if_empty, strip
 FALLBACK = "en"
 MIN_HITS = 20
 VOTE_CHARS = 20000
-TAG = r"^([a-z]{2,3})(?:[-_][a-z0-9]+)*$"
+# Fixed value: the language attribute of a page's root element.
 HTML_LANG = r"""(?i)<html\b[^>]*?\b(?:xml:)?lang\s*=\s*["']?([A-Za-z]{2,3}(?:[-_][A-Za-z0-9]+)*)"""
 
 # Stop words per language, in the order in which ties are decided.
@@ -41,8 +41,10 @@ CHROME = {
 
 
 def normalize_language(tag: Column | str) -> Column:
-    """A language tag's primary part, null when there is no usable tag."""
-    return null_if_empty(F.regexp_extract(F.lower(strip(col(tag))), TAG, 1))
+    """A language tag's primary part (two or three letters before the first ``-`` or ``_``), null when there is no usable tag."""
+    parts = F.split(F.lower(strip(col(tag))), "[-_]")
+    primary = F.get(parts, F.lit(0))
+    return F.when(F.forall(parts, lambda p: p.rlike("^[a-z0-9]+$")) & primary.rlike("^[a-z]{2,3}$"), primary)
 
 
 def html_language(html: Column | str) -> Column:

@@ -43,7 +43,8 @@ AUDIO_EXTENSIONS = "mp3 m4a aac ogg opus wav".split()
 REFERENCE_SUBDOMAINS = "doc docs book developer developers learn api".split()
 # Tabs of a channel page.
 CHANNEL_TABS = "videos streams shorts featured".split()
-# The shape of a video id in a URL.
+# The addresses of a video, with the shape of its id, and of a channel.
+CHANNEL = r"youtube\.com/(@|channel/|c/|user/)"
 VIDEO_ID = r"(?:[?&]v=|youtu\.be/|youtube\.com/(?:shorts|live|embed)/)([A-Za-z0-9_-]{6,})"
 
 
@@ -63,7 +64,7 @@ def url_kind(url: Column | str) -> Column:
     return (
         F.when(watch | url.rlike(VIDEO_ID), "youtube_video")
         .when(low.contains("list=") | low.contains("youtube.com/playlist"), "youtube_playlist")
-        .when(low.rlike(r"youtube\.com/(@|channel/|c/|user/)"), "youtube_channel")
+        .when(low.rlike(CHANNEL), "youtube_channel")
         .when(urls.path(low).rlike(rf"\.{any_of(AUDIO_EXTENSIONS)}$"), "podcast")
         .otherwise("blog")
     )

@@ -161,6 +161,7 @@ def _chunk_starts(lines: Column) -> Column:
 
 
 INDENTED = r"^ {2,}\S"
+# Markdown's list markers, and its form of a footnote definition.
 MARKER = r"^([-*]|\d+\.)\s+(.*)$"
 NOTE = r"^\[\^([^\]\s]+)\]:\s*(.*)$"
 

@@ -96,6 +96,18 @@ def source_caps_and_preselection(t):
     return R.preselected(t.fx_items)
 
 
+@query("source_caps_reached", "fx_items", """
+    i AS (SELECT * REPLACE (doc_id // 600 AS job_id, 0::BIGINT AS source_index, doc_id % 600 AS item_index) FROM fx_items),
+    r AS (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY item_index) AS place FROM i QUALIFY place <= 250),
+    l AS (SELECT job_id, bool_or(NOT uncertain) AS any_sure, count(*) >= 2 AS several FROM r GROUP BY 1)
+    SELECT id, NOT uncertain AND set_aside IS NULL AND (item_type <> 'podcast' OR item_index < 10) AS preselected, NOT uncertain OR NOT any_sure AS sure,
+           item_type = 'youtube' AND place <= 50 AS probed, several AND place <= 50 AS judged FROM r JOIN l USING (job_id)""")
+def source_caps_reached(t):
+    """Sources of 600 items, so that both limits cut."""
+    place = {"job_id": F.floor(F.col("doc_id") / 600).cast("bigint"), "source_index": F.lit(0).cast("bigint"), "item_index": F.col("doc_id") % 600}
+    return R.preselected(t.fx_items.withColumns(place))
+
+
 @query("ordered_selection", "fx_items fx_sources", """
     SELECT i.job_id, i.id, row_number() OVER (PARTITION BY i.job_id ORDER BY (i.source_index * 3 + i.job_id) % 5, i.item_index) AS chapter_no
     FROM fx_items i JOIN fx_sources s USING (job_id, source_index) WHERE i.selected""")

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from leafmill.operators import discovery as E
+from leafmill.operators import jobs as J
 from leafmill.operators import page_facts as A
 from leafmill.operators import page_markdown as M
 from leafmill.operators import pages as P
 from leafmill.plans import duck as D
+from leafmill.plans.books import BEST, WORDS
 from leafmill.plans.fixtures import FIXTURES, DuckSql
 from leafmill.plans.registry import query
 from leafmill.sources import pages as S
@@ -264,3 +266,27 @@ def chapter_drafts(t):
     md = t.fx_items.join(t.fx_md_docs.select("doc_id", "md"), "doc_id").filter("item_type = 'blog' AND doc_id % 4 <> 1").select(
         "url", "md", F.lit(None).cast("string").alias("language"), F.lit("Writer").alias("author"), "paywalled")
     return E.draft_chapters(items.drop("doc_id"), texts, md)
+
+
+D_SUMMARY = E.SUMMARY_ONLY.replace("'", "''")
+
+
+@query("chapter_draft_records", "fx_items fx_docs", f"""
+    j AS (SELECT i.id, i.item_type, i.url, i.doc_id, i.paywalled, d.text, d.lang, i.item_type <> 'blog' AND i.has_transcript IS NOT DISTINCT FROM true AS heard,
+        i.item_type = 'blog' AND i.doc_id % 4 <> 1 AS loaded, {WORDS.replace('text', 'd.text')} AS ws FROM fx_items i JOIN fx_docs d USING (doc_id)),
+    c AS (SELECT *, {BEST} AS best, CASE WHEN heard OR loaded THEN text WHEN item_type = 'blog' AND doc_id % 2 = 0 THEN '## Summary' || chr(10) || chr(10) || 'Only this.' ELSE '' END AS content FROM j),
+    r AS (SELECT *, CASE WHEN loaded AND paywalled THEN '{J.PAYWALLED}' WHEN item_type = 'youtube' AND NOT heard THEN '{J.NO_SUBTITLES}'
+        WHEN item_type = 'podcast' AND NOT heard THEN '{J.NO_TRANSCRIPTION}' WHEN {D.blank('content')} THEN '{J.NO_CONTENT}' END AS reason FROM c)
+    SELECT id, item_type, 'Story of things' AS title, url AS source_url, CASE WHEN item_type = 'youtube' AND heard THEN 'Uploader' WHEN loaded THEN 'Writer' END AS author, NULL::VARCHAR AS channel_url,
+        CASE WHEN reason IS NULL THEN content END AS content_md, CASE WHEN reason IS NULL THEN CASE WHEN heard THEN lang WHEN loaded AND best.hits >= 20 THEN best.lang END END AS language,
+        CASE WHEN reason IS NULL AND item_type = 'blog' AND NOT loaded THEN '{D_SUMMARY}' END AS note, reason AS skip_reason FROM r""")
+def chapter_draft_records(t):
+    """Drafts whose texts hold no headings, so that every column is known."""
+    none = F.lit(None).cast("string")
+    items = t.fx_items.select("id", F.lit("Story of things").alias("title"), "doc_id", "url", "item_type", none.alias("title_suffix"),
+                              F.when(F.col("doc_id") % 2 == 0, F.lit("# Summary\n\nOnly this.")).alias("preview_md"))
+    both = t.fx_items.join(t.fx_docs, "doc_id")
+    texts = both.filter("item_type <> 'blog' AND has_transcript").select(
+        "url", F.col("text").alias("md"), F.col("lang").alias("language"), F.lit("Uploader").alias("uploader"), none.alias("channel_url"))
+    md = both.filter("item_type = 'blog' AND doc_id % 4 <> 1").select("url", F.col("text").alias("md"), none.alias("language"), F.lit("Writer").alias("author"), "paywalled")
+    return E.draft_chapters(items.drop("doc_id"), texts, md)

@@ -52,36 +52,40 @@ class OrderedAnswers(StatefulProcessor):
         for batch in rows:
             batch = batch[batch["event_id"].notna()]  # the closing row has none
             for number, part in batch.groupby(batch["ts_us"] // self.slice_us):
-                held = self.waiting.getValue((int(number),))
+                number = (int(number),)
+                held = self.waiting.getValue(number)
+                if held is None:
+                    self.handle.registerTimer((number[0] + 1) * self.slice_us // 1000)
                 calls = [tuple(c) for c in held[0]] if held is not None else []
                 calls += [(int(t), int(e), bool(k), int(a)) for t, e, k, a in zip(part["ts_us"], part["event_id"], part["keeps"], part["answers"])]
-                self.waiting.updateValue((int(number),), (calls,))
-                self.handle.registerTimer((int(number) + 1) * self.slice_us // 1000)
+                self.waiting.updateValue(number, (calls,))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # Timers fire in the order of their times, each at the end of one slice.
         now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        number = (now_us // self.slice_us - 1,)
         held = self.stored.get()
-        stored, answers = held if held is not None else (None, 0)
-        due = sorted(k[0] for k in self.waiting.keys() if (k[0] + 1) * self.slice_us <= now_us)
-        for number in due:
-            calls = sorted(tuple(c) for c in self.waiting.getValue((number,))[0])
-            self.waiting.removeKey((number,))
+        stored, answers = before = tuple(held) if held is not None else (None, 0)
+        waiting = self.waiting.getValue(number)
+        if waiting is not None:
+            self.waiting.removeKey(number)
             ids, hits, served = [], [], []
-            for at, event_id, keeps, own in calls:
+            for at, event_id, keeps, own in sorted(tuple(c) for c in waiting[0]):
                 hit = stored is not None and at - stored < self.ttl_us
                 if not hit and keeps:
                     stored, answers = at, own
                 ids.append(event_id), hits.append(hit), served.append(answers if hit else own)
             yield pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "hit": hits, "answers": served})
-        if stored is not None:
-            # The slice in which the answer gets too old may still hold hits.
-            over_us = ((stored + self.ttl_us) // self.slice_us + 1) * self.slice_us
-            if over_us <= now_us:
-                self.stored.clear()
-            else:
-                self.stored.update((stored, answers))
-                self.handle.registerTimer(over_us // 1000)
+        if stored is None:
+            return
+        # The slice in which the answer gets too old may still hold hits.
+        over_us = ((stored + self.ttl_us) // self.slice_us + 1) * self.slice_us
+        if over_us <= now_us:
+            self.stored.clear()
+        elif (stored, answers) != before:
+            self.stored.update((stored, answers))
+            self.handle.registerTimer(over_us // 1000)
 
     def close(self) -> None:
         pass
