@@ -70,10 +70,10 @@ w AS (SELECT lang, list_filter(regexp_split_to_array(piece, '[ \\t]+'), lambda x
 totals AS (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang),
 grams AS (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase FROM w, (SELECT unnest([1, 2, 3, 4]) AS k) AS ks),
 f AS (SELECT lang, k, phrase, count(*) AS f, string_split(phrase, ' ') AS w FROM grams GROUP BY ALL HAVING count(*) >= 30),
-cuts AS (SELECT *, unnest(range(1, k)) AS at FROM f WHERE k > 1),
+cuts AS (SELECT *, unnest(range(1, k)) AS head FROM f WHERE k > 1),
 scored AS (SELECT cuts.*, x.f AS l, y.f AS r, (2000000::HUGEINT * cuts.f // (x.f + y.f))::BIGINT AS score FROM cuts
-    JOIN f AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:at], ' ') JOIN f AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[at + 1:], ' ')),
-best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, at) = 1),
+    JOIN f AS x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:head], ' ') JOIN f AS y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[head + 1:], ' ')),
+best AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, head) = 1),
 inside AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM (SELECT *, unnest(range(2, k)) AS m FROM f WHERE k > 2) AS a) AS b GROUP BY 1, 2),
 kept AS (SELECT best.* FROM best LEFT JOIN inside USING (lang, phrase) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * f)
 SELECT lang, rank, phrase, f AS a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, f DESC, phrase) AS rank FROM kept) AS z JOIN totals USING (lang) WHERE rank <= 2000"""
