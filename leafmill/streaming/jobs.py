@@ -106,6 +106,7 @@ def daily_spend(calls: DataFrame) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables, a file or a folder of files, as a file stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(folder)
+    # A pattern, since a stream takes a plain path for a folder.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{table}}}.parquet")
