@@ -15,7 +15,7 @@ def folder(spark, tmp_path_factory):
     return path
 
 
-@pytest.mark.parametrize("name", ["search_batch_stream", "source_progress_stream", "transcript_arrival_stream"])
+@pytest.mark.parametrize("name", ["search_batch_stream", "source_progress_stream", "transcript_arrival_stream", "transcript_choice_stream", "item_state_stream", "spend_per_day_stream"])
 def test_streams_read_folders(spark, folder, name):
     outcome = compare(spark, duck(SMALL), folder, name)
     assert outcome.startswith("ok"), outcome
