@@ -378,3 +378,13 @@ def test_words_are_cut_alike_in_a_row_and_in_blocks(spark):
     for r in captions.speech_segments(payloads).orderBy("payload_id", "seq").collect():
         found.setdefault(r.payload_id, []).append((r.text, r.start_s, r.end_s, r.speaker))
     assert found == {i: w for i, w in wanted.items() if w}
+
+
+def test_a_reference_without_semicolon_is_text(table):
+    html = ('<body><article><h1>a &amp;&amp</h1><p x&y="1">b &lt c &lt;&#65; <a href="?a=1&copy=2&amp;c">d&eacute;</a></p><x&y>e</x&y>f&</article>'
+            "<script>a &amp b &lt; c && d</script></body>")
+    rows = nodes.node_table(table("page_id long, url string, html string", (1, "https://s.example/", html))).collect()
+    assert [r.text for r in rows if r.tag == "#text"] == ["a &&amp", "b &lt c <A ", "d\u00e9", "e", "f&"]
+    assert [r.text for r in rows if r.tag == "#raw"] == ["a &amp b &lt; c && d"]
+    assert [r.attrs for r in rows if r.attrs] == [{"x&y": "1"}, {"href": "?a=1&copy=2&c"}]
+    assert "x&y" in [r.tag for r in rows]
