@@ -48,12 +48,14 @@ def latest(rows: DataFrame, keys: Sequence[str], version: Sequence[str]) -> Data
     return best.select(*keys, "_row.*")
 
 
-def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], every: int = COMPACT_EVERY, buckets: int = 64) -> DataFrame:
+def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Sequence[str], every: int = COMPACT_EVERY, buckets: int = 64,
+                  accept: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """The current row of each key of a stream of changes.
 
     A micro-batch writes its changes, folded, to a folder of its own. After every ``every`` of them they are put into a table in buckets
     (``sources.buckets``) in one change and their folders go, so a read meets that table and fewer than ``every`` folders however long
     the stream has run. The table's manifest names the last batch in it: a batch that runs again, before or after, counts once.
+    ``accept`` gives the rows of a batch that count.
     """
     spark = stream.sparkSession
     table = BucketTable(spark, f"{path}/table", stream.schema, keys, version, buckets)
@@ -62,6 +64,8 @@ def upsert_stream(stream: DataFrame, path: str, keys: Sequence[str], version: Se
         _, done, _ = table.manifest()
         if number <= done:
             return
+        if accept is not None:
+            batch = accept(batch, number)
         latest(batch, keys, version).select(*stream.columns).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
         if number - done >= every:
             table.upsert(changes_after(spark, path, stream.schema, done), number)

@@ -1,185 +1,132 @@
 """Streams whose result depends on the order of events, not on that of files.
 
-Calls wait in state, in slices of event time, until the watermark has passed their slice; then they are taken in order of
-time. Timers on event time start that, and the same timers end what state no longer needs. A call later than
-``late_s`` behind the newest one seen is left out, as the watermark says.
+A watermark of their own: calls wait in a table until the newest event is ``late_s`` ahead of them, then they are taken in
+order of time, all keys of a micro-batch in one sorted pass. A call later than ``late_s`` behind the newest one of the
+batches before is left out. Marks and waiting rows belong to a batch's number, so a batch that runs again counts once.
 """
 
 from __future__ import annotations
 
-import sys
-from bisect import bisect_right
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from leafmill.operators.jobs import ORPHAN_NOTE
-from leafmill.streaming.tables import append_table, shared_folder
+from leafmill.streaming.tables import _delete, _files, append_table, folders, shared_folder, upsert_stream
 
-# The stateful processor also starts in a Python process that shipped files do not reach: send it whole.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-SLICE_S = 600
 LATE_S = 3600
 JOB_NOTE = "The server restarted while this compilation was still running, so it stopped."
+# States of a job that runs, and of an item that is not built yet.
+RUNNING = ("discovering", "processing")
+UNBUILT = ("pending", "compiling")
 # The search cache's time to live and its shortest query.
 SEARCH_TTL_S = 300
 SHORTEST_QUERY = 3
-#: Event time of the row that closes a finished stream: later than all others, and the last year that pandas can hold.
-END = "2262-01-01 00:00:00"
+#: Marks before the first event and after the last one.
+START, END = -(2**63), 2**63 - 1
 
 
-class OrderedAnswers(StatefulProcessor):
-    """One stored answer per key; a call within its time to live is a hit, else it is billed and may refresh it.
+class Marks:
+    """The watermark after each micro-batch, in microseconds, as small tables under ``path``."""
 
-    State of a key: the answer, and the waiting calls by slice of ``slice_us``. A slice is read when its timer
-    fires; the answer goes once no later call could still hit it.
-    """
+    def __init__(self, spark: SparkSession, path: str, late_s: int):
+        self.spark, self.path, self.late_us = spark, f"{path}/marks", late_s * 1_000_000
+
+    def after(self, number: int) -> int:
+        if number < 0:
+            return START
+        return self.spark.read.schema("mark BIGINT").parquet(f"{self.path}/batch={number}").first()["mark"]
+
+    def last(self) -> int:
+        files, target = _files(self.spark, self.path)
+        return self.after(max((int(s.getPath().getName().partition("=")[2]) for s in files.listStatus(target)), default=-1)) if files.exists(target) else START
+
+    def on_time(self, batch: DataFrame, number: int) -> tuple[DataFrame, int]:
+        """The rows of a batch that are not too late, and the mark after it."""
+        before = self.after(number - 1)
+        newest = batch.agg(F.max("ts_us").alias("ts_us")).first()["ts_us"]
+        mark = before if newest is None else max(before, newest - self.late_us)
+        self.spark.createDataFrame([(mark,)], "mark BIGINT").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/batch={number}")
+        return batch.filter(F.col("ts_us") >= before), mark
+
+
+#: A call that waits (no ``hit`` yet), one that is settled, or an answer that is kept (``hit`` and not ``due``).
+CALL = "key STRING, ts_us BIGINT, event_id BIGINT, keeps BOOLEAN, answers BIGINT, hit BOOLEAN, due BOOLEAN"
+_CALL = pa.schema([
+    ("key", pa.string()), ("ts_us", pa.int64()), ("event_id", pa.int64()), ("keeps", pa.bool_()), ("answers", pa.int64()), ("hit", pa.bool_()), ("due", pa.bool_()),
+])
+
+
+def _answered(rows: DataFrame, ttl_us: int, mark: int) -> DataFrame:
+    """Calls before ``mark`` settled in order of time; one stored answer per key, kept while a later call could still hit it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, stored, answers = None, None, 0
+
+        def kept() -> list[tuple]:
+            return [(current, stored, None, True, answers, True, False)] if stored is not None and stored + ttl_us > mark else []
 
-    def __init__(self, ttl_us: int, slice_us: int):
-        self.ttl_us, self.slice_us = ttl_us, slice_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.stored = handle.getValueState("stored", "stored_us BIGINT, answers BIGINT")
-        self.waiting = handle.getMapState("waiting", "slice BIGINT", "calls ARRAY<STRUCT<ts_us: BIGINT, event_id: BIGINT, keeps: BOOLEAN, answers: BIGINT>>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch[batch["event_id"].notna()]  # the closing row has none
-            for number, part in batch.groupby(batch["ts_us"] // self.slice_us):
-                number = (int(number),)
-                held = self.waiting.getValue(number)
-                if held is None:
-                    self.handle.registerTimer((number[0] + 1) * self.slice_us // 1000)
-                calls = [tuple(c) for c in held[0]] if held is not None else []
-                calls += [(int(t), int(e), bool(k), int(a)) for t, e, k, a in zip(part["ts_us"], part["event_id"], part["keeps"], part["answers"])]
-                self.waiting.updateValue(number, (calls,))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # Timers fire in the order of their times, each at the end of one slice.
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        number = (now_us // self.slice_us - 1,)
-        held = self.stored.get()
-        stored, answers = before = tuple(held) if held is not None else (None, 0)
-        waiting = self.waiting.getValue(number)
-        if waiting is not None:
-            self.waiting.removeKey(number)
-            ids, hits, served = [], [], []
-            for at, event_id, keeps, own in sorted(tuple(c) for c in waiting[0]):
-                hit = stored is not None and at - stored < self.ttl_us
-                if not hit and keeps:
+        def packed(out: list[tuple]) -> pa.RecordBatch:
+            columns = zip(*out) if out else [[]] * len(_CALL)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _CALL.types)], schema=_CALL)
+
+        for batch in batches:
+            out: list[tuple] = []
+            for key, at, event_id, keeps, own, held in zip(*(c.to_pylist() for c in batch.columns)):
+                if key != current:
+                    out += kept()
+                    current, stored, answers = key, None, 0
+                if held:
                     stored, answers = at, own
-                ids.append(event_id), hits.append(hit), served.append(answers if hit else own)
-            yield pd.DataFrame({"key": [key[0]] * len(ids), "event_id": ids, "hit": hits, "answers": served})
-        if stored is None:
-            return
-        # The slice in which the answer gets too old may still hold hits.
-        over_us = ((stored + self.ttl_us) // self.slice_us + 1) * self.slice_us
-        if over_us <= now_us:
-            self.stored.clear()
-        elif (stored, answers) != before:
-            self.stored.update((stored, answers))
-            self.handle.registerTimer(over_us // 1000)
-
-    def close(self) -> None:
-        pass
-
-
-class Reaper(StatefulProcessor):
-    """What a restart leaves behind in one job: latest states by the number of restarts before them.
-
-    At a restart's timer all events before it are there. Is the job still running, it fails, and so do its items that were
-    not built; what was reaped counts as a state of that instant, so that only later events undo it.
-    """
+                elif at >= mark:
+                    out.append((key, at, event_id, keeps, own, None, False))
+                else:
+                    hit = stored is not None and at - stored < ttl_us
+                    if not hit and keeps:
+                        stored, answers = at, own
+                    out.append((key, at, event_id, keeps, answers if hit else own, hit, True))
+            yield packed(out)
+        yield packed(kept())
 
-    def __init__(self, restarts_us: list[int]):
-        self.restarts = sorted(restarts_us)
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.states = handle.getMapState("states", "epoch INT, item STRING", "state STRING, note STRING, ts_us BIGINT, event_id BIGINT")
-
-    def _put(self, epoch: int, item: str, row: tuple) -> None:
-        held = self.states.getValue((epoch, item))
-        if held is None or (held[2], held[3]) < (row[2], row[3]):
-            self.states.updateValue((epoch, item), row)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            batch = batch[batch["event_id"].notna()]
-            for item, state, note, ts, event in zip(batch["item"], batch["state"], batch["note"], batch["ts_us"], batch["event_id"]):
-                epoch = bisect_right(self.restarts, int(ts))
-                self._put(epoch, item, (state, note if isinstance(note, str) else None, int(ts), int(event)))
-                if epoch < len(self.restarts):
-                    self.handle.registerTimer(-(-self.restarts[epoch] // 1000))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now_us = expiredTimerInfo.getExpiryTimeInMs() * 1000
-        for epoch in range(bisect_right(self.restarts, now_us)):
-            held = {k[1]: tuple(v) for k, v in self.states.iterator() if k[0] == epoch}
-            if not held:
-                continue
-            at = self.restarts[epoch]
-            running = "" in held and held[""][0] in ("discovering", "processing")
-            out = []
-            for item, row in sorted(held.items()):
-                note = JOB_NOTE if item == "" else ORPHAN_NOTE
-                if running and (item == "" or row[0] in ("pending", "compiling")):
-                    row = ("failed", note, at, -1)
-                    out.append((key[0], item, "failed", note, at))
-                self.states.removeKey((epoch, item))
-                if epoch < len(self.restarts):
-                    self._put(epoch + 1, item, row)
-            if epoch + 1 < len(self.restarts):
-                self.handle.registerTimer(-(-self.restarts[epoch + 1] // 1000))
-            if out:
-                yield pd.DataFrame(out, columns=["job_id", "item", "state", "note", "restart_us"])
-
-    def close(self) -> None:
-        pass
-
-
-def _run(rows: DataFrame, key: str, processor: StatefulProcessor, schema: str, late_s: int, closes: bool, name: str) -> DataFrame:
-    """The rows a stateful job finalises. ``rows`` streams with ``ts_us``; ``closes``: the stream is finished, so all rows are due."""
-    spark = rows.sparkSession
-    path = shared_folder(spark, name)
-    # A second file source whose one row, added when all else is read, moves the watermark to the end.
-    spark.createDataFrame([], rows.schema).write.parquet(f"{path}/closing")
-    both = rows.unionByName(spark.readStream.schema(rows.schema).parquet(f"{path}/closing"))
-    timed = both.withColumn("_at", F.timestamp_micros("ts_us")).withWatermark("_at", f"{late_s} seconds")
-    done = timed.groupBy(key).transformWithStateInPandas(processor, schema, "Append", "EventTime")
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        append_table(done, path)
-        if closes:
-            last = spark.range(1).select(*[
-                (F.unix_micros(F.lit(END).cast("timestamp")) if f.name == "ts_us" else F.lit(None)).cast(f.dataType).alias(f.name) for f in rows.schema
-            ])
-            last.write.mode("append").parquet(f"{path}/closing")
-            append_table(done, path)
-    finally:
-        spark.conf.set(provider, before)
-    return spark.read.schema(schema).parquet(f"{path}/rows")
+    ordered = rows.select("key", "ts_us", "event_id", "keeps", "answers", "hit").repartition("key").sortWithinPartitions("key", "ts_us", "event_id", "keeps", "answers")
+    return ordered.mapInArrow(run, CALL)
 
 
 def ordered_calls(calls: DataFrame, ttl_s: int, late_s: int = LATE_S, closes: bool = True) -> DataFrame:
     """``key, event_id, hit, answers`` of each call (key, ts_us, event_id, keeps, answers), in whatever order files bring them.
 
-    ``keeps``: the call's own answer may be stored; ``answers`` of a hit are those of the stored one.
+    ``keeps``: the call's own answer may be stored; ``answers`` of a hit are those of the stored one. A call within the time to
+    live of the stored answer is a hit, else it is billed and may refresh it. ``closes``: the stream is finished, so all calls are due.
     """
-    processor = OrderedAnswers(ttl_s * 1_000_000, SLICE_S * 1_000_000)
+    spark = calls.sparkSession
+    path = shared_folder(spark, "calls")
+    marks = Marks(spark, path, late_s)
     slim = calls.select("key", "ts_us", "event_id", F.col("keeps").cast("boolean").alias("keeps"), F.col("answers").cast("bigint").alias("answers"))
-    found = _run(slim, "key", processor, "key STRING, event_id BIGINT, hit BOOLEAN, answers BIGINT", late_s, closes, "calls")
-    return found
+
+    def part(number: int, due: bool) -> DataFrame:
+        files, target = _files(spark, f"{path}/rows/batch={number}/due={str(due).lower()}")
+        schema = CALL.removesuffix(", due BOOLEAN")
+        return spark.read.schema(schema).parquet(target.toString()) if files.exists(target) else spark.createDataFrame([], schema)
+
+    def settled(rows: DataFrame, number: int, mark: int) -> None:
+        _answered(rows, ttl_s * 1_000_000, mark).write.mode("overwrite").partitionBy("due").parquet(f"{path}/rows/batch={number}")
+        # What waited before this batch is in its own rows now; the batch may still run again, the one before not.
+        _delete(spark, f"{path}/rows/batch={number - 2}/due=false")
+
+    def fold(batch: DataFrame, number: int) -> None:
+        fresh, mark = marks.on_time(batch, number)
+        settled(part(number - 1, False).unionByName(fresh, allowMissingColumns=True), number, mark)
+
+    query = slim.writeStream.foreachBatch(fold).option("checkpointLocation", f"{path}/progress").trigger(availableNow=True).start()
+    query.awaitTermination()
+    done = folders(spark, path)
+    if closes and done:
+        settled(part(done[-1], False), done[-1] + 1, END)
+        done.append(done[-1] + 1)
+    paths = [f"{path}/rows/batch={n}" for n in done]
+    found = spark.read.schema(CALL).option("basePath", f"{path}/rows").parquet(*paths) if paths else spark.createDataFrame([], CALL)
+    return found.filter("due").select("key", "event_id", "hit", "answers")
 
 
 def search_key(query: Column | str, limit: Column | str) -> Column:
@@ -207,9 +154,34 @@ def reaped(events: DataFrame, restarts_us: list[int], late_s: int = LATE_S, clos
     """``job_id, item_id, state, note, restart_us`` of the jobs (no item) and items that each restart leaves unfinished.
 
     ``events`` streams (job_id, item_id, state, note, ts_us, event_id), without item for the status of a job itself. An event at a restart's own instant comes after it.
+    At a restart a job that is still running fails, and so do its items that were not built; only later events undo that.
+    The stream is kept as a table of the latest state of each job and item before each restart.
     """
-    slim = events.select("job_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "state", "note", "ts_us", "event_id")
-    kind = slim.schema["job_id"].dataType.simpleString()
-    found = _run(slim, "job_id", Reaper(restarts_us), f"job_id {kind}, item STRING, state STRING, note STRING, restart_us BIGINT", late_s, closes, "reaped")
+    spark, restarts = events.sparkSession, sorted(restarts_us)
+    path = shared_folder(spark, "reaped")
+    marks = Marks(spark, path, late_s)
+    epoch = F.size(F.filter(F.array(*[F.lit(r).cast("bigint") for r in restarts]), lambda r: r <= F.col("ts_us")))
+    slim = events.select("job_id", F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), epoch.alias("epoch"), "state", "ts_us", "event_id")
+    held = upsert_stream(
+        slim, path, ["job_id", "item", "epoch"], ["ts_us", "event_id"], accept=lambda batch, number: marks.on_time(batch, number)[0].filter(F.col("epoch") < len(restarts)))
+    mark = END if closes else marks.last()
     item = dict(events.dtypes)["item_id"]
-    return found.select("job_id", F.nullif("item", F.lit("")).cast(item).alias("item_id"), "state", "note", "restart_us")
+    found = _unfinished(held, restarts, sum(r <= mark for r in restarts))
+    return found.select("job_id", F.nullif("item", F.lit("")).cast(item).alias("item_id"), F.lit("failed").alias("state"), "note", "restart_us")
+
+
+def _unfinished(held: DataFrame, restarts: list[int], due: int) -> DataFrame:
+    """``job_id, item, note, restart_us`` at the first ``due`` restarts, from latest states (job_id, item, epoch, state).
+
+    A job runs at a restart if its last status since the restart before says so: else it had failed there. An item that is not built
+    fails at the first restart at which its job runs, unless a later state comes before.
+    """
+    at = F.array(*[F.lit(r).cast("bigint") for r in restarts])
+    rows = held.filter(F.col("epoch") < due).withColumn("_next", F.lead("epoch").over(Window.partitionBy("job_id", "item").orderBy("epoch")))
+    running = rows.filter((F.col("item") == "") & F.col("state").isin(*RUNNING)).select("job_id", "epoch")
+    jobs = running.select("job_id", F.lit("").alias("item"), F.lit(JOB_NOTE).alias("note"), F.get(at, F.col("epoch")).alias("restart_us"))
+    stops = running.groupBy(F.col("job_id").alias("_job")).agg(F.collect_set("epoch").alias("_stops"))
+    open_items = rows.filter((F.col("item") != "") & F.col("state").isin(*UNBUILT))
+    stop = F.array_min(F.filter("_stops", lambda s: s >= F.col("epoch")))
+    stopped = open_items.join(stops, F.col("job_id").eqNullSafe(F.col("_job"))).withColumn("_stop", stop).filter("_stop < coalesce(_next, _stop + 1)")
+    return jobs.unionAll(stopped.select("job_id", "item", F.lit(ORPHAN_NOTE), F.get(at, F.col("_stop"))))

@@ -1,11 +1,14 @@
 """Streams that depend on event time: the same result from one file and from several in any order."""
 
+import os
 import random
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from leafmill.operators.jobs import ORPHAN_NOTE
+from leafmill import shared
 from leafmill.shared import shared_folder
 from leafmill.streaming import jobs, timed
 
@@ -99,3 +102,50 @@ def test_fetched_languages(spark):
         1: ("v", "en", 3, None), 2: ("v", "en", 3, None), 3: ("v#fr", "fr", 3, None), 4: (None, None, None, "no transcript"),
         5: (None, None, None, "language not offered"), 6: (None, None, None, "no transcript"),
     }
+
+
+def batches_of(spark, schema, *batches):
+    """One file a micro-batch, in this order."""
+    path = shared_folder(spark, "test-batches")
+    for i, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(path)
+        for file in Path(path.removeprefix("file://")).glob("*.parquet"):
+            if file.stat().st_mtime > 10**9:
+                os.utime(file, (1000 + i, 1000 + i))
+    return spark.readStream.schema(spark.createDataFrame([], schema).schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def no_state_store(name):
+    """Not one remote call per row and key: the job keeps tables, no state store."""
+    path = [p for _, p in shared._made if f"leafmill-{name}-" in p][-1].removeprefix("file://")
+    return Path(f"{path}/progress/offsets").exists() and not Path(f"{path}/progress/state").exists()
+
+
+def test_calls_are_settled_in_one_pass(spark):
+    chance = random.Random(4)
+    calls = [(f"k{chance.randrange(3000)}", chance.randrange(40_000) * SECOND, i, chance.random() < 0.8, chance.randrange(5)) for i in range(20_000)]
+    found = timed.ordered_calls(stream(spark, list(calls), CALLS, 2), 6000, late_s=50_000).collect()
+    assert sorted(tuple(r) for r in found) == walked(calls, 6000)
+    assert no_state_store("calls")
+
+
+def test_late_calls_and_answers_kept_between_batches(spark):
+    s = SECOND
+    calls = batches_of(
+        spark, CALLS, [("a", 100 * s, 1, True, 7), ("b", 900 * s, 2, True, 8)], [("a", 350 * s, 3, True, 9), ("a", 500 * s, 4, False, 2), ("a", 500 * s, 5, True, 3), ("c", 399 * s, 6, True, 1)],
+        [("a", 5000 * s, 7, True, 4)], [("b", 4000 * s, 8, True, 5), ("a", 4600 * s, 9, True, 6), ("a", 4400 * s, 10, True, 6)])
+    # Marks after the batches: 400, 400, 4500 s. Calls 3, 6, 8 and 10 come too late; the answer of call 1 still serves 4 and 5.
+    found = timed.ordered_calls(calls, 450, late_s=500).collect()
+    assert sorted((r.event_id, r.hit, r.answers) for r in found) == [(1, False, 7), (2, False, 8), (4, True, 7), (5, True, 7), (7, True, 6), (9, False, 6)]
+
+
+def test_reaper_keeps_the_latest_states_as_a_table(spark):
+    s, schema = SECOND, "job_id string, item_id string, state string, note string, ts_us bigint, event_id bigint"
+    event = lambda i, job, item, state, t: (job, item, state, None, t * s, i)
+    events = batches_of(
+        spark, schema, [event(0, "a", None, "processing", 1), event(1, "a", "x", "pending", 2), event(2, "a", "y", "compiling", 12), event(3, "b", "x", "pending", 3)],
+        [event(4, "a", None, "processing", 25), event(5, "a", "x", "done", 26), event(6, "b", None, "discovering", 15)], [event(7, "b", "y", "pending", 5)])
+    found = timed.reaped(events, [10 * s, 20 * s, 30 * s], late_s=10).collect()
+    # The third batch is later than 10 s behind the 26th; item y of job a waits two restarts for its job to run.
+    assert sorted((r.job_id, r.item_id or "", r.restart_us // s) for r in found) == [("a", "", 10), ("a", "", 30), ("a", "x", 10), ("a", "y", 30), ("b", "", 20), ("b", "x", 20)]
+    assert no_state_store("reaped")
