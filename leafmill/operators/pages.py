@@ -19,6 +19,8 @@ TITLE_SEPARATOR = r"\s+[-–—|·•]\s+"
 # Marks of a page whose text is for subscribers.
 PAYWALL_BOX = r'class="paywall["\s]'
 NOT_FREE = r'(?i)"isAccessibleForFree"\s*:\s*(false|"false")'
+#: The elements that a page's title and record are read from.
+RECORD_TAGS = ("title", "h1", "h2", "meta")
 IN_ARTICLE = "/(article|main)/"
 IN_CHROME = "/(header|nav|footer|aside)/"
 FURNITURE_CLASSES = ("navbox", "reflist", "references", "mw-references-wrap")
@@ -171,7 +173,10 @@ def encyclopedia_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
 
 
 def article_records(pages: DataFrame, texts_md: DataFrame, key: str = "page_id") -> DataFrame:
-    """Title, author, date, language, site and state of each page. ``pages`` with ``html`` and ``nodes``; ``texts_md(key, md)``."""
+    """Title, author, date, language, site and state of each page. ``pages`` with ``html`` and ``nodes`` (of ``RECORD_TAGS`` at least); ``texts_md(key, md)``.
+
+    Only a page's facts and the measures of its text meet: neither markup nor nodes nor text is shuffled.
+    """
     extracted = F.coalesce(text_of(first(F.filter(tagged("h1"), lambda h: h["path"].rlike(IN_ARTICLE)))), text_of(first(tagged("h1"))))
     rows = pages.select(
         key, "url", checked_title(extracted).alias("title"), meta("author", "name").alias("author"),
@@ -179,10 +184,11 @@ def article_records(pages: DataFrame, texts_md: DataFrame, key: str = "page_id")
         html_language("html").alias("language"), is_paywalled("html").alias("paywalled"),
         html_title().alias("_page_title"), meta("og:site_name").alias("_declared"),
     )
-    joined = rows.join(texts_md, key, "left")
-    unreadable = F.coalesce(F.trim("md"), F.lit("")) == ""
+    measured = texts_md.select(key, (F.trim("md") != "").alias("_said"), F.length("md").alias("size_chars"))
+    joined = rows.join(measured, key, "left")
+    unreadable = ~F.coalesce("_said", F.lit(False))
     return joined.select(
         key, "url", F.coalesce(null_if_empty("title"), "_page_title", urls.slug_title("url")).alias("title"), "author",
         "published_at", "language", F.coalesce("_declared", site_from_title(F.col("_page_title"), F.col("title"))).alias("site_name"),
-        "paywalled", (unreadable & ~F.col("paywalled")).alias("unreadable"), F.length("md").alias("size_chars"),
+        "paywalled", (unreadable & ~F.col("paywalled")).alias("unreadable"), "size_chars",
     )

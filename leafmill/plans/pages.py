@@ -20,8 +20,8 @@ def given(t):
     return S.with_nodes(t.pages)
 
 
-def rich(t):
-    return S.with_nodes(t.fx_rich_pages)
+def rich(t, *only):
+    return S.with_nodes(t.fx_rich_pages, only=only or None)
 
 
 @query("page_node_counts", "", """
@@ -122,14 +122,14 @@ def same_site_article_filter(t):
         WHEN doc_id % 5 = 0 THEN 'Stay Connected' ELSE 'Story ' || doc_id || ' part' END AS title FROM fx_docs""")
 def page_title_choice(t):
     first_h1 = F.coalesce(S.text_of(S.first(F.filter(S.tagged("h1"), lambda h: h["path"].rlike(P.IN_ARTICLE)))), S.text_of(S.first(S.tagged("h1"))))
-    return rich(t).select("page_id", P.checked_title(first_h1).alias("title"))
+    return rich(t, *P.RECORD_TAGS).select("page_id", P.checked_title(first_h1).alias("title"))
 
 
 @query("site_name", "fx_docs", """
     SELECT doc_id AS page_id, CASE WHEN doc_id % 4 <> 1 THEN 'Site Name' END AS declared, CASE WHEN doc_id % 3 < 2 THEN 'Site Name' END AS from_title FROM fx_docs""")
 def site_name(t):
     name = P.site_from_title(P.html_title(), F.concat(F.lit("story "), F.col("page_id"), F.lit(" part")))
-    return rich(t).select("page_id", P.meta("og:site_name").alias("declared"), name.alias("from_title"))
+    return rich(t, *P.RECORD_TAGS).select("page_id", P.meta("og:site_name").alias("declared"), name.alias("from_title"))
 
 
 @query("paywall_flag", "fx_docs", "SELECT doc_id AS page_id, doc_id % 8 IN (3, 5) AS paywalled FROM fx_docs")
@@ -141,14 +141,14 @@ def paywall_flag(t):
     SELECT doc_id AS page_id, k AS rank, 'https://s' || doc_id || '.example/' || CASE WHEN k = 0 THEN 'feed.xml' WHEN doc_id % 2 = 0 THEN 'fr/read/atom/' || doc_id || '.xml' ELSE 'atom/' || doc_id || '.xml' END AS feed_url
     FROM fx_docs, (VALUES (0), (1)) v(k)""")
 def declared_feeds(t):
-    return P.declared_feeds(rich(t))
+    return P.declared_feeds(rich(t, "link"))
 
 
 @query("site_icons", "fx_docs", """
     SELECT doc_id AS page_id, k AS rank, CASE k WHEN 2 THEN 'https://c.example/plain.ico' ELSE 'https://s' || doc_id || '.example/' || CASE k WHEN 0 THEN 'i180.png' WHEN 1 THEN 'i32.png' ELSE 'favicon.ico' END END AS icon_url
     FROM fx_docs, (VALUES (0), (1), (2), (3)) v(k)""")
 def site_icons(t):
-    return P.site_icons(rich(t))
+    return P.site_icons(rich(t, "link"))
 
 
 @query("table_grid_cells", "fx_docs", f"""{rich_lines()},
@@ -156,7 +156,7 @@ def site_icons(t):
     SELECT doc_id AS page_id, table_no, g.r AS row_no, g.c AS col_no, CASE WHEN g.t = '#' THEN i::varchar ELSE g.t END AS text, g.r = 0 AS is_header
     FROM ts, (VALUES (0, 0, 'a'), (0, 1, 'b'), (0, 2, ''), (1, 0, '#'), (1, 1, 'x|y'), (1, 2, 'z'), (2, 0, ''), (2, 1, 'w'), (2, 2, '')) g(r, c, t)""")
 def table_grid_cells(t):
-    return M.table_cells(rich(t))
+    return M.table_cells(rich(t, "table"))
 
 
 @query("page_images", "fx_docs", f"""{rich_lines()}
@@ -204,8 +204,7 @@ def rich_page_to_markdown(t):
 
 
 def records(t):
-    nodes = rich(t)
-    pages = t.fx_rich_pages.select("page_id", "html").join(nodes, "page_id")
+    pages = S.with_nodes(t.fx_rich_pages, only=P.RECORD_TAGS, html=True)
     return P.article_records(pages, M.to_markdown(t.fx_rich_pages))
 
 
@@ -218,7 +217,7 @@ def article_record(t):
 
 @query("html_paragraph_parse")
 def html_paragraph_parse(t):
-    return paragraphs(given(t))
+    return paragraphs(S.with_nodes(t.pages, only=("p",)))
 
 
 def paragraphs(pages):
@@ -232,7 +231,7 @@ def paragraphs(pages):
     p AS (SELECT doc_id, i, {D.collapse("line || ' see mention here ' || (i % 1000)")} AS text FROM rl WHERE i % 6 = 1 UNION ALL SELECT doc_id, 1000000, 'tail text' FROM fx_docs)
     SELECT doc_id AS page_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INTEGER AS seq, text, 0.0::DOUBLE AS start_s, 0.0::DOUBLE AS duration_s FROM p""")
 def html_paragraph_parse_rich(t):
-    return paragraphs(rich(t))
+    return paragraphs(rich(t, "p"))
 
 
 @query("discovery_expansion", "fx_docs", f"""{rich_lines()},
@@ -244,7 +243,7 @@ def html_paragraph_parse_rich(t):
     UNION ALL SELECT doc_id, strategy, k, 'https://e.example/' || doc_id || '/' || k, false FROM s, (VALUES (0), (1)) v(k) WHERE strategy IN (3, 4)
     UNION ALL SELECT doc_id, strategy, place - 1, href, uncertain FROM s JOIN links USING (doc_id) WHERE strategy = 5""")
 def discovery_expansion(t):
-    nodes = rich(t)
+    nodes = rich(t, "link")
     sources = t.fx_rich_pages.select(F.col("page_id").alias("job_id"), F.lit(0).alias("source_index"), "url", F.lit("how").alias("query"))
     keyed = t.fx_rich_pages.select("page_id", "url")
     pages = keyed.select("url", F.concat(F.lit("Story "), "page_id").alias("title"), F.lit(False).alias("reads_as_article"))

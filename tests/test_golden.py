@@ -388,3 +388,31 @@ def test_a_reference_without_semicolon_is_text(table):
     assert [r.text for r in rows if r.tag == "#raw"] == ["a &amp b &lt; c && d"]
     assert [r.attrs for r in rows if r.attrs] == [{"x&y": "1"}, {"href": "?a=1&copy=2&c"}]
     assert "x&y" in [r.tag for r in rows]
+
+
+def test_nodes_of_some_tags_are_those_of_the_page(table):
+    raw = table("page_id long, url string, html string", (1, "https://s.example/p/x", PAGE), (2, "https://s.example/", "<ol><li>a<h1>b <i>c</i></h1><li>d</ol>x<h1>e"), (3, "u", None))
+    whole = {(r.page_id, r.no): r for r in nodes.node_table(raw).collect()}
+    for tags in (("h1",), ("title", "meta", "link"), ("li", "h1"), ("blink",)):
+        roots = [r for r in whole.values() if r.tag in tags]
+        want = sorted((k, r) for k, r in whole.items() if any(r.page_id == x.page_id and x.no <= r.no <= x.last for x in roots))
+        rows = nodes.with_nodes(raw, only=tags, html=True).select("page_id", "html", F.explode("nodes").alias("n")).select("page_id", "html", "n.*").orderBy("page_id", "no").collect()
+        assert [(r.page_id, r.tag, r.path, r.attrs, r.text, r.item, r.last - r.no) for r in rows] == [(r.page_id, r.tag, r.path, r.attrs, r.text, r.item, r.last - r.no) for _, r in want]
+        for page in (1, 2):
+            own = [r for r in rows if r.page_id == page]
+            assert [r.no for r in own] == list(range(len(own))) and all(r.parent < r.no for r in own)
+
+
+def test_article_records_shuffle_neither_pages_nor_texts(spark):
+    from leafmill.plans.catalog import QUERIES
+
+    todo, joins = [QUERIES["article_record"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan()], 0
+    while todo:
+        plan = todo.pop()
+        below = [plan.children().apply(i) for i in range(plan.children().size())]
+        todo += below
+        if plan.nodeName() == "Join":
+            joins += 1
+            columns = {name for child in below for name in child.output().mkString(",").replace("#", ",").split(",")}
+            assert not columns & {"html", "nodes", "md"}
+    assert joins == 1
