@@ -10,6 +10,7 @@ from leafmill.operators import polish as P
 from leafmill.plans import duck as D
 from leafmill.plans.books import TIDY
 from leafmill.plans.registry import query
+from leafmill.shared import settle
 
 
 def _figures(text: str) -> str:
@@ -131,12 +132,14 @@ def passage_alignment(t):
 
 @query("passage_verdict_flags")
 def passage_verdict_flags(t):
-    aligned = A.passages(t.fx_pairs)
     k = F.col("doc_id")
     scores = t.labels.select(k.alias("pair_id"), F.lit(1).alias("passage_no"), (k % 10 / 10).alias("adds"), (k % 7 / 6).alias("changes"))
     clean = A.scorecard(t.fx_pairs, with_similarity=False).select("pair_id", (F.size("flags") == 0).alias("clean"))
     writer = F.when(F.col("pair_id") % 6 == 0, "judge").otherwise("writer")
-    return A.passage_flags(aligned, scores, clean.withColumns({"writer": writer, "judge": F.lit("judge")}))
+    models = settle(clean.withColumns({"writer": writer, "judge": F.lit("judge")}), "models")
+    # Only what a judge may read is aligned.
+    aligned = A.passages(t.fx_pairs.join(A.readable(models), "pair_id", "left_semi"))
+    return A.passage_flags(aligned, scores, models)
 
 
 @query("word_chunks", "fx_docs", f"""
