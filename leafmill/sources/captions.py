@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from leafmill.functions.text import blank, collapse, let, null_if_empty, strip
 from leafmill.operators.ordered import Running, block_of, running
+from leafmill.shared import settle
 
 EVENTS = "events ARRAY<STRUCT<tStartMs: DOUBLE, dDurationMs: DOUBLE, segs: ARRAY<STRUCT<utf8: STRING>>>>"
 ROWS = "rows ARRAY<STRUCT<text: STRING, startMs: BIGINT, endMs: BIGINT>>"
@@ -210,19 +211,20 @@ def word_segments(words: DataFrame, key: str, block_rows: int = 4096) -> DataFra
     """A word stream (pos, text, kind, start_s, end_s, speaker_id) cut at sentence ends and speaker changes.
 
     Sound events are dropped. Spacings belong to the word before them. A segment whose words have no end ends where the one before did.
-    Words are shuffled once, by blocks of their positions, and cut in a block's row; a table with one row per block says how a block's
-    first piece hangs on what came before.
+    Words are shuffled once, by blocks of their positions, and cut in a block's row, which is settled; a table with one row for each block that
+    has others before it says how its first piece hangs on them. Only the first and the last piece of a block meet those of others.
     """
     spoken = words.filter("kind <> 'audio_event'")
     word = _word(F.col("pos"), F.col("text"), F.col("kind"), F.col("start_s"), F.col("end_s"), F.col("speaker_id"))
     blocks = spoken.groupBy(key, block_of("pos", block_rows).alias("_block")).agg(F.array_sort(F.collect_list(word)).alias("_w"))
-    cut = blocks.select(key, "_block", _pieces(F.col("_w")).alias("_p"))
+    cut = settle(blocks.select(key, "_block", _pieces(F.col("_w")).alias("_p")), "pieces", free=True)
     said = F.filter("_p", lambda p: p["spoken"])
     ends = F.filter(F.transform("_p", lambda p: p["end_s"]), lambda e: e.isNotNull())
     count = lambda x: F.when(F.size(x) > 0, -1)
     steps = cut.withColumn("_said", said).select(
         key, "_block", F.size("_said").cast("bigint").alias("_n"), F.when(F.size("_said") > 0, F.struct(F.get("_said", F.lit(0))["speaker"].alias("s"))).alias("_head"),
-        F.when(F.size("_said") > 0, F.element_at("_said", -1)).alias("_tail"), F.element_at(ends, count(ends)).alias("_end"),
+        F.when(F.size("_said") > 0, let(F.element_at("_said", -1), lambda p: F.struct(p["ended"].alias("ended"), p["speaker"].alias("speaker")))).alias("_tail"),
+        F.element_at(ends, count(ends)).alias("_end"),
     )
     across = Window.partitionBy(key).orderBy("_block")
     before = across.rowsBetween(Window.unboundedPreceding, -1)
@@ -232,18 +234,22 @@ def word_segments(words: DataFrame, key: str, block_rows: int = 4096) -> DataFra
     carry = counted.select(
         F.col(key).alias("_key"), F.col("_block").alias("_at"), "_opens", "_reach",
         F.coalesce(F.sum(F.greatest(F.col("_n") - 1, F.lit(0)) + F.col("_opens")).over(before), F.lit(0)).alias("_carry"),
-    )
-    placed = cut.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")))
-    rows = placed.select(key, "_block", "_opens", "_carry", "_reach", (~F.get("_p", F.lit(0))["spoken"]).cast("int").alias("_lead"), F.posexplode("_p").alias("_i", "p"))
+    ).filter("_opens <> 0 OR _carry <> 0 OR _reach IS NOT NULL")
+    placed = cut.join(carry, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_block") == F.col("_at")), "left").fillna(0, ["_opens", "_carry"])
+    lead = (~F.get("_p", F.lit(0))["spoken"]).cast("int")
+    rows = placed.select(key, "_block", "_opens", "_carry", "_reach", lead.alias("_lead"), F.size("_p").alias("_size"), F.posexplode("_p").alias("_i", "p"))
     number = F.col("_carry") + F.when(F.col("p.spoken"), F.col("_opens") + F.col("_i") - F.col("_lead")).otherwise(F.lit(0))
-    numbered = rows.select(key, number.cast("bigint").alias("seg_no"), F.struct("_block", "_i").alias("_spot"), "p", F.coalesce("p.reach", "_reach", F.lit(0.0)).alias("_until"))
+    inner = (F.col("_i") > F.col("_lead")) & (F.col("_i") < F.col("_size") - 1)
+    numbered = rows.select(key, number.cast("bigint").alias("seg_no"), F.struct("_block", "_i").alias("_spot"), "p", F.coalesce("p.reach", "_reach", F.lit(0.0)).alias("_until"), inner.alias("_inner"))
+    whole = numbered.filter("_inner").select(
+        key, "seg_no", strip(F.col("p.t")).alias("text"), F.coalesce("p.start_s", F.lit(0.0)).alias("start_s"), F.col("_until").alias("end_s"), F.col("p.speaker").alias("speaker"))
     spot = F.when(F.col("p.spoken"), F.col("_spot"))
     ordered = F.array_sort(F.collect_list(F.struct("_spot", F.col("p.t").alias("t"))))
-    out = numbered.groupBy(key, "seg_no").agg(
+    out = numbered.filter("NOT _inner").groupBy(key, "seg_no").agg(
         strip(F.array_join(F.transform(ordered, lambda x: x["t"]), "")).alias("text"),
         F.coalesce(F.min_by("p.start_s", spot), F.lit(0.0)).alias("start_s"), F.max_by("_until", "_spot").alias("end_s"), F.min_by("p.speaker", spot).alias("speaker"),
     )
-    return out.filter("text <> ''")
+    return whole.unionAll(out).filter("text <> ''")
 
 
 def words_in_row(words: Column) -> Column:

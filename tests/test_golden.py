@@ -416,3 +416,14 @@ def test_article_records_shuffle_neither_pages_nor_texts(spark):
             columns = {name for child in below for name in child.output().mkString(",").replace("#", ",").split(",")}
             assert not columns & {"html", "nodes", "md"}
     assert joins == 1
+
+
+def test_words_are_shuffled_once(spark):
+    # Blocks are cut and settled; what is left to read is their pieces, not the words again.
+    words = spark.createDataFrame([(1, i, w, "word", float(i), i + 0.5, "S") for i, w in enumerate(("a ", "b. ", "c ", "d. ", "e. ", "f "))],
+                                  "id int, pos bigint, text string, kind string, start_s double, end_s double, speaker_id string")
+    for block in (2, 4096):
+        found = captions.word_segments(words, "id", block)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert "audio_event" not in plan and "is_word" not in plan
+        assert [tuple(r) for r in found.orderBy("seg_no").collect()] == [(1, 0, "a b.", 0.0, 1.5, "S"), (1, 1, "c d.", 2.0, 3.5, "S"), (1, 2, "e.", 4.0, 4.5, "S"), (1, 3, "f", 5.0, 5.5, "S")]
