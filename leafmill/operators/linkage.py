@@ -88,19 +88,25 @@ def match_entries(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     Same file when one key ends with the other: an equi-join on slash tails instead of a suffix
     comparison of all pairs. The first entry wins; otherwise the first with the same folded title.
     """
-    # Of entries with one key only the first can win: a key shared by many of them joins once.
-    w = wanted.select("feed_id", "wanted_id", file_key("audio_url").alias("key"), folded(F.col("title")).alias("fold"))
-    e = entries.select("feed_id", "pos", file_key("enclosure_url").alias("key"), folded(F.col("title")).alias("fold"))
-    whole_w = w.select("feed_id", "wanted_id", "key")
-    whole_e = e.groupBy("feed_id", "key").agg(F.min("pos").alias("pos"))
-    tails_w = w.select("feed_id", "wanted_id", F.explode(_suffixes(F.col("key"))).alias("key"))
-    tails_e = e.select("feed_id", "pos", F.explode(_suffixes(F.col("key"))).alias("key")).groupBy("feed_id", "key").agg(F.min("pos").alias("pos"))
-    by_file = whole_w.join(tails_e, ["feed_id", "key"]).unionByName(tails_w.join(whole_e, ["feed_id", "key"]))
-    first_file = by_file.groupBy("feed_id", "wanted_id").agg(F.min("pos").alias("_file"))
-    titles = e.groupBy("feed_id", "fold").agg(F.min("pos").alias("_title"))
-    joined = w.join(first_file, ["feed_id", "wanted_id"], "left").join(titles, ["feed_id", "fold"], "left")
-    place = F.coalesce("_file", F.when(F.col("fold") != "", F.col("_title")))
-    return joined.select("feed_id", "wanted_id", place.alias("pos")).filter("pos IS NOT NULL")
+    # Whole keys, their tails and titles are probes of one join. Of entries with one probe only the first can win, so a probe shared by many joins once.
+    probe = F.col("p.probe")
+    w = wanted.select("feed_id", "wanted_id", F.explode(_probes("audio_url", "title")).alias("p"))
+    e = entries.select("feed_id", "pos", F.explode(_probes("enclosure_url", "title")).alias("p"))
+    first_e = e.groupBy("feed_id", probe.alias("probe")).agg(F.min("pos").alias("_any"), F.min(F.when(F.col("p.whole"), F.col("pos"))).alias("_whole"))
+    met = w.select("feed_id", "wanted_id", probe.alias("probe"), "p.whole").join(first_e, ["feed_id", "probe"])
+    titled = ~F.col("probe").startswith("/")
+    file = F.when(F.col("whole"), F.col("_any")).otherwise(F.col("_whole"))
+    best = met.groupBy("feed_id", "wanted_id").agg(F.min(F.when(~titled, file)).alias("_file"), F.min(F.when(titled, F.col("_any"))).alias("_title"))
+    return best.select("feed_id", "wanted_id", F.coalesce("_file", "_title").alias("pos")).filter("pos IS NOT NULL")
+
+
+def _probes(url: str, title: str) -> Column:
+    """What a row is met by: its file key with the key's tails, and its folded title, which never starts with a slash."""
+    tails = F.transform(_suffixes(file_key(url)), lambda k, i: F.struct(k.alias("probe"), (i == 0).alias("whole")))
+    fold = folded(F.col(title))
+    named = F.when(fold != "", F.array(F.struct(fold.alias("probe"), F.lit(True).alias("whole"))))
+    none = F.array().cast("array<struct<probe:string,whole:boolean>>")
+    return F.concat(F.coalesce(tails, none), F.coalesce(named, none))
 
 
 def folded(title: Column) -> Column:
