@@ -86,17 +86,18 @@ def transcript_links(feeds: DataFrame, wanted: DataFrame) -> DataFrame:
         "feed_id", "pos", F.get("e.enclosure", F.lit(0))["_url"].alias("enclosure_url"), F.coalesce("e.title", F.lit("")).alias("title")
     )
     matched = match_entries(wanted, entries)
-    tags = items.select("feed_id", "pos", "_channel", F.posexplode("e.transcript").alias("_at", "t")).filter("t._url <> ''")
-    kind = F.lower(F.coalesce("t._type", F.lit("")))
     known = F.array(*[F.lit(x) for x in TRANSCRIPT_FORMATS])
-    place = F.when(F.array_position(known, kind) > 0, F.array_position(known, kind)).otherwise(len(TRANSCRIPT_FORMATS) + 1)
-    rows = matched.join(tags, ["feed_id", "pos"]).select(
-        "feed_id", "wanted_id", F.col("t._url").alias("url"), kind.alias("type"),
-        F.coalesce(normalize_language("t._language"), "_channel").alias("language"), F.struct(place.alias("p"), F.col("_at").alias("a")).alias("_order"),
-    )
-    # An episode lists a handful of links.
-    order = F.array_sort(F.collect_list(F.struct("_order", "url", "type", "language")))
-    ranked = rows.groupBy("feed_id", "wanted_id").agg(order.alias("_links")).select(
-        "feed_id", "wanted_id", F.posexplode("_links").alias("rank", "l")
-    )
+
+    def link(t: Column, at: Column) -> Column:
+        kind = F.lower(F.coalesce(t["_type"], F.lit("")))
+        place = F.when(F.array_position(known, kind) > 0, F.array_position(known, kind)).otherwise(len(TRANSCRIPT_FORMATS) + 1)
+        return F.struct(
+            place.alias("p"), at.alias("a"), t["_url"].alias("url"), kind.alias("type"),
+            F.coalesce(normalize_language(t["_language"]), F.col("_channel")).alias("language"),
+        )
+
+    # An episode lists a handful of links: they are put in order on its row.
+    links = F.array_sort(F.filter(F.transform("e.transcript", link), lambda x: x["url"] != ""))
+    tagged = items.select("feed_id", "pos", links.alias("_links")).filter(F.size("_links") > 0)
+    ranked = matched.join(tagged, ["feed_id", "pos"]).select("feed_id", "wanted_id", F.posexplode("_links").alias("rank", "l"))
     return ranked.select("feed_id", "wanted_id", "rank", "l.url", "l.type", "l.language")
