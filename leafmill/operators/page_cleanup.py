@@ -1,8 +1,8 @@
-"""Pages rewritten before they become text: one pass per page, from its HTML to the nodes of its content and of its notes.
+"""Pages rewritten before they become text: one pass per page, from its HTML to drafts of its content and of its notes.
 
 Rules mark nodes on the flat arrays of a batch of pages (``sources.sweep``): a subtree goes, a node gives way to what it
 holds, a subtree becomes one ready piece of Markdown (``#unit`` stands alone, ``#inline`` stays in its line), a
-subtree moves out as a note. Then the content and each note are taken out as node arrays of their own. Every rule asks for
+subtree moves out as a note. Then the content and each note are written as drafts of Markdown (``page_writing``). Every rule asks for
 counts and ancestors by prefix sums and running maxima, so the work is linear in the nodes.
 """
 
@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 
 from leafmill.operators.page_tables import MAX_SPAN, pipe_table
 from leafmill.operators.pages import BACK_MATTER, WIKI_FURNITURE
-from leafmill.sources.pages import NODE, NODE_TYPE, parsed
+from leafmill.operators.page_writing import marks
+from leafmill.sources.pages import parsed
 from leafmill.sources.sweep import Flat
 
 LAYOUT_CELL_CHARS = 1000
@@ -31,6 +32,8 @@ BACKREF = re.compile(r"^[\s↩↑^⤴︎️]*$")
 NOTE_NAMES = ("footnote", "noteref", "fnref", "note-ref")
 NOTE_CONTAINERS = ("li", "aside", "p", "div", "dd", "section")
 CELL_MARK = re.compile(r"^\[[\w\s]{1,10}\]$")
+# White space and separators, as column expressions strip them.
+BLANKS = " \t\n\x0b\f\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 INLINE_HOMES = ("p", "li", "td", "th", "h1", "h2", "h3", "h4", "h5", "h6", "a", "strong", "b", "em", "i", "u", "del", "sup", "sub")
 TABLE_PARTS = ("table", "thead", "tbody", "tfoot", "tr")
 DEAD = ("head", "script", "style", "template", "noscript")
@@ -361,8 +364,8 @@ def main_content(flat: Flat, encyclopedia: bool) -> np.ndarray:
     return out
 
 
-def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.ListArray, pa.ListArray, pa.ListArray]:
-    """For each page the nodes of its content, its notes as ``(n, nodes)`` and the calls of notes as ``(no, mark, n)``."""
+def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
+    """For each page the draft of its content, its notes as ``(n, said, draft)`` and the calls of notes as ``(no, mark, n)``."""
     work = Rewrite(flat, urls)
     lift_notes(work)
     write_formulas(work)
@@ -389,34 +392,36 @@ def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.ListA
     def tag(node: int) -> str:
         return work.name.get(node) or flat.tag(node)
 
-    def text(node: int) -> str | None:
-        return work.value.get(node, flat.text[node])
+    def mark(node: int, name: str, path: str) -> tuple[str, str]:
+        return marks(name, path, work.value.get(node, flat.text[node]), flat.item[node], work.href.get(node), classes.get(node) if shown[node] else None)
 
-    def attrs(node: int) -> dict[str, str]:
-        found = {"href": work.href[node]} if node in work.href else {}
-        return found | {"class": classes[node]} if shown[node] and node in classes else found
+    def said(own: np.ndarray) -> str:
+        runs = [work.value.get(i, flat.text[i]).strip(BLANKS) for i in own.tolist() if tag(i) == "#text"]
+        return " ".join(x for x in runs if x)
 
-    bodies = flat.taken([np.flatnonzero(body[a:b]) + a for a, b in zip(flat.ends[:-1], flat.ends[1:])], body, tag, text, attrs)
+    drafts = flat.written([np.flatnonzero(body[a:b]) + a for a, b in zip(flat.ends[:-1], flat.ends[1:])], body, tag, mark)
     numbered = [(i + 1, node) for page in range(len(urls)) for i, node in enumerate(work.notes.get(page, []))]
-    note_nodes = flat.taken([np.flatnonzero(notes[node : flat.last[node] + 1]) + node for _, node in numbered], notes, tag, text, attrs)
+    groups = [np.flatnonzero(notes[node : flat.last[node] + 1]) + node for _, node in numbered]
     ends = np.concatenate(([0], np.cumsum([len(work.notes.get(page, [])) for page in range(len(urls))])))
-    rows = pa.StructArray.from_arrays([pa.array([i for i, _ in numbered], pa.int32()), note_nodes], ["n", "nodes"])
+    rows = pa.StructArray.from_arrays([
+        pa.array([i for i, _ in numbered], pa.int32()), pa.array([said(own) for own in groups], pa.string()),
+        pa.array(flat.written(groups, notes, tag, mark), pa.string()),
+    ], ["n", "said", "draft"])
     called = [work.calls.get(page, []) for page in range(len(urls))]
     calls = pa.array([[{"no": no, "mark": mark, "n": n} for no, mark, n in own] for own in called], CALLS)
-    return bodies, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), calls
+    return pa.array(drafts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), calls
 
 
 def cleaned_pages(pages: DataFrame, key: str = "page_id", encyclopedia: bool = False) -> DataFrame:
-    """``pages(key, url, html)`` to (key, url, nodes, notes, calls): the content of each page rewritten, its notes and what calls them.
+    """``pages(key, url, html)`` to (key, url, draft, notes, calls): the draft of each page's content, its notes and what calls them.
 
     ``encyclopedia``: the page is an encyclopedia's; its whole body is content up to the appendix, and its links are made absolute.
     """
     kind = dict(pages.dtypes)[key]
-    note = pa.list_(pa.struct([("n", pa.int32()), ("nodes", pa.list_(NODE_TYPE))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, nodes in parsed(batches):
-            bodies, notes, calls = rewritten(Flat(nodes), [u or "" for u in part.column(1).to_pylist()], encyclopedia)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), bodies, notes.cast(note), calls], [key, "url", "nodes", "notes", "calls"])
+        for part, read in parsed(batches):
+            columns = rewritten(Flat.of(read), [u or "" for u in part.column(1).to_pylist()], encyclopedia)
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], [key, "url", "draft", "notes", "calls"])
 
-    return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, url STRING, nodes ARRAY<{NODE}>, notes ARRAY<STRUCT<n: INT, nodes: ARRAY<{NODE}>>>, calls ARRAY<STRUCT<no: INT, mark: STRING, n: INT>>")
+    return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, url STRING, draft STRING, notes ARRAY<STRUCT<n: INT, said: STRING, draft: STRING>>, calls ARRAY<STRUCT<no: INT, mark: STRING, n: INT>>")

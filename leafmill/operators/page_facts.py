@@ -81,8 +81,8 @@ def page_facts(pages: DataFrame, key: str = "page_id") -> DataFrame:
     names = [key, "url", "text", "main", "linked", "heads", "articles", "links"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, nodes in parsed(batches):
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *measured(Flat(nodes))], names)
+        for part, read in parsed(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *measured(Flat.of(read))], names)
 
     return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, url STRING, {FACTS}")
 

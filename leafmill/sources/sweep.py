@@ -11,10 +11,8 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-
-from leafmill.sources.pages import NODE_TYPE
 
+from leafmill.sources.pages import _Nodes
 
 #: Ancestors that decide how a node is written.
 ON_PATH = frozenset(("pre", "ul", "ol", "li", "sup", "a"))
@@ -25,22 +23,38 @@ class Flat:
 
     def __init__(self, nodes: pa.ListArray):
         rows = nodes.flatten()
-        self.ends = nodes.offsets.to_numpy().astype(np.int64)
-        self.ends = self.ends - self.ends[0]
-        self.n = len(rows)
+        ends, attrs = nodes.offsets.to_numpy().astype(np.int64), rows.field("attrs")
+        each = attrs.offsets.to_numpy() - attrs.offsets[0].as_py()
+        names, values = attrs.keys.to_pylist(), attrs.items.to_pylist()
+        columns = [rows.field(x).to_pylist() for x in ("last", "parent", "item", "tag", "text")]
+        self._fill(ends - ends[0], *columns, each.tolist(), names, values)
+
+    @classmethod
+    def of(cls, read: _Nodes) -> Flat:
+        """The nodes as the parser left them."""
+        flat = cls.__new__(cls)
+        flat._fill(np.array(read.page_ends, np.int64), read.last, read.parent, read.item, read.tag, read.text, read.attr_ends, read.names, read.values)
+        return flat
+
+    def _fill(self, ends: np.ndarray, last: list, parent: list, item: list, tag: list, text: list, attr_ends: list, names: list, values: list) -> None:
+        self.ends = ends
+        self.n = len(tag)
         self.no = np.arange(self.n)
-        self.page = np.repeat(np.arange(len(nodes)), np.diff(self.ends))
-        base = self.ends[:-1][self.page]
-        self.last = rows.field("last").to_numpy() + base
-        parent = rows.field("parent").to_numpy()
-        self.parent = np.where(parent < 0, self.n, parent + base)
-        self.item = rows.field("item").to_numpy()
-        coded = rows.field("tag").dictionary_encode()
-        self.names: list[str] = coded.dictionary.to_pylist()
-        self.code = coded.indices.to_numpy(zero_copy_only=False)
-        self.text: list[str | None] = rows.field("text").to_pylist()
-        self._attrs = rows.field("attrs")
-        is_text = self.tags("#text")
+        self.page = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+        base = ends[:-1][self.page]
+        self.last = np.array(last, np.int64) + base
+        up = np.array(parent, np.int64)
+        self.parent = np.where(up < 0, self.n, up + base)
+        self.item = item
+        codes: dict[str, int] = {}
+        self.code = np.array([codes.setdefault(x, len(codes)) for x in tag], np.int64)
+        self.names: list[str] = list(codes)
+        self.text: list[str | None] = text
+        self._attrs: dict[str, dict[int, str]] = {}
+        for node in np.flatnonzero(np.diff(attr_ends)).tolist():
+            for k in range(attr_ends[node], attr_ends[node + 1]):
+                self._attrs.setdefault(names[k], {})[node] = values[k]
+        is_text = self.tags("#text").tolist()
         self.stripped = [t.strip() if own else "" for t, own in zip(self.text, is_text)]
         #: Length of each text run, as it stands and stripped.
         self.raw_size = np.array([len(t) if own else 0 for t, own in zip(self.text, is_text)], np.int64)
@@ -55,10 +69,7 @@ class Flat:
 
     def attr(self, name: str) -> dict[int, str]:
         """The nodes that have an attribute, with its value."""
-        offsets = self._attrs.offsets.to_numpy() - self._attrs.offsets[0].as_py()
-        keys, values = self._attrs.keys, self._attrs.items
-        at = np.flatnonzero(pc.equal(keys, name).to_numpy(zero_copy_only=False))
-        return dict(zip((np.searchsorted(offsets, at, "right") - 1).tolist(), values.take(pa.array(at)).to_pylist()))
+        return dict(self._attrs.get(name, {}))
 
     def with_class(self, *names: str) -> np.ndarray:
         wanted, out = set(names), np.zeros(self.n, bool)
@@ -98,31 +109,26 @@ class Flat:
     def raw_text(self, node: int) -> str:
         return "".join(self.text[i] for i in range(node + 1, int(self.last[node]) + 1) if self.raw_size[i])
 
-    def taken(self, groups: list[np.ndarray], kept: np.ndarray, tag: Callable[[int], str], text: Callable[[int], str | None], attrs: Callable[[int], dict]) -> pa.ListArray:
-        """A node array for each group of ``kept`` nodes, numbered anew; what loses its parent hangs on the nearest kept one.
+    def written(self, groups: list[np.ndarray], kept: np.ndarray, tag: Callable[[int], str], mark: Callable[[int, str, str], tuple[str, str]]) -> list[str]:
+        """What each group of ``kept`` nodes writes: ``mark(node, tag, path)`` gives what a node opens and closes with.
 
-        Their ``path`` names the ancestors in ``ON_PATH`` and the parent, so that it stays short in a deep page.
+        What loses its parent hangs on the nearest kept one. A ``path`` names the ancestors in ``ON_PATH`` and the parent, so
+        that it stays short in a deep page.
         """
-        above = self.nearest(kept)
-        out: dict[str, list] = {x: [] for x in ("no", "last", "parent", "item", "tag", "path", "attrs", "text")}
+        above, out = np.append(self.nearest(kept), self.n)[self.parent], []
         for own in groups:
-            place = dict(zip(own.tolist(), range(len(own))))
-            last = np.searchsorted(own, self.last[own], "right") - 1
-            chains: list[str] = []
-            names = [tag(i) for i in own.tolist()]
-            for i in own.tolist():
-                parent = place.get(int(above[self.parent[i]]), -1)
-                out["parent"].append(parent)
-                chain = "/" if parent < 0 else chains[parent]
-                at = "" if parent < 0 else f"{names[parent]}/"
-                chains.append(chain + at if parent >= 0 and names[parent] in ON_PATH else chain)
-                out["path"].append(chain + at)
-                out["text"].append(text(i))
-                out["attrs"].append(list(attrs(i).items()))
-            out["no"] += range(len(own))
-            out["last"] += last.tolist()
-            out["item"] += self.item[own].tolist()
-            out["tag"] += names
-        ends = np.concatenate(([0], np.cumsum([len(x) for x in groups])))
-        nodes = pa.StructArray.from_arrays([pa.array(out[f.name], f.type) for f in NODE_TYPE], fields=list(NODE_TYPE))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+            names: dict[int, str] = {}
+            chains: dict[int, str] = {}
+            parts: list[str] = []
+            closing: list[tuple[int, str]] = []
+            for i, last, parent in zip(own.tolist(), self.last[own].tolist(), above[own].tolist()):
+                while closing and closing[-1][0] < i:
+                    parts.append(closing.pop()[1])
+                names[i] = name = tag(i)
+                chain, at = (chains[parent], f"{names[parent]}/") if parent in names else ("/", "")
+                chains[i] = chain + at if at[:-1] in ON_PATH else chain
+                opens, closes = mark(i, name, chain + at)
+                parts.append(opens)
+                closing.append((last, closes))
+            out.append("".join(parts + [closes for _, closes in reversed(closing)]))
+        return out
