@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from leafmill.functions import urls
-from leafmill.functions.blockmatch import exact_ratio
+from leafmill.functions.blockmatch import ratio
 from leafmill.functions.text import col, collapse, word_count
+from leafmill.shared import settle
 
 MIN_TITLE_RATIO = 0.85
 MIN_TITLE_WORDS = 4
@@ -45,11 +48,12 @@ def linked_titles(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
 
     ``wanted(item_id, title, duration_s)``, ``candidates(item_id, rank, title, duration_s)``: the
     answers of a look-up, so the join is by item and never compares all with all. Numbers, lengths and
-    durations decide first; the exact ratio is taken on what is left.
+    durations decide first; the exact ratio is taken on what is left. Both sides are settled with their titles
+    folded, else each condition of the join would fold them again, from the tables they come from.
     """
-    a = wanted.select("item_id", compatible("title").alias("_t"), F.col("duration_s").alias("_d1"))
-    b = candidates.select("item_id", "rank", F.col("title").alias("found"), compatible("title").alias("_u"), F.col("duration_s").alias("_d2"))
-    pairs = a.join(b, "item_id").withColumns({"_a": link_title(F.col("_t")), "_b": link_title(F.col("_u"))})
+    a = settle(wanted.select("item_id", link_title(compatible("title")).alias("_a"), F.col("duration_s").alias("_d1")), "wanted")
+    b = settle(candidates.select("item_id", "rank", F.col("title").alias("found"), link_title(compatible("title")).alias("_b"), F.col("duration_s").alias("_d2")), "candidates")
+    pairs = a.join(b, "item_id")
     numbers = lambda c: F.regexp_extract_all(c, F.lit(r"(\d+)"), 1)
     known = F.col("_d1").isNotNull() & F.col("_d2").isNotNull() & (F.col("_d1") != 0) & (F.col("_d2") != 0)
     lengths = F.struct(F.length("_a").alias("a"), F.length("_b").alias("b"))
@@ -60,12 +64,22 @@ def linked_titles(wanted: DataFrame, candidates: DataFrame) -> DataFrame:
         & F.when(known, close_durations(F.col("_d1"), F.col("_d2"))).otherwise(F.col("_a") == F.col("_b"))
     )
     differs = F.col("_a") != F.col("_b")
-    ratio = F.when(differs, exact_ratio(F.when(differs, F.split("_a", "")), F.when(differs, F.split("_b", "")))).otherwise(1.0)
-    matched = able.withColumn("ratio", ratio).filter(F.col("ratio") >= MIN_TITLE_RATIO)
+    near = F.when(differs, _near_ratio(F.when(differs, F.col("_a")), F.when(differs, F.col("_b")))).otherwise(1.0)
+    matched = able.withColumn("ratio", near).filter(F.col("ratio") >= MIN_TITLE_RATIO)
     best = matched.groupBy("item_id").agg(F.min_by(F.struct("rank", "found", "ratio"), "rank").alias("_m"))
     return best.select("item_id", "_m.rank", "_m.found", "_m.ratio")
 
 
+@F.pandas_udf(T.DoubleType())
+def _near_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The exact ratio of two titles; null where the characters they share, in any order, are too few for a match."""
+    def near(x: str, y: str) -> float | None:
+        shared = sum((Counter(x) & Counter(y)).values())
+        return ratio(x, y) if 2.0 * shared / (len(x) + len(y)) >= MIN_TITLE_RATIO else None
+
+    return pd.Series([None if x is None or y is None else near(x, y) for x, y in zip(a, b)], dtype="float64")
+
+
 def file_key(url: Column | str) -> Column:
     """``/host/path`` of a file URL, lower case, query dropped; null without a host or a file name."""
     site = F.regexp_replace(urls.netloc(url), r"^[^@]*@|:\d*$", "")

@@ -231,7 +231,7 @@ def token_budget(t):
 @query("fuzzy_title_linkage")
 def fuzzy_title_linkage(t):
     """Three looked-up candidates per title: the next item's, one with a slip, the same without its wrapping."""
-    wanted = t.fx_titles
+    wanted = settle(t.fx_titles, "titles")
     other = wanted.select((F.col("item_id") - 1).alias("item_id"), F.lit(0).alias("rank"), "title", "duration_s")
     slip = wanted.select("item_id", F.lit(1).alias("rank"), F.regexp_replace("title", "e([a-z])", "$1e").alias("title"), (F.col("duration_s") + F.col("item_id") % 400).alias("duration_s"))
     bare = wanted.select("item_id", F.lit(2).alias("rank"), F.regexp_replace("title", " - YouTube$", "").alias("title"), F.when(F.col("item_id") % 2 == 0, F.col("duration_s")).alias("duration_s"))
