@@ -163,7 +163,7 @@ def table_grid_cells(t):
     SELECT doc_id AS page_id, 'https://s' || doc_id || '.example/img/' || i || '.png' AS src, k.alt, CASE WHEN k.n = 0 THEN 'Caption ' || i END AS caption
     FROM rl, (VALUES (0, 'alt'), (1, NULL)) k(n, alt) WHERE i % 6 = 3""")
 def page_images(t):
-    return M.page_images(rich(t)).drop("no")
+    return M.page_images(rich(t, *M.IMAGE_PARTS)).drop("no")
 
 
 @query("footnote_call_join", "fx_docs", f"""{rich_lines()}
