@@ -412,6 +412,49 @@ def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.Array
     return pa.array(drafts, pa.string()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows), calls
 
 
+def article_texts(flat: Flat) -> pa.Array:
+    """The text runs of each page outside an encyclopedia page's furniture, its appendix and its head, joined by spaces."""
+    away = named(flat, WIKI_FURNITURE) | flat.tags("style", "link", "math", "script", "head")
+    away |= flat.tags("sup") & named(flat, ("mw-ref", "citation"))
+    away |= flat.tags("table") & named(flat, ("collapsed", "mw-collapsed"))
+    text = {i: flat.text[i].strip(BLANKS) for i in np.flatnonzero(flat.raw_size).tolist()}
+    shown = np.array([i for i, t in text.items() if t], np.int64)
+    section, heading = flat.tags("section"), named(flat, ("mw-heading",))
+    first: dict[int, int] = {}
+    for h in np.flatnonzero(flat.tags("h2")).tolist():
+        up = int(flat.parent[h])
+        # A heading's box counts as the heading: the section may be its own parent or that box's.
+        holders = [x for x in (up, int(flat.parent[up]) if up < flat.n and heading[up] else flat.n) if x < flat.n and section[x]]
+        low, high = np.searchsorted(shown, (h, flat.last[h] + 1))
+        if holders and " ".join(text[i] for i in shown[low:high].tolist()).lower() in BACK_MATTER:
+            page = int(flat.page[h])
+            first[page] = min([first.get(page, flat.n), *holders])
+    for page, node in first.items():
+        own = slice(node, int(flat.ends[page + 1]))
+        away[own] |= section[own] & (flat.parent[own] == flat.parent[node])
+    kept = shown[~flat.inside(away)[shown]]
+    bounds = np.searchsorted(kept, flat.ends)
+    return pa.array([" ".join(text[i] for i in kept[a:b].tolist()) for a, b in zip(bounds[:-1], bounds[1:])], pa.string())
+
+
+def named(flat: Flat, names: tuple[str, ...]) -> np.ndarray:
+    """The nodes with one of some classes, which white space of ASCII alone sets apart."""
+    out, wanted = np.zeros(flat.n, bool), re.compile(rf"(?a:(?:^|\s)(?:{'|'.join(names)})(?:\s|$))")
+    out[[node for node, value in flat.attr("class").items() if wanted.search(value)]] = True
+    return out
+
+
+def encyclopedia_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
+    """``pages(key, url, html)`` to (key, text): the article's own text, without furniture and back matter."""
+    kind = dict(pages.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, read in parsed(batches):
+            yield pa.RecordBatch.from_arrays([part.column(0), article_texts(Flat.of(read))], [key, "text"])
+
+    return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, text STRING")
+
+
 def cleaned_pages(pages: DataFrame, key: str = "page_id", encyclopedia: bool = False) -> DataFrame:
     """``pages(key, url, html)`` to (key, url, draft, notes, calls): the draft of each page's content, its notes and what calls them.
 

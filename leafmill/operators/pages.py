@@ -9,7 +9,7 @@ from leafmill.functions import urls
 from leafmill.functions.media import parse_date
 from leafmill.functions.text import collapse, let, null_if_empty, strip, words
 from leafmill.operators.language import html_language
-from leafmill.sources.pages import below, first, has_class, tagged, text_of, texts, within
+from leafmill.sources.pages import below, first, tagged, text_of, texts, within
 
 MAX_LINKS = 250
 ARTICLE_MIN_WORDS = 300
@@ -144,34 +144,6 @@ def site_icons(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return rows.select(key, "rank", urls.absolute(F.concat("_root", F.lit("/")), "href").alias("icon_url"))
 
 
-def back_matter_spans() -> Column:
-    """The first top-level section headed as back matter, and every later section beside it."""
-    def heads(section: Column) -> Column:
-        return F.filter(below(section), lambda n: (n["tag"] == "h2") & (
-            (n["parent"] == section["no"])
-            | F.exists(below(section), lambda d: (d["no"] == n["parent"]) & (d["parent"] == section["no"]) & has_class(d, "mw-heading"))
-        ))
-
-    endings = F.filter(tagged("section"), lambda s: F.exists(heads(s), lambda h: F.lower(text_of(h)).isin(*BACK_MATTER)))
-    return let(first(endings), lambda e: F.coalesce(
-        F.filter("nodes", lambda n: (n["tag"] == "section") & (n["parent"] == e["parent"]) & (n["no"] >= e["no"])), F.array()
-    ))
-
-
-def wiki_furniture_spans() -> Column:
-    return F.filter(
-        "nodes",
-        lambda n: has_class(n, *WIKI_FURNITURE) | n["tag"].isin("style", "link", "math", "script")
-        | ((n["tag"] == "sup") & has_class(n, "mw-ref", "citation")) | ((n["tag"] == "table") & has_class(n, "collapsed", "mw-collapsed")),
-    )
-
-
-def encyclopedia_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
-    """The article's own text, without furniture and back matter."""
-    spans = F.concat(wiki_furniture_spans(), back_matter_spans(), tagged("head"))
-    return pages.select(key, kept_text(spans).alias("text"))
-
-
 def article_records(pages: DataFrame, texts_md: DataFrame, key: str = "page_id") -> DataFrame:
     """Title, author, date, language, site and state of each page. ``pages`` with ``html`` and ``nodes`` (of ``RECORD_TAGS`` at least); ``texts_md(key, md)``.
 

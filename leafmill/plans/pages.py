@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from leafmill.operators import discovery as E
 from leafmill.operators import jobs as J
+from leafmill.operators import page_cleanup as C
 from leafmill.operators import page_facts as A
 from leafmill.operators import page_markdown as M
 from leafmill.operators import pages as P
@@ -175,7 +176,7 @@ def footnote_call_join(t):
 @query("encyclopedia_back_matter_cut", "fx_docs", """
     SELECT doc_id AS page_id, false AS has_notes, false AS has_tail, true AS has_story FROM fx_docs""")
 def encyclopedia_back_matter_cut(t):
-    text = P.encyclopedia_text(rich(t))
+    text = C.encyclopedia_text(t.fx_rich_pages)
     return text.select("page_id", F.col("text").contains("Note 1.").alias("has_notes"), F.col("text").contains("tail text").alias("has_tail"),
                        F.col("text").contains(F.concat(F.lit("Story "), F.col("page_id"), F.lit(" part"))).alias("has_story"))
 
