@@ -9,7 +9,7 @@ from leafmill.functions.text import word_count
 from leafmill.operators import hits as H
 from leafmill.operators.segments import marks_of, punctuated
 from leafmill.sources.payloads import normalise
-from leafmill.streaming.tables import batch_tables, shared_folder, upsert_stream
+from leafmill.streaming.tables import batch_tables, latest, shared_folder, upsert_stream
 
 
 def search_batches(payloads: DataFrame, queries: DataFrame, providers: dict[str, str]) -> DataFrame:
@@ -60,14 +60,15 @@ def transcript_arrivals(arrivals: DataFrame) -> DataFrame:
     return upsert_stream(found, shared_folder(arrivals.sparkSession, "transcripts"), ["key"], ["stored_at"])
 
 
-def fetched_transcripts(fetches: DataFrame, late_s: int = 3600) -> DataFrame:
-    """Transcripts by key from a stream of fetches (fetch_id, video_id, choice, language, text, fetched_at).
+def fetched_transcripts(fetches: DataFrame) -> DataFrame:
+    """Transcripts by key from a stream of fetches (fetch_id, video_id, choice, language, text, fetched_at), in any order of files.
 
-    A fetch that is reported again within ``late_s`` counts once; a fetch that found nothing is not stored, so the next one asks again.
+    A fetch that is reported again counts once, as first made, however late either report comes; a fetch that found nothing is not stored,
+    so the next one asks again. The stream is kept as a table of fetches: a later file may hold a fetch's first report.
     """
-    found = fetches.filter("text IS NOT NULL AND text <> ''").withColumn("key", transcript_key("video_id", "choice"))
-    once = found.withWatermark("fetched_at", f"{late_s} seconds").dropDuplicatesWithinWatermark(["key", "fetch_id"])
-    return upsert_stream(once, shared_folder(fetches.sparkSession, "fetched"), ["key"], ["fetched_at", "fetch_id"])
+    found = fetches.filter("text IS NOT NULL AND text <> ''").withColumns({"key": transcript_key("video_id", "choice"), "_early": -F.unix_micros("fetched_at")})
+    once = upsert_stream(found, shared_folder(fetches.sparkSession, "fetched"), ["key", "fetch_id"], ["_early"])
+    return latest(once.drop("_early"), ["key"], ["fetched_at", "fetch_id"])
 
 
 def with_chosen_language(items: DataFrame, transcripts: DataFrame) -> DataFrame:

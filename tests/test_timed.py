@@ -2,6 +2,7 @@
 
 import os
 import random
+from datetime import datetime
 from pathlib import Path
 
 import pytest
@@ -121,6 +122,20 @@ def no_state_store(name):
     return Path(f"{path}/progress/offsets").exists() and not Path(f"{path}/progress/state").exists()
 
 
+def test_late_fetches_are_kept(spark):
+    schema = "fetch_id bigint, video_id string, choice string, language string, text string, fetched_at timestamp"
+    moment = lambda hour, minute=0: datetime(2024, 1, 1, hour, minute)
+    fetches = batches_of(
+        spark, schema, [(1, "v", None, "en", "first", moment(10))], [(2, "x", None, "en", "other", moment(11))],
+        # Hours behind the newest fetch seen, and another report of a fetch that is known.
+        [(3, "w", None, "en", "only", moment(1)), (4, "v", "fr", "fr", "seul", moment(2)), (1, "v", None, "en", "first", moment(10, 30))],
+        [(5, "v", None, "en", "newer", moment(10, 20))],
+    )
+    known = jobs.fetched_transcripts(fetches)
+    assert {r.key: r.text for r in known.collect()} == {"v": "newer", "v#fr": "seul", "w": "only", "x": "other"}
+    assert no_state_store("fetched")
+
+
 def test_calls_are_settled_in_one_pass(spark):
     chance = random.Random(4)
     calls = [(f"k{chance.randrange(3000)}", chance.randrange(40_000) * SECOND, i, chance.random() < 0.8, chance.randrange(5)) for i in range(20_000)]
