@@ -107,7 +107,7 @@ def daily_spend(calls: DataFrame) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """One of the given tables, a file or a folder of files, as a file stream."""
+    """One of the given tables, a file or a folder of files, also one cut by columns into folders of its own, as a file stream."""
     schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    # A pattern, since a stream takes a plain path for a folder.
-    return spark.readStream.schema(schema).parquet(f"{folder}/{{{table}}}.parquet")
+    # A pattern, since a stream takes a plain path for a folder. Columns that only folders name are looked for below the base path.
+    return spark.readStream.schema(schema).option("basePath", folder).parquet(f"{folder}/{{{table}}}.parquet")

@@ -19,3 +19,18 @@ def folder(spark, tmp_path_factory):
 def test_streams_read_folders(spark, folder, name):
     outcome = compare(spark, duck(SMALL), folder, name)
     assert outcome.startswith("ok"), outcome
+
+
+@pytest.fixture(scope="module")
+def cut(spark, tmp_path_factory):
+    """Tables cut by a column, which then stands in the names of folders alone."""
+    path = str(tmp_path_factory.mktemp("cut"))
+    for name, column in (("documents", "lang"), ("conversations", "turn"), ("events", "event_type")):
+        spark.read.parquet(f"{SMALL}/{name}.parquet").write.partitionBy(column).parquet(f"{path}/{name}.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", ["source_progress_stream", "transcript_arrival_stream", "transcript_choice_stream", "spend_per_day_stream"])
+def test_streams_read_folders_cut_by_a_column(spark, cut, name):
+    outcome = compare(spark, duck(SMALL), cut, name)
+    assert outcome.startswith("ok"), outcome
