@@ -27,7 +27,7 @@ from leafmill.sources.sweep import Flat
 LAYOUT_CELL_CHARS = 1000
 MAX_NOTE_CHARS = 4000
 # What a call to a note reads as, what a link back reads as, and what marks a link as a call.
-NOTE_MARK = re.compile(r"^\[?\s*(?:note\s*)?(?:\d{1,3}|[a-z]{1,2}|[ivx]{1,5}|[*†‡§¶]{1,3})\s*\]?$", re.I)
+NOTE_MARK = re.compile(r"^\[?\s*(?:note\s*)?(?:\d+|[a-z]{1,2}|[ivx]{1,5}|[*†‡§¶]{1,3})\s*\]?$", re.I)
 BACKREF = re.compile(r"^[\s↩↑^⤴︎️]*$")
 NOTE_NAMES = ("footnote", "noteref", "fnref", "note-ref")
 NOTE_CONTAINERS = ("li", "aside", "p", "div", "dd", "section")

@@ -112,6 +112,15 @@ def test_encyclopedia_page(table):
     assert found[2] == ""
 
 
+def test_marks_of_more_than_three_digits(table):
+    found = markdown(
+        table,
+        '<p>A<sup><a href="#n1">999</a></sup> B<sup><a href="#n2">1000</a></sup> C<sup><a href="#n3">[123456]</a></sup></p>'
+        '<ol><li id="n1">One.</li><li id="n2">Two.</li><li id="n3">Three.</li></ol>',
+    )
+    assert found == ["A[^fn1] B[^fn2] C[^fn3]\n\n[^fn1]: One.\n\n[^fn2]: Two.\n\n[^fn3]: Three."]
+
+
 def test_site_furniture(table):
     found = markdown(
         table,
