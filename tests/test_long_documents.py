@@ -16,7 +16,7 @@ def long(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["encyclopedia_markdown"])
+@pytest.mark.parametrize("name", ["encyclopedia_markdown", "formatted_footnotes"])
 def test_notes_after_the_thousandth_line(spark, long, name):
     outcome = compare(spark, long[1], long[0], name)
     assert outcome.startswith("ok"), outcome
