@@ -52,6 +52,8 @@ class Rewrite:
         self.gone, self.out, self.open = none(), none(), none()
         #: Nodes that are one piece of text now, other tags and texts, and links made absolute.
         self.whole = none()
+        #: The nodes whose marks are asked for: all, or those in notes and around them.
+        self.asked = ~none()
         self.name: dict[int, str] = {}
         self.value: dict[int, str] = {}
         #: The notes: the node that holds each, by page in the order of their first calls.
@@ -177,7 +179,7 @@ def write_formulas(work: Rewrite) -> None:
     notes, kinds = flat.tags("annotation"), flat.attr("encoding")
     source, alt, display = flat.attr("data-mw"), flat.attr("alttext"), flat.attr("display")
     block = flat.with_class("mwe-math-element-block")
-    for node in np.flatnonzero(flat.tags("math")).tolist():
+    for node in np.flatnonzero(flat.tags("math") & work.asked).tolist():
         if beside[node]:
             work.gone[node] = True
             continue
@@ -201,6 +203,9 @@ def drop_encyclopedia_furniture(work: Rewrite) -> None:
     """Marks, boxes and navigation of an encyclopedia page, and its appendix: the first top-level section with such a title and all beside it from there."""
     flat = work.flat
     work.gone |= flat.tags("style", "link", "script", "head")
+    if not (flat.tags("table") & work.asked).any() and not work.asked.all():
+        # Of notes alone: what leaves the content reaches them only through a table around them.
+        return
     # Notes that were lifted out of a box of references stay.
     work.out |= flat.with_class(*WIKI_FURNITURE)
     work.out |= flat.tags("sup") & flat.with_class("mw-ref", "citation") & ~work.whole
@@ -234,7 +239,7 @@ def write_code(work: Rewrite) -> None:
     work.gone |= code & (flat.below(flat.size > 0) == 0)
     inner, outer = flat.below(pre), ~flat.inside(pre, itself=False)
     homes = flat.inside(flat.tags(*INLINE_HOMES), itself=False)
-    for node in np.flatnonzero(pre & outer & ~flat.inside(work.gone)).tolist():
+    for node in np.flatnonzero(pre & outer & work.asked & ~flat.inside(work.gone)).tolist():
         if inner[node]:
             blocks = node + 1 + np.flatnonzero(pre[node + 1 : flat.last[node] + 1])
             work.piece(node, "```\n" + "\n".join(flat.raw_text(int(i)) for i in blocks) + "\n```")
@@ -250,7 +255,7 @@ def place_images(work: Rewrite) -> None:
     figures = flat.tags("figure") | flat.with_class("wp-caption")
     captions = flat.tags("figcaption") | flat.with_class("wp-caption-text")
     count, used = flat.below(work.images), np.zeros(flat.n, bool)
-    for figure in np.flatnonzero(figures & (count == 1) & (flat.below(captions) > 0)).tolist():
+    for figure in np.flatnonzero(figures & work.asked & (count == 1) & (flat.below(captions) > 0)).tolist():
         caption, image = flat.first_below(captions, figure), flat.first_below(work.images, figure)
         text = " ".join(flat.raw_text(caption).split())
         if text and not used[image] and not caption <= image <= flat.last[caption]:
@@ -281,7 +286,7 @@ def write_tables(work: Rewrite) -> None:
     """Tables of data become pipe tables, those that lay out code become code, those that lay out a page give way to their cells."""
     flat = work.flat
     tables = flat.tags("table")
-    if not tables.any():
+    if not (tables & work.asked).any():
         return
     cells, pre = flat.tags("td", "th", "cell"), flat.tags("pre")
     table_of, row_of = flat.nearest(tables), flat.nearest(flat.tags("tr"))
@@ -294,7 +299,7 @@ def write_tables(work: Rewrite) -> None:
     wide = flat.below(flat.tags("tr") & (in_row[: flat.n] > 1))
     own_parts, captions = flat.tags(*TABLE_PARTS, "colgroup", "col"), flat.tags("caption")
     left = work.left()
-    for table in np.flatnonzero(tables & left).tolist():
+    for table in np.flatnonzero(tables & left & work.asked).tolist():
         inside = slice(table, int(flat.last[table]) + 1)
         if work.whole[table]:
             continue
@@ -364,29 +369,38 @@ def main_content(flat: Flat, encyclopedia: bool) -> np.ndarray:
     return out
 
 
-def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
-    """For each page the draft of its content, its notes as ``(n, said, draft)`` and the calls of notes as ``(no, mark, n)``."""
+def rewritten(flat: Flat, urls: list[str], encyclopedia: bool, notes_only: bool = False) -> tuple[pa.Array, pa.ListArray, pa.ListArray]:
+    """For each page the draft of its content, its notes as ``(n, said, draft)`` and the calls of notes as ``(no, mark, n)``.
+
+    ``notes_only``: no content is written, and what neither lies in a note nor holds one is not rewritten.
+    """
     work = Rewrite(flat, urls)
     lift_notes(work)
+    noted = np.zeros(flat.n, bool)
+    held = [node for nodes in work.notes.values() for node in nodes]
+    noted[held] = True
+    if notes_only:
+        work.asked = flat.below(noted) > 0
+    noted = flat.inside(noted)
+    work.asked |= noted
     write_formulas(work)
     (drop_encyclopedia_furniture if encyclopedia else drop_furniture)(work)
     write_code(work)
     place_images(work)
     content = main_content(flat, encyclopedia)
-    noted = np.zeros(flat.n, bool)
-    held = [node for nodes in work.notes.values() for node in nodes]
-    noted[held] = True
-    noted = flat.inside(noted)
-    write_images(work, (content & work.left()) | (noted & ~flat.inside(work.gone)))
+    # An image is written where it stands first, be that in a note or not.
+    if (work.images & work.asked).any():
+        write_images(work, (content & work.left()) | (noted & ~flat.inside(work.gone)))
     write_tables(work)
     if encyclopedia:
         for node, href in work.href.items():
-            work.href[node] = urljoin(urls[int(flat.page[node])], href)
+            if work.asked[node]:
+                work.href[node] = urljoin(urls[int(flat.page[node])], href)
     for node in held:
         if flat.tag(node) in ("li", "dd", "section", "aside"):
             work.name[node] = "div"
     alive = ~flat.inside(work.gone) & ~flat.inside(work.whole, itself=False) & ~work.open
-    body, notes = content & alive & ~flat.inside(work.out), noted & alive
+    body, notes = content & alive & ~flat.inside(work.out) & (not notes_only), noted & alive
     classes, shown = flat.attr("class"), flat.tags("span")
 
     def tag(node: int) -> str:
@@ -399,7 +413,7 @@ def rewritten(flat: Flat, urls: list[str], encyclopedia: bool) -> tuple[pa.Array
         runs = [work.value.get(i, flat.text[i]).strip(BLANKS) for i in own.tolist() if tag(i) == "#text"]
         return " ".join(x for x in runs if x)
 
-    drafts = flat.written([np.flatnonzero(body[a:b]) + a for a, b in zip(flat.ends[:-1], flat.ends[1:])], body, tag, mark)
+    drafts = [None] * len(urls) if notes_only else flat.written([np.flatnonzero(body[a:b]) + a for a, b in zip(flat.ends[:-1], flat.ends[1:])], body, tag, mark)
     numbered = [(i + 1, node) for page in range(len(urls)) for i, node in enumerate(work.notes.get(page, []))]
     groups = [np.flatnonzero(notes[node : flat.last[node] + 1]) + node for _, node in numbered]
     ends = np.concatenate(([0], np.cumsum([len(work.notes.get(page, [])) for page in range(len(urls))])))
@@ -455,16 +469,17 @@ def encyclopedia_text(pages: DataFrame, key: str = "page_id") -> DataFrame:
     return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, text STRING")
 
 
-def cleaned_pages(pages: DataFrame, key: str = "page_id", encyclopedia: bool = False) -> DataFrame:
+def cleaned_pages(pages: DataFrame, key: str = "page_id", encyclopedia: bool = False, notes_only: bool = False) -> DataFrame:
     """``pages(key, url, html)`` to (key, url, draft, notes, calls): the draft of each page's content, its notes and what calls them.
 
     ``encyclopedia``: the page is an encyclopedia's; its whole body is content up to the appendix, and its links are made absolute.
+    ``notes_only``: no draft of the content is asked for, it is null.
     """
     kind = dict(pages.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, read in parsed(batches):
-            columns = rewritten(Flat.of(read), [u or "" for u in part.column(1).to_pylist()], encyclopedia)
+            columns = rewritten(Flat.of(read), [u or "" for u in part.column(1).to_pylist()], encyclopedia, notes_only)
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *columns], [key, "url", "draft", "notes", "calls"])
 
     return pages.select(key, "url", "html").mapInArrow(run, f"{key} {kind}, url STRING, draft STRING, notes ARRAY<STRUCT<n: INT, said: STRING, draft: STRING>>, calls ARRAY<STRUCT<no: INT, mark: STRING, n: INT>>")

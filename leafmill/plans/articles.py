@@ -122,7 +122,7 @@ def encyclopedia_markdown(t):
 def formatted_footnotes(t):
     """The notes of both kinds of pages, each as Markdown."""
     def notes(pages, encyclopedia):
-        rows = cleaned_pages(pages, encyclopedia=encyclopedia).select("page_id", F.explode("notes").alias("n"))
+        rows = cleaned_pages(pages, encyclopedia=encyclopedia, notes_only=True).select("page_id", F.explode("notes").alias("n"))
         return rows.select("page_id", F.col("n.n").alias("note_no"), M.markdown_of(F.col("n.draft")).alias("md"))
 
     return notes(t.fx_cluttered_pages, False).unionAll(notes(t.fx_encyclopedia_pages, True).withColumn("page_id", F.col("page_id") + 1000000000))

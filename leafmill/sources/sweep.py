@@ -72,9 +72,9 @@ class Flat:
         return dict(self._attrs.get(name, {}))
 
     def with_class(self, *names: str) -> np.ndarray:
-        wanted, out = set(names), np.zeros(self.n, bool)
-        for node, value in self.attr("class").items():
-            out[node] = not wanted.isdisjoint(value.split())
+        wanted, out, classes = set(names), np.zeros(self.n, bool), self.attr("class")
+        has = {value: not wanted.isdisjoint(value.split()) for value in set(classes.values())}
+        out[[node for node, value in classes.items() if has[value]]] = True
         return out
 
     def inside(self, marked: np.ndarray, itself: bool = True) -> np.ndarray:

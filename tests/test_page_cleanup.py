@@ -121,6 +121,26 @@ def test_marks_of_more_than_three_digits(table):
     assert found == ["A[^fn1] B[^fn2] C[^fn3]\n\n[^fn1]: One.\n\n[^fn2]: Two.\n\n[^fn3]: Three."]
 
 
+@pytest.mark.parametrize("encyclopedia", [False, True])
+def test_notes_alone_are_those_of_the_whole_page(encyclopedia):
+    call = '<sup><a href="#n{0}">{0}</a></sup>'.format
+    pages = [
+        f'<main><p>a{call(1)}</p><img src="i.png"><ol><li id="n1">See <a href="/r">r</a> <img src="i.png"><img src="j.png" alt="j"></li></ol><img src="j.png"></main>',
+        f'<p>a{call(1)}{call(2)}</p><table><tr><th>k</th><th>v</th></tr><tr><td><p id="n1">in a cell</p></td><td>x</td></tr></table><table><tr><td><div id="n2">layout</div><p>b</p><p>c</p></td></tr></table>',
+        f'<p>a{call(1)}</p><pre>one<div id="n1">two <pre>three</pre></div></pre><p>b{call(2)}</p><div id="n2">Sum <math alttext="x_1"><mi>x</mi></math> <pre>y</pre><table><tr><td>1</td><td>2</td></tr></table></div>',
+        f'<p>a{call(1)}{call(2)}</p><figure><img src="f.png"><figcaption><p id="n1">caption</p></figcaption></figure><div id="n2"><figure><img src="g.png"><figcaption>G</figcaption></figure></div>',
+        f'<section><h2>Part</h2><p>a{call(1)}</p></section><section><h2>References</h2><div class="navbox"><ol><li id="n1">kept <i>here</i></li></ol></div><table class="collapsed"><tr><td>t</td></tr></table></section>',
+        "<p>no notes</p><table><tr><td>1</td><td>2</td></tr></table>",
+    ]
+    parser = _Nodes()
+    for page in pages:
+        parser.add_page(page)
+    urls = [URL] * len(pages)
+    whole, alone = (rewritten(Flat.of(parser), urls, encyclopedia, notes_only) for notes_only in (False, True))
+    assert alone[0].null_count == len(pages) and sum(len(x) for x in whole[1].to_pylist()) >= 6
+    assert alone[1:] == whole[1:]
+
+
 def test_site_furniture(table):
     found = markdown(
         table,
