@@ -33,7 +33,7 @@ def blank(spark, tmp_path_factory):
     return path, con
 
 
-@pytest.mark.parametrize("name", ["copyedit_guard"])
+@pytest.mark.parametrize("name", ["copyedit_guard", "chunked_transform_guarded"])
 def test_blank_texts_have_no_chunks(spark, blank, name):
     outcome = compare(spark, blank[1], blank[0], name)
     assert outcome.startswith("ok"), outcome
