@@ -67,7 +67,7 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc.write(read(spark, folder, "pages"), path)
-    records = warc.read(spark, path)
+    records = warc.read(spark, path, payloads=False)
     return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "error")
 
 

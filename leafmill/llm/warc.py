@@ -7,11 +7,13 @@ again writes the same names, so a lost executor leaves no half and no second arc
 
 Payloads that repeat are written once: of the records with equal payloads of at least ``REVISIT_BYTES``, the one
 with the largest page id is a ``response`` and the others are ``revisit`` records that refer to it. Equality is
-that of SHA-256; the table of repeated payloads is a map-side combined aggregate and meets the pages in a join that
-adaptive execution may split.
+that of SHA-256; the table of repeated payloads is a map-side combined aggregate that is written first, so that its size
+decides the join: a small one is broadcast and no page is shuffled, a large one meets the pages in a join that adaptive
+execution may split.
 
 The reader takes the dictionary from the skippable frame, decodes frame by frame, and checks each record: version
-line, type, required headers, block length, the HTTP message's length, and the digest of a payload that is there.
+line, type, required headers, block length, the HTTP message's length, and the digest of a payload that is there. Where
+payloads are not asked for they are checked all the same, but stay in the task.
 A damaged record is reported in ``error`` and reading goes on with the next frame; a frame that cannot be
 decoded ends its archive with a row that says so.
 
@@ -36,10 +38,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafmill.shared import settle
+
 REVISIT_BYTES = 1000
 ARCHIVE_BYTES = 48 << 20
 TRAIN_BYTES = 4 << 20
 DICTIONARY_BYTES = 64 << 10
+#: An archive is handed to the decoder in pieces: what is left of a piece after a frame is copied.
+PIECE_BYTES = 16 << 10
 LEVEL = 3
 #: The fixed values of the format: the magic number of its dictionary frame, the profile of revisits.
 DICTIONARY_FRAME = 0x184D2A5D
@@ -51,6 +57,10 @@ RECORD = (
     "archive string, record int, page_id bigint, url string, record_type string, refers_to bigint, payload_bytes bigint, "
     "payload_digest string, payload binary, error string"
 )
+_SCHEMA = pa.schema([
+    ("archive", pa.string()), ("record", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
+    ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string()),
+])
 
 
 def _digest(hex_: str) -> str:
@@ -121,20 +131,24 @@ def archives(records: Iterator[bytes]) -> Iterator[bytes]:
         yield bytes(out)
 
 
-def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> None:
-    """Archives of all ``pages`` under ``path``, a folder that driver and executors share."""
+def planned(pages: DataFrame, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
+    """The records to write: (page, url, size, sha1, refers, html), html null in a revisit."""
     html = F.coalesce(F.col(html_column), F.lit(""))
     rows = pages.select(
         F.col(id_column).cast("bigint").alias("page"), F.coalesce(F.col(url_column), F.lit("")).alias("url"), html.alias("html"),
         F.octet_length(html).cast("bigint").alias("size"), F.sha1(html.cast("binary")).alias("sha1"), F.sha2(html, 256).alias("same"),
     )
     large = rows.filter(F.col("size") >= REVISIT_BYTES).groupBy("same").agg(F.max("page").alias("response"), F.count(F.lit(1)).alias("_n"))
-    known = rows.join(large.filter("_n > 1").drop("_n"), "same", "left")
+    known = rows.join(settle(large.filter("_n > 1").drop("_n"), "repeated"), "same", "left")
     refers = F.when((F.col("size") >= REVISIT_BYTES) & ~F.col("page").eqNullSafe(F.col("response")), F.col("response"))
-    planned = known.withColumn("refers", refers).select(
+    return known.withColumn("refers", refers).select(
         "page", "url", "size", "sha1", "refers", F.when(F.col("refers").isNull(), F.col("html")).alias("html")
     )
 
+
+def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> None:
+    """Archives of all ``pages`` under ``path``, a folder that driver and executors share."""
+    plan = planned(pages, id_column, url_column, html_column)
     context = pages.sparkSession.sparkContext
     target = context._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(context._jsc.hadoopConfiguration()).mkdirs(target)
@@ -163,7 +177,7 @@ def write(pages: DataFrame, path: str, id_column: str = "page_id", url_column: s
                 store.delete_file(part)
             yield pa.record_batch([pa.array([name]), pa.array([len(archive)], pa.int64())], ["archive", "bytes"])
 
-    planned.mapInArrow(save, "archive string, bytes bigint").write.format("noop").mode("overwrite").save()
+    plan.mapInArrow(save, "archive string, bytes bigint").write.format("noop").mode("overwrite").save()
 
 
 class Damaged(ValueError):
@@ -243,26 +257,26 @@ def frames(archive: bytes) -> Iterator[bytes]:
         raise Damaged("no dictionary frame")
     dictionary = zstandard.ZstdCompressionDict(archive[8 : 8 + size])
     reader = zstandard.ZstdDecompressor(dict_data=dictionary)
-    rest = memoryview(archive)[8 + size :]
-    while rest:
-        try:
-            unpacker = reader.decompressobj()
-            out = unpacker.decompress(rest)
-        except zstandard.ZstdError as error:
-            raise Damaged(f"frame: {error}") from error
-        if not unpacker.eof:
-            raise Damaged("frame: cut off")
-        yield out
-        rest = rest[len(rest) - len(unpacker.unused_data) :]
-
-
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every record of the archives under ``path``, with ``error`` where one breaks the format."""
+    rest, at = memoryview(archive), 8 + size
+    while at < len(rest):
+        unpacker = reader.decompressobj()
+        out = []
+        while not unpacker.eof:
+            piece = rest[at : at + PIECE_BYTES]
+            if not piece:
+                raise Damaged("frame: cut off")
+            try:
+                out.append(unpacker.decompress(piece))
+            except zstandard.ZstdError as error:
+                raise Damaged(f"frame: {error}") from error
+            at += len(piece)
+        at -= len(unpacker.unused_data)
+        yield b"".join(out)
+
+
+def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    """Every record of the archives under ``path``, with ``error`` where one breaks the format; without ``payloads`` that column is null."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(path).select("path", "content")
-    schema = pa.schema([
-        ("archive", pa.string()), ("record", pa.int32()), ("page_id", pa.int64()), ("url", pa.string()), ("record_type", pa.string()),
-        ("refers_to", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("payload", pa.binary()), ("error", pa.string()),
-    ])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -275,14 +289,16 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                             row = parsed(raw)
                         except (Damaged, ValueError) as error:
                             row = {"error": str(error)}
+                        if not payloads:
+                            row["payload"] = None
                         out.append({"archive": name, "record": number} | row)
-                        held += len(raw)
-                        if held >= 2 << 20:
-                            yield pa.RecordBatch.from_pylist(out, schema)
+                        held += len(raw) if payloads else 0
+                        if held >= 2 << 20 or len(out) >= 10_000:
+                            yield pa.RecordBatch.from_pylist(out, _SCHEMA)
                             out, held = [], 0
                 except Damaged as error:
                     out.append({"archive": name, "record": number + 1, "error": str(error)})
                 if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield pa.RecordBatch.from_pylist(out, _SCHEMA)
 
     return found.mapInArrow(scan, RECORD)

@@ -72,6 +72,51 @@ def test_damage_is_found():
             list(warc.frames(bad))
 
 
+def test_frames_are_decoded_from_pieces(monkeypatch):
+    bodies = [random.Random(n).randbytes(n) for n in (0, 10, 5_000, 200_000, 30)]
+    records = [warc.record_bytes(i, "u", b, len(b), hashlib.sha1(b).hexdigest(), None) for i, b in enumerate(bodies)]
+    archive, = warc.archives(iter(records))
+    handed, real = [], zstandard.ZstdDecompressor
+
+    class Noted:
+        def __init__(self, **kw):
+            self.real = real(**kw)
+
+        def decompressobj(self):
+            noted = self
+
+            class Object:
+                def __init__(self):
+                    self.real = noted.real.decompressobj()
+
+                def decompress(self, data):
+                    handed.append(len(data))
+                    return self.real.decompress(data)
+
+                eof = property(lambda self: self.real.eof)
+                unused_data = property(lambda self: self.real.unused_data)
+
+            return Object()
+
+    monkeypatch.setattr(warc.zstandard, "ZstdDecompressor", Noted)
+    assert list(warc.frames(archive)) == records
+    assert max(handed) < 100_000 < len(archive)
+
+
+def test_payloads_that_are_not_asked_for_are_checked(spark):
+    path = shared_folder(spark, "test-warc")
+    warc.write(pages(spark, ODD_PAGES), path)
+    whole, bare = (warc.read(spark, path, payloads) for payloads in (True, False))
+    assert whole.drop("payload").exceptAll(bare.drop("payload")).count() == 0 == bare.filter("payload IS NOT NULL").count()
+    assert whole.count() == bare.count()
+
+
+def test_few_repeated_payloads_shuffle_no_page(spark):
+    plan = warc.planned(pages(spark, ODD_PAGES))
+    plan.collect()
+    assert "Exchange hashpartitioning" not in plan._jdf.queryExecution().executedPlan().toString()
+
+
 def test_no_archives(spark):
     path = shared_folder(spark, "test-warc")
     warc.write(pages(spark, []), path)
