@@ -209,6 +209,12 @@ def piece(table: DataFrame, low: int, high: int) -> Piece:
     return Piece(low, np.cumsum(size) - size, size, np.frombuffer(b"".join(x.as_buffer() for x in rows["bits"]), "<u8"))
 
 
+def held_here(hashes: np.ndarray, pieces: list[tuple], bits: int) -> np.ndarray:
+    """Which n-grams belong to the slices of a round's pieces: only those are sorted and looked up."""
+    slice_ = hashes >> _U(64 - bits)
+    return (slice_ >= _U(pieces[0][0])) & (slice_ <= _U(pieces[-1][1]))
+
+
 def probed(texts: DataFrame, table: DataFrame, bits: int, order: int, finish: Callable, schema: str) -> DataFrame:
     """``finish(rows, sequence, first, found)`` of slices of ``texts``, with ``found`` for each token the level of the n-gram of each order that ends there.
 
@@ -218,6 +224,7 @@ def probed(texts: DataFrame, table: DataFrame, bits: int, order: int, finish: Ca
     frame = texts.withColumn("_found", F.lit(None).cast("binary"))
     names, between = frame.columns, frame.schema
     all_rounds = rounds(table) or [[]]
+    several = len(all_rounds) > 1
     for number, ranges in enumerate(all_rounds):
         pieces = [(low, high, context.broadcast(piece(table, low, high))) for low, high in ranges]
         last = number + 1 == len(all_rounds)
@@ -230,6 +237,9 @@ def probed(texts: DataFrame, table: DataFrame, bits: int, order: int, finish: Ca
                     level = np.zeros((len(sequence), order), np.uint8)
                     for k in range(1, order + 1):
                         h, where = ngrams(sequence, first, k, bits)
+                        if several:
+                            asked = held_here(h, pieces, bits)
+                            h, where = h[asked], where[asked]
                         own, inverse = np.unique(h, return_inverse=True)
                         found, slice_ = np.zeros(len(own), np.uint8), own >> _U(64 - bits)
                         for low, high, held in pieces:

@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 2 << 20
-_SLAB = 1 << 20
+_SLAB = 1 << 18
 _U = np.uint64
 _ODD = (_U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F))
+_INVERSE = _U(pow(int(_ODD[0]), -1, 1 << 64))
 
 _generator = np.random.Generator(np.random.PCG64(20))
 #: A random odd number per byte; white space counts nothing.
@@ -93,16 +95,23 @@ def words(column: pa.Array, lower: bool = False, separators: np.ndarray = SPACE)
     return Words(data, np.searchsorted(start, offsets), start, end, _hashes(data, start))
 
 
+@cache
+def _weights() -> tuple[np.ndarray, np.ndarray]:
+    return powers(_ODD[0], _SLAB), powers(_INVERSE, _SLAB)
+
+
 def _hashes(data: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The bytes of a word are weighed with rising powers of an odd number: those of their places in the slab, divided by that of the word's start."""
     out = np.empty(len(start), np.uint64)
+    weight, inverse = _weights()
     at = 0
     while at < len(start):
-        to = max(at + 1, int(np.searchsorted(start, start[at] + _SLAB)))
+        to = max(at + 1, int(np.searchsorted(start, start[at] + _SLAB)) - 1)
         low, high = start[at], start[to] if to < len(start) else len(data)
         own = start[at:to] - low
-        place = np.arange(high - low) - np.repeat(own, np.diff(np.append(own, high - low)))
-        weight = powers(_ODD[0], int(place.max()) + 1)
-        out[at:to] = np.add.reduceat(_BYTE[data[low:high]] * weight[place], own)
+        if high - low > _SLAB:
+            weight = powers(_ODD[0], int(high - low))
+        out[at:to] = np.add.reduceat(_BYTE[data[low:high]] * weight[: high - low], own) * inverse[own]
         at = to
     return mixed(out)
 

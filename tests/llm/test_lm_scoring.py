@@ -6,6 +6,8 @@ import sys
 from collections import Counter, defaultdict
 from pathlib import Path
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 from edge import edge_documents, edge_texts, no_documents  # noqa: E402
 
-from leafmill.llm import bloom_lm  # noqa: E402
+from leafmill.llm import bloom_lm, words  # noqa: E402
 from leafmill.llm.queries import QUERIES  # noqa: E402
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -138,3 +140,24 @@ def test_query(spark):
         better[r.held_out].append(r.score > r.base_score)
     assert max(map(abs, errors)) < 0.25 and abs(sum(errors)) / len(errors) < 0.02
     assert sum(better[True]) > 0.7 * len(better[True]) and all(better[False])
+
+
+def test_a_round_sorts_its_own_slices_alone():
+    bits = 8
+    hashes = np.arange(256, dtype=np.uint64) << np.uint64(56)
+    asked = bloom_lm.held_here(hashes, [(10, 12, None), (13, 20, None)], bits)
+    assert np.flatnonzero(asked).tolist() == list(range(10, 21))
+
+
+def test_word_hashes_weigh_bytes_by_their_place():
+    slab = words._SLAB
+    texts = ["a word", "b" * (slab - 1) + " c", "d" * (slab + 7) + " e", "", "\u00fc " * 9, "f" * (slab // 2) + " " + "g" * slab]
+    odd, byte = int(words._ODD[0]), words._BYTE.tolist()
+    want = []
+    for word in (w for t in texts for w in t.encode().split()):
+        total, weight = 0, 1
+        for b in word:
+            total, weight = (total + byte[b] * weight) % 2**64, weight * odd % 2**64
+        want.append(total)
+    found = words.words(pa.array(texts))
+    assert np.array_equal(found.hash, words.mixed(np.array(want, np.uint64)))
